@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontamination, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op5_quality_rules": quality_rules.query,
+        "op7_decontamination": decontamination.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op5_quality_rules": quality_rules.SQL,
+        "op7_decontamination": decontamination.SQL,
     }
