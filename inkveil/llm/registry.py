@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, toxicity
+from . import decontamination, quality_rules, token_store, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_token_store": token_store.query,
         "op5_quality_rules": quality_rules.query,
         "op7_decontamination": decontamination.query,
         "op10_toxicity": toxicity.query,
