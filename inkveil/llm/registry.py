@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, quality_rules, simhash, token_store, toxicity
+from . import decontamination, html_extraction, mixing, quality_rules, simhash, token_store, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_simhash_near_dedup": simhash.query,
         "op5_quality_rules": quality_rules.query,
         "op7_decontamination": decontamination.query,
+        "op8_mixing": mixing.query,
         "op10_toxicity": toxicity.query,
     }
 

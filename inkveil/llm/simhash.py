@@ -234,10 +234,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest key, with the same columns."""
     found = classes(docs, key, text, size, budget)
-    keepers = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keeper")).distinct()
-    once = docs.join(keepers, F.col(key).eqNullSafe(F.col("_keeper"))).drop("_keeper")
+
+    def marked(df: DataFrame) -> DataFrame:  # plain keys, so that the join and what follows share one shuffle
+        return df.withColumn("_null", F.col(key).isNull()).withColumn("_key", F.coalesce(F.col(key), F.lit(0)))
+
+    keepers = marked(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key)).select("_key", "_null").distinct()
     # rows that share the kept key are one document; any one of them stays
-    return once.dropDuplicates([key])
+    return marked(docs).join(keepers, ["_key", "_null"]).dropDuplicates(["_key", "_null"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
