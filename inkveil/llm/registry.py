@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, mixing, quality_rules, simhash, token_store, toxicity
+from . import decontamination, html_extraction, lm_scoring, mixing, quality_rules, simhash, token_store, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_store": token_store.query,
+        "op2_lm_scoring": lm_scoring.query,
         "op3_html_extraction": html_extraction.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_quality_rules": quality_rules.query,
