@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, lm_scoring, mixing, quality_rules, simhash, token_store, toxicity
+from . import decontamination, html_extraction, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_store, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_rules": quality_rules.query,
         "op7_decontamination": decontamination.query,
         "op8_mixing": mixing.query,
+        "op9_suffix_dedup": suffix_dedup.query,
         "op10_toxicity": toxicity.query,
     }
 
