@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_store, toxicity
+from . import decontamination, html_extraction, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_store, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_html_extraction": html_extraction.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_line_dedup": line_dedup.query,
         "op7_decontamination": decontamination.query,
         "op8_mixing": mixing.query,
         "op9_suffix_dedup": suffix_dedup.query,
