@@ -13,8 +13,10 @@ references into numbers by first appearance for each label of the document.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +111,9 @@ def begin(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_text", F.regexp_replace(F.col(text), _PRIVATE, "")).withColumn("_notes", F.array().cast(_NOTE))
 
 
-def apply_step(df: DataFrame, step: Step, number: int, options: Options) -> DataFrame:
-    """Run one step over ``_text`` and add what it decided to ``_notes``."""
-    parts = df.withColumn("_parts", F.split(step.marked(F.col("_text"), options), f"[{OPEN}{CLOSE}]"))
+@lru_cache(maxsize=512)
+def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Column, Column, Column]:
+    """The step's expressions: parts, judged parts, new text, what to note. Built once for equal options."""
 
     def judged(x: Column, i: Column) -> Column:
         before = F.concat(*[F.coalesce(F.get("_parts", i - k), F.lit("")) for k in (4, 3, 2, 1)])
@@ -121,7 +123,7 @@ def apply_step(df: DataFrame, step: Step, number: int, options: Options) -> Data
         decision = v.decision
         if options.detect_only:
             decision = F.when((decision == "replace") & kind.isin(*options.detect_only), F.lit("detect")).otherwise(decision)
-        empty = F.lit("")
+        empty, null = F.lit(""), F.lit(None).cast("string")
         yes = F.struct(
             decision.alias("decision"),
             (v.head if v.head is not None else empty).alias("head"),
@@ -129,17 +131,15 @@ def apply_step(df: DataFrame, step: Step, number: int, options: Options) -> Data
             (v.tail if v.tail is not None else empty).alias("tail"),
             (v.label if v.label is not None else F.lit(step.label)).alias("label"),
             kind.alias("kind"),
-            (v.why if v.why is not None else F.lit(None).cast("string")).alias("why"),
+            (v.why if v.why is not None else null).alias("why"),
             (v.key if v.key is not None else v.value).alias("key"),
         )
-        null = F.lit(None).cast("string")
         no = F.struct(
             F.lit("text").alias("decision"), empty.alias("head"), x.alias("value"), empty.alias("tail"),
             null.alias("label"), null.alias("kind"), null.alias("why"), null.alias("key"),
         )
         return F.when(i % 2 == 1, yes).otherwise(no)
 
-    judged_parts = parts.withColumn("_judged", F.transform("_parts", judged))
     ref = lambda i: F.concat(F.lit(f"{number}."), i.cast("string"))
     rewritten = F.array_join(
         F.transform(
@@ -161,12 +161,19 @@ def apply_step(df: DataFrame, step: Step, number: int, options: Options) -> Data
         ),
     )
     found = F.size("_judged") > 1
-    return judged_parts.withColumns(
-        {
-            "_text": F.when(found, rewritten).otherwise(F.col("_text")),
-            "_notes": F.when(found, F.concat("_notes", told)).otherwise(F.col("_notes")),
-        }
-    ).drop("_parts", "_judged")
+    return (
+        F.split(step.marked(F.col("_text"), options), f"[{OPEN}{CLOSE}]"),
+        F.transform("_parts", judged),
+        F.when(found, rewritten).otherwise(F.col("_text")).alias("_text"),
+        F.when(found, F.concat("_notes", told)).otherwise(F.col("_notes")).alias("_notes"),
+    )
+
+
+def apply_step(df: DataFrame, step: Step, number: int, options: Options) -> DataFrame:
+    """Run one step over ``_text`` and add what it decided to ``_notes``."""
+    parts, judged, text, notes = _step_columns(step, number, options)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("_text", "_notes")]
+    return df.withColumn("_parts", parts).withColumn("_judged", judged).select(*kept, text, notes)
 
 
 def term_pattern(values: tuple[str, ...]) -> str:
@@ -240,6 +247,11 @@ def program(options: Options, steps: list[Step] | None = None) -> list[Step]:
     return sorted(chosen, key=lambda s: s.priority)
 
 
+def step_number(step: Step) -> int:
+    """A number of its own for each step, so that references never clash."""
+    return zlib.crc32(step.name.encode())
+
+
 def redact(df: DataFrame, text: str = "text", options: Options | None = None, steps: list[Step] | None = None,
            into: str = "redacted", report: str = "report") -> DataFrame:
     """``df`` with the redacted text and its report.
@@ -253,14 +265,14 @@ def redact(df: DataFrame, text: str = "text", options: Options | None = None, st
     if not options.any_switch():
         return begin(df, text).withColumn(into, F.col(text)).withColumn(report, report_column()).drop("_text", "_notes")
     work = shield(begin(df, text), options)
-    number = 0
     if options.always:
         own = Step("terms", "terms", "TERM", "CORE", "names", 0, term_pattern(options.always), always)
-        work = apply_step(work, own, number, options)
-    for number, step in enumerate(program(options, steps), 1):  # noqa: B007
-        work = apply_step(work, step, number, options)
-    for more, step in enumerate(s for s in SUSPECT_STEPS if steps is None and s.pack in options.packs):
-        work = apply_step(work, step, number + 1 + more, options)
+        work = apply_step(work, own, 0, options)
+    for step in program(options, steps):
+        work = apply_step(work, step, step_number(step), options)
+    for step in SUSPECT_STEPS:
+        if steps is None and step.pack in options.packs:
+            work = apply_step(work, step, step_number(step), options)
     work = finish(unshield(work, options), options)
     return work.withColumn(into, F.col("_text")).withColumn(report, report_column()).drop("_text", "_notes")
 
@@ -269,8 +281,8 @@ def annotations(df: DataFrame, key: str, text: str = "text", options: Options |
     """Long table of decisions: key, ref, kind, label, value_key, sample, decision, why."""
     options = options or Options()
     work = shield(begin(df, text), options)
-    for number, step in enumerate(program(options, steps), 1):
-        work = apply_step(work, step, number, options)
+    for step in program(options, steps):
+        work = apply_step(work, step, step_number(step), options)
     return work.select(key, F.explode("_notes").alias("n")).select(
         key, "n.ref", "n.kind", "n.label", F.col("n.key").alias("value_key"), "n.sample", "n.decision", "n.why"
     )
