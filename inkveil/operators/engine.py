@@ -26,7 +26,7 @@ from .options import Options
 OPEN, CLOSE, REF = "\ue010", "\ue011", "\ue012"
 SHIELD_OPEN, SHIELD_CLOSE = "\ue013", "\ue014"
 _PRIVATE = f"[{OPEN}-{SHIELD_CLOSE}]"
-_TOKEN = r"\{\{[A-Z_]+" + REF + r"[0-9.]+\}\}"
+_TOKEN = r"\{\{[A-Z_]+" + REF + r"[a-j.]+\}\}"
 _NOTE = "array<struct<ref:string,kind:string,label:string,key:string,sample:string,decision:string,why:string>>"
 
 
@@ -140,7 +140,8 @@ def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Co
         )
         return F.when(i % 2 == 1, yes).otherwise(no)
 
-    ref = lambda i: F.concat(F.lit(f"{number}."), i.cast("string"))
+    # references are letters, which no later step takes for a number
+    ref = lambda i: F.translate(F.concat(F.lit(f"{number}."), i.cast("string")), "0123456789", "abcdefghij")
     rewritten = F.array_join(
         F.transform(
             "_judged",
@@ -206,9 +207,9 @@ def unshield(df: DataFrame, options: Options) -> DataFrame:
 def finish(df: DataFrame, options: Options) -> DataFrame:
     """Numbers for the placeholders: by first appearance, for each label."""
     if not options.numbered:
-        return df.withColumn("_text", F.regexp_replace("_text", REF + r"[0-9.]+\}\}", "}}"))
+        return df.withColumn("_text", F.regexp_replace("_text", REF + r"[a-j.]+\}\}", "}}"))
     replaced = F.filter("_notes", lambda n: n.decision == "replace")
-    refs = df.withColumn("_refs", F.regexp_extract_all("_text", F.lit(r"\{\{[A-Z_]+" + REF + r"([0-9.]+)\}\}"), F.lit(1)))
+    refs = df.withColumn("_refs", F.regexp_extract_all("_text", F.lit(r"\{\{[A-Z_]+" + REF + r"([a-j.]+)\}\}"), F.lit(1)))
     refs = refs.withColumn("_of", F.map_from_entries(F.transform(replaced, lambda n: F.struct(n.ref, F.struct(n.label.alias("label"), n.key.alias("key"))))))
     refs = refs.withColumn("_seq", F.transform("_refs", lambda r: F.element_at("_of", r)))
     refs = refs.withColumn("_firsts", F.array_distinct("_seq")).withColumn("_gaps", F.split("_text", _TOKEN))
@@ -249,7 +250,10 @@ def program(options: Options, steps: list[Step] | None = None) -> list[Step]:
 
 def step_number(step: Step) -> int:
     """A number of its own for each step, so that references never clash."""
-    return zlib.crc32(step.name.encode())
+    from .steps import STEPS, SUSPECT_STEPS
+
+    known = [s.name for s in [*STEPS, *SUSPECT_STEPS]]
+    return 1 + known.index(step.name) if step.name in known else 1000 + zlib.crc32(step.name.encode()) % 9000
 
 
 def redact(df: DataFrame, text: str = "text", options: Options | None = None, steps: list[Step] | None = None,
