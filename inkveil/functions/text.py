@@ -84,7 +84,7 @@ def one_line(header: Column) -> Column:
 
 
 def table_cell(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\|", "\\\\\\\\|"), r"\s*\n\s*", " ")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
 
 
 def table_to_markdown(rows: Column) -> Column:
@@ -124,4 +124,4 @@ def still_present(text: Column, value: Column) -> Column:
     """The value as whole words, any white space between its words; false under three characters."""
     words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
     pattern = F.concat(F.lit(r"(?s).*(?<!\w)\Q"), F.array_join(words, r"\E\s+\Q"), F.lit(r"\E(?!\w).*"))
-    return (F.length(F.regexp_replace(value, r"\s", "")) >= 3) & text.rlike(pattern)
+    return (F.length(F.regexp_replace(value, r"\s", "")) >= 3) & F.rlike(text, pattern)
