@@ -59,6 +59,19 @@ class Verdict:
     key: Column | None = None
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Bound:
+    """A verdict over a value that is computed once."""
+
+    value: Column
+    use: Callable[[Column], Verdict]
+
+
 @dataclass(frozen=True)
 class Step:
     name: str
@@ -68,7 +81,7 @@ class Step:
     switch: str
     priority: int
     pattern: str = ""
-    judge: Callable[[Candidate, Options], Verdict] | None = None
+    judge: Callable[[Candidate, Options], Verdict | Bound] | None = None
     #: The pattern's first group stays in the text, the second is the value.
     labelled: bool = False
     #: Marks candidates in another way than by the pattern.
@@ -115,16 +128,14 @@ def begin(df: DataFrame, text: str) -> DataFrame:
 def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Column, Column, Column]:
     """The step's expressions: parts, judged parts, new text, what to note. Built once for equal options."""
 
-    def judged(x: Column, i: Column) -> Column:
-        before = F.concat(*[F.coalesce(F.get("_parts", i - k), F.lit("")) for k in (4, 3, 2, 1)])
-        after = F.concat(*[F.coalesce(F.get("_parts", i + k), F.lit("")) for k in (1, 2, 3)])
-        v = step.judge(Candidate(x, before, after), options)
+    empty, null = F.lit(""), F.lit(None).cast("string")
+
+    def told_of(v: Verdict) -> Column:
         kind = v.kind if v.kind is not None else F.lit(step.kind)
         decision = v.decision
         if options.detect_only:
             decision = F.when((decision == "replace") & kind.isin(*options.detect_only), F.lit("detect")).otherwise(decision)
-        empty, null = F.lit(""), F.lit(None).cast("string")
-        yes = F.struct(
+        return F.struct(
             decision.alias("decision"),
             (v.head if v.head is not None else empty).alias("head"),
             v.value.alias("value"),
@@ -134,6 +145,12 @@ def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Co
             (v.why if v.why is not None else null).alias("why"),
             (v.key if v.key is not None else v.value).alias("key"),
         )
+
+    def judged(x: Column, i: Column) -> Column:
+        before = F.concat(*[F.coalesce(F.get("_parts", i - k), F.lit("")) for k in (4, 3, 2, 1)])
+        after = F.concat(*[F.coalesce(F.get("_parts", i + k), F.lit("")) for k in (1, 2, 3)])
+        v = step.judge(Candidate(x, before, after), options)
+        yes = bound(v.value, lambda b: told_of(v.use(b))) if isinstance(v, Bound) else told_of(v)
         no = F.struct(
             F.lit("text").alias("decision"), empty.alias("head"), x.alias("value"), empty.alias("tail"),
             null.alias("label"), null.alias("kind"), null.alias("why"), null.alias("key"),

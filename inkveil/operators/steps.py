@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from .engine import Candidate, Step, Verdict, always, when
+from .engine import Bound, Candidate, Step, Verdict, always, bound, when
 from .names import NAME_STEPS
 from .options import Options
 
@@ -49,18 +49,30 @@ def _url(c: Candidate, o: Options) -> Verdict:
     return Verdict(F.lit("replace"), F.left(c.value, F.length(c.value) - F.length(tail)), tail=tail)
 
 
-def _iban(c: Candidate, o: Options) -> Verdict:
+def _iban(c: Candidate, o: Options) -> Bound:
     """The candidate is cut to the length of its country; what is over goes back to the text."""
-    plain = V.compact(c.value)
-    need = V.iban_length(F.left(plain, F.lit(2)))
-    # how many characters of the written form hold the first ``need`` letters and digits
-    written = F.length(F.regexp_extract(c.value, r"^(?:[A-Za-z0-9][\s-]?){1,34}", 0))
-    counts = F.transform(F.sequence(F.lit(1), F.greatest(written, F.lit(1))), lambda k: F.length(V.compact(F.left(c.value, k))))
-    cut = F.when(need.isNull(), F.length(c.value)).otherwise(F.greatest(F.array_position(counts, need).cast("int"), F.lit(0)))
-    value, tail = F.left(c.value, cut), F.substr(c.value, cut + 1)
-    ok = V.iban_ok(value) & (F.length(F.regexp_replace(value, "[^\n]", "")) <= 1) & ~tail.rlike("^[A-Za-z0-9]")
-    good = F.coalesce(ok, F.lit(False))
-    return Verdict(F.when(good, F.lit("replace")).otherwise(F.lit("leave")), F.when(good, value).otherwise(c.value), tail=F.when(good, tail).otherwise(F.lit("")))
+    need = V.iban_length(F.upper(F.left(c.value, F.lit(2))))
+    # the number of letters and digits up to each character: where they reach the country's length
+    chars = F.filter(F.split(c.value, ""), lambda x: x != "")
+    reached = F.aggregate(
+        chars,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), need.alias("need"), F.lit(0).alias("cut")),
+        lambda a, x: bound(
+            a.n + F.when(x.rlike("[A-Za-z0-9]"), 1).otherwise(0),
+            lambda n: F.struct(
+                (a["at"] + 1).alias("at"), n.alias("n"), a["need"].alias("need"), F.when((a["cut"] == 0) & (n == a["need"]), a["at"] + 1).otherwise(a["cut"]).alias("cut")
+            ),
+        ),
+        lambda a: F.when(a["need"].isNull(), F.length(c.value)).otherwise(a["cut"]),
+    )
+
+    def judged(cut: Column) -> Column:
+        value, tail = F.left(c.value, cut), F.substr(c.value, cut + 1)
+        lines = F.length(F.regexp_replace(value, "[^\n]", "")) <= 1
+        good = F.coalesce(lines & ~tail.rlike("^[A-Za-z0-9]") & bound(value, V.iban_ok), F.lit(False))
+        return bound(good, lambda g: F.struct(g.alias("good"), F.when(g, value).otherwise(c.value).alias("value"), F.when(g, tail).otherwise(F.lit("")).alias("tail")))
+
+    return Bound(bound(reached, judged), lambda r: Verdict(F.when(r.good, F.lit("replace")).otherwise(F.lit("leave")), r.value, tail=r.tail))
 
 
 def _piva(c: Candidate, o: Options) -> Verdict:
@@ -190,29 +202,36 @@ def cf_repaired(v: Column) -> Column:
     return F.concat(*parts)
 
 
-def _cf_ocr(c: Candidate, o: Options) -> Verdict:
-    fixed, up = cf_repaired(c.value), F.upper(c.value)
-    changes = F.aggregate(
-        F.zip_with(F.split(fixed, ""), F.split(up, ""), lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x
-    )
-    ok = changes.between(1, 2) & V.cf_ok(fixed)
-    return Verdict(F.when(F.coalesce(ok, F.lit(False)), F.lit("replace")).otherwise(F.lit("leave")), c.value, key=fixed)
+def _cf_ocr(c: Candidate, o: Options) -> Bound:
+    def verdict(fixed: Column) -> Verdict:
+        pairs = F.zip_with(F.split(fixed, ""), F.split(F.upper(c.value), ""), lambda a, b: F.when(a != b, 1).otherwise(0))
+        changes = F.aggregate(pairs, F.lit(0), lambda a, x: a + x)
+        ok = F.coalesce(changes.between(1, 2) & V.cf_ok(fixed), F.lit(False))
+        return Verdict(F.when(ok, F.lit("replace")).otherwise(F.lit("leave")), c.value, key=fixed)
 
+    return Bound(cf_repaired(c.value), verdict)
 
-def _iban_ocr(c: Candidate, o: Options) -> Verdict:
+
+def _iban_ocr(c: Candidate, o: Options) -> Bound:
     up = F.upper(c.value)
     head = F.concat(F.translate(F.left(up, F.lit(2)), "0125678", "OIZSGTB"), F.translate(F.substring(up, 3, 2), "OQDILZSGTB", "0001125678"))
-    fixed = F.concat(head, F.substr(up, F.lit(5)))
-    ok = (fixed != up) & V.iban_ok(fixed) & F.left(up, F.lit(2)).rlike("[A-Z]")
-    return Verdict(F.when(F.coalesce(ok, F.lit(False)), F.lit("replace")).otherwise(F.lit("leave")), c.value, key=fixed)
 
+    def verdict(fixed: Column) -> Verdict:
+        ok = F.coalesce((fixed != F.upper(c.value)) & F.left(c.value, F.lit(2)).rlike("[A-Za-z]") & V.iban_ok(fixed), F.lit(False))
+        return Verdict(F.when(ok, F.lit("replace")).otherwise(F.lit("leave")), c.value, key=fixed)
+
+    return Bound(F.concat(head, F.substr(up, F.lit(5))), verdict)
 
-def _glued_iban(c: Candidate, o: Options) -> Verdict:
+
+def _glued_iban(c: Candidate, o: Options) -> Bound:
     """A label word glued to the number: the first cut after which the rest checks."""
     n = F.length(c.value)
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(n - 15, F.lit(1))), lambda k: F.left(c.value, k).rlike("^[A-Za-z]+$") & V.iban_ok(F.substr(c.value, k + 1)))
+    cuts = F.filter(
+        F.sequence(F.lit(1), F.greatest(n - 15, F.lit(1))),
+        lambda k: F.left(c.value, k).rlike("^[A-Za-z]+$") & F.substr(c.value, k + 1).rlike("^[A-Za-z]{2}[0-9]{2}") & bound(F.substr(c.value, k + 1), V.iban_ok),
+    )
     cut = F.coalesce(F.get(cuts, F.lit(0)), F.lit(0))
-    return Verdict(F.when(cut > 0, F.lit("replace")).otherwise(F.lit("leave")), F.substr(c.value, cut + 1), head=F.left(c.value, cut))
+    return Bound(cut, lambda k: Verdict(F.when(k > 0, F.lit("replace")).otherwise(F.lit("leave")), F.substr(c.value, k + 1), head=F.left(c.value, k)))
 
 
 _MONTHS = "gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre"
