@@ -150,7 +150,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     # pairs sorted by start, then joined where they touch or overlap
     pairs = F.array_sort(
         F.transform(
-            F.sequence(F.lit(0), F.size("_flat") / 2 - 1),
+            F.sequence(F.lit(0), (F.size("_flat") / 2 - 1).cast("int")),
             lambda i: F.struct(F.get("_flat", (2 * i).cast("int")).alias("s"), F.get("_flat", (2 * i + 1).cast("int")).alias("e")),
         )
     )

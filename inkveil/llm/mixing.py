@@ -154,15 +154,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A pass that takes a whole document gives its text unchanged; the one document of a source where
     a pass ends gives its first words, joined by blanks.
     """
-    same = Window.partitionBy("_mark", key)
-    given = shares(docs, key, text, source).select(F.col("mark").alias("_m"), F.col("doc_id").alias("_k"), "place", "size", "passes")
-    given = given.withColumn("_n", F.row_number().over(Window.partitionBy("_m", "_k").orderBy("place"))).drop("place")
-    given = given.filter(F.exists("passes", lambda x: x > 0))
-    marked = docs.withColumn("_mark", F.xxhash64(key, source, text)).withColumn("_copy", F.row_number().over(same.orderBy("_mark")))
-    on = (F.col("_mark") == F.col("_m")) & F.col(key).eqNullSafe(F.col("_k")) & (F.col("_copy") == F.col("_n"))
-    passes = marked.join(given, on).withColumn("_take", F.explode(F.filter("passes", lambda x: x > 0)))
-    cut = F.when(F.col("_take") < F.col("size"), F.array_join(F.slice(words(F.col(text)), 1, F.col("_take").cast("int")), " ")).otherwise(F.col(text))
-    return passes.withColumn(text, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = shares(docs, key, text, source).withColumn("number", F.row_number().over(Window.partitionBy("mark", "doc_id").orderBy("place")))
+    given = given.filter(F.exists("passes", lambda x: x > 0)).select(F.col("doc_id").alias("k"), F.col("mark").alias("m"), "number", "size", "passes")
+    # the document is one column, so that no name of its own meets those of the mix
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(key).alias("key"), F.xxhash64(key, source, text).alias("mark"))
+    packed = packed.withColumn("copy", F.row_number().over(Window.partitionBy("mark", "key").orderBy("mark")))
+    on = (F.col("mark") == F.col("m")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("copy") == F.col("number"))
+    passes = packed.join(given, on).withColumn("take", F.explode(F.filter("passes", lambda x: x > 0)))
+    own = F.col("d").getField(text)
+    cut = F.when(F.col("take") < F.col("size"), F.array_join(F.slice(words(own), 1, F.col("take").cast("int")), " ")).otherwise(own)
+    return passes.select(F.col("d").withField(text, cut).alias("d")).select("d.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
