@@ -143,7 +143,12 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, keep: tuple[str, ...
 
 def filter_documents(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that are kept, with the same columns."""
-    return judge(docs, text, rules, keep=tuple(docs.columns)).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text"))
+    judged = judge(packed, "_text", rules, keep=("_doc",))
+    # The filter must stay above the projections: pushed below them, it would hold every metric's
+    # whole expression once for each use. A row number in the condition keeps it where it is.
+    numbered = judged.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.filter("kept AND _row >= 0").select("_doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
