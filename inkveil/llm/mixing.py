@@ -129,17 +129,21 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(key, source, text).alias("mark")]
     sizes = materialise(docs.select(*columns, n_words(F.col(text)).alias("size")), "sizes")
     sources = materialise(sources_table(sizes, max_epochs=max_epochs), "sources")
-    placed = materialise(stream_places(sizes, sources), "placed")
+    placed = stream_places(sizes, sources)
     first, last = F.floor(F.col("place") / F.col("step")), F.floor((F.col("place") + F.col("size") - 1) / F.col("step"))
+    # a document without words lies in no block: numbers below zero, spread out, meet none
+    nowhere = F.array(-1 - F.pmod(F.xxhash64("mark", "doc_id"), F.lit(SLOT_BUCKET)))
+    blocks = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(nowhere)
     facts = ["rank", "place", "doc_id", "mark", "size", "source_size", "target"]
-    pieces = placed.filter("size > 0").select(*facts, "step", F.explode(F.sequence(first, last)).alias("block"))
+    pieces = placed.select(*facts, "step", F.explode(blocks).alias("block"))
     ends = F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * F.col("step"))
     words_in = ends - F.greatest("place", F.col("block") * F.col("step"))
     used = pieces.join(block_uses(spark, sources, max_epochs), ["rank", "block"], "left").withColumn("in", words_in)
     taken = [F.sum(F.when(F.col("uses") > e, F.col("in")).otherwise(0)) for e in range(max_epochs)]
-    some = used.groupBy(*facts).agg(F.array(*taken).alias("passes"))
-    none = placed.filter("size = 0").select(*facts, F.array(*[F.lit(0).cast("long")] * max_epochs).alias("passes"))
-    return some.unionByName(none).drop("rank")
+    # equal rows without words share a place; their number keeps them apart
+    whole = used.groupBy(*facts).agg(F.array(*taken).alias("passes"), F.count(F.when(F.col("block") < 0, True)).alias("_empty"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.greatest(F.col("_empty"), F.lit(1)).cast("int")))
+    return whole.withColumn("_copy", copies).drop("rank", "_empty", "_copy")
 
 
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
