@@ -4,17 +4,22 @@ A target model and a background model of the same order, smoothing and vocabular
 all documents (those for which ``target`` holds, and all others). Every document gets the mean loss
 of a token under either model and their difference: the lower, the more it reads like the target.
 
-Counts cover the whole corpus: words, then pairs of vocabulary ids, are summed in each task and
-added up by Spark. The vocabulary holds the words, and the models hold the pairs, whose share of all
-tokens is at least ``min_share`` (and that occur twice); so there are at most 1 / min_share of either
-whatever the corpus, which bounds what is broadcast. All other words are one unknown word, and the
-probability of other pairs backs off to that of the word:
+Counts cover the whole corpus. The vocabulary holds all words, and the models hold all pairs, that
+occur ``LEAST`` times or more, whatever the size of the corpus. All other words are one unknown word,
+and the probability of other pairs backs off to that of the word:
 
     P(w | v) = L * c(v, w) / c(v) + (1 - L * kept(v)) * P(w),   P(w) = (c(w) + 1) / (N + V)
 
 where kept(v) is the share of v's successors whose pairs are in the model, and the first token of a
 document has P(w).
 
+Both models are Spark tables. The loss of a document is a sum of terms: one for each word, w's own
+-log P(w) and, where a word follows, -log of the back-off weight; and for each pair in the model what
+it takes off. Documents are turned into word hashes once. The ``HEAD`` most frequent terms are
+broadcast and added up where the documents lie; rows of all other words and pairs are joined with
+the terms and added up by document. ``HEAD`` bounds memory and changes no result. Words are told apart
+by 64-bit hashes.
+
 Defined cases: null, empty and blank texts have no tokens and zero losses. Texts are read whole.
 Rows whose target flag is null belong to the background. Repeated rows count each time. If either
 side is empty its probabilities are uniform. Extra columns are ignored. An empty table gives no rows.
@@ -23,6 +28,7 @@ side is empty its probabilities are uniform. Extra columns are ignored. An empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,12 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, scratch
 
-MIN_SHARE = 1e-6
+LEAST = 2
 LAMBDA = 0.7
+#: Most terms that are broadcast.
+HEAD = 1 << 18
 _SLICE = 1 << 21
-_FLUSH = 400_000
+_TOKENS = 1 << 20
+_ROWS = 1 << 18
+#: Codes that are no word's hash: no neighbour, the unknown word, and what stands behind a word in the key of its terms.
+NONE, UNKNOWN, WORD, LAST = range(4)
 
 
 def _token_slices(texts: list[str | None]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -57,177 +68,297 @@ def _token_slices(texts: list[str | None]) -> Iterator[tuple[int, pa.Array, np.n
         start = stop
 
 
-def count_words(docs: DataFrame, text: str, target: Column) -> DataFrame:
-    """(word, n_target, n_background) over all documents; words end with a blank."""
+def _hashes(words: pa.Array) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, list[int]] = {}
-        for batch in batches:
-            flags = batch["_target"].to_numpy(bool)
-            for first, words, counts in _token_slices(batch["_text"].tolist()):
-                if not len(words):
-                    continue
-                coded = words.dictionary_encode()
-                at = coded.indices.to_numpy(zero_copy_only=False)
-                hit = np.repeat(flags[first : first + len(counts)], counts)
-                n = len(coded.dictionary)
-                both = np.bincount(at, minlength=n)
-                of_target = np.bincount(at[hit], minlength=n)
-                for word, t, b in zip(coded.dictionary.to_pylist(), of_target.tolist(), (both - of_target).tolist(), strict=True):
-                    pair = seen.get(word)
-                    if pair is None:
-                        seen[word] = [t, b]
-                    else:
-                        pair[0] += t
-                        pair[1] += b
-                if len(seen) > _FLUSH:
-                    yield _word_rows(seen)
-                    seen = {}
-        yield _word_rows(seen)
-
-    rows = docs.select(F.col(text).alias("_text"), F.coalesce(target, F.lit(False)).alias("_target"))
-    parts = rows.mapInPandas(run, "word binary, n_target long, n_background long")
-    return parts.groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-
-
-def _word_rows(seen: dict[bytes, list[int]]) -> pd.DataFrame:
-    counts = np.array(list(seen.values()), dtype=np.int64).reshape(-1, 2)
-    return pd.DataFrame({"word": list(seen), "n_target": counts[:, 0], "n_background": counts[:, 1]})
-
-
-class Vocabulary:
-    """Ids of the words in the models; id 0 is the unknown word."""
-
-    def __init__(self, words: list[bytes]):
-        self.ids = {bytes(w): i + 1 for i, w in enumerate(words)}
-        self.size = len(words) + 1
-
-    def encode(self, words: pa.Array) -> np.ndarray:
-        if not len(words):
-            return np.zeros(0, np.int64)
-        coded = words.dictionary_encode()
-        get = self.ids.get
-        own = np.fromiter((get(w, 0) for w in coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
-        return own[coded.indices.to_numpy(zero_copy_only=False)]
-
-
-def _pairs(ids: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each pair of neighbours, and which token starts it; pairs never cross documents."""
-    inside = np.ones(len(ids), dtype=bool)
-    ends = np.cumsum(counts)
-    inside[ends[counts > 0] - 1] = False
-    at = np.flatnonzero(inside)
-    return ids[at] * size + ids[at + 1], at
-
-
-def count_pairs(docs: DataFrame, text: str, target: Column, vocabulary) -> DataFrame:
-    """(pair, n_target, n_background): pairs of neighbouring ids over all documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, parts, held = vocabulary.value, [], 0
-        for batch in batches:
-            flags = batch["_target"].to_numpy(bool)
-            for first, tokens, counts in _token_slices(batch["_text"].tolist()):
-                codes, at = _pairs(words.encode(tokens), counts, words.size)
-                hit = np.repeat(flags[first : first + len(counts)], counts)[at]
-                found, where = np.unique(codes, return_inverse=True)
-                of_target = np.bincount(where[hit], minlength=len(found))
-                parts.append((found, of_target, np.bincount(where, minlength=len(found)) - of_target))
-                held += len(found)
-                if held > 4 * _FLUSH:
-                    parts = [_merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 2 * _FLUSH:
-                        yield _pair_rows(parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield _pair_rows(_merged(parts))
-
-    rows = docs.select(F.col(text).alias("_text"), F.coalesce(target, F.lit(False)).alias("_target"))
-    parts = rows.mapInPandas(run, "pair long, n_target long, n_background long")
-    return parts.groupBy("pair").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-
-
-def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = [np.bincount(where, weights=np.concatenate([p[k] for p in parts]), minlength=len(codes)).astype(np.int64) for k in (1, 2)]
-    return codes, sums[0], sums[1]
-
-
-def _pair_rows(part: tuple) -> pd.DataFrame:
-    return pd.DataFrame({"pair": part[0], "n_target": part[1], "n_background": part[2]})
-
-
-class Model:
-    """Losses of one side: unigrams of the vocabulary and the kept pairs."""
-
-    def __init__(self, word_counts: np.ndarray, total: int, pairs: np.ndarray, pair_counts: np.ndarray, weight: float):
-        size = len(word_counts)
-        self.word = (word_counts + 1.0) / (total + size)
-        first = pairs // size if len(pairs) else pairs
-        share = pair_counts / np.maximum(word_counts[first], 1)
-        kept = np.bincount(first, weights=share, minlength=size)
-        self.back_off = np.maximum(1.0 - weight * kept, 1e-6)
-        self.pair = (weight * share).astype(np.float32)
-
-    def losses(self, ids: np.ndarray, at: np.ndarray, found: np.ndarray, known: np.ndarray) -> np.ndarray:
-        p = self.word[ids]
-        p[at + 1] *= self.back_off[ids[at]]
-        p[at[known] + 1] += self.pair[found[known]]
-        return -np.log(p)
-
-
-def fit(docs: DataFrame, target: Column, text: str = "text", min_share: float = MIN_SHARE, weight: float = LAMBDA):
-    """Vocabulary, kept pairs and the two models, as a broadcast of bounded size."""
-    context = docs.sparkSession.sparkContext
-    words = materialise(count_words(docs, text, target), "words")
-    totals = words.agg(F.coalesce(F.sum("n_target"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_background"), F.lit(0)).alias("b")).first()
-    least = max(2.0, min_share * (totals["t"] + totals["b"]))
-    kept = words.filter(F.col("n_target") + F.col("n_background") >= least).toPandas().sort_values("word")
-    vocabulary = Vocabulary(kept["word"].tolist())
-    counts = {}
-    for side, total in (("n_target", totals["t"]), ("n_background", totals["b"])):
-        own = kept[side].to_numpy(np.int64)
-        counts[side] = np.concatenate([[total - own.sum()], own])
-    shared = context.broadcast(vocabulary)
-    pairs = count_pairs(docs, text, target, shared).filter(F.col("n_target") + F.col("n_background") >= least).toPandas().sort_values("pair")
-    codes = pairs["pair"].to_numpy(np.int64)
-    models = [
-        Model(counts[side], int(total), codes, pairs[side].to_numpy(np.int64), weight)
-        for side, total in (("n_target", totals["t"]), ("n_background", totals["b"]))
-    ]
-    return context.broadcast((vocabulary, codes, *models))
-
-
-def score(docs: DataFrame, fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: key, n_tokens, target_loss, background_loss and score (their difference)."""
-    kind = docs.select(key).schema[0].dataType.simpleString()
+    coded = words.dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    own = np.fromiter(map(xxh3_64_intdigest, found), dtype=np.uint64, count=len(found)).view(np.int64)
+    own[(own >= NONE) & (own <= LAST)] += 4
+    return own[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, codes, target, background = fitted.value
+
+def tokenised(docs: DataFrame, text: str, target: Column, key: str) -> DataFrame:
+    """(row, key, target, words): the word hashes of each row, which gets a number of its own; written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, tokens, counts in _token_slices(batch["_text"].tolist()):
-                ids = vocabulary.encode(tokens)
-                pair, at = _pairs(ids, counts, vocabulary.size)
-                found = np.minimum(np.searchsorted(codes, pair), max(len(codes) - 1, 0))
-                known = codes[found] == pair if len(codes) else np.zeros(len(pair), dtype=bool)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                means = [
-                    np.bincount(owner, weights=m.losses(ids, at, found, known), minlength=len(counts)) / np.maximum(counts, 1)
-                    for m in (target, background)
-                ]
-                yield pd.DataFrame(
-                    {
-                        key: batch[key].iloc[first : first + len(counts)].to_numpy(),
-                        "n_tokens": counts.astype(np.int64),
-                        "target_loss": means[0],
-                        "background_loss": means[1],
-                        "score": means[0] - means[1],
-                    }
-                )
-
-    schema = f"`{key}` {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(run, schema)
+            for first, words, counts in _token_slices(batch.column("_text").to_pylist()):
+                part = batch.slice(first, len(counts))
+                values = _hashes(words) if len(words) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), part.column("target"), lists], ["row", "key", "target", "words"])
+
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(target, F.lit(False)).alias("target"), F.col(text).alias("_text"))
+    found = rows.mapInArrow(run, f"row long, key {kind}, target boolean, words array<long>")
+    path = scratch(docs.sparkSession, "tokens")
+    # a dictionary of all words of a file: indexes take less room than hashes, which do not compress
+    found.write.option("compression", "zstd").option("parquet.dictionary.page.size", 16 << 20).parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, target, words in each row, all words) for slices of the batches."""
+    for batch in batches:
+        counts = batch.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = batch.column("words").flatten().to_numpy(zero_copy_only=False)
+        rows, flags = batch.column("row").to_numpy(), batch.column("target").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(counts)
+        start = 0
+        while start < len(counts):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + _TOKENS, side="right")))
+            yield rows[start:stop], flags[start:stop], counts[start:stop], values[done : int(ends[stop - 1])]
+            start = stop
+
+
+def _neighbours(counts: np.ndarray) -> np.ndarray:
+    """Which words start a pair; pairs never cross documents."""
+    inside = np.ones(int(counts.sum()), dtype=bool)
+    inside[np.cumsum(counts)[counts > 0] - 1] = False
+    return np.flatnonzero(inside)
+
+
+def _batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for at in range(0, n, _ROWS):
+        yield pa.RecordBatch.from_pydict({k: pa.array(v[at : at + _ROWS]) for k, v in columns.items()})
+
+
+def _counted(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
+
+
+def count_words(tokens: DataFrame) -> DataFrame:
+    """(word, n_target, n_background) over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flags, counts, words in _slices(batches):
+            hit = np.repeat(flags, counts)
+            for side in (True, False):
+                found, n = np.unique(words[hit == side], return_counts=True)
+                zero = np.zeros_like(n)
+                yield from _batches({"word": found, "n_target": n if side else zero, "n_background": zero if side else n})
+
+    return _counted(tokens.select("row", "target", "words").mapInArrow(run, "word long, n_target long, n_background long"), "word")
+
+
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    code = (a.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + b.view(np.uint64)
+    code ^= code >> np.uint64(32)
+    return code * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def count_pairs(tokens: DataFrame) -> DataFrame:
+    """(a, b, n_target, n_background): pairs of neighbouring words over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flags, counts, words in _slices(batches):
+            at = _neighbours(counts)
+            hit = np.repeat(flags, counts)[at]
+            for side in (True, False):
+                first = at[hit == side]
+                a, b = words[first], words[first + 1]
+                _, where, n = np.unique(_code(a, b), return_index=True, return_counts=True)
+                zero = np.zeros_like(n)
+                yield from _batches({"a": a[where], "b": b[where], "n_target": n if side else zero, "n_background": zero if side else n})
+
+    return _counted(tokens.select("row", "target", "words").mapInArrow(run, "a long, b long, n_target long, n_background long"), "a", "b")
+
+
+def _head(df: DataFrame, most: int) -> int:
+    """A count that at most ``most`` rows reach (by steps of a twelfth of a doubling)."""
+    step = F.floor(F.log2("n") * 12)
+    found = df.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).orderBy(F.desc("s")).collect()
+    least, total = 1 << 62, 0
+    for r in found:
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
+
+
+def unknown_tokens(tokens: DataFrame, words: DataFrame, head: int) -> DataFrame:
+    """(row, target, before, after) of each word that is not in ``words``; neighbours may be unknown, or none."""
+    frequent = np.sort(words.filter(F.col("n") >= head).select("word").toPandas()["word"].to_numpy(np.int64))
+    shared = tokens.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, flags, counts, found in _slices(batches):
+            rare = np.flatnonzero(~_find(shared.value, found)[1])
+            owner = np.repeat(np.arange(len(counts)), counts)[rare]
+            starts = np.cumsum(counts) - counts
+            place = rare - starts[owner]
+            wide = np.concatenate([[NONE], found, [NONE]])
+            before = np.where(place > 0, wide[rare], NONE)
+            after = np.where(place + 1 < counts[owner], wide[rare + 2], NONE)
+            yield from _batches({"row": rows[owner], "target": flags[owner], "place": place, "word": found[rare], "before": before, "after": after})
+
+    rare = tokens.select("row", "target", "words").mapInArrow(run, "row long, target boolean, place long, word long, before long, after long")
+    missing = materialise(rare.join(words.select("word"), "word", "left_anti"), "unknown")
+    # neighbours that are unknown themselves
+    places = missing.select("row", "place", F.lit(True).alias("u"))
+    for side, shift in (("before", 1), ("after", -1)):
+        near = places.select("row", (F.col("place") + shift).alias("place"), F.col("u").alias(side + "_u"))
+        missing = missing.join(near, ["row", "place"], "left")
+        missing = missing.withColumn(side, F.when(F.col(side + "_u"), F.lit(UNKNOWN).cast("long")).otherwise(F.col(side)))
+    return materialise(missing.select("row", "target", "before", "after"), "unknown")
+
+
+def unknown_pairs(unknown: DataFrame) -> DataFrame:
+    """(row, target, a, b) of each pair of neighbours that has an unknown word."""
+    code = F.lit(UNKNOWN).cast("long")
+    behind = unknown.filter(F.col("before") != NONE).select("row", "target", F.col("before").alias("a"), code.alias("b"))
+    ahead = unknown.filter(~F.col("after").isin(NONE, UNKNOWN)).select("row", "target", code.alias("a"), F.col("after").alias("b"))
+    return behind.unionByName(ahead)
+
+
+def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values stand among the sorted keys, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
+def _looked_up(df: DataFrame, key: str, words: DataFrame, head: int, values: list[str]) -> DataFrame:
+    """Add the values of the word ``key`` as v; the frequent words are broadcast, so no task gets all rows of one."""
+    whole = F.struct(*values)
+    frequent = words.filter(F.col("n") >= head).select(F.col("word").alias("_f"), whole.alias("_fv"))
+    others = words.filter(F.col("n") < head).select(F.col("word").alias("_o"), whole.alias("_ov"))
+    joined = df.join(F.broadcast(frequent), F.col(key) == F.col("_f"), "left")
+    # rows that have their values are dealt out evenly
+    joined = joined.withColumn("_k", F.when(F.col("_f").isNull(), F.col(key)).otherwise(F.xxhash64("a", "b")))
+    joined = joined.join(others, F.col("_k") == F.col("_o"), "left")
+    return joined.withColumn("v", F.coalesce("_fv", "_ov")).drop("_f", "_fv", "_o", "_ov", "_k")
+
+
+@dataclass
+class Fitted:
+    """The terms of both models as a table, and what the documents of the fit have been turned into."""
+
+    terms: DataFrame
+    words: DataFrame
+    word_head: int
+    unknown: dict[int, tuple[float, float]]
+    head: int
+    docs: DataFrame
+    columns: tuple[str, str]
+    tokens: DataFrame
+    unknown_tokens: DataFrame
+
+
+def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST, weight: float = LAMBDA, key: str = "doc_id", head: int = HEAD) -> Fitted:
+    """The two models over all rows: every word and pair that occurs ``least`` times."""
+    tokens = tokenised(docs, text, target, key)
+    size = F.size("words").cast("long")
+    sums = tokens.agg(F.sum(F.when(F.col("target"), size)).alias("t"), F.sum(F.when(~F.col("target"), size)).alias("b")).first()
+    total = [sums["t"] or 0, sums["b"] or 0]
+    n = F.col("n_target") + F.col("n_background")
+    words = materialise(count_words(tokens).filter(n >= least).withColumn("n", n), "words")
+    own = words.agg(F.count(F.lit(1)).alias("n"), F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
+    rest = [total[0] - (own["t"] or 0), total[1] - (own["b"] or 0)]
+    word_head = _head(words, head // 2)
+    unknown = unknown_tokens(tokens, words, word_head)
+    odd = unknown_pairs(unknown).select("a", "b", F.col("target").cast("long").alias("n_target"), (~F.col("target")).cast("long").alias("n_background"))
+    kept = count_pairs(tokens).filter(n >= least)
+    # pairs with a word that occurs less than ``least`` times are rarer than that themselves, so none of them is in both
+    pairs = materialise(kept.unionByName(_counted(odd, "a", "b").filter(n >= least)).withColumn("n", n), "pairs")
+
+    spark = docs.sparkSession
+    more = spark.createDataFrame([(UNKNOWN, *map(int, rest), 1 << 62)], "word long, n_target long, n_background long, n long")
+    mass = pairs.groupBy(F.col("a").alias("word")).agg(F.sum("n_target").alias("m_target"), F.sum("n_background").alias("m_background"))
+    every = words.unionByName(more).join(mass, "word", "left")
+    for side, k in (("target", 0), ("background", 1)):
+        count = F.greatest(F.col(f"n_{side}"), F.lit(1)).cast("double")
+        every = every.withColumn(f"c_{side}", count)
+        every = every.withColumn(f"p_{side}", (F.col(f"n_{side}") + 1.0) / F.lit(float(total[k] + own["n"] + 1)))
+        every = every.withColumn(f"o_{side}", F.greatest(1.0 - weight * F.coalesce(F.col(f"m_{side}"), F.lit(0)) / count, F.lit(1e-6)))
+    model = materialise(every.select("word", "n", *[f"{x}_{s}" for s in ("target", "background") for x in "cpo"]), "model")
+
+    first = _looked_up(pairs, "a", model, word_head, ["c_target", "o_target", "c_background", "o_background"]).withColumnRenamed("v", "x")
+    both = _looked_up(first, "b", model, word_head, ["p_target", "p_background"])
+    gain = [-F.log1p(weight * F.col(f"n_{s}") / F.col(f"x.c_{s}") / (F.col(f"v.p_{s}") * F.col(f"x.o_{s}"))) for s in ("target", "background")]
+    terms = both.select("a", "b", "n", gain[0].alias("t"), gain[1].alias("u"))
+    inner = [-F.log(f"p_{s}") - F.log(f"o_{s}") for s in ("target", "background")]
+    last = [F.log(f"o_{s}") for s in ("target", "background")]
+    for code, parts in ((WORD, inner), (LAST, last)):
+        terms = terms.unionByName(model.select(F.col("word").alias("a"), F.lit(code).cast("long").alias("b"), "n", parts[0].alias("t"), parts[1].alias("u")))
+    terms = materialise(terms, "terms")
+    default = {r["b"]: (r["t"], r["u"]) for r in terms.filter((F.col("a") == UNKNOWN) & F.col("b").isin(WORD, LAST)).collect()}
+    return Fitted(terms, words, word_head, default, _head(terms, head), docs, (key, text), tokens, unknown)
+
+
+class Head:
+    """The frequent terms in arrays."""
+
+    def __init__(self, rows: pd.DataFrame):
+        a, b = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)
+        code = _code(a, b)
+        order = np.argsort(code)
+        self.code, self.a, self.b = code[order], a[order], b[order]
+        self.value = rows[["t", "u"]].to_numpy(np.float64)[order]
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, known = _find(self.code, _code(a, b))
+        if len(self.code):
+            known &= (self.a[at] == a) & (self.b[at] == b)
+        return at, known
+
+
+def _rows_of_terms(tokens: DataFrame, head: Head) -> DataFrame:
+    """(row, a, b, t, u): per row the sum of its frequent terms (b is NONE), and the keys of the others."""
+    shared = tokens.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for rows, _, counts, words in _slices(batches):
+            sums = np.zeros((2, len(rows)))
+            owner = np.repeat(np.arange(len(counts)), counts)
+            at, ends = _neighbours(counts), np.cumsum(counts)[counts > 0] - 1
+            last = words[ends]
+            keys = [(owner, words, np.full(len(words), WORD)), (owner[ends], last, np.full(len(last), LAST)), (owner[at], words[at], words[at + 1])]
+            for whose, a, b in keys:
+                found, known = own.find(a, b)
+                for k in (0, 1):
+                    sums[k] += np.bincount(whose[known], weights=own.value[found[known], k], minlength=len(rows))
+                rare = ~known
+                zero = np.zeros(int(rare.sum()))
+                yield from _batches({"row": rows[whose[rare]], "a": a[rare], "b": b[rare], "t": zero, "u": zero})
+            yield from _batches({"row": rows, "a": rows, "b": np.full(len(rows), NONE), "t": sums[0], "u": sums[1]})
+
+    return tokens.select("row", "target", "words").mapInArrow(run, "row long, a long, b long, t double, u double")
+
+
+def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document row: key, n_tokens, target_loss, background_loss and score (their difference)."""
+    if docs is fitted.docs and (key, text) == fitted.columns:
+        tokens, unknown = fitted.tokens, fitted.unknown_tokens
+    else:
+        tokens = tokenised(docs, text, F.lit(False), key)
+        unknown = unknown_tokens(tokens, fitted.words, fitted.word_head)
+    frequent = fitted.terms.filter(F.col("n") >= fitted.head)
+    parts = _rows_of_terms(tokens, Head(frequent.toPandas()))
+    # pairs with the unknown word: the frequent ones get their terms here, so no task gets all rows of one
+    beside = frequent.filter((F.col("a") == UNKNOWN) | (F.col("b") == UNKNOWN)).select("a", "b", "t", "u")
+    odd = unknown_pairs(unknown).join(F.broadcast(beside), ["a", "b"], "left")
+    got = F.col("t").isNotNull()
+    none = F.lit(NONE).cast("long")
+    odd = odd.select("row", F.when(got, F.col("row")).otherwise(F.col("a")).alias("a"), F.when(got, none).otherwise(F.col("b")).alias("b"), F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("u", F.lit(0.0)).alias("u"))
+    others = fitted.terms.filter(F.col("n") < fitted.head).select("a", "b", F.col("t").alias("t2"), F.col("u").alias("u2"))
+    joined = parts.unionByName(odd).join(others, ["a", "b"], "left").filter(F.col("t2").isNotNull() | F.col("b").isin(NONE, WORD, LAST))
+
+    def value(k: int, given: str, found: str) -> Column:
+        missing = F.when(F.col("b") == WORD, fitted.unknown[WORD][k]).when(F.col("b") == LAST, fitted.unknown[LAST][k]).otherwise(0.0)
+        return F.sum(F.col(given) + F.coalesce(F.col(found), missing))
+
+    sums = joined.groupBy("row").agg(value(0, "t", "t2").alias("t"), value(1, "u", "u2").alias("u"))
+    n = F.size("words").cast("long")
+    whole = tokens.select("row", "key", n.alias("n_tokens")).join(sums, "row", "left")
+    mean = [F.coalesce(F.col(x) / F.greatest("n_tokens", F.lit(1)), F.lit(0.0)) for x in ("t", "u")]
+    return whole.select(F.col("key").alias(key), "n_tokens", mean[0].alias("target_loss"), mean[1].alias("background_loss"), (mean[0] - mean[1]).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -136,6 +136,25 @@ def test_lm_scoring(docs, nothing, rows):
     assert lm_scoring.score(nothing, lm_scoring.fit(nothing, F.col("source") == "s1")).count() == 0
 
 
+def test_lm_scoring_keeps_rare_words_at_every_size(spark):
+    # two rare words, beside so much other text that one in a million tokens is more than twice
+    few = [(1, "rare pairing", "s1"), (2, "rare pairing", "s1")]
+    many = spark.range(10, 2410).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x y "), 1000).alias("text"), F.lit("s2").alias("source"))
+    docs = spark.createDataFrame(few, "doc_id long, text string, source string").unionByName(many)
+    got = lm_scoring.score(docs, lm_scoring.fit(docs, F.col("source") == "s1")).filter("doc_id = 1").first()
+    # four tokens of the target and five words with the unknown one; the pair is all that follows its first word
+    assert got.target_loss == pytest.approx(-(math.log(3 / 9) + math.log(0.3 * 3 / 9 + 0.7)) / 2)
+
+
+def test_lm_scoring_is_the_same_without_broadcast_terms(docs):
+    whole, few = (sorted(lm_scoring.score(docs, lm_scoring.fit(docs, F.col("source") == "s1", head=most)).collect()) for most in (lm_scoring.HEAD, 8))
+    assert [r[:2] for r in whole] == [r[:2] for r in few] and any(r.n_tokens > 1000 for r in few)
+    assert [x for r in few for x in r[2:]] == pytest.approx([x for r in whole for x in r[2:]], abs=1e-9)
+    other = docs.filter("doc_id % 2 = 1")
+    alone = lm_scoring.score(other, lm_scoring.fit(docs, F.col("source") == "s1", head=8)).collect()
+    assert [x for r in sorted(alone) for x in r[2:]] == pytest.approx([x for r in whole if r.doc_id % 2 for x in r[2:]], abs=1e-9)
+
+
 def test_html_extraction(spark):
     pages = [
         (1, "u", "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy now for less and more and more.</div>"
