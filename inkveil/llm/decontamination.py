@@ -3,8 +3,8 @@
 The windows of all benchmark items (``n`` consecutive normalised words, or the whole item if it is
 shorter) form a hash set. When the items' text is within ``max_broadcast_bytes`` (checked, not
 assumed) the set is broadcast and documents are scanned where they lie, without a shuffle. Larger
-benchmarks are cut into slices below that bound; each slice is scanned the same way, and the hit
-spans of a document are merged afterwards. Hash hits are verified by comparing the words.
+benchmarks are cut into slices below that bound, scanned one after another over the same rows, which
+carry their hit spans and items along. Hash hits are verified by comparing the words.
 
 Defined cases: null and wordless texts have no words and no hits; wordless items have no windows.
 Texts are scanned whole. Overlapping hits count each word once. Items with equal text are all
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -106,64 +107,38 @@ def _slices(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-def _scan_slice(docs: DataFrame, keys: list[str], text: str, windows: WindowSet) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    schema = docs.select(*keys).schema.add("n_words", "long")
-    schema = schema.add("spans", ArrayType(IntegerType())).add("items", ArrayType(StringType()))
+def _scan_slice(found: DataFrame, windows: WindowSet) -> DataFrame:
+    """``found`` with the spans and items of this slice added to those of its rows."""
+    shared, names = found.sparkSession.sparkContext.broadcast(windows), found.columns
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = shared.value
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
-            for value in batch["_text"]:
-                words, hit, owners = found.hits(value)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+            for value, before, owned in zip(*(batch.column(c).to_pylist() for c in ("_text", "spans", "items")), strict=True):
+                words, hit, owners = shared.value.hits(value)
+                for start, end in zip(before[::2], before[1::2], strict=True):
+                    hit[start:end] = True
                 n_words.append(len(words))
-                spans.append(edges.astype(np.int32))
-                items.append(sorted(owners))
-            out = batch[keys].copy()
-            out["n_words"], out["spans"], out["items"] = n_words, spans, items
-            yield out
+                spans.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist())
+                items.append(sorted(owners.union(owned)))
+            own = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names)
 
-    return docs.select(*keys, F.col(text).alias("_text")).mapInPandas(scan, schema)
+    return found.mapInArrow(scan, found.schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
          item_text: str = "text", n: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per document row: key, n_words, spans (word offsets: start, end, start, end ...) and items.
 
-    A benchmark of one slice needs no shuffle. With more slices, ``key`` must tell rows apart.
+    Nothing is shuffled, and rows stay apart whatever their keys: the slices of a large benchmark are
+    scanned one after another over the same rows.
     """
-    parts = [
-        _scan_slice(docs, [key], text, WindowSet(items, n)) for items in _slices(benchmark, item, item_text, max_broadcast_bytes)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    grouped = merged.groupBy(key).agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("_flat"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    # pairs sorted by start, then joined where they touch or overlap
-    pairs = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), (F.size("_flat") / 2 - 1).cast("int")),
-            lambda i: F.struct(F.get("_flat", (2 * i).cast("int")).alias("s"), F.get("_flat", (2 * i + 1).cast("int")).alias("e")),
-        )
-    )
-    joined = F.aggregate(
-        pairs,
-        F.array().cast("array<int>"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (x.s <= F.element_at(a, -1)),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.greatest(F.element_at(a, -1), x.e))),
-        ).otherwise(F.concat(a, F.array(x.s, x.e))),
-    )
-    spans = F.when(F.size("_flat") > 0, joined).otherwise(F.array().cast("array<int>"))
-    return grouped.select(key, "n_words", spans.alias("spans"), "items")
+    spans, items = F.array().cast(ArrayType(IntegerType())), F.array().cast(ArrayType(StringType()))
+    found = docs.select(key, F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"), spans.alias("spans"), items.alias("items"))
+    for part in _slices(benchmark, item, item_text, max_broadcast_bytes):
+        found = _scan_slice(found, WindowSet(part, n))
+    return found.drop("_text")
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -296,6 +296,18 @@ def test_decontamination(spark, docs, nothing, rows):
     assert decontamination.scan(nothing, items).count() == 0 and decontamination.scan(docs, items.limit(0)).count() == len(rows)
 
 
+def test_decontamination_keeps_rows_apart_in_slices(spark):
+    leak, clean = "one two three four five six seven eight nine ten", "nothing of that kind is in here at all"
+    big = (1 << 60) + 1
+    rows = [(7, leak), (7, clean), (None, clean), (None, leak + " and more"), (7, leak), (big, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(i, leak if i == 3 else f"item {i} has words of its own and is long enough to be cut") for i in range(9)], "item_id long, text string")
+    whole, cut = (sorted(decontamination.scan(docs, items, max_broadcast_bytes=m).collect(), key=str) for m in (decontamination.MAX_BROADCAST_BYTES, 60))
+    expected = [(d, len(t.split()), [0, 10] if t.startswith(leak) else [], ["3"] if t.startswith(leak) else []) for d, t in rows]
+    assert [tuple(r) for r in cut] == [tuple(r) for r in whole]
+    assert sorted(map(str, (tuple(r) for r in cut))) == sorted(map(str, expected))
+
+
 def test_mixing(docs, nothing, rows):
     got = mixing.plan(docs).collect()
     assert sorted(got) == sorted(mixing.plan(docs).collect())
