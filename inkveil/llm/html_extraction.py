@@ -9,7 +9,8 @@ markup is Python, in Arrow batches. Nothing is shuffled: a page's blocks stay in
 
 Defined cases: null, empty and blank pages give an empty text. Pages of any size are read whole.
 Scripts, styles, comments in the markup and the head are no text, also if they never end. A tag that
-never ends is read as text; end tags without a start are ignored. Equal rows give equal results, in
+never ends is read as text; a quoted attribute value ends at its quote, however far, and a quote that
+is never closed counts as a character of its tag; end tags without a start are ignored. Equal rows give equal results, in
 one row each. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"'=]++|=\s*\"[^\"]{0,4096}\"|=\s*'[^']{0,4096}'|[=\"'])*+)>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"'=]++|=\s*\"[^\"]*+\"|=\s*'[^']*+'|[=\"'])*+)>",
     re.S,
 )
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "object")}

@@ -169,6 +169,14 @@ def test_html_extraction(spark):
     assert len(labelled) > 50 and 0.2 < np.mean([r[-1] for r in labelled]) < 0.8
 
 
+def test_html_attributes_of_any_length():
+    for quote in "\"'":
+        page = f"<article><div data-x={quote}{'x' * 5000}<b>SECRET</b> rest{quote}><p>Shown.</p></div></article>"
+        assert [b[0] for b in html_extraction.blocks(page)] == ["Shown."]
+        # without a closing quote the tag ends where it seems to
+        assert [b[0] for b in html_extraction.blocks(f"<p title={quote}{'x' * 5000}>Shown.</p>")] == ["Shown."]
+
+
 def fingerprint(t):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else ([" ".join(w)] if w else [])
