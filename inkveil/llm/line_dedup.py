@@ -2,12 +2,14 @@
 
 Lines are compared in lower case with single blanks. A line's shingles are its strings of ``SHINGLE``
 characters (a shorter line is one shingle). Two lines are linked when the Jaccard similarity of their
-shingle sets is ``THRESHOLD`` or more. Lines of one component are one line, which stays where it
-comes first (smaller doc_id, then earlier line).
+shingle sets is ``THRESHOLD`` or more. Where one of the two has fewer than ``SHORT`` characters, the
+shingles are of ``SHORT_SHINGLE``; so one inner letter or digit may differ from 29 characters on, two
+side by side from 38 on. (Long lines are not compared by these, as unrelated ones share many.)
+Lines of one component are one line, which stays where it comes first (smaller doc_id, then earlier line).
 
 1. Each task reduces its documents to distinct lines, and computes ``BANDS`` keys of ``ROWS`` minima
-   each; a pair at the threshold shares a key with probability 1 - (1 - 0.8**4)**8 = 0.985, one at
-   0.9 with 0.9998. Only keys and 16-byte line names are shuffled.
+   each; a pair at the threshold shares a key with probability 1 - (1 - 0.8**4)**16 = 0.9998. Only
+   keys and 16-byte line names are shuffled.
 2. Keys with two lines or more are candidates; keys with the same lines count once.
 3. Lines of candidate buckets are compared exactly, as sets, in tasks of two parts of a bucket of at
    most ``MAX_PART`` lines each; lines that a task already linked are not compared again, and a task
@@ -32,7 +34,9 @@ from .components import connected_components
 from .shared import materialise
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 8, 4
+#: Lines of fewer characters than SHORT are compared by shorter shingles.
+SHORT, SHORT_SHINGLE = 80, 3
+BANDS, ROWS = 16, 4
 MAX_PART = 1000
 _LEAST_KEY = -(1 << 63)
 _SLICE = 1 << 18
@@ -51,6 +55,12 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def like_short(line: str) -> bool:
+    """Whether the line is short, or has so few short shingles that it may be like a short one."""
+    most = (SHORT - SHORT_SHINGLE) / THRESHOLD
+    return len(line) < SHORT or (len(shingles(line[:256], SHORT_SHINGLE)) <= most and len(shingles(line, SHORT_SHINGLE)) <= most)
+
+
 def name(line: str) -> bytes:
     from xxhash import xxh3_128_digest
 
@@ -67,12 +77,13 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     padded = [x if len(x) >= size else x.ljust(size, "\0") for x in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     spans = np.maximum(lengths, size)
-    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    width = 1
-    while width < size:  # the hash of a string of 2n characters from those of its halves
-        h = h[:-width] * np.uint64(0xD6E8FEB86659FD93) + (h[width:] ^ (h[width:] >> np.uint64(29)))
-        width *= 2
+    single = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    single ^= single >> np.uint64(32)
+    h = single
+    for k in range(1, size):  # the hash of a string from that of all but its last character
+        h = h[:-1] * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h += single[k:]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     base = (h >> np.uint64(32)).astype(np.uint32)
@@ -90,7 +101,7 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
         minima[k] = np.minimum.reduceat(mixed, starts)
     keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
     for band in range(BANDS):
-        key = np.full(len(lines), band + 1, dtype=np.uint64)
+        key = np.full(len(lines), band + 1 + (BANDS if size == SHORT_SHINGLE else 0), dtype=np.uint64)
         for row in range(ROWS):
             key = (key ^ minima[band * ROWS + row]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
@@ -143,12 +154,15 @@ def _distinct_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[byte
 
 
 def bands(docs: DataFrame) -> DataFrame:
-    """(key, line) for each distinct line of a task and each band."""
+    """(key, line) for each distinct line of a task, each band and each size of shingles that the line may be compared by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for names, lines in _distinct_lines(batches):
-            keys = band_keys(lines)
-            yield pd.DataFrame({"key": keys.ravel(), "line": [n for n in names for _ in range(BANDS)]})
+            for size, wanted in ((SHINGLE, [len(x) >= SHORT for x in lines]), (SHORT_SHINGLE, [like_short(x) for x in lines])):
+                chosen = [i for i, w in enumerate(wanted) if w]
+                if chosen:
+                    keys = band_keys([lines[i] for i in chosen], size)
+                    yield pd.DataFrame({"key": keys.ravel(), "line": [names[i] for i in chosen for _ in range(BANDS)]})
 
     return docs.mapInPandas(run, "key long, line binary")
 
@@ -182,7 +196,9 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def linked(first: list[str], second: list[str] | None) -> list[tuple[int, int]]:
     """A spanning forest of the links inside ``first``, or between ``first`` and ``second`` (numbered behind)."""
     lines = first + (second or [])
-    sets = [shingles(x) for x in lines]
+    long = [len(x) >= SHORT for x in lines]
+    by_long = [shingles(x) if w else set() for x, w in zip(lines, long, strict=True)]
+    by_short = [set() if all(long) else shingles(x, SHORT_SHINGLE) for x in lines]
     root = list(range(len(lines)))
 
     def find(x: int) -> int:
@@ -194,6 +210,7 @@ def linked(first: list[str], second: list[str] | None) -> list[tuple[int, int]]:
     out = []
     for i in range(len(first)):
         for j in range(len(first), len(lines)) if second is not None else range(i + 1, len(lines)):
+            sets = by_long if long[i] and long[j] else by_short
             a, b = len(sets[i]), len(sets[j])
             if min(a, b) < THRESHOLD * max(a, b):
                 continue

@@ -267,6 +267,20 @@ def test_line_dedup(docs, nothing, rows):
     assert line_dedup.remove(docs).count() == len(rows) and line_dedup.line_report(nothing).count() == 0
 
 
+def test_lines_with_one_edit_are_duplicates(spark):
+    r = random.Random(8)
+    pairs = []
+    for length in range(30, 81):
+        line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(length - 12)).strip().ljust(length - 12, "q")
+        line = line[: len(line) // 2] + " in year 3 z" + line[len(line) // 2 :]
+        at = line.index(" 3 ") + 1
+        other = line[:at] + "8" + line[at + 1 :] if length % 2 else line[:5] + "#" + line[6:]
+        pairs.append((line, other))
+    df = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string")
+    gone = {x.doc_id for x in line_dedup.line_report(df).filter("n_removed > 0").collect()}
+    assert gone == {2 * i + 1 for i in range(len(pairs))}
+
+
 def test_large_buckets_are_cut(spark):
     lines = [f"this is one long line of some shared text with number {i} in it and a long end" for i in range(30)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc long, text string")
