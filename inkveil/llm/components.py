@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import join_counted, materialise
+
+#: Edges of a node that may always meet in one task.
+FEW = 64
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,20 +17,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates hooking every node to the smallest neighbour of its tree (large star) with joining
     the trees of a node's smaller neighbours (small star) until nothing changes; the number of
     rounds grows with the logarithm of the component size. Rounds only group by a node with a
-    minimum, which is summed up before the shuffle, and join on the node, which Spark splits if one
-    node has very many edges; no list of neighbours is ever collected. Each round is written to the
-    shared folder, so that lost executors cost one round at most.
+    minimum, which is summed up before the shuffle, and join on the node; the minima of nodes with very
+    many edges are broadcast (``join_counted``), so no task gets all edges of one, and no list of
+    neighbours is ever collected. Each step is written to the shared folder, so that lost executors
+    cost one step at most.
 
     Loops and repeated edges are allowed, null ends are ignored; no edges give no rows.
     """
     current = materialise(_forward(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
+    before = _signature(current)
     while True:
-        starred = materialise(_small_star(_large_star(current)), "edges")
+        current = _small_star(*_large_star(current, before[0]))
         # a round that changes no row has reached stars; sums of row hashes tell it without a join
-        before, after = _signature(current), _signature(starred)
-        current = starred
+        after = _signature(current)
         if before == after:
             break
+        before = after
     members = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
 
@@ -44,15 +49,16 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's smallest neighbour (or itself)."""
+def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Every larger neighbour of a node is tied to the node's smallest neighbour (or itself). With a bound of the rows."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    tied = join_counted(both.filter("v > u"), materialise(least, "least"), "u", total=2 * n, least=FEW)
+    return materialise(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges"), n
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to its smallest neighbour."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    joined = join_counted(edges, least, "u", total=n, least=FEW).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialise(joined.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")

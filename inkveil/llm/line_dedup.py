@@ -1,24 +1,27 @@
 """Line dedup: near-equal lines of a corpus, by MinHash, exact verification and union-find.
 
 Lines are compared in lower case with single blanks. A line's shingles are its strings of ``SHINGLE``
-characters (a shorter line is one shingle). Two lines are linked when the Jaccard similarity of their
-shingle sets is ``THRESHOLD`` or more. Where one of the two has fewer than ``SHORT`` characters, the
-shingles are of ``SHORT_SHINGLE``; so one inner letter or digit may differ from 29 characters on, two
-side by side from 38 on. (Long lines are not compared by these, as unrelated ones share many.)
-Lines of one component are one line, which stays where it comes first (smaller doc_id, then earlier line).
-
-1. Each task reduces its documents to distinct lines, and computes ``BANDS`` keys of ``ROWS`` minima
-   each; a pair at the threshold shares a key with probability 1 - (1 - 0.8**4)**16 = 0.9998. Only
-   keys and 16-byte line names are shuffled.
-2. Keys with two lines or more are candidates; keys with the same lines count once.
-3. Lines of candidate buckets are compared exactly, as sets, in tasks of two parts of a bucket of at
-   most ``MAX_PART`` lines each; lines that a task already linked are not compared again, and a task
-   returns a spanning forest. Distributed union-find joins the forests.
+characters, or of ``SHORT_SHINGLE`` where both lines have fewer than ``SHORT`` (a line that is shorter than
+that is one shingle). Two lines are linked when the Jaccard similarity of their shingle sets is
+``THRESHOLD`` or more; so one inner letter or digit may differ from 29 characters on, two side by side
+from 38 on. Lines of one component are one line, which stays where it comes first (smaller doc_id, then
+earlier line).
+
+1. Documents are split once; lines that a task meets for the first time keep their text.
+2. Each such line gets keys, each of some minima of its shingles' hashes: a pair at the threshold shares
+   one of the 12 keys of 3 minima with probability 0.9998 (short lines: 16 keys of 4, 0.9998). Keys and
+   line numbers travel in packed cells of a range of keys.
+3. The lines of a key form a bucket; equal buckets count once. Buckets are compared exactly, as sets: a line
+   is compared with the components found so far, until one of each takes it. A bucket of more than
+   ``MAX_PART`` lines is cut: all its lines are compared with one of them in parts, and only those that are
+   not like it meet the whole bucket, part by part. Nothing is left out, and a task returns a spanning
+   forest. Distributed union-find joins the forests.
 
 Defined cases: null and empty texts have no lines; blank lines are kept and never compared. Equal
 lines are linked however short. Texts and lines of any length are read whole. Rows that share a
-doc_id are read as one document whose equal line numbers are the same place. A null doc_id comes
-first. Extra columns are ignored by ``line_report`` and kept by ``remove``. An empty table gives no rows.
+doc_id are documents of their own (in an order of their texts), also equal rows: the lines of the second
+are duplicates of the first. A null doc_id comes first; ids of any type that sorts are allowed. Extra columns
+are ignored by ``line_report`` and kept by ``remove``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,19 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
+from .shared import join_counted, materialise
 
 SHINGLE, THRESHOLD = 8, 0.8
-#: Lines of fewer characters than SHORT are compared by shorter shingles.
-SHORT, SHORT_SHINGLE = 80, 3
-BANDS, ROWS = 16, 4
+#: Lines of fewer characters than SHORT are compared by shorter shingles with each other.
+SHORT, SHORT_SHINGLE = 100, 3
+#: Keys of a line and minima of a key, by the size of the shingles.
+BANDS = {SHINGLE: (12, 3), SHORT_SHINGLE: (16, 4)}
 MAX_PART = 1000
-_LEAST_KEY = -(1 << 63)
-_SLICE = 1 << 18
+#: Lines that a task remembers; characters and keys that it handles at once; rows of a cell before it is drained.
+_MEMORY = 1 << 20
+_BLOCK = 1 << 16
+_FLUSH = 1 << 20
+_CELL_ROWS = 1 << 22
 
 
 def normal(line: str) -> str:
@@ -55,28 +64,17 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def like_short(line: str) -> bool:
-    """Whether the line is short, or has so few short shingles that it may be like a short one."""
-    most = (SHORT - SHORT_SHINGLE) / THRESHOLD
-    return len(line) < SHORT or (len(shingles(line[:256], SHORT_SHINGLE)) <= most and len(shingles(line, SHORT_SHINGLE)) <= most)
+_ODD = (np.random.default_rng(6).integers(1 << 31, size=64, dtype=np.uint32) * 2 + 1).astype(np.uint32)
+_ADD = np.random.default_rng(7).integers(1 << 32, size=64, dtype=np.uint32)
 
 
-def name(line: str) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-
-
-_ODD = (np.random.default_rng(6).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(np.uint32)
-_ADD = np.random.default_rng(7).integers(1 << 32, size=BANDS * ROWS, dtype=np.uint32)
-
-
-def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """BANDS keys of each (normal, not empty) line; equal shingle sets give equal keys."""
-    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    padded = [x if len(x) >= size else x.ljust(size, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _shingle_hashes(codes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of lines of code points, one line after another, and where each line begins."""
     spans = np.maximum(lengths, size)
+    if (lengths < size).any():  # such a line is one shingle, filled up with zeros
+        padded = np.zeros(int(spans.sum()), dtype=np.uint32)
+        padded[np.arange(len(codes)) + np.repeat(np.cumsum(spans - lengths) - (spans - lengths), lengths)] = codes
+        codes = padded
     single = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     single ^= single >> np.uint64(32)
     h = single
@@ -86,218 +84,312 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
         h += single[k:]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    base = (h >> np.uint64(32)).astype(np.uint32)
-    # strings that run over the end of a line are left out
-    ends = np.cumsum(spans)
+    inside = np.ones(len(h), dtype=bool)
+    ends = np.cumsum(spans)[:-1]
+    for k in range(1, size):  # strings that run over the end of a line
+        inside[ends - k] = False
     counts = spans - size + 1
-    at = np.arange(int(counts.sum())) + np.repeat(ends - spans - (np.cumsum(counts) - counts), counts)
-    base = base[at]
-    starts = np.cumsum(counts) - counts
-    minima = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint32)
-    for k in range(BANDS * ROWS):
-        mixed = (base ^ _ADD[k]) * _ODD[k]
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x2C1B3C6D)
-        minima[k] = np.minimum.reduceat(mixed, starts)
-    keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1 + (BANDS if size == SHORT_SHINGLE else 0), dtype=np.uint64)
-        for row in range(ROWS):
-            key = (key ^ minima[band * ROWS + row]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
-        keys[:, band] = key
-    return keys.view(np.int64)
-
-
-def _places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST_KEY)).alias("doc"), F.col(text).alias("text"))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, number, line): the place and the name of every line that is not blank."""
+    return (h >> np.uint64(32)).astype(np.uint32)[inside], np.cumsum(counts) - counts
+
+
+def band_keys(codes: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """The keys of each (normal, not empty) line; equal shingle sets give equal keys."""
+    n_bands, n_rows = BANDS[size]
+    keys = np.zeros((len(lengths), n_bands), dtype=np.uint64)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + _BLOCK, side="right")))
+        base, starts = _shingle_hashes(codes[done : int(ends[last - 1])], lengths[first:last], size)
+        mixed = np.empty_like(base)
+        for band in range(n_bands):
+            key = np.full(last - first, band + 1 + 100 * size, dtype=np.uint64)
+            for k in range(band * n_rows, (band + 1) * n_rows):
+                np.multiply(base, _ODD[k], out=mixed)
+                np.add(mixed, _ADD[k], out=mixed)
+                key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+            keys[first:last, band] = (key * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+        first = last
+    return keys
+
+
+def split_lines(docs: DataFrame, key: str, text: str, keep: Column | None = None) -> DataFrame:
+    """(row, doc, mark, numbers, names, ids, own) of each row, written once: places, names and ids of the lines that are
+    not blank, and the text of those that the task has not met before. With ``keep``, a column d of that value."""
+    from xxhash import xxh3_128_digest
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc"].tolist(), batch["text"], strict=True):
-                for number, line in enumerate((text or "").split("\n")):
+            offsets, numbers, names, own = [0], [], [], []
+            for value in batch.column("_text").to_pylist():
+                for number, line in enumerate(value.split("\n") if value else ()):
                     line = normal(line)
                     if line:
-                        out.append((doc, number, name(line)))
-            yield pd.DataFrame(out, columns=["doc", "number", "line"])
-
-    return docs.mapInPandas(run, "doc long, number int, line binary")
-
-
-def _distinct_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Names and lines not met before in the task, in slices of bounded text."""
-    met: set[bytes] = set()
-    for batch in batches:
-        names, lines, size = [], [], 0
-        for text in batch["text"]:
-            for line in (text or "").split("\n"):
-                line = normal(line)
-                if not line:
-                    continue
-                own = name(line)
-                if own in met:
-                    continue
-                met.add(own)
-                names.append(own)
-                lines.append(line)
-                size += len(line)
-                if size >= _SLICE:
-                    yield names, lines
-                    names, lines, size = [], [], 0
-        if names:
-            yield names, lines
-
-
-def bands(docs: DataFrame) -> DataFrame:
-    """(key, line) for each distinct line of a task, each band and each size of shingles that the line may be compared by."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for names, lines in _distinct_lines(batches):
-            for size, wanted in ((SHINGLE, [len(x) >= SHORT for x in lines]), (SHORT_SHINGLE, [like_short(x) for x in lines])):
-                chosen = [i for i, w in enumerate(wanted) if w]
-                if chosen:
-                    keys = band_keys([lines[i] for i in chosen], size)
-                    yield pd.DataFrame({"key": keys.ravel(), "line": [names[i] for i in chosen for _ in range(BANDS)]})
-
-    return docs.mapInPandas(run, "key long, line binary")
-
-
-def buckets(found: DataFrame) -> DataFrame:
-    """(key, n, line): lines of the keys that two lines or more share; equal buckets once."""
-    dealt = found.repartition("key").groupBy("key", "line").agg(F.lit(1).alias("_"))  # one shuffle serves all below
-    own = Window.partitionBy("key")
-    counted = dealt.select(
-        "key",
-        "line",
-        F.count(F.lit(1)).over(own).alias("n"),
-        F.bit_xor(F.xxhash64("line")).over(own).alias("x"),
-        F.sum(F.xxhash64("line").cast("decimal(20,0)")).over(own).alias("s"),
-    )
-    shared = materialise(counted.filter("n > 1"), "shared")
-    chosen = shared.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-    return shared.join(chosen, "key").select("key", "n", "line")
-
-
-def texts_of(docs: DataFrame) -> DataFrame:
-    """(line, text): a task's distinct lines."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for names, lines in _distinct_lines(batches):
-            yield pd.DataFrame({"line": names, "own": lines})
-
-    return docs.mapInPandas(run, "line binary, own string")
-
-
-def linked(first: list[str], second: list[str] | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside ``first``, or between ``first`` and ``second`` (numbered behind)."""
-    lines = first + (second or [])
-    long = [len(x) >= SHORT for x in lines]
-    by_long = [shingles(x) if w else set() for x, w in zip(lines, long, strict=True)]
-    by_short = [set() if all(long) else shingles(x, SHORT_SHINGLE) for x in lines]
-    root = list(range(len(lines)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i in range(len(first)):
-        for j in range(len(first), len(lines)) if second is not None else range(i + 1, len(lines)):
-            sets = by_long if long[i] and long[j] else by_short
-            a, b = len(sets[i]), len(sets[j])
-            if min(a, b) < THRESHOLD * max(a, b):
-                continue
-            x, y = find(i), find(j)
-            if x != y and jaccard(sets[i], sets[j]) >= THRESHOLD:
-                root[max(x, y)] = min(x, y)
-                out.append((i, j))
+                        h = xxh3_128_digest(line.encode())
+                        numbers.append(number)
+                        names.append(h)
+                        own.append(None if h in met else line)
+                        met.add(h)
+                offsets.append(len(numbers))
+            if len(met) > _MEMORY:
+                met.clear()
+            at = pa.array(offsets, pa.int32())
+            ids = np.frombuffer(b"".join(names), dtype=np.int64)[::2]
+            columns = (pa.array(numbers, pa.int32()), pa.array(names, pa.binary()), pa.array(ids), pa.array(own, pa.string()))
+            lists = [pa.ListArray.from_arrays(at, x) for x in columns]
+            given = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), *lists], [*given, "numbers", "names", "ids", "own"])
+
+    given = [F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("mark")]
+    rows = docs.select(*given, *([] if keep is None else [keep.alias("d")]), F.col(text).alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    return materialise(rows.mapInArrow(run, f"{kinds}, numbers array<int>, names array<binary>, ids array<long>, own array<string>"), "lines")
+
+
+def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, DataFrame]:
+    """Keys that two lines or more share: (key, ids) of those of at most ``max_part`` lines, equal ones once,
+    and (key, id) of the others. An id is the first half of a line's name."""
+    spark = lines.sparkSession
+    cells = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        cell = ((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+        cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
+        at = pa.array(np.append(cuts, len(keys)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x.view(np.int64))) for x in (keys, ids)]
+        return pa.RecordBatch.from_arrays([pa.array(cell[cuts].astype(np.int64)), *lists], ["cell", "keys", "ids"])
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Texts and ids, in slices of bounded text (but whole lines)."""
+        for batch in batches:
+            own, ids = batch.column("own").flatten(), batch.column("ids").flatten()
+            given = pc.is_valid(own)
+            own, ids = own.filter(given), ids.filter(given).to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(own):
+                stop = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + _FLUSH, side="right")))
+                yield own.slice(at, stop - at), ids[at:stop]
+                at = stop
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for own, ids in fresh(batches):
+            codes = np.frombuffer("".join(own.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+            lengths = pc.utf8_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+            short = lengths < SHORT
+            parts = [(SHINGLE, codes, lengths, ids)]
+            if short.any():
+                parts.append((SHORT_SHINGLE, codes[np.repeat(short, lengths)], lengths[short], ids[short]))
+            for size, *part in parts:
+                keys = band_keys(part[0], part[1], size)
+                held.append((keys.ravel(), np.repeat(part[2], keys.shape[1])))
+                n += keys.size
+            if n >= _FLUSH:
+                yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+            at = pa.array(np.append(starts, len(ids)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(ids.view(np.int64)))], ["key", "ids"])
+
+        def shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Distinct pairs, sorted; where runs of a key begin and how long they are; whether each run is shared."""
+            order = np.lexsort([ids, keys])
+            keys, ids = keys[order], ids[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+            keys, ids = keys[new], ids[new]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(starts, len(keys)))
+            return keys, ids, starts, size, size > 1
+
+        def drain(held: list, large: np.ndarray, last: bool) -> tuple[list[pa.RecordBatch], list, np.ndarray]:
+            """What a cell tells, what stays for its later rows, and its keys that are large buckets for sure."""
+            keys, ids, starts, size, both = shared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            is_large = (size > max_part) | np.isin(keys[starts], large)
+            told = []
+            run = np.repeat(is_large, size)
+            if run.any():  # rows of large buckets go through, however many they are
+                told.append(out(keys[run], ids[run], np.arange(int(run.sum()))))
+            if last:
+                run = np.repeat(both & ~is_large, size)
+                if run.any():
+                    n = size[both & ~is_large]
+                    told.append(out(np.zeros(len(n), np.uint64), ids[run], np.cumsum(n) - n))
+            stay = np.repeat(~is_large, size)
+            return told, [(keys[stay], ids[stay])] if stay.any() else [], np.union1d(large, keys[starts][is_large])
+
+        current, held, n, large = None, [], 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            for cell, keys, ids in zip(batch.column("cell").to_pylist(), batch.column("keys"), batch.column("ids"), strict=True):
+                if cell != current and held:
+                    yield from drain(held, large, True)[0]
+                    held, n, large = [], 0, np.zeros(0, np.uint64)
+                current = cell
+                held.append(tuple(x.values.to_numpy().view(np.uint64) for x in (keys, ids)))
+                n += len(held[-1][0])
+                if n > _CELL_ROWS:
+                    told, held, large = drain(held, large, False)
+                    yield from told
+                    n = len(held[0][0]) if held else 0
+        if held:
+            yield from drain(held, large, True)[0]
+
+    packed = lines.select("ids", "own").mapInArrow(sign, "cell long, keys array<long>, ids array<long>")
+    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, ids array<long>"), "met")
+    # a small bucket has no key of its own, but is its list of lines
+    small = met.filter("key = 0").select("ids").distinct().select(F.xxhash64("ids").alias("key"), "ids")
+    large = met.filter("key != 0").select("key", F.get("ids", F.lit(0)).alias("id")).distinct()
+    return small, large
+
+
+class Sets:
+    """The shingle sets of some lines, made when they are needed."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.made: dict[tuple[int, int], set[str]] = {}
+
+    def of(self, i: int, size: int) -> set[str]:
+        found = self.made.get((i, size))
+        if found is None:
+            found = self.made[i, size] = shingles(self.lines[i], size)
+        return found
+
+    def similar(self, i: int, j: int) -> bool:
+        size = SHORT_SHINGLE if len(self.lines[i]) < SHORT and len(self.lines[j]) < SHORT else SHINGLE
+        a, b = self.of(i, size), self.of(j, size)
+        if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
+            return False
+        return jaccard(a, b) >= THRESHOLD
+
+
+def linked(lines: list[str]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the lines: each meets the members of each component until one is like it."""
+    sets, components, out = Sets(lines), [], []
+    for i in range(len(lines)):
+        mine, others = [i], []
+        for members in components:
+            j = next((j for j in members if sets.similar(j, i)), None)
+            if j is None:
+                others.append(members)
+            else:
+                out.append((j, i))
+                mine = members + mine
+        components = [mine, *others]
     return out
 
 
-def verified(candidates: DataFrame, docs: DataFrame, max_part: int = MAX_PART) -> DataFrame:
-    """(a, b): links between line names."""
-    wanted = candidates.select("line").distinct()
-    own = texts_of(docs).join(wanted, "line").groupBy("line").agg(F.min("own").alias("own"))
-    full = candidates.join(own, "line").withColumn("parts", F.ceil(F.col("n") / max_part).cast("int"))
-    full = full.withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
-    tasks = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda q: F.struct(F.least(F.col("part"), q).alias("i"), F.greatest(F.col("part"), q).alias("j")),
-    )
-    dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "part", "line", "own")
-
-    def solve(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        group = group.sort_values("part", kind="stable")
-        names, lines = group["line"].tolist(), group["own"].tolist()
-        cut = int((group["part"] == i).sum())
-        pairs = linked(lines[:cut], None if i == j else lines[cut:])
-        return [(names[a], names[b]) for a, b in pairs]
+def _by_group(rows: DataFrame, keys: list[str], solve, schema: str) -> DataFrame:
+    """``solve`` for the rows of each group, which lie together in one task; it returns rows of ``schema``."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            ids = batch[["key", "i", "j"]].to_numpy(np.int64)
-            edges = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            starts = [0, *edges.tolist()]
+            ids = batch[keys].to_numpy(np.int64)
+            starts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist()]
             out = [x for a, b in zip(starts[:-1], starts[1:], strict=True) for x in solve(batch.iloc[a:b])]
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=names)
             rest = batch.iloc[starts[-1] :]
         if rest is not None and len(rest):
-            yield pd.DataFrame(solve(rest), columns=["a", "b"])
-
-    spread = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInPandas(run, "a binary, b binary")
-
-
-def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, number, line) of all lines, and (line, first): the place that each line's class keeps."""
-    own = _places(docs, key, text)
-    candidates = materialise(buckets(bands(own)), "buckets")
-    roots = connected_components(verified(candidates, own))
-    lines = materialise(lines_of(own), "lines")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"))
-    named = first.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    least = named.groupBy("root").agg(F.min("first").alias("kept"))
-    return lines, named.select("line", "root").join(least, "root").select("line", "kept")
-
-
-def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per doc_id: n_lines (not blank), n_removed, and the numbers of the removed lines from 0."""
-    lines, classes = line_classes(docs, key, text)
-    judged = lines.join(classes, "line").withColumn("gone", F.struct("doc", "number") != F.col("kept"))
-    per = judged.groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count(F.when(F.col("gone"), True)).alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed_lines"),
-    )
-    # documents without lines are reported too
-    all_docs = _places(docs, key, text).select("doc")
-    found = all_docs.join(per, "doc", "left")
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    return found.select(
-        F.when(F.col("doc") != _LEAST_KEY, F.col("doc")).cast(kind).alias(key),
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
-    )
-
-
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+            yield pd.DataFrame(solve(rest), columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _links(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    group = group.drop_duplicates("name")
+    names = group["name"].tolist()
+    return [(names[a], names[b]) for a, b in linked(group["own"].tolist())]
+
+
+def _large_links(large: DataFrame, max_part: int) -> DataFrame:
+    """(a, b) links of the buckets (key, name, own) of many lines."""
+    large = materialise(large, "large")
+    whole = F.min(F.struct("name", "own")).alias("head")
+    sizes = materialise(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), whole).withColumn("parts", F.ceil(F.col("n") / max_part).cast("int")), "sizes")
+    dealt = join_counted(large, sizes.select("key", "parts", "n"), "key")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    heads = sizes.select("key", F.col("head.name").alias("name"), F.col("head.own").alias("own"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def beside_head(group: pd.DataFrame) -> list[tuple]:
+        group = group.sort_values("second", kind="stable")
+        sets = Sets(group["own"].tolist())
+        head = group["name"].iloc[0]
+        rows = enumerate(zip(group["key"], group["part"], group["name"], group["own"], strict=True))
+        return [(k, p, name, own, head if sets.similar(0, i) else None) for i, (k, p, name, own) in rows if i]
+
+    both = dealt.select("key", "part", "name", "own", F.lit(1).alias("second")).unionByName(heads.select("key", "part", "name", "own", F.lit(0).alias("second")))
+    judged = materialise(_by_group(both, ["key", "part"], beside_head, "key long, part int, name binary, own string, head binary"), "judged")
+    near = judged.filter("head IS NOT NULL AND head != name").select(F.col("head").alias("a"), F.col("name").alias("b"))
+    # the others meet all lines of the bucket
+    n = judged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("head").isNull(), 1)).alias("m"), F.max("part").alias("last"))
+    n = materialise(n.filter("m > 0").withColumn("groups", F.ceil(F.col("m") / max_part).cast("int")).select("key", "n", "last", "groups"), "open")
+    rows = join_counted(judged, n, "key")
+    own = F.pmod(F.xxhash64("name", F.lit(1)), F.col("groups")).cast("int")
+    first = rows.filter("head IS NULL").select("key", own.alias("g"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), "name", "own")
+    second = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "part", "name", "own")
+    far = _by_group(first.unionByName(second), ["key", "g", "part"], _links, "a binary, b binary")
+    return near.unionByName(far)
+
+
+def links(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
+    """(a, b): links between line names."""
+    small, large = buckets(lines, max_part)
+    wanted = materialise(small.select("key", F.explode("ids").alias("id"), F.lit(False).alias("large")).unionByName(large.select("key", "id", F.lit(True).alias("large"))), "wanted")
+    texts = lines.select(F.explode(F.arrays_zip("names", "ids", "own")).alias("x")).filter("x.own IS NOT NULL")
+    texts = texts.select(F.col("x.ids").alias("id"), F.col("x.names").alias("name"), "x.own")
+    known = texts.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id", "name").agg(F.min("own").alias("own"))
+    full = materialise(wanted.join(known, "id"), "full")
+    found = _by_group(full.filter(~F.col("large")).select("key", "name", "own"), ["key"], _links, "a binary, b binary")
+    if full.filter("large").isEmpty():
+        return found
+    return found.unionByName(_large_links(full.filter("large").select("key", "name", "own"), max_part))
+
+
+def removed_lines(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
+    """(row, removed): the numbers of the lines that a row loses; rows that lose none are left out."""
+    roots = connected_components(links(lines, max_part)).withColumnRenamed("node", "name")
+    places = lines.select("row", "doc", "mark", F.explode(F.arrays_zip("numbers", "names")).alias("x"))
+    places = places.select(F.col("x.names").alias("name"), F.struct("doc", "mark", "row", F.col("x.numbers").alias("number")).alias("place"))
+    first = materialise(places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), "first")
+    # classes of several lines keep the least of their first places
+    several = materialise(first.join(roots, "name"), "several")
+    least = materialise(several.groupBy("root").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("members")), "least")
+    classes = join_counted(several.select("name", "root", "n"), least, "root", n="members").select("name", "n", "kept")
+    alone = first.filter("n > 1").join(roots, "name", "left_anti").select("name", "n", F.col("first").alias("kept"))
+    doubled = materialise(classes.unionByName(alone), "doubled")
+    gone = join_counted(places, doubled, "name").filter("place != kept").select("place.row", "place.number")
+    return gone.groupBy("row").agg(F.array_sort(F.collect_list("number")).alias("removed"))
+
+
+def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", max_part: int = MAX_PART) -> DataFrame:
+    """Per row: key, n_lines (not blank), n_removed, and the numbers of the removed lines from 0."""
+    lines = split_lines(docs, key, text)
+    found = lines.select("row", "doc", F.size("numbers").cast("long").alias("n_lines")).join(removed_lines(lines, max_part), "row", "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return found.select(F.col("doc").alias(key), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", max_part: int = MAX_PART) -> DataFrame:
     """``docs`` without the removed lines; a text of which no line is left becomes empty."""
-    gone = line_report(docs, key, text).filter("n_removed > 0").select(F.col(key).alias("_k"), F.col("removed_lines").alias("_gone")).distinct()
-    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("_k")), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row is one column, so that no name of its own meets those of the report
+    lines = split_lines(docs, key, text, keep=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    joined = lines.select("row", "d").join(removed_lines(lines, max_part), "row", "left")
+    own = F.col("d").getField(text)
+    kept = F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("removed", i))
+    cut = F.when(F.col("removed").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    return joined.select(F.col("d").withField(text, cut).alias("d")).select("d.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

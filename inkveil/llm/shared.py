@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path inside the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where nothing is set,
-    as in a local test session, a temporary folder of this machine is used.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where nothing is set, a session of
+    one machine uses a temporary folder; on a cluster, whose machines would not share it, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="inkveil-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,3 +71,22 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str]
     on = [left[k].eqNullSafe(base[f"_k{i}"]) for i, k in enumerate(keys)]
     joined = left.join(base, on)
     return joined.withColumn(out, F.col("_base") + F.col("_inside")).drop("_base", "_inside", *[f"_k{i}" for i in range(len(keys))])
+
+
+#: Most facts that ``join_counted`` broadcasts.
+HEAVY = 100_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, on: str, n: str = "n", total: int | None = None, least: int = 1000) -> DataFrame:
+    """``rows`` joined with ``facts``, a written table of one narrow row for each value of ``on``.
+
+    Column ``n`` of the facts (dropped) tells how many rows a value has, or a bound of it. At most ``HEAVY``
+    values can have more than 1 / ``HEAVY`` of all rows; their facts are broadcast, so that no task gets all rows
+    of such a value. Values with fewer rows, or with ``least`` or fewer, are shuffled.
+    """
+    if total is None:
+        total = facts.agg(F.sum(n)).first()[0] or 0
+    most = max(least, total // HEAVY)
+    heavy, light = facts.filter(F.col(n) > most).drop(n), facts.filter(F.col(n) <= most).drop(n)
+    rest = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)

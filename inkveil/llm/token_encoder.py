@@ -11,12 +11,14 @@ whole by the tokenizer itself.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_MEMORY = 400_000
+#: Most pieces of a half of the memory.
+_MEMORY = 300_000
 _SLICE_CHARS = 2_000_000
 _BLANK, _LETTER, _DIGIT, _SIGN = range(4)
 
@@ -46,22 +48,33 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Pieces and their ids; the older half is given up when the younger one is full.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, raw: bytes) -> bool:
         if raw.translate(None, _PLAIN_BYTES) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw or any(s in raw for s in self.special):
             return False
         return not any(run in raw for run in (b"  ", b" \n", b"\n ", b"\n\n", b"\t ", b" \t", b"\t\n", b"\n\t", b"\t\t"))
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(letters)], dtype=np.uint32).tobytes()
-            if len(self.known) >= _MEMORY:
-                self.known = {}
-            self.known[piece] = ids
-        return ids
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, four bytes each."""
+        out = list(map(self.known.get, pieces))
+        tokenize, older = self.model.tokenize, self.older.get
+        for k, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[k]
+                ids = older(piece)
+                if ids is None:
+                    # of ASCII, only white space has another letter
+                    plain = piece.isascii() and piece[-1] > " "
+                    letters = piece.replace(" ", self.letters[32]) if plain else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+                    ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
+                if len(self.known) >= _MEMORY:
+                    self.older, self.known = self.known, {}
+                    older = self.older.get
+                out[k] = self.known[piece] = ids
+        return out
 
     def _encode_plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, and how many each has."""
@@ -73,20 +86,15 @@ class Encoder:
         octets = np.frombuffer(raw, dtype=np.uint8)
         kind = _KIND[octets]
         first = np.ones(len(octets), dtype=bool)
-        first[1:] = kind[1:] != kind[:-1]
-        first[ends[:-1][ends[:-1] < len(octets)]] = True
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
         # a single blank (not another white space) joins what follows it in its text
-        joined = np.flatnonzero(octets[:-1] == 0x20) + 1
-        joined = joined[~np.isin(joined, ends)] if len(joined) else joined
-        first[joined] = False
+        first[1:][octets[:-1] == 0x20] = False
+        first[ends[:-1][ends[:-1] < len(octets)]] = True
         starts = np.flatnonzero(first)
         offsets = np.append(starts, len(octets)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw))
         coded = pieces.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        encoded = list(map(self.known.get, pieces))
-        if None in encoded:
-            encoded = [e if e is not None else self._piece(p) for e, p in zip(encoded, pieces, strict=True)]
+        encoded = self._pieces(coded.dictionary.to_pylist())
         lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
         flat = np.frombuffer(b"".join(encoded), dtype=np.uint32)
         at = coded.indices.to_numpy(zero_copy_only=False)

@@ -247,24 +247,53 @@ def test_quality_rules(spark, docs, nothing, rows):
     assert quality_rules.filter_documents(nothing).columns == nothing.columns and quality_rules.judge(nothing).count() == 0
 
 
-def test_line_dedup(docs, nothing, rows):
+def similar(a, b):
+    size = line_dedup.SHORT_SHINGLE if max(len(a), len(b)) < line_dedup.SHORT else line_dedup.SHINGLE
+    return line_dedup.jaccard(line_dedup.shingles(a, size), line_dedup.shingles(b, size)) >= 0.8
+
+
+def line_verdicts(rows):
+    """Rows (id, text) in order: lines that are not blank, and numbers of those that are removed, of each row."""
     lines, places = {}, []
-    for d, t, *_ in sorted(rows, key=lambda r: r[0]):
+    for k, (_, t) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
             line = line_dedup.normal(line)
             if line:
-                places.append((d, n, lines.setdefault(line, len(lines))))
-    sets = [line_dedup.shingles(x) for x in lines]
-    root = roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if line_dedup.jaccard(sets[i], sets[j]) >= 0.8])
-    kept, expected = set(), {r[0]: [0, []] for r in rows}
-    for d, n, k in places:
-        expected[d][0] += 1
-        if root[k] in kept:
-            expected[d][1].append(n)
-        kept.add(root[k])
+                places.append((k, n, lines.setdefault(line, len(lines))))
+    every = list(lines)
+    root = roots(len(every), [(i, j) for i in range(len(every)) for j in range(i) if similar(every[i], every[j])])
+    kept, out = set(), [[0, []] for _ in rows]
+    for k, n, line in places:
+        out[k][0] += 1
+        if root[line] in kept:
+            out[k][1].append(n)
+        kept.add(root[line])
+    return out
+
+
+def test_line_dedup(docs, nothing, rows):
+    ordered = sorted((r[0], r[1]) for r in rows)
+    expected = dict(zip((r[0] for r in ordered), line_verdicts(ordered), strict=True))
     got = {r.doc_id: [r.n_lines, r.removed_lines] for r in line_dedup.line_report(docs).collect()}
     assert got == expected and any(v[1] for v in expected.values())
-    assert line_dedup.remove(docs).count() == len(rows) and line_dedup.line_report(nothing).count() == 0
+    cut = line_dedup.remove(docs)
+    assert cut.columns == docs.columns
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    for d, t in ordered:
+        assert texts[d] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in expected[d][1]))
+    assert line_dedup.line_report(nothing).count() == 0 and line_dedup.remove(nothing).count() == 0
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    first, second = "first line of A is in here twice\nonly in A second line there is this", "first line of B differs from all\nfirst line of A is in here twice"
+    rows = [(1, first), (1, second), (None, None), (None, "first line of B differs from all"), (2, first), (2, first)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [line for r in line_dedup.remove(df).collect() for line in (r.text or "").split("\n") if line]
+    assert sorted(left) == ["first line of A is in here twice", "first line of B differs from all", "only in A second line there is this"]
+    report = line_dedup.line_report(df).collect()
+    assert len(report) == len(rows) and sum(r.n_removed for r in report) == 6 and sum(r.n_lines for r in report) == 9
+    named = df.select(F.concat(F.lit("id-"), "doc_id").alias("doc_id"), "text")
+    assert {r.doc_id for r in line_dedup.line_report(named).collect()} == {"id-1", "id-2", None}
 
 
 def test_lines_with_one_edit_are_duplicates(spark):
@@ -281,12 +310,22 @@ def test_lines_with_one_edit_are_duplicates(spark):
     assert gone == {2 * i + 1 for i in range(len(pairs))}
 
 
-def test_large_buckets_are_cut(spark):
-    lines = [f"this is one long line of some shared text with number {i} in it and a long end" for i in range(30)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc long, text string")
-    candidates = line_dedup.buckets(line_dedup.bands(df))
-    found = components.connected_components(line_dedup.verified(candidates, df, max_part=4))
-    assert found.select("root").distinct().count() == 1 and found.count() == 30
+def test_large_buckets_are_cut(spark, monkeypatch):
+    # lines that all share a key, of which some are alike only by way of others
+    start = "this is one long line of some shared text with its number "
+    lines = [start + f"{i:03d}" + " in it and a long end" for i in range(30)] + [start + "x" * k + " in it and a long end" for k in range(3, 90, 3)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    whole = {r.doc_id: r.n_removed for r in line_dedup.line_report(df).collect()}
+    split = line_dedup.split_lines(df, "doc_id", "text")
+    large = split.select(F.lit(7).cast("long").alias("key"), F.element_at("names", 1).alias("name"), F.element_at("own", 1).alias("own"))
+    for most in (4, 1000):
+        found = components.connected_components(line_dedup._large_links(large, most))
+        expected = roots(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if similar(lines[i], lines[j])])
+        sizes = sorted(n for n in Counter(expected).values() if n > 1)
+        assert sorted(r["count"] for r in found.groupBy("root").count().collect()) == sizes
+    assert sum(whole.values()) == len(lines) - len(set(expected))
+    monkeypatch.setattr(line_dedup, "_CELL_ROWS", 10)
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_report(df, max_part=4).collect()} == whole
 
 
 def test_decontamination(spark, docs, nothing, rows):
