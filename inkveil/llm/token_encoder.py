@@ -23,10 +23,11 @@ _SLICE_CHARS = 2_000_000
 _BLANK, _LETTER, _DIGIT, _SIGN = range(4)
 
 #: Kinds of UTF-8 bytes in plain texts, where every letter outside ASCII is Latin (U+00C0 to U+024F).
-_KIND = np.full(256, _SIGN, dtype=np.uint8)
-_KIND[list(b"\t\n\x0b\x0c\r ")] = _BLANK
-_KIND[48:58] = _DIGIT
-_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND = bytearray([_SIGN] * 256)
+for _bytes, _kind in ((b"\t\n\x0b\x0c\r ", _BLANK), (range(48, 58), _DIGIT), ([*range(65, 91), *range(97, 123), *range(128, 256)], _LETTER)):
+    for _b in _bytes:
+        _KIND[_b] = _kind
+_KIND = bytes(_KIND)
 _PLAIN_BYTES = bytes(b for b in [9, 10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)] if b != 0x27)
 
 
@@ -53,9 +54,11 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def _plain(self, raw: bytes) -> bool:
+        """Whether pieces begin where kinds change: no other scripts or signs, no special tokens, no runs of white space."""
         if raw.translate(None, _PLAIN_BYTES) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw or any(s in raw for s in self.special):
             return False
-        return not any(run in raw for run in (b"  ", b" \n", b"\n ", b"\n\n", b"\t ", b" \t", b"\t\n", b"\n\t", b"\t\t"))
+        blank = np.frombuffer(raw.translate(_KIND), dtype=np.uint8) == _BLANK
+        return not (blank[1:] & blank[:-1]).any()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, four bytes each."""
@@ -76,25 +79,24 @@ class Encoder:
                 out[k] = self.known[piece] = ids
         return out
 
-    def _encode_plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the texts, and how many each has."""
-        raw = b"".join(texts)
+    def _encode_plain(self, texts: list[bytes], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the texts (``raw`` is the texts joined), and how many each has."""
         if not raw:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ends = np.cumsum(sizes)
         octets = np.frombuffer(raw, dtype=np.uint8)
-        kind = _KIND[octets]
+        kind = np.frombuffer(raw.translate(_KIND), dtype=np.uint8)
         first = np.ones(len(octets), dtype=bool)
         np.not_equal(kind[1:], kind[:-1], out=first[1:])
         # a single blank (not another white space) joins what follows it in its text
-        first[1:][octets[:-1] == 0x20] = False
+        first[1:] &= octets[:-1] != 0x20
         first[ends[:-1][ends[:-1] < len(octets)]] = True
         starts = np.flatnonzero(first)
         offsets = np.append(starts, len(octets)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw))
         coded = pieces.dictionary_encode()
-        encoded = self._pieces(coded.dictionary.to_pylist())
+        encoded = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
         flat = np.frombuffer(b"".join(encoded), dtype=np.uint32)
         at = coded.indices.to_numpy(zero_copy_only=False)
@@ -114,8 +116,11 @@ class Encoder:
                 chars += len(texts[stop] or "")
                 stop += 1
             part = [(t or "").encode("utf-8", "replace") for t in texts[start:stop]]
-            plain = [self._plain(t) for t in part]
-            ids, n = self._encode_plain([t for t, p in zip(part, plain, strict=True) if p])
+            whole = b"".join(part)
+            plain = [True] * len(part) if self._plain(whole) else [self._plain(t) for t in part]
+            if not all(plain):
+                whole = b"".join(t for t, p in zip(part, plain, strict=True) if p)
+            ids, n = self._encode_plain([t for t, p in zip(part, plain, strict=True) if p], whole)
             if not all(plain):
                 odd = iter(self.tokenizer.encode_batch([t.decode() for t, p in zip(part, plain, strict=True) if not p], add_special_tokens=False))
                 even = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ END_ID = 2
 #: Chunks: ids in the rolling window, shortest, bits of the hash that must be zero (mean length), longest.
 ROLL, SHORTEST, CUT_BITS, LONGEST = 16, 64, 8, 2048
 BLOCK = 1024
+#: Chunks that a task remembers as written.
+_MEMORY = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,39 +86,43 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
                      end_id: int = END_ID, width: int = 4) -> DataFrame:
     """Per document: recipe columns, and ``fresh``: the bytes of chunks not yet met in this task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_encoder import Encoder
 
         encoder, met = _encoder(Encoder, tokenizer_path), set()
         for batch in batches:
-            keys, texts = batch[key], batch["_text"].tolist()
-            for where, ids, n in encoder.encode(texts):
+            for where, ids, n in encoder.encode(batch.column("_text").to_numpy(zero_copy_only=False).tolist()):
                 ends = np.cumsum(n) + np.arange(1, len(n) + 1)
                 stream = np.full(len(ids) + len(n), end_id, dtype=np.uint32)
                 inside = np.ones(len(stream), dtype=bool)
                 inside[ends - 1] = False
                 stream[inside] = ids
                 raw = stream.astype(f"<u{width}").tobytes()
-                rows = []
-                bounds = np.concatenate([[0], ends])
-                for start, cuts in zip(bounds.tolist(), cut(stream, bounds), strict=False):
-                    hashes, lengths, fresh = [], [], []
+                hashes, fresh, roots, counts, stops = [], [], [], [], []
+                start = 0
+                for cuts in cut(stream, np.concatenate([[0], ends])):
+                    first = len(hashes)
                     for end in cuts:
                         data = raw[start * width : end * width]
                         h = hashlib.blake2b(data, digest_size=16).digest()
                         fresh.append(None if h in met else data)
                         met.add(h)
                         hashes.append(h)
-                        lengths.append(end - start)
                         start = end
-                    rows.append((sum(lengths), hashes, lengths, merkle_root(hashes), fresh))
-                out = pd.DataFrame(rows, columns=["n_tokens", "hashes", "lengths", "root", "fresh"])
-                out.insert(0, key, keys.iloc[where.start : where.stop].to_numpy())
-                yield out
+                    roots.append(merkle_root(hashes[first:]))
+                    counts.append(len(cuts))
+                    stops += cuts
+                if len(met) > _MEMORY:
+                    met = set()
+                at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                lengths = np.diff(np.array(stops, dtype=np.int64), prepend=0).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((hashes, pa.binary()), (lengths, pa.int32()), (fresh, pa.binary()))]
+                columns = [batch.column(key).slice(where.start, len(where)), pa.array(n + 1), lists[0], lists[1], pa.array(roots, pa.binary()), lists[2]]
+                yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "hashes", "lengths", "root", "fresh"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, hashes array<binary>, lengths array<int>, root binary, fresh array<binary>"
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 _ENCODERS: dict = {}
