@@ -8,9 +8,9 @@ from 38 on. Lines of one component are one line, which stays where it comes firs
 earlier line).
 
 1. Documents are split once; lines that a task meets for the first time keep their text.
-2. Each such line gets keys, each of some minima of its shingles' hashes: a pair at the threshold shares
-   one of the 12 keys of 3 minima with probability 0.9998 (short lines: 16 keys of 4, 0.9998). Keys and
-   line numbers travel in packed cells of a range of keys.
+2. Each such line gets 16 keys, each of 4 minima of its shingles' hashes: a pair at the threshold shares
+   one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Keys and line numbers travel in packed cells of a
+   range of keys.
 3. The lines of a key form a bucket; equal buckets count once. Buckets are compared exactly, as sets: a line
    is compared with the components found so far, until one of each takes it. A bucket of more than
    ``MAX_PART`` lines is cut: all its lines are compared with one of them in parts, and only those that are
@@ -42,7 +42,8 @@ SHINGLE, THRESHOLD = 8, 0.8
 #: Lines of fewer characters than SHORT are compared by shorter shingles with each other.
 SHORT, SHORT_SHINGLE = 100, 3
 #: Keys of a line and minima of a key, by the size of the shingles.
-BANDS = {SHINGLE: (12, 3), SHORT_SHINGLE: (16, 4)}
+BANDS = {SHINGLE: (16, 4), SHORT_SHINGLE: (16, 4)}
+EARLY = 2
 MAX_PART = 1000
 #: Lines that a task remembers; characters and keys that it handles at once; rows of a cell before it is drained.
 _MEMORY = 1 << 20
@@ -65,31 +66,42 @@ def jaccard(a: set[str], b: set[str]) -> float:
 
 
 _ODD = (np.random.default_rng(6).integers(1 << 31, size=64, dtype=np.uint32) * 2 + 1).astype(np.uint32)
-_ADD = np.random.default_rng(7).integers(1 << 32, size=64, dtype=np.uint32)
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _shingle_hashes(codes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the shingles of lines of code points, one line after another, and where each line begins."""
+    """64-bit hashes of the shingles of lines of code points, one line after another, and how many each line has."""
     spans = np.maximum(lengths, size)
     if (lengths < size).any():  # such a line is one shingle, filled up with zeros
         padded = np.zeros(int(spans.sum()), dtype=np.uint32)
         padded[np.arange(len(codes)) + np.repeat(np.cumsum(spans - lengths) - (spans - lengths), lengths)] = codes
         codes = padded
-    single = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    single ^= single >> np.uint64(32)
-    h = single
-    for k in range(1, size):  # the hash of a string from that of all but its last character
-        h = h[:-1] * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        h += single[k:]
+    part = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
+    part ^= part >> np.uint64(32)
+    h, n, width = None, 0, 1  # the hash of a string from those of its two parts, whose lengths are powers of two
+    while True:
+        if size & width:
+            if h is None:
+                h = part
+            else:
+                own = h[: len(h) - width] * _STEP
+                own ^= own >> np.uint64(29)
+                own += part[n : n + len(own)]
+                h = own
+            n += width
+        if n == size:
+            break
+        wider = part[:-width] * _STEP
+        wider ^= wider >> np.uint64(29)
+        wider += part[width:]
+        part, width = wider, width * 2
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
     inside = np.ones(len(h), dtype=bool)
     ends = np.cumsum(spans)[:-1]
     for k in range(1, size):  # strings that run over the end of a line
         inside[ends - k] = False
-    counts = spans - size + 1
-    return (h >> np.uint64(32)).astype(np.uint32)[inside], np.cumsum(counts) - counts
+    return h[inside], spans - size + 1
 
 
 def band_keys(codes: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -101,16 +113,17 @@ def band_keys(codes: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> np
     while first < len(lengths):
         done = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + _BLOCK, side="right")))
-        base, starts = _shingle_hashes(codes[done : int(ends[last - 1])], lengths[first:last], size)
+        hashes, counts = _shingle_hashes(codes[done : int(ends[last - 1])], lengths[first:last], size)
+        base, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
         mixed = np.empty_like(base)
         for band in range(n_bands):
             key = np.full(last - first, band + 1 + 100 * size, dtype=np.uint64)
             for k in range(band * n_rows, (band + 1) * n_rows):
                 np.multiply(base, _ODD[k], out=mixed)
-                np.add(mixed, _ADD[k], out=mixed)
-                key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key = (key ^ np.minimum.reduceat(mixed, starts)) * _MIX
                 key ^= key >> np.uint64(31)
-            keys[first:last, band] = (key * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+            # the last bits tell the band; no key is zero
+            keys[first:last, band] = (key * np.uint64(0xBF58476D1CE4E5B9)) & ~np.uint64(31) | np.uint64(band + 1)
         first = last
     return keys
 
@@ -149,9 +162,9 @@ def split_lines(docs: DataFrame, key: str, text: str, keep: Column | None = None
     return materialise(rows.mapInArrow(run, f"{kinds}, numbers array<int>, names array<binary>, ids array<long>, own array<string>"), "lines")
 
 
-def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, DataFrame]:
-    """Keys that two lines or more share: (key, ids) of those of at most ``max_part`` lines, equal ones once,
-    and (key, id) of the others. An id is the first half of a line's name."""
+def buckets(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
+    """(early, large, key, id): lines of the keys that two lines or more share; large buckets have more than
+    ``max_part`` lines, of the others equal ones count once. An id is the first half of a line's name."""
     spark = lines.sparkSession
     cells = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -197,9 +210,12 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
             yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        def out(keys: np.ndarray, large: bool, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
             at = pa.array(np.append(starts, len(ids)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(ids.view(np.int64)))], ["key", "ids"])
+            early, size = (keys & np.uint64(31)) <= EARLY, np.full(len(keys), large)
+            own = keys if large else np.zeros_like(keys)
+            columns = [pa.array(early), pa.array(size), pa.array(own.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(ids.view(np.int64)))]
+            return pa.RecordBatch.from_arrays(columns, ["early", "large", "key", "ids"])
 
         def shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """Distinct pairs, sorted; where runs of a key begin and how long they are; whether each run is shared."""
@@ -218,12 +234,12 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
             told = []
             run = np.repeat(is_large, size)
             if run.any():  # rows of large buckets go through, however many they are
-                told.append(out(keys[run], ids[run], np.arange(int(run.sum()))))
+                told.append(out(keys[run], True, ids[run], np.arange(int(run.sum()))))
             if last:
                 run = np.repeat(both & ~is_large, size)
                 if run.any():
                     n = size[both & ~is_large]
-                    told.append(out(np.zeros(len(n), np.uint64), ids[run], np.cumsum(n) - n))
+                    told.append(out(keys[starts[both & ~is_large]], False, ids[run], np.cumsum(n) - n))
             stay = np.repeat(~is_large, size)
             return told, [(keys[stay], ids[stay])] if stay.any() else [], np.union1d(large, keys[starts][is_large])
 
@@ -244,11 +260,11 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
             yield from drain(held, large, True)[0]
 
     packed = lines.select("ids", "own").mapInArrow(sign, "cell long, keys array<long>, ids array<long>")
-    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, ids array<long>"), "met")
+    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "early boolean, large boolean, key long, ids array<long>"), "met")
     # a small bucket has no key of its own, but is its list of lines
-    small = met.filter("key = 0").select("ids").distinct().select(F.xxhash64("ids").alias("key"), "ids")
-    large = met.filter("key != 0").select("key", F.get("ids", F.lit(0)).alias("id")).distinct()
-    return small, large
+    small = met.filter("not large").groupBy("ids").agg(F.bool_or("early").alias("early")).select("early", F.lit(False).alias("large"), F.xxhash64("ids").alias("key"), "ids")
+    large = met.filter("large").distinct()
+    return materialise(small.unionByName(large).select("early", "large", "key", F.explode("ids").alias("id")), "buckets")
 
 
 class Sets:
@@ -289,28 +305,32 @@ def linked(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def _by_group(rows: DataFrame, keys: list[str], solve, schema: str) -> DataFrame:
-    """``solve`` for the rows of each group, which lie together in one task; it returns rows of ``schema``."""
+    """``solve`` for the rows of each group, which lie together in one task: from columns as lists to rows of ``schema``."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solved(batch: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+            columns = {c: batch[c].tolist() for c in batch}
+            groups = ({c: v[a:b] for c, v in columns.items()} for a, b in zip(starts[:-1], starts[1:], strict=True))
+            return pd.DataFrame([x for g in groups for x in solve(g)], columns=names)
+
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             ids = batch[keys].to_numpy(np.int64)
             starts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist()]
-            out = [x for a, b in zip(starts[:-1], starts[1:], strict=True) for x in solve(batch.iloc[a:b])]
-            yield pd.DataFrame(out, columns=names)
+            yield solved(batch, starts)
             rest = batch.iloc[starts[-1] :]
         if rest is not None and len(rest):
-            yield pd.DataFrame(solve(rest), columns=names)
+            yield solved(rest, [0, len(rest)])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _links(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-    group = group.drop_duplicates("name")
-    names = group["name"].tolist()
-    return [(names[a], names[b]) for a, b in linked(group["own"].tolist())]
+def _links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
+    texts = dict(zip(group["name"], group["own"], strict=True))
+    names = list(texts)
+    return [(names[a], names[b]) for a, b in linked(list(texts.values()))]
 
 
 def _large_links(large: DataFrame, max_part: int) -> DataFrame:
@@ -320,14 +340,13 @@ def _large_links(large: DataFrame, max_part: int) -> DataFrame:
     sizes = materialise(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), whole).withColumn("parts", F.ceil(F.col("n") / max_part).cast("int")), "sizes")
     dealt = join_counted(large, sizes.select("key", "parts", "n"), "key")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
-    heads = sizes.select("key", F.col("head.name").alias("name"), F.col("head.own").alias("own"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    heads = sizes.select("key", F.col("head.name").alias("name"), F.col("head.own").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
-    def beside_head(group: pd.DataFrame) -> list[tuple]:
-        group = group.sort_values("second", kind="stable")
-        sets = Sets(group["own"].tolist())
-        head = group["name"].iloc[0]
-        rows = enumerate(zip(group["key"], group["part"], group["name"], group["own"], strict=True))
-        return [(k, p, name, own, head if sets.similar(0, i) else None) for i, (k, p, name, own) in rows if i]
+    def beside_head(group: dict[str, list]) -> list[tuple]:
+        first = group["second"].index(0)
+        sets, head = Sets(group["own"]), group["name"][first]
+        rows = zip(group["key"], group["part"], group["name"], group["own"], strict=True)
+        return [(*row, head if sets.similar(first, i) else None) for i, row in enumerate(rows) if i != first]
 
     both = dealt.select("key", "part", "name", "own", F.lit(1).alias("second")).unionByName(heads.select("key", "part", "name", "own", F.lit(0).alias("second")))
     judged = materialise(_by_group(both, ["key", "part"], beside_head, "key long, part int, name binary, own string, head binary"), "judged")
@@ -344,17 +363,29 @@ def _large_links(large: DataFrame, max_part: int) -> DataFrame:
 
 
 def links(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
-    """(a, b): links between line names."""
-    small, large = buckets(lines, max_part)
-    wanted = materialise(small.select("key", F.explode("ids").alias("id"), F.lit(False).alias("large")).unionByName(large.select("key", "id", F.lit(True).alias("large"))), "wanted")
+    """(a, b): links between line names that keep every component together."""
+    found = buckets(lines, max_part)
     texts = lines.select(F.explode(F.arrays_zip("names", "ids", "own")).alias("x")).filter("x.own IS NOT NULL")
     texts = texts.select(F.col("x.ids").alias("id"), F.col("x.names").alias("name"), "x.own")
-    known = texts.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id", "name").agg(F.min("own").alias("own"))
-    full = materialise(wanted.join(known, "id"), "full")
-    found = _by_group(full.filter(~F.col("large")).select("key", "name", "own"), ["key"], _links, "a binary, b binary")
-    if full.filter("large").isEmpty():
-        return found
-    return found.unionByName(_large_links(full.filter("large").select("key", "name", "own"), max_part))
+    known = texts.join(found.select("id").distinct(), "id", "left_semi").groupBy("id", "name").agg(F.min("own").alias("own"))
+    known = materialise(known, "known")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        full = materialise(rows.join(known, "id").select("large", "key", "name", "own"), "full")
+        small = _by_group(full.filter("not large").drop("large"), ["key"], _links, "a binary, b binary")
+        if full.filter("large").isEmpty():
+            return small
+        return small.unionByName(_large_links(full.filter("large").drop("large"), max_part))
+
+    early = connected_components(compared(found.filter("early")))
+    roots = known.select("id", "name").join(early.withColumnRenamed("node", "name"), "name", "left")
+    root = F.coalesce("root", "name")
+    by_id = materialise(roots.groupBy("id").agg(F.min(root).alias("low"), F.max(root).alias("high")), "roots")
+    later = found.filter("not early")
+    ends = later.join(by_id, "id").groupBy("large", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
+    apart = materialise(ends.filter("low != high").select("key", "n"), "apart")
+    late = compared(join_counted(later, apart.groupBy("key").agg(F.sum("n").alias("n")), "key"))
+    return early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
 
 
 def removed_lines(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
