@@ -12,7 +12,8 @@ earlier line).
    one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Keys and line numbers travel in packed cells of a
    range of keys.
 3. The lines of a key form a bucket; equal buckets count once. Buckets are compared exactly, as sets: a line
-   is compared with the components found so far, until one of each takes it. A bucket of more than
+   is compared with the components found so far, until one of each takes it; buckets with the same first line
+   are compared together, and no pair twice. A bucket of more than
    ``MAX_PART`` lines is cut: all its lines are compared with one of them in parts, and only those that are
    not like it meet the whole bucket, part by part. Nothing is left out, and a task returns a spanning
    forest. Distributed union-find joins the forests.
@@ -43,7 +44,6 @@ SHINGLE, THRESHOLD = 8, 0.8
 SHORT, SHORT_SHINGLE = 100, 3
 #: Keys of a line and minima of a key, by the size of the shingles.
 BANDS = {SHINGLE: (16, 4), SHORT_SHINGLE: (16, 4)}
-EARLY = 2
 MAX_PART = 1000
 #: Lines that a task remembers; characters and keys that it handles at once; rows of a cell before it is drained.
 _MEMORY = 1 << 20
@@ -122,8 +122,7 @@ def band_keys(codes: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> np
                 np.multiply(base, _ODD[k], out=mixed)
                 key = (key ^ np.minimum.reduceat(mixed, starts)) * _MIX
                 key ^= key >> np.uint64(31)
-            # the last bits tell the band; no key is zero
-            keys[first:last, band] = (key * np.uint64(0xBF58476D1CE4E5B9)) & ~np.uint64(31) | np.uint64(band + 1)
+            keys[first:last, band] = (key * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
         first = last
     return keys
 
@@ -162,9 +161,9 @@ def split_lines(docs: DataFrame, key: str, text: str, keep: Column | None = None
     return materialise(rows.mapInArrow(run, f"{kinds}, numbers array<int>, names array<binary>, ids array<long>, own array<string>"), "lines")
 
 
-def buckets(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
-    """(early, large, key, id): lines of the keys that two lines or more share; large buckets have more than
-    ``max_part`` lines, of the others equal ones count once. An id is the first half of a line's name."""
+def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, DataFrame]:
+    """Lines of the keys that two lines or more share: (first, id, keys) of buckets of at most ``max_part`` lines,
+    by their first line, equal ones once; and (key, id) of the others. An id is the first half of a line's name."""
     spark = lines.sparkSession
     cells = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -212,10 +211,8 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: np.ndarray, large: bool, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
             at = pa.array(np.append(starts, len(ids)).astype(np.int32))
-            early, size = (keys & np.uint64(31)) <= EARLY, np.full(len(keys), large)
             own = keys if large else np.zeros_like(keys)
-            columns = [pa.array(early), pa.array(size), pa.array(own.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(ids.view(np.int64)))]
-            return pa.RecordBatch.from_arrays(columns, ["early", "large", "key", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(ids.view(np.int64)))], ["key", "ids"])
 
         def shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """Distinct pairs, sorted; where runs of a key begin and how long they are; whether each run is shared."""
@@ -260,11 +257,12 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
             yield from drain(held, large, True)[0]
 
     packed = lines.select("ids", "own").mapInArrow(sign, "cell long, keys array<long>, ids array<long>")
-    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "early boolean, large boolean, key long, ids array<long>"), "met")
+    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, ids array<long>"), "met")
     # a small bucket has no key of its own, but is its list of lines
-    small = met.filter("not large").groupBy("ids").agg(F.bool_or("early").alias("early")).select("early", F.lit(False).alias("large"), F.xxhash64("ids").alias("key"), "ids")
-    large = met.filter("large").distinct()
-    return materialise(small.unionByName(large).select("early", "large", "key", F.explode("ids").alias("id")), "buckets")
+    small = met.filter("key = 0").select("ids").distinct().select(F.xxhash64("ids").alias("key"), F.get("ids", F.lit(0)).alias("first"), F.explode("ids").alias("id"))
+    small = small.groupBy("first", "id").agg(F.collect_list("key").alias("keys"))  # a line has a few dozen keys
+    large = met.filter("key != 0").select("key", F.get("ids", F.lit(0)).alias("id")).distinct()
+    return materialise(small, "small"), materialise(large, "large")
 
 
 class Sets:
@@ -288,19 +286,45 @@ class Sets:
         return jaccard(a, b) >= THRESHOLD
 
 
-def linked(lines: list[str]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the lines: each meets the members of each component until one is like it."""
-    sets, components, out = Sets(lines), [], []
-    for i in range(len(lines)):
-        mine, others = [i], []
-        for members in components:
-            j = next((j for j in members if sets.similar(j, i)), None)
-            if j is None:
-                others.append(members)
-            else:
-                out.append((j, i))
-                mine = members + mine
-        components = [mine, *others]
+def linked(lines: list[str], groups: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside each of the groups of lines (without groups: among all lines).
+
+    The parts of a group that are known to be of one component meet the others, line by line, until two are alike.
+    """
+    sets, out, root = Sets(lines), [], list(range(len(lines)))
+    tried: set[tuple[int, int]] = set()
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def meet(a: list[int], b: list[int]) -> bool:
+        for i in a:
+            for j in b:
+                pair = (i, j) if i < j else (j, i)
+                if pair not in tried:
+                    tried.add(pair)
+                    if sets.similar(i, j):
+                        out.append(pair)
+                        root[find(i)] = find(j)
+                        return True
+        return False
+
+    for group in groups if groups is not None else [range(len(lines))]:
+        parts: dict[int, list[int]] = {}
+        for i in group:
+            parts.setdefault(find(i), []).append(i)
+        done: list[list[int]] = []
+        for part in parts.values() if len(parts) > 1 else ():
+            apart = []
+            for other in done:
+                if meet(other, part):
+                    part = other + part
+                else:
+                    apart.append(other)
+            done = [part, *apart]
     return out
 
 
@@ -333,6 +357,14 @@ def _links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
     return [(names[a], names[b]) for a, b in linked(list(texts.values()))]
 
 
+def _bucket_links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
+    members: dict[int, list[int]] = {}
+    for i, keys in enumerate(group["keys"]):
+        for k in keys:
+            members.setdefault(k, []).append(i)
+    return [(group["name"][a], group["name"][b]) for a, b in linked(group["own"], list(members.values()))]
+
+
 def _large_links(large: DataFrame, max_part: int) -> DataFrame:
     """(a, b) links of the buckets (key, name, own) of many lines."""
     large = materialise(large, "large")
@@ -364,28 +396,15 @@ def _large_links(large: DataFrame, max_part: int) -> DataFrame:
 
 def links(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
     """(a, b): links between line names that keep every component together."""
-    found = buckets(lines, max_part)
+    small, large = buckets(lines, max_part)
     texts = lines.select(F.explode(F.arrays_zip("names", "ids", "own")).alias("x")).filter("x.own IS NOT NULL")
     texts = texts.select(F.col("x.ids").alias("id"), F.col("x.names").alias("name"), "x.own")
-    known = texts.join(found.select("id").distinct(), "id", "left_semi").groupBy("id", "name").agg(F.min("own").alias("own"))
-    known = materialise(known, "known")
-
-    def compared(rows: DataFrame) -> DataFrame:
-        full = materialise(rows.join(known, "id").select("large", "key", "name", "own"), "full")
-        small = _by_group(full.filter("not large").drop("large"), ["key"], _links, "a binary, b binary")
-        if full.filter("large").isEmpty():
-            return small
-        return small.unionByName(_large_links(full.filter("large").drop("large"), max_part))
-
-    early = connected_components(compared(found.filter("early")))
-    roots = known.select("id", "name").join(early.withColumnRenamed("node", "name"), "name", "left")
-    root = F.coalesce("root", "name")
-    by_id = materialise(roots.groupBy("id").agg(F.min(root).alias("low"), F.max(root).alias("high")), "roots")
-    later = found.filter("not early")
-    ends = later.join(by_id, "id").groupBy("large", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
-    apart = materialise(ends.filter("low != high").select("key", "n"), "apart")
-    late = compared(join_counted(later, apart.groupBy("key").agg(F.sum("n").alias("n")), "key"))
-    return early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
+    wanted = small.select("id").unionByName(large.select("id")).distinct()
+    known = texts.join(wanted, "id", "left_semi").groupBy("id", "name").agg(F.min("own").alias("own"))
+    some = not large.isEmpty()
+    known = materialise(known, "known") if some else known
+    found = _by_group(small.join(known, "id").select("first", "keys", "name", "own"), ["first"], _bucket_links, "a binary, b binary")
+    return found.unionByName(_large_links(large.join(known, "id").select("key", "name", "own"), max_part)) if some else found
 
 
 def removed_lines(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
