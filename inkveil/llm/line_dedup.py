@@ -12,8 +12,8 @@ earlier line).
    one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Keys and line numbers travel in packed cells of a
    range of keys.
 3. The lines of a key form a bucket; equal buckets count once. Buckets are compared exactly, as sets: a line
-   is compared with the components found so far, until one of each takes it; buckets with the same first line
-   are compared together, and no pair twice. A bucket of more than
+   is compared with the components found so far, until one of each takes it; buckets that share lines are mostly
+   compared in one task, where no pair is compared twice. A bucket of more than
    ``MAX_PART`` lines is cut: all its lines are compared with one of them in parts, and only those that are
    not like it meet the whole bucket, part by part. Nothing is left out, and a task returns a spanning
    forest. Distributed union-find joins the forests.
@@ -50,6 +50,9 @@ _MEMORY = 1 << 20
 _BLOCK = 1 << 16
 _FLUSH = 1 << 20
 _CELL_ROWS = 1 << 22
+#: Lines, each once for each bucket, whose buckets may be compared in one task; sets that it holds.
+_TOGETHER = 1 << 16
+_SETS = 4096
 
 
 def normal(line: str) -> str:
@@ -162,8 +165,9 @@ def split_lines(docs: DataFrame, key: str, text: str, keep: Column | None = None
 
 
 def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, DataFrame]:
-    """Lines of the keys that two lines or more share: (first, id, keys) of buckets of at most ``max_part`` lines,
-    by their first line, equal ones once; and (key, id) of the others. An id is the first half of a line's name."""
+    """Lines of the keys that two lines or more share: (label, id, keys) of buckets of at most ``max_part`` lines,
+    equal ones once; and (key, id) of the others. An id is the first half of a line's name; buckets that share
+    lines have the same label, unless so many do that each goes by its first line."""
     spark = lines.sparkSession
     cells = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -260,7 +264,13 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
     met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, ids array<long>"), "met")
     # a small bucket has no key of its own, but is its list of lines
     small = met.filter("key = 0").select("ids").distinct().select(F.xxhash64("ids").alias("key"), F.get("ids", F.lit(0)).alias("first"), F.explode("ids").alias("id"))
-    small = small.groupBy("first", "id").agg(F.collect_list("key").alias("keys"))  # a line has a few dozen keys
+    small = materialise(small, "small")
+    line = small.groupBy("id").agg(F.min("first").alias("least"))
+    label = small.join(line, "id").groupBy("key").agg(F.min("least").alias("label"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    label = materialise(label, "labels")
+    many = label.groupBy("label").agg(F.sum("n").alias("n")).select("label", (F.col("n") > _TOGETHER).alias("many"))
+    label = label.join(many, "label").select("key", F.when(F.col("many"), F.col("first")).otherwise(F.col("label")).alias("label"))
+    small = small.join(label, "key").groupBy("label", "id").agg(F.collect_list("key").alias("keys"))  # a line has a few dozen keys
     large = met.filter("key != 0").select("key", F.get("ids", F.lit(0)).alias("id")).distinct()
     return materialise(small, "small"), materialise(large, "large")
 
@@ -275,6 +285,8 @@ class Sets:
     def of(self, i: int, size: int) -> set[str]:
         found = self.made.get((i, size))
         if found is None:
+            if len(self.made) >= _SETS:
+                self.made.clear()
             found = self.made[i, size] = shingles(self.lines[i], size)
         return found
 
@@ -403,7 +415,7 @@ def links(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
     known = texts.join(wanted, "id", "left_semi").groupBy("id", "name").agg(F.min("own").alias("own"))
     some = not large.isEmpty()
     known = materialise(known, "known") if some else known
-    found = _by_group(small.join(known, "id").select("first", "keys", "name", "own"), ["first"], _bucket_links, "a binary, b binary")
+    found = _by_group(small.join(known, "id").select("label", "keys", "name", "own"), ["label"], _bucket_links, "a binary, b binary")
     return found.unionByName(_large_links(large.join(known, "id").select("key", "name", "own"), max_part)) if some else found
 
 
