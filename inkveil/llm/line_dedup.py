@@ -9,8 +9,9 @@ earlier line).
 
 1. Documents are split once; lines that a task meets for the first time keep their text.
 2. Each such line gets 16 keys, each of 4 minima of its shingles' hashes: a pair at the threshold shares
-   one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Keys and line numbers travel in packed cells of a
-   range of keys.
+   one with probability 1 - (1 - 0.8**4)**16 = 0.9998. Short lines, of which unrelated ones have many short
+   shingles in common, get 48 keys of 8 minima besides: 1 - (1 - 0.8**8)**48 = 0.9999. Keys and line numbers
+   travel in packed cells of a range of keys.
 3. The lines of a key form a bucket; equal buckets count once. Buckets are compared exactly, as sets: a line
    is compared with the components found so far, until one of each takes it; buckets that share lines are mostly
    compared in one task, where no pair is compared twice. A bucket of more than
@@ -43,7 +44,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 #: Lines of fewer characters than SHORT are compared by shorter shingles with each other.
 SHORT, SHORT_SHINGLE = 100, 3
 #: Keys of a line and minima of a key, by the size of the shingles.
-BANDS = {SHINGLE: (16, 4), SHORT_SHINGLE: (16, 4)}
+BANDS = {SHINGLE: (16, 4), SHORT_SHINGLE: (48, 8)}
 MAX_PART = 1000
 #: Lines that a task remembers; characters and keys that it handles at once; rows of a cell before it is drained.
 _MEMORY = 1 << 20
@@ -68,7 +69,7 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-_ODD = (np.random.default_rng(6).integers(1 << 31, size=64, dtype=np.uint32) * 2 + 1).astype(np.uint32)
+_ODD = (np.random.default_rng(6).integers(1 << 31, size=512, dtype=np.uint32) * 2 + 1).astype(np.uint32)
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -120,7 +121,7 @@ def band_keys(codes: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> np
         base, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
         mixed = np.empty_like(base)
         for band in range(n_bands):
-            key = np.full(last - first, band + 1 + 100 * size, dtype=np.uint64)
+            key = np.full(last - first, band + 1 + 1000 * size, dtype=np.uint64)
             for k in range(band * n_rows, (band + 1) * n_rows):
                 np.multiply(base, _ODD[k], out=mixed)
                 key = (key ^ np.minimum.reduceat(mixed, starts)) * _MIX
