@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"'=]++|=\s*\"[^\"]*+\"|=\s*'[^']*+'|[=\"'])*+)>",
     re.S,
 )
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "object")}
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -53,6 +55,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, linked words, in_article, hinted, heading) of each block in page order."""
     out: list[tuple[str, int, int, int, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, inside article, hinted
+    opened: Counter[str] = Counter()  # names in the stack
     text: list[str] = []
     linked: list[str] = []
     link, heading, at, page = 0, 0, 0, page or ""
@@ -73,9 +76,10 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int]]:
             if link:
                 linked.append(piece)
 
-    while m := _TOKEN.search(page, at):
+    # behind the last '>' there is no tag, only perhaps a comment that never ends
+    while m := (_TOKEN if page.find(">", at) >= 0 else _OPEN_COMMENT).search(page, at):
         add(page[at : m.start()])
-        at, name = m.end(), m["name"]
+        at, name = m.end(), m.groupdict().get("name")
         if name is None:
             continue
         name, ends = name.lower(), bool(m["end"])
@@ -98,9 +102,12 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int]]:
                 article = article or name in ("article", "main")
                 around = name in _AROUND or (name == "header" and not article)
                 stack.append((name, article, hinted or around or _says_so(name, m["attrs"])))
-            elif any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+                opened[name] += 1
+            elif opened[name]:
+                gone = None
+                while gone != name:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
             if name not in ("span", "label", "button"):
                 link = heading = 0
     add(page[at:])

@@ -84,8 +84,13 @@ def sources_table(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_p
 
 
 def point(slot: Column) -> Column:
-    """Golden-ratio point of a slot in [0, 1): an odd multiplier visits every 32-bit fraction once."""
-    return ((slot * GOLDEN_32 + GOLDEN_32 // 2) % (1 << 32)) / float(1 << 32)
+    """Golden-ratio point of a slot in [0, 1): an odd multiplier visits every 32-bit fraction once.
+
+    The product modulo 2**32 is put together from the halves of the slot's last 32 bits, so that no slot is too large.
+    """
+    low, high = slot.bitwiseAND(F.lit(0xFFFF)), F.shiftright(slot, 16).bitwiseAND(F.lit(0xFFFF))
+    product = ((high * GOLDEN_32) % (1 << 16)) * (1 << 16) + low * GOLDEN_32
+    return ((product + GOLDEN_32 // 2) % (1 << 32)) / float(1 << 32)
 
 
 def schedule(spark, sources: DataFrame) -> DataFrame:

@@ -177,6 +177,15 @@ def test_html_attributes_of_any_length():
         assert [b[0] for b in html_extraction.blocks(f"<p title={quote}{'x' * 5000}>Shown.</p>")] == ["Shown."]
 
 
+def test_html_reader_is_linear():
+    import time
+
+    for page in ("<a b " * 40000, "<div>" * 20000 + "</span>" * 20000 + "x", "<!--" * 50000, "<p>a</p>" * 25000):
+        start = time.perf_counter()
+        html_extraction.blocks(page)
+        assert time.perf_counter() - start < 2
+
+
 def fingerprint(t):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else ([" ".join(w)] if w else [])
@@ -399,6 +408,12 @@ def test_mixing(docs, nothing, rows):
     assert mixing.plan(nothing).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
+def test_points_of_any_slot(spark):
+    slots = [0, 1, 5, 3_470_000_000, 1 << 32, (1 << 33) + 7, (1 << 45) + 12345]
+    got = spark.createDataFrame([(x,) for x in slots], "slot long").select(mixing.point(F.col("slot"))).collect()
+    assert [r[0] for r in got] == [(x * mixing.GOLDEN_32 + mixing.GOLDEN_32 // 2) % (1 << 32) / (1 << 32) for x in slots]
+
+
 def removed(texts):
     seen, out = {}, {}
     for d, t in sorted(texts, key=lambda x: x[0]):
