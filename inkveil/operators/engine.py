@@ -18,6 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,6 @@ from .options import Options
 OPEN, CLOSE, REF = "\ue010", "\ue011", "\ue012"
 SHIELD_OPEN, SHIELD_CLOSE = "\ue013", "\ue014"
 _PRIVATE = f"[{OPEN}-{SHIELD_CLOSE}]"
-_TOKEN = r"\{\{[A-Z_]+" + REF + r"[a-j.]+\}\}"
 _NOTE = "array<struct<ref:string,kind:string,label:string,key:string,sample:string,decision:string,why:string>>"
 
 
@@ -221,23 +221,39 @@ def unshield(df: DataFrame, options: Options) -> DataFrame:
     return split.withColumn("_text", back).drop("_pieces", "_shield")
 
 
+_PLACEHOLDER = re.compile(r"\{\{([A-Z_]+)" + REF + r"([a-j.]+)\}\}")
+
+
+def _number(text: str, refs: list[str], keys: list[str]) -> str:
+    """Placeholders with numbers: one for each (label, key), counted for each label by first appearance."""
+    of, seen, count = dict(zip(refs, keys, strict=True)), {}, {}
+
+    def numbered(m: re.Match) -> str:
+        own = (m[1], of.get(m[2], m[2]))
+        if own not in seen:
+            seen[own] = count[m[1]] = count.get(m[1], 0) + 1
+        return "{{%s_%d}}" % (m[1], seen[own])
+
+    return _PLACEHOLDER.sub(numbered, text)
+
+
 def finish(df: DataFrame, options: Options) -> DataFrame:
-    """Numbers for the placeholders: by first appearance, for each label."""
+    """Numbers for the placeholders: by first appearance, for each label. Linear in the findings of a text.
+
+    Ranks need a memory of what was seen, which expressions over arrays only have at a quadratic cost; so texts with
+    placeholders, and they alone, go through an Arrow function.
+    """
     if not options.numbered:
         return df.withColumn("_text", F.regexp_replace("_text", REF + r"[a-j.]+\}\}", "}}"))
-    replaced = F.filter("_notes", lambda n: n.decision == "replace")
-    refs = df.withColumn("_refs", F.regexp_extract_all("_text", F.lit(r"\{\{[A-Z_]+" + REF + r"([a-j.]+)\}\}"), F.lit(1)))
-    refs = refs.withColumn("_of", F.map_from_entries(F.transform(replaced, lambda n: F.struct(n.ref, F.struct(n.label.alias("label"), n.key.alias("key"))))))
-    refs = refs.withColumn("_seq", F.transform("_refs", lambda r: F.element_at("_of", r)))
-    refs = refs.withColumn("_firsts", F.array_distinct("_seq")).withColumn("_gaps", F.split("_text", _TOKEN))
 
-    def placeholder(i: Column) -> Column:
-        own = F.get("_seq", i)
-        same = F.filter("_firsts", lambda s: s.label == own.label)
-        return F.concat(F.lit("{{"), own.label, F.lit("_"), F.array_position(same, own).cast("string"), F.lit("}}"))
+    @F.pandas_udf("string")
+    def number(text: pd.Series, refs: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _number(t, r, k) for t, r, k in zip(text, refs, keys, strict=True)], dtype=object)
 
-    text = F.array_join(F.transform("_gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(placeholder(i - 1), g))), "")
-    return refs.withColumn("_text", F.when(F.size("_refs") > 0, text).otherwise(F.col("_text"))).drop("_refs", "_of", "_seq", "_firsts", "_gaps")
+    replaced = df.withColumn("_found", F.filter("_notes", lambda n: n.decision == "replace"))
+    some = F.when(F.size("_found") > 0, F.col("_text"))
+    listed = [F.when(F.size("_found") > 0, F.col(f"_found.{c}")) for c in ("ref", "key")]
+    return replaced.withColumn("_text", F.coalesce(number(some, *listed), F.col("_text"))).drop("_found")
 
 
 def report_column() -> Column:
@@ -280,11 +296,17 @@ def redact(df: DataFrame, text: str = "text", options: Options | None = None, st
     A null text stays null with an empty report; an empty text is unchanged. Switches, packs and
     lists are resolved here, so that steps that are off are not part of the plan.
     """
-    from .steps import SUSPECT_STEPS
-
     options = options or Options()
     if not options.any_switch():
         return begin(df, text).withColumn(into, F.col(text)).withColumn(report, report_column()).drop("_text", "_notes")
+    work = finish(unshield(_decided(df, text, options, steps), options), options)
+    return work.withColumn(into, F.col("_text")).withColumn(report, report_column()).drop("_text", "_notes")
+
+
+def _decided(df: DataFrame, text: str, options: Options, steps: list[Step] | None) -> DataFrame:
+    """The working columns after the terms, the steps and (for the whole program) the suspects."""
+    from .steps import SUSPECT_STEPS
+
     work = shield(begin(df, text), options)
     if options.always:
         own = Step("terms", "terms", "TERM", "CORE", "names", 0, term_pattern(options.always), always)
@@ -294,18 +316,21 @@ def redact(df: DataFrame, text: str = "text", options: Options | None = None, st
     for step in SUSPECT_STEPS:
         if steps is None and step.pack in options.packs:
             work = apply_step(work, step, step_number(step), options)
-    work = finish(unshield(work, options), options)
-    return work.withColumn(into, F.col("_text")).withColumn(report, report_column()).drop("_text", "_notes")
+    return work
 
 
-def annotations(df: DataFrame, key: str, text: str = "text", options: Options | None = None, steps: list[Step] | None = None) -> DataFrame:
-    """Long table of decisions: key, ref, kind, label, value_key, sample, decision, why."""
+def annotations(df: DataFrame, key: str, text: str = "text", options: Options | None = None, steps: list[Step] | None = None,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """What ``redact`` decides, as rows: key, the columns ``keep``, ref, kind, label, value_key, sample, decision, why."""
     options = options or Options()
-    work = shield(begin(df, text), options)
-    for step in program(options, steps):
-        work = apply_step(work, step, step_number(step), options)
-    return work.select(key, F.explode("_notes").alias("n")).select(
-        key, "n.ref", "n.kind", "n.label", F.col("n.key").alias("value_key"), "n.sample", "n.decision", "n.why"
+    given = [*dict.fromkeys([key, *keep])]
+    if not options.any_switch():
+        work = begin(df, text)
+    else:
+        work = _decided(df, text, options, steps)
+    # an outer explode: the optimizer would copy the filter of a plain one through all steps, whose expressions then grow without end
+    return work.select(*given, F.explode_outer("_notes").alias("n")).filter("n IS NOT NULL").select(
+        *given, "n.ref", "n.kind", "n.label", F.col("n.key").alias("value_key"), "n.sample", "n.decision", "n.why"
     )
 
 

@@ -33,9 +33,9 @@ def _read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _found(spark, sf_dir: str):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return annotations(docs, "doc_id", options=only("emails", "fiscal"), steps=steps("email", "card")).filter("decision = 'replace'")
+def _found(spark, sf_dir: str, *keep: str):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", *keep)
+    return annotations(docs, "doc_id", options=only("emails", "fiscal"), steps=steps("email", "card"), keep=keep).filter("decision = 'replace'")
 
 
 def report_counts(spark, sf_dir):
@@ -43,13 +43,11 @@ def report_counts(spark, sf_dir):
 
 
 def report_pivot(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
-    return _found(spark, sf_dir).join(docs, "doc_id").groupBy("source").pivot("kind", ["cards", "emails"]).agg(F.count(F.lit(1))).na.fill(0)
+    return _found(spark, sf_dir, "source").groupBy("source").pivot("kind", ["cards", "emails"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def report_cube(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return _found(spark, sf_dir).join(docs, "doc_id").cube("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _found(spark, sf_dir, "lang").cube("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_kinds(spark, sf_dir):
@@ -180,6 +178,31 @@ def clean_paragraphs(spark, sf_dir):
     return found.select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("o")).orderBy("o", "doc_id").limit(50)
 
 
+def full_census(spark, sf_dir):
+    """The census over the whole default program with its suspects."""
+    found = redact(_read(spark, sf_dir, "documents").select("text"), "text")
+    return found.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.sum("report.total").alias("replaced"),
+        F.sum("report.suspects_total").alias("suspects"), F.sum((F.col("report.total") == 0).cast("int")).alias("untouched"),
+    )
+
+
+def full_report(spark, sf_dir):
+    """What the whole default program decides, by source, kind and decision."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = annotations(docs, "doc_id", keep=("source",))
+    return found.groupBy("source", "kind", "decision").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value_key").alias("values"))
+
+
+def full_clean_paragraphs(spark, sf_dir):
+    """Paragraph-sized documents in which the whole program finds nothing and suspects nothing."""
+    docs = _read(spark, sf_dir, "documents").filter(F.length("text").between(400, 1200)).select("doc_id", "text")
+    # the row number keeps the filter above the program's steps, through which the optimizer would copy it
+    found = redact(docs, "text").withColumn("_row", F.monotonically_increasing_id())
+    found = found.filter("report.total = 0 AND report.suspects_total = 0 AND report.detected_total = 0 AND _row >= 0")
+    return found.select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("o")).orderBy("o", "doc_id").limit(50)
+
+
 def lexicon_members(spark, sf_dir):
     words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")).alias("token"))
     common = lexicon.table(spark).filter("class = 'common'").select("token")
@@ -269,7 +292,7 @@ def one_line_headers(spark, sf_dir):
 QUERIES = [
     report_counts, report_pivot, report_cube, top_kinds, top_values, number_by_appearance, terms_always, terms_never, segnala_detect_only, suspects_iban,
     mask_sample, payload, recall_by_category, recall_of_valid, ratchet_diff, interval_overlap_recall, ab_delta, hash_substitution, corpus_fingerprint,
-    verify_residue, insert_fragment, false_positive_census, clean_paragraphs, lexicon_members, lexicon_unknown, iban_lengths, html_to_text, noise_strip,
+    verify_residue, insert_fragment, false_positive_census, clean_paragraphs, full_census, full_report, full_clean_paragraphs, lexicon_members, lexicon_unknown, iban_lengths, html_to_text, noise_strip,
     strip_quotes, thread_split, merge_markdown, compare_pairs, table_markdown, frontmatter, strip_frontmatter, extension_dispatch, prose_form,
     output_names, one_line_headers,
 ]

@@ -20,9 +20,10 @@ def merge(df: DataFrame, by: list[str], order: str, title: str, markdown: str, e
 
 def compare(df: DataFrame, by: list[str], order: str, markdown: str) -> DataFrame:
     """Groups of exactly two documents, as A and B."""
-    pair = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(markdown).alias("b"))))
-    both = df.groupBy(*by).agg(pair.alias("p")).filter(F.size("p") == 2)
-    return both.select(*by, F.concat(F.lit("# A\n\n"), F.col("p")[0].b, F.lit("\n\n# B\n\n"), F.col("p")[1].b).alias("compared"))
+    # counts and both ends are summed up before the shuffle, so that a large group is never collected
+    one = F.struct(F.col(order).alias("o"), F.col(markdown).alias("b"))
+    both = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("_a"), F.max(one).alias("_b")).filter("_n = 2")
+    return both.select(*by, F.concat(F.lit("# A\n\n"), F.col("_a.b"), F.lit("\n\n# B\n\n"), F.col("_b.b")).alias("compared"))
 
 
 def output_names(df: DataFrame, path: str = "path") -> DataFrame:

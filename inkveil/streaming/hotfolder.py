@@ -1,10 +1,16 @@
-"""A watched folder as a stream: every new version of a file is converted and redacted once."""
+"""A watched folder as a stream: every new version of a file is converted and redacted once.
+
+A version is a path with a modification time. Each micro-batch lists the folder (without reading contents) and takes
+the versions that the output does not hold yet, oldest first. So a file that is still too young waits for a later
+listing, a rewritten file is read again, and a file that was moved in with an old modification time is never late.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
 from ..operators.engine import redact
@@ -12,38 +18,57 @@ from ..operators.options import Options
 from ..sources.files import convert
 from ..sources.sinks import output_names, scrub_paths
 
-_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LEAST_INTERVAL = 0.5
 
 
-def read_folder(spark: SparkSession, folder: str, archive: str | None = None, most_files: int = 100, settled_seconds: int = 0) -> DataFrame:
-    """New files of a folder; writers should rename files into it. Files younger than ``settled_seconds`` wait."""
-    reader = spark.readStream.format("binaryFile").schema(_SCHEMA).option("maxFilesPerTrigger", most_files)
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    files = reader.load(folder)
-    if settled_seconds:
-        files = files.filter(F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {int(settled_seconds)} SECONDS"))
+def _files(spark: SparkSession, folder: str) -> DataFrame:
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
+    files = spark.read.format("binaryFile").load(folder)
     return files.withColumn("name", name).withColumn("extension", T.extension(name)).filter(T.allowed(F.col("name")))
 
 
-def versions(files: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One row for each (name, modification time); the state of a version is dropped after ``delay``."""
-    return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["name", "modificationTime"])
+def written(spark: SparkSession, output: str, but: int | None = None) -> DataFrame:
+    """(path, modificationTime, output) of what batches have written, without the batch ``but``."""
+    schema = "path string, modificationTime timestamp, output string, batch long"
+    try:
+        done = spark.read.schema(schema).parquet(output)
+    except AnalysisException:  # nothing is there yet
+        done = spark.createDataFrame([], schema)
+    return (done if but is None else done.filter(F.col("batch") != but)).drop("batch")
+
+
+def pending(spark: SparkSession, folder: str, done: DataFrame, settled_seconds: float = 0, most_files: int = 100) -> DataFrame:
+    """(path, modificationTime) of the ``most_files`` oldest versions that are not ``done``; the others stay for later."""
+    settled = F.col("modificationTime") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(settled_seconds)))
+    found = _files(spark, folder).filter(settled).select("path", "modificationTime")
+    return found.join(done, ["path", "modificationTime"], "left_anti").orderBy("modificationTime", "path").limit(most_files)
 
 
 def start(spark: SparkSession, folder: str, output: str, checkpoint: str, options: Options | None = None, interval: float = 2.0,
-          archive: str | None = None, once: bool = False) -> StreamingQuery:
-    """Convert and redact what arrives into Parquet under ``output``; a file that fails is a row with an error."""
+          once: bool = False, settled_seconds: float = 0, most_files: int = 100) -> StreamingQuery:
+    """Convert and redact what arrives into Parquet under ``output``; a file that fails is a row with an error.
+
+    Names of outputs differ over all batches; a new version of a path keeps its name.
+    """
     if interval < LEAST_INTERVAL:
         raise ValueError(f"the interval is at least {LEAST_INTERVAL} s")
 
     def write(batch: DataFrame, number: int) -> None:
-        converted = convert(batch).withColumn("error", scrub_paths(F.col("error")))
-        redacted = redact(output_names(converted), "markdown", options).drop("content")
+        session = batch.sparkSession
+        done = written(session, output, but=number)
+        chosen = pending(session, folder, done.drop("output"), settled_seconds, most_files)
+        files = _files(session, folder).join(F.broadcast(chosen), ["path", "modificationTime"])  # at most most_files rows
+        named = output_names(convert(files).withColumn("error", scrub_paths(F.col("error"))))
+        old = done.groupBy("path").agg(F.max("output").alias("_old"))
+        taken = done.select(F.col("output").alias("_taken"), F.col("path").alias("_owner")).distinct()
+        own = F.concat(F.regexp_replace("output", r"\.md$", "-"), F.left(F.sha2("path", 256), F.lit(8)), F.lit(".md"))
+        named = named.join(old, "path", "left").join(taken, (F.col("output") == F.col("_taken")) & (F.col("path") != F.col("_owner")), "left")
+        named = named.withColumn("output", F.coalesce("_old", F.when(F.col("_taken").isNotNull(), own), "output"))
+        times = chosen.select("path", "modificationTime")
+        redacted = redact(named.drop("_old", "_taken", "_owner").dropDuplicates(["path"]).join(F.broadcast(times), "path"), "markdown", options).drop("content")
         # a batch that is run again overwrites what it wrote before
         redacted.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    writer = versions(read_folder(spark, folder, archive)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval} seconds")).start()

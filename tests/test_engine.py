@@ -1,9 +1,11 @@
 """The redaction engine: a golden text, negatives, term lists, detect-only, numbering, suspects."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.operators.engine import flatten_numbers, redact
+from inkveil.operators.engine import annotations, flatten_numbers, redact
 from inkveil.operators.options import KINDS, Options, from_dict, from_form, no_redaction, only, terms
 from inkveil.plans.recognisers import steps
 
@@ -71,3 +73,29 @@ def test_options():
         with pytest.raises(ValueError):
             bad()
     assert len(set(KINDS)) == len(KINDS)
+
+
+def test_numbers_are_linear_in_the_findings():
+    import time
+
+    from inkveil.operators.engine import REF, _number
+
+    def text(n):
+        return " ".join("{{EMAIL" + REF + "a." + "abcdefghij"[i % 10] * (i + 1) + "}}" for i in range(n))
+
+    n = 2000
+    refs = ["a." + "abcdefghij"[i % 10] * (i + 1) for i in range(n)]
+    start = time.perf_counter()
+    out = _number(text(n), refs, [f"k{i % 500}" for i in range(n)])
+    assert time.perf_counter() - start < 2 and out.split()[501] == "{{EMAIL_2}}" and out.split()[-1] == "{{EMAIL_500}}"
+
+
+def test_annotations_are_what_redact_decides(spark):
+    options = Options(always=("alpha",), never=("b@x.org",))
+    texts = ["alpha a@x.org b@x.org 000-12-3456 and 4111111111111112 there", None, "nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = annotations(df, "i", "t", options).collect()
+    reports = {r.i: r.report for r in redact(df, "t", options).collect()}
+    assert Counter(r.i for r in rows if r.decision == "replace") == Counter({i: p.total for i, p in reports.items() if p.total})
+    assert sorted((s.kind, s.sample) for s in reports[0].suspects) == sorted((r.kind, r.sample) for r in rows if r.decision == "suspect")
+    assert {r.kind for r in rows if r.decision == "replace"} == {"terms", "emails"} and any(r.decision == "suspect" for r in rows)

@@ -1,5 +1,7 @@
 """Files, mails, sinks and the watched folder."""
 
+import os
+import time
 from email.message import EmailMessage
 
 from pyspark.sql import functions as F
@@ -49,7 +51,24 @@ def test_hot_folder(spark, tmp_path):
     inbox, out, state = (tmp_path / n for n in ("in", "out", "state"))
     inbox.mkdir()
     (inbox / "a.txt").write_text("mail x@y.org")
-    for _ in range(2):  # the second run finds nothing new
-        hotfolder.start(spark, f"file://{inbox}", f"file://{out}", f"file://{state}", only("emails"), once=True).awaitTermination()
-    rows = spark.read.parquet(f"file://{out}").collect()
-    assert [(r.name, r.redacted) for r in rows] == [("a.txt", "mail {{EMAIL_1}}")]
+
+    def run(**more):
+        hotfolder.start(spark, f"file://{inbox}", f"file://{out}", f"file://{state}", only("emails"), once=True, **more).awaitTermination()
+        return sorted((r.name, r.redacted, r.output) for r in spark.read.parquet(f"file://{out}").collect())
+
+    first = [("a.txt", "mail {{EMAIL_1}}", "a.md")]
+    assert run() == first and run() == first  # the second run finds nothing new
+    (inbox / "a.md").write_text("old")
+    os.utime(inbox / "a.md", (1e9, 1e9))  # moved in with an old time, and with a name that is taken
+    found = run()
+    assert len(found) == 2 and found[0][:2] == ("a.md", "old") and found[0][2] not in ("a.md",)
+    (inbox / "a.txt").write_text("new x@y.org")
+    os.utime(inbox / "a.txt", (time.time() + 5, time.time() + 5))
+    assert len(run(settled_seconds=60)) == 2  # too young: it waits
+    os.utime(inbox / "a.txt", (time.time() - 100, time.time() - 100))
+    assert ("a.txt", "new {{EMAIL_1}}", "a.md") in run(settled_seconds=60)
+
+
+def test_compare_takes_groups_of_two(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d"), (3, 2, "e"), (3, 3, "f")], "g int, o int, md string")
+    assert [tuple(r) for r in sinks.compare(df, ["g"], "o", "md").collect()] == [(1, "# A\n\na\n\n# B\n\nb")]
