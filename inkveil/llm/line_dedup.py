@@ -16,8 +16,8 @@ earlier line).
    is compared with the components found so far, until one of each takes it; buckets that share lines are mostly
    compared in one task, where no pair is compared twice. A bucket of more than
    ``MAX_PART`` lines is cut: all its lines are compared with one of them in parts, and only those that are
-   not like it meet the whole bucket, part by part. Nothing is left out, and a task returns a spanning
-   forest. Distributed union-find joins the forests.
+   not like it meet the whole bucket, part by part. Nothing is left out, and a task ties each line to one of
+   its component. Distributed union-find joins these ties.
 
 Defined cases: null and empty texts have no lines; blank lines are kept and never compared. Equal
 lines are linked however short. Texts and lines of any length are read whole. Rows that share a
@@ -220,13 +220,20 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
             return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(ids.view(np.int64)))], ["key", "ids"])
 
         def shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """Distinct pairs, sorted; where runs of a key begin and how long they are; whether each run is shared."""
-            order = np.lexsort([ids, keys])
+            """Distinct pairs, by key; where runs of a key begin and how long they are; whether each run is shared."""
+            order = np.argsort(keys)
             keys, ids = keys[order], ids[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-            keys, ids = keys[new], ids[new]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(starts, len(keys)))
+            several = np.repeat(size > 1, size)
+            if several.any():  # only these need an order of their ids
+                k, i = keys[several], ids[several]
+                order = np.lexsort([i, k])
+                k, i = k[order], i[order]
+                new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])
+                keys, ids = np.concatenate([keys[~several], k[new]]), np.concatenate([ids[~several], i[new]])
+                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                size = np.diff(np.append(starts, len(keys)))
             return keys, ids, starts, size, size > 1
 
         def drain(held: list, large: np.ndarray, last: bool) -> tuple[list[pa.RecordBatch], list, np.ndarray]:
@@ -299,12 +306,13 @@ class Sets:
         return jaccard(a, b) >= THRESHOLD
 
 
-def linked(lines: list[str], groups: list[list[int]] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside each of the groups of lines (without groups: among all lines).
+def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None = None) -> list[tuple[bytes, bytes]]:
+    """Links that tie each line to the least name of its component, by the links inside each of the groups of lines
+    (without groups: among all lines).
 
     The parts of a group that are known to be of one component meet the others, line by line, until two are alike.
     """
-    sets, out, root = Sets(lines), [], list(range(len(lines)))
+    sets, root = Sets(lines), list(range(len(lines)))
     tried: set[tuple[int, int]] = set()
 
     def find(x: int) -> int:
@@ -320,8 +328,8 @@ def linked(lines: list[str], groups: list[list[int]] | None = None) -> list[tupl
                 if pair not in tried:
                     tried.add(pair)
                     if sets.similar(i, j):
-                        out.append(pair)
-                        root[find(i)] = find(j)
+                        a_root, b_root = sorted((find(i), find(j)), key=names.__getitem__)
+                        root[b_root] = a_root
                         return True
         return False
 
@@ -338,7 +346,7 @@ def linked(lines: list[str], groups: list[list[int]] | None = None) -> list[tupl
                 else:
                     apart.append(other)
             done = [part, *apart]
-    return out
+    return [(names[find(i)], names[i]) for i in range(len(lines)) if find(i) != i]
 
 
 def _by_group(rows: DataFrame, keys: list[str], solve, schema: str) -> DataFrame:
@@ -366,8 +374,7 @@ def _by_group(rows: DataFrame, keys: list[str], solve, schema: str) -> DataFrame
 
 def _links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
     texts = dict(zip(group["name"], group["own"], strict=True))
-    names = list(texts)
-    return [(names[a], names[b]) for a, b in linked(list(texts.values()))]
+    return linked(list(texts), list(texts.values()))
 
 
 def _bucket_links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
@@ -375,7 +382,7 @@ def _bucket_links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
     for i, keys in enumerate(group["keys"]):
         for k in keys:
             members.setdefault(k, []).append(i)
-    return [(group["name"][a], group["name"][b]) for a, b in linked(group["own"], list(members.values()))]
+    return linked(group["name"], group["own"], list(members.values()))
 
 
 def _large_links(large: DataFrame, max_part: int) -> DataFrame:

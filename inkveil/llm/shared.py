@@ -84,9 +84,10 @@ def join_counted(rows: DataFrame, facts: DataFrame, on: str, n: str = "n", total
     values can have more than 1 / ``HEAVY`` of all rows; their facts are broadcast, so that no task gets all rows
     of such a value. Values with fewer rows, or with ``least`` or fewer, are shuffled.
     """
-    if total is None:
-        total = facts.agg(F.sum(n)).first()[0] or 0
-    most = max(least, total // HEAVY)
+    known = facts.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    most = max(least, (known["all"] if total is None else total) // HEAVY) if known["most"] else least
+    if not known["most"] or known["most"] <= most:
+        return rows.join(facts.drop(n), on)
     heavy, light = facts.filter(F.col(n) > most).drop(n), facts.filter(F.col(n) <= most).drop(n)
     rest = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on)
     return rows.join(F.broadcast(heavy), on).unionByName(rest)
