@@ -51,6 +51,8 @@ _MEMORY = 1 << 20
 _BLOCK = 1 << 16
 _FLUSH = 1 << 20
 _CELL_ROWS = 1 << 22
+#: A group of more lines, with fewer characters in all, is compared by an index of its shingles.
+_MANY, _INDEXED = 24, 1 << 21
 #: Lines, each once for each bucket, whose buckets may be compared in one task; sets that it holds.
 _TOGETHER = 1 << 16
 _SETS = 4096
@@ -306,11 +308,30 @@ class Sets:
         return jaccard(a, b) >= THRESHOLD
 
 
+class Index:
+    """Which lines of some have a shingle: the similarity of one line with all others at once."""
+
+    def __init__(self, sets: Sets, members: list[int], size: int):
+        number: dict[str, int] = {}
+        self.codes = [np.array([number.setdefault(x, len(number)) for x in sets.of(i, size)], dtype=np.int64) for i in members]
+        self.sizes = np.array([len(c) for c in self.codes])
+        flat = np.concatenate(self.codes)
+        self.ends = np.cumsum(np.bincount(flat, minlength=len(number)))
+        self.places = np.repeat(np.arange(len(members)), self.sizes)[np.argsort(flat, kind="stable")]
+
+    def similar(self, k: int) -> np.ndarray:
+        """Places of the lines that are like the line at place ``k`` (itself included)."""
+        having = [self.places[self.ends[c - 1] if c else 0 : self.ends[c]] for c in self.codes[k].tolist()]
+        both = np.bincount(np.concatenate(having), minlength=len(self.sizes))
+        return np.flatnonzero(both / (self.sizes[k] + self.sizes - both) >= THRESHOLD)
+
+
 def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None = None) -> list[tuple[bytes, bytes]]:
     """Links that tie each line to the least name of its component, by the links inside each of the groups of lines
     (without groups: among all lines).
 
     The parts of a group that are known to be of one component meet the others, line by line, until two are alike.
+    In a group of many lines, those that are not like the first are looked up in an index of all shingles instead.
     """
     sets, root = Sets(lines), list(range(len(lines)))
     tried: set[tuple[int, int]] = set()
@@ -321,6 +342,10 @@ def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None
             x = root[x]
         return x
 
+    def tie(i: int, j: int) -> None:
+        a_root, b_root = sorted((find(i), find(j)), key=names.__getitem__)
+        root[b_root] = a_root
+
     def meet(a: list[int], b: list[int]) -> bool:
         for i in a:
             for j in b:
@@ -328,15 +353,41 @@ def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None
                 if pair not in tried:
                     tried.add(pair)
                     if sets.similar(i, j):
-                        a_root, b_root = sorted((find(i), find(j)), key=names.__getitem__)
-                        root[b_root] = a_root
+                        tie(i, j)
                         return True
         return False
 
-    for group in groups if groups is not None else [range(len(lines))]:
+    def parts_of(group: list[int]) -> dict[int, list[int]]:
         parts: dict[int, list[int]] = {}
         for i in group:
             parts.setdefault(find(i), []).append(i)
+        return parts
+
+    def look_up(group: list[int]) -> None:
+        for i in group[1:]:
+            if find(i) != find(group[0]) and sets.similar(group[0], i):
+                tie(group[0], i)
+        short = [i for i in group if len(lines[i]) < SHORT]
+        for size, members in ((SHORT_SHINGLE, short), (SHINGLE, group if len(short) < len(group) else [])):
+            parts = parts_of(members)
+            if len(parts) < 2:
+                continue
+            index, largest = Index(sets, members, size), max(parts.values(), key=len)
+            inside = set(largest)
+            for k, i in enumerate(members):
+                if i in inside:  # two parts meet in a line outside the largest
+                    continue
+                for j in index.similar(k).tolist():
+                    j = members[j]
+                    # two short lines are compared by their short shingles alone
+                    if find(i) != find(j) and (size == SHORT_SHINGLE or len(lines[i]) >= SHORT or len(lines[j]) >= SHORT):
+                        tie(i, j)
+
+    for group in groups if groups is not None else [list(range(len(lines)))]:
+        parts = parts_of(group)
+        if len(parts) > 1 and len(group) > _MANY and sum(len(lines[i]) for i in group) < _INDEXED:
+            look_up(group)
+            continue
         done: list[list[int]] = []
         for part in parts.values() if len(parts) > 1 else ():
             apart = []
