@@ -15,10 +15,12 @@ document has P(w).
 
 Both models are Spark tables. The loss of a document is a sum of terms: one for each word, w's own
 -log P(w) and, where a word follows, -log of the back-off weight; and for each pair in the model what
-it takes off. Documents are turned into word hashes once. The ``HEAD`` most frequent terms are
-broadcast and added up where the documents lie; rows of all other words and pairs are joined with
-the terms and added up by document. ``HEAD`` bounds memory and changes no result. Words are told apart
-by 64-bit hashes.
+it takes off. Documents are turned into word hashes once; the ``HEAD`` / 2 most frequent words then go by
+small numbers. The ``HEAD`` most frequent terms are broadcast and added up where the documents lie; all other
+words and pairs of the documents meet the terms in cells, ranges of a 64-bit hash of the term, which come to a
+task one after another. Pairs are counted in such cells as well. Their columns travel packed, and there
+is a cell for every ``CELL`` tokens, so a task's memory does not grow with the corpus. ``HEAD`` and ``CELL``
+bound memory and change no result. Words are told apart by 64-bit hashes, terms by hashes of 62 bits.
 
 Defined cases: null, empty and blank texts have no tokens and zero losses. Texts are read whole.
 Rows whose target flag is null belong to the background. Repeated rows count each time. If either
@@ -29,10 +31,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +45,17 @@ LEAST = 2
 LAMBDA = 0.7
 #: Most terms that are broadcast.
 HEAD = 1 << 18
+#: Tokens for each cell.
+CELL = 1 << 21
+#: Fewest cells, so that small corpora are dealt to several tasks.
+CELLS = 32
 _SLICE = 1 << 21
 _TOKENS = 1 << 20
 _ROWS = 1 << 18
 #: Codes that are no word's hash: no neighbour, the unknown word, and what stands behind a word in the key of its terms.
 NONE, UNKNOWN, WORD, LAST = range(4)
+#: Hashes of words are not in this range; frequent words are numbered inside it.
+_NUMBERS = 1 << 30
 
 
 def _token_slices(texts: list[str | None]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -74,7 +83,7 @@ def _hashes(words: pa.Array) -> np.ndarray:
     coded = words.dictionary_encode()
     found = coded.dictionary.to_pylist()
     own = np.fromiter(map(xxh3_64_intdigest, found), dtype=np.uint64, count=len(found)).view(np.int64)
-    own[(own >= NONE) & (own <= LAST)] += 4
+    own[(own >= 0) & (own < _NUMBERS)] += _NUMBERS
     return own[coded.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -145,26 +154,90 @@ def count_words(tokens: DataFrame) -> DataFrame:
 
 
 def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each term; its last two bits are WORD or LAST for terms of words, and NONE for pairs."""
     code = (a.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + b.view(np.uint64)
     code ^= code >> np.uint64(32)
-    return code * np.uint64(0xBF58476D1CE4E5B9)
+    code *= np.uint64(0xBF58476D1CE4E5B9)
+    return (code & ~np.uint64(3)) | np.where((b == WORD) | (b == LAST), b, NONE).view(np.uint64)
 
 
-def count_pairs(tokens: DataFrame) -> DataFrame:
-    """(a, b, n_target, n_background): pairs of neighbouring words over all rows."""
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, first byte of each first, compressed: what they have in common takes no room."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return _ZSTD.compress(planes, asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(blob, 8 * n), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _cells(codes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The cells of sorted codes: the first ``bits`` bits."""
+    cells = codes >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
+    for start, stop in zip(starts, np.append(starts[1:], len(cells)), strict=False):
+        yield int(cells[start]), slice(start, stop)
+
+
+def _bits(tokens: int) -> int:
+    return (max(CELLS, -(-tokens // CELL)) - 1).bit_length()
+
+
+def _by_cell(rows: DataFrame, bits: int, *order: str) -> DataFrame:
+    return rows.repartition(1 << bits, "cell").sortWithinPartitions("cell", *order)
+
+
+def _numbered(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Frequent words as numbers, other words as they are."""
+    at, known = _find(frequent, words)
+    return np.where(known, at + LAST + 1, words)
+
+
+def numbered(words: DataFrame, shared: Broadcast) -> DataFrame:
+    """The same rows, with the column ``word`` as ``_numbered`` has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("word")
+            yield batch.set_column(at, "word", pa.array(_numbered(shared.value, batch.column("word").to_numpy())))
+
+    return words.mapInArrow(run, words.schema)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted codes of the distinct pairs, the pairs and their summed counts."""
+    codes, where, of = np.unique(_code(a, b), return_index=True, return_inverse=True)
+    return codes, a[where], b[where], [np.bincount(of, weights=c, minlength=len(codes)).astype(np.int64) for c in counts]
+
+
+def count_pairs(tokens: DataFrame, shared: Broadcast, bits: int, least: int) -> DataFrame:
+    """(a, b, n_target, n_background): pairs of neighbouring words that occur ``least`` times in all rows."""
+    fields = ["a", "b", "n_target", "n_background"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, flags, counts, words in _slices(batches):
+            coded = _numbered(shared.value, words)
             at = _neighbours(counts)
             hit = np.repeat(flags, counts)[at]
-            for side in (True, False):
-                first = at[hit == side]
-                a, b = words[first], words[first + 1]
-                _, where, n = np.unique(_code(a, b), return_index=True, return_counts=True)
-                zero = np.zeros_like(n)
-                yield from _batches({"a": a[where], "b": b[where], "n_target": n if side else zero, "n_background": zero if side else n})
+            codes, a, b, n = _summed(coded[at], coded[at + 1], [hit, ~hit])
+            rows = [(cell, s.stop - s.start, *(_pack(x[s]) for x in (a, b, *n))) for cell, s in _cells(codes, bits)]
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(["cell", "size", *fields], zip(*rows, strict=True), strict=True)), schema=sent)
 
-    return _counted(tokens.select("row", "target", "words").mapInArrow(run, "a long, b long, n_target long, n_background long"), "a", "b")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["cell"]):
+            columns = [np.concatenate(x) for x in zip(*([_unpack(r[f], r["size"]) for f in fields] for r in parts), strict=True)]
+            _, a, b, n = _summed(columns[0], columns[1], columns[2:])
+            kept = n[0] + n[1] >= least
+            yield from _batches(dict(zip(fields, [x[kept] for x in (a, b, *n)], strict=True)))
+
+    sent = pa.schema([("cell", pa.int64()), ("size", pa.int64()), *((f, pa.binary()) for f in fields)])
+    cells = tokens.select("row", "target", "words").mapInArrow(send, "cell long, size long, " + ", ".join(f"{f} binary" for f in fields))
+    return _by_cell(cells, bits).mapInArrow(count, "a long, b long, n_target long, n_background long")
 
 
 def _head(df: DataFrame, most: int) -> int:
@@ -180,18 +253,17 @@ def _head(df: DataFrame, most: int) -> int:
     return least
 
 
-def unknown_tokens(tokens: DataFrame, words: DataFrame, head: int) -> DataFrame:
+def unknown_tokens(tokens: DataFrame, words: DataFrame, shared: Broadcast) -> DataFrame:
     """(row, target, before, after) of each word that is not in ``words``; neighbours may be unknown, or none."""
-    frequent = np.sort(words.filter(F.col("n") >= head).select("word").toPandas()["word"].to_numpy(np.int64))
-    shared = tokens.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, flags, counts, found in _slices(batches):
-            rare = np.flatnonzero(~_find(shared.value, found)[1])
+            coded = _numbered(shared.value, found)
+            rare = np.flatnonzero(coded == found)
             owner = np.repeat(np.arange(len(counts)), counts)[rare]
             starts = np.cumsum(counts) - counts
             place = rare - starts[owner]
-            wide = np.concatenate([[NONE], found, [NONE]])
+            wide = np.concatenate([[NONE], coded, [NONE]])
             before = np.where(place > 0, wide[rare], NONE)
             after = np.where(place + 1 < counts[owner], wide[rare + 2], NONE)
             yield from _batches({"row": rows[owner], "target": flags[owner], "place": place, "word": found[rare], "before": before, "after": after})
@@ -223,16 +295,12 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == values
 
 
-def _looked_up(df: DataFrame, key: str, words: DataFrame, head: int, values: list[str]) -> DataFrame:
-    """Add the values of the word ``key`` as v; the frequent words are broadcast, so no task gets all rows of one."""
-    whole = F.struct(*values)
-    frequent = words.filter(F.col("n") >= head).select(F.col("word").alias("_f"), whole.alias("_fv"))
-    others = words.filter(F.col("n") < head).select(F.col("word").alias("_o"), whole.alias("_ov"))
-    joined = df.join(F.broadcast(frequent), F.col(key) == F.col("_f"), "left")
-    # rows that have their values are dealt out evenly
-    joined = joined.withColumn("_k", F.when(F.col("_f").isNull(), F.col(key)).otherwise(F.xxhash64("a", "b")))
-    joined = joined.join(others, F.col("_k") == F.col("_o"), "left")
-    return joined.withColumn("v", F.coalesce("_fv", "_ov")).drop("_f", "_fv", "_o", "_ov", "_k")
+def _looked_up(df: DataFrame, key: str, model: DataFrame, values: list[str], out: str) -> DataFrame:
+    """Add the values of the word ``key`` as a struct; those of frequent words are broadcast, so no task gets all rows of one."""
+    facts = model.select(F.col("word").alias(key), F.struct(*values).alias(out))
+    frequent = F.col(key).between(UNKNOWN, _NUMBERS - 1)
+    near = df.filter(frequent).join(F.broadcast(facts.filter(frequent)), key)
+    return near.unionByName(df.filter(~frequent).join(facts.filter(~frequent), key))
 
 
 @dataclass
@@ -241,9 +309,10 @@ class Fitted:
 
     terms: DataFrame
     words: DataFrame
-    word_head: int
+    frequent: Broadcast
     unknown: dict[int, tuple[float, float]]
     head: int
+    bits: int
     docs: DataFrame
     columns: tuple[str, str]
     tokens: DataFrame
@@ -252,6 +321,7 @@ class Fitted:
 
 def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST, weight: float = LAMBDA, key: str = "doc_id", head: int = HEAD) -> Fitted:
     """The two models over all rows: every word and pair that occurs ``least`` times."""
+    spark = docs.sparkSession
     tokens = tokenised(docs, text, target, key)
     size = F.size("words").cast("long")
     sums = tokens.agg(F.sum(F.when(F.col("target"), size)).alias("t"), F.sum(F.when(~F.col("target"), size)).alias("b")).first()
@@ -260,17 +330,18 @@ def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST,
     words = materialise(count_words(tokens).filter(n >= least).withColumn("n", n), "words")
     own = words.agg(F.count(F.lit(1)).alias("n"), F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
     rest = [total[0] - (own["t"] or 0), total[1] - (own["b"] or 0)]
-    word_head = _head(words, head // 2)
-    unknown = unknown_tokens(tokens, words, word_head)
+    top = words.filter(F.col("n") >= _head(words, head // 2)).select("word").toPandas()["word"].to_numpy(np.int64)
+    frequent = spark.sparkContext.broadcast(np.sort(top))
+    bits = _bits(sum(total))
+    unknown = unknown_tokens(tokens, words, frequent)
     odd = unknown_pairs(unknown).select("a", "b", F.col("target").cast("long").alias("n_target"), (~F.col("target")).cast("long").alias("n_background"))
-    kept = count_pairs(tokens).filter(n >= least)
     # pairs with a word that occurs less than ``least`` times are rarer than that themselves, so none of them is in both
-    pairs = materialise(kept.unionByName(_counted(odd, "a", "b").filter(n >= least)).withColumn("n", n), "pairs")
+    kept = count_pairs(tokens, frequent, bits, least).unionByName(_counted(odd, "a", "b").filter(n >= least))
+    pairs = materialise(kept.withColumn("n", n), "pairs")
 
-    spark = docs.sparkSession
     more = spark.createDataFrame([(UNKNOWN, *map(int, rest), 1 << 62)], "word long, n_target long, n_background long, n long")
     mass = pairs.groupBy(F.col("a").alias("word")).agg(F.sum("n_target").alias("m_target"), F.sum("n_background").alias("m_background"))
-    every = words.unionByName(more).join(mass, "word", "left")
+    every = numbered(words, frequent).unionByName(more).join(mass, "word", "left")
     for side, k in (("target", 0), ("background", 1)):
         count = F.greatest(F.col(f"n_{side}"), F.lit(1)).cast("double")
         every = every.withColumn(f"c_{side}", count)
@@ -278,8 +349,8 @@ def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST,
         every = every.withColumn(f"o_{side}", F.greatest(1.0 - weight * F.coalesce(F.col(f"m_{side}"), F.lit(0)) / count, F.lit(1e-6)))
     model = materialise(every.select("word", "n", *[f"{x}_{s}" for s in ("target", "background") for x in "cpo"]), "model")
 
-    first = _looked_up(pairs, "a", model, word_head, ["c_target", "o_target", "c_background", "o_background"]).withColumnRenamed("v", "x")
-    both = _looked_up(first, "b", model, word_head, ["p_target", "p_background"])
+    first = _looked_up(pairs, "a", model, ["c_target", "o_target", "c_background", "o_background"], "x")
+    both = _looked_up(first, "b", model, ["p_target", "p_background"], "v")
     gain = [-F.log1p(weight * F.col(f"n_{s}") / F.col(f"x.c_{s}") / (F.col(f"v.p_{s}") * F.col(f"x.o_{s}"))) for s in ("target", "background")]
     terms = both.select("a", "b", "n", gain[0].alias("t"), gain[1].alias("u"))
     inner = [-F.log(f"p_{s}") - F.log(f"o_{s}") for s in ("target", "background")]
@@ -288,48 +359,121 @@ def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST,
         terms = terms.unionByName(model.select(F.col("word").alias("a"), F.lit(code).cast("long").alias("b"), "n", parts[0].alias("t"), parts[1].alias("u")))
     terms = materialise(terms, "terms")
     default = {r["b"]: (r["t"], r["u"]) for r in terms.filter((F.col("a") == UNKNOWN) & F.col("b").isin(WORD, LAST)).collect()}
-    return Fitted(terms, words, word_head, default, _head(terms, head), docs, (key, text), tokens, unknown)
+    return Fitted(terms, words, frequent, default, _head(terms, head), bits, docs, (key, text), tokens, unknown)
 
 
-class Head:
-    """The frequent terms in arrays."""
+class Terms:
+    """Some terms in arrays."""
 
-    def __init__(self, rows: pd.DataFrame):
-        a, b = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)
-        code = _code(a, b)
+    def __init__(self, code: np.ndarray, t: np.ndarray, u: np.ndarray):
         order = np.argsort(code)
-        self.code, self.a, self.b = code[order], a[order], b[order]
-        self.value = rows[["t", "u"]].to_numpy(np.float64)[order]
+        self.code, self.value = code[order], np.stack([t, u])[:, order]
 
-    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, known = _find(self.code, _code(a, b))
-        if len(self.code):
-            known &= (self.a[at] == a) & (self.b[at] == b)
-        return at, known
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _find(self.code, code)
 
 
-def _rows_of_terms(tokens: DataFrame, head: Head) -> DataFrame:
-    """(row, a, b, t, u): per row the sum of its frequent terms (b is NONE), and the keys of the others."""
-    shared = tokens.sparkSession.sparkContext.broadcast(head)
+_SENT = {"cell": "long", "row": "long", "size": "long", "codes": "binary", "rows": "binary", "t": "binary", "u": "binary"}
+_KINDS = {"long": pa.int64(), "binary": pa.binary()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+
+def _message(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns, schema=pa.schema([(k, _KINDS[v]) for k, v in _SENT.items()]))
+
+
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once, with the sums of its values."""
+    own, of = np.unique(rows, return_inverse=True)
+    return own, np.stack([np.bincount(of, weights=v, minlength=len(own)) for v in values])
+
+
+def _sent(rows: np.ndarray, codes: np.ndarray, head: Terms, bits: int) -> Iterator[pa.RecordBatch]:
+    """Messages of rows' terms: sums of the frequent ones (cell -1, no codes), others by cell."""
+    at, known = head.find(codes)
+    own, values = _sums(rows[known], head.value[:, at[known]])
+    columns: dict[str, list] = {k: [] for k in _SENT}
+
+    def add(*values) -> None:
+        for column, value in zip(columns.values(), values, strict=True):
+            column.append(value)
+
+    if len(own):
+        add(-1, -1, len(own), None, _pack(own), _pack(values[0]), _pack(values[1]))
+    rows, codes = rows[~known], codes[~known]
+    order = np.argsort(codes)
+    rows, codes = rows[order], codes[order]
+    for cell, s in _cells(codes, bits):
+        base = int(rows[s].min())
+        add(cell, base, s.stop - s.start, _pack(np.diff(codes[s], prepend=np.uint64(0))), _pack(rows[s] - base), None, None)
+    yield _message(columns)
+
+
+def _messages(tokens: DataFrame, unknown: DataFrame, fitted: Fitted) -> DataFrame:
+    """What tells the terms of every row: those of its words and pairs, and of pairs with an unknown word."""
+    spark, bits, frequent = tokens.sparkSession, fitted.bits, fitted.frequent
+    top = fitted.terms.filter(F.col("n") >= fitted.head).toPandas()
+    codes = _code(top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64))
+    head = spark.sparkContext.broadcast(Terms(codes, top["t"].to_numpy(np.float64), top["u"].to_numpy(np.float64)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, counts, words in _slices(batches):
-            sums = np.zeros((2, len(rows)))
-            owner = np.repeat(np.arange(len(counts)), counts)
+            coded = _numbered(frequent.value, words)
+            owner = np.repeat(rows, counts)
             at, ends = _neighbours(counts), np.cumsum(counts)[counts > 0] - 1
-            last = words[ends]
-            keys = [(owner, words, np.full(len(words), WORD)), (owner[ends], last, np.full(len(last), LAST)), (owner[at], words[at], words[at + 1])]
-            for whose, a, b in keys:
-                found, known = own.find(a, b)
-                for k in (0, 1):
-                    sums[k] += np.bincount(whose[known], weights=own.value[found[known], k], minlength=len(rows))
-                rare = ~known
-                zero = np.zeros(int(rare.sum()))
-                yield from _batches({"row": rows[whose[rare]], "a": a[rare], "b": b[rare], "t": zero, "u": zero})
-            yield from _batches({"row": rows, "a": rows, "b": np.full(len(rows), NONE), "t": sums[0], "u": sums[1]})
+            a, b = [coded, coded[ends], coded[at]], [np.full(len(coded), WORD), np.full(len(ends), LAST), coded[at + 1]]
+            yield from _sent(np.concatenate([owner, owner[ends], owner[at]]), _code(np.concatenate(a), np.concatenate(b)), head.value, bits)
 
-    return tokens.select("row", "target", "words").mapInArrow(run, "row long, a long, b long, t double, u double")
+    def odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, a, b = (batch.column(k).to_numpy() for k in ("row", "a", "b"))
+            yield from _sent(row, _code(a, b), head.value, bits)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, t, u = (batch.column(k).to_numpy() for k in ("a", "b", "t", "u"))
+            code = _code(a, b)
+            order = np.argsort(code)
+            code, t, u = code[order], t[order], u[order]
+            rows = [(cell, -1, s.stop - s.start, _pack(code[s]), None, _pack(t[s]), _pack(u[s])) for cell, s in _cells(code, bits)]
+            if rows:
+                yield _message(dict(zip(_SENT, map(list, zip(*rows, strict=True)), strict=True)))
+
+    schema = ", ".join(f"{k} {v}" for k, v in _SENT.items())
+    rare = fitted.terms.filter(F.col("n") < fitted.head).select("a", "b", "t", "u").mapInArrow(kept, schema)
+    said = tokens.select("row", "target", "words").mapInArrow(whole, schema)
+    return rare.unionByName(said).unionByName(unknown_pairs(unknown).select("row", "a", "b").mapInArrow(odd, schema))
+
+
+def _added(batches: Iterator[pa.RecordBatch], unknown: dict[int, tuple[float, float]]) -> Iterator[pa.RecordBatch]:
+    """(row, t, u): sums of the terms of rows, cell by cell; the terms of a cell come before the rows."""
+    for cell, parts in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["cell"]):
+        terms: list[tuple] = []
+        known = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for r in parts:
+            n = r["size"]
+            if r["codes"] is None:
+                yield from _batches({"row": _unpack(r["rows"], n), "t": _unpack(r["t"], n, np.float64), "u": _unpack(r["u"], n, np.float64)})
+                continue
+            codes = _unpack(r["codes"], n, np.uint64)
+            if r["row"] < 0:
+                terms.append((codes, _unpack(r["t"], n, np.float64), _unpack(r["u"], n, np.float64)))
+                continue
+            if known is None:
+                known = Terms(*map(np.concatenate, zip(*terms, strict=True))) if terms else Terms(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+            rows, codes = _unpack(r["rows"], n) + r["row"], np.cumsum(codes)
+            at, hit = known.find(codes)
+            kind = codes & np.uint64(3)
+            values = np.zeros((2, n))
+            for code, value in unknown.items():
+                values[:, kind == code] = np.array(value)[:, None]
+            if hit.any():
+                values[:, hit] = known.value[:, at[hit]]
+            told = hit | (kind != NONE)
+            found.append(_sums(rows[told], values[:, told]))
+        if found:
+            rows, values = _sums(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found], axis=1))
+            yield from _batches({"row": rows, "t": values[0], "u": values[1]})
 
 
 def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,23 +482,12 @@ def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "tex
         tokens, unknown = fitted.tokens, fitted.unknown_tokens
     else:
         tokens = tokenised(docs, text, F.lit(False), key)
-        unknown = unknown_tokens(tokens, fitted.words, fitted.word_head)
-    frequent = fitted.terms.filter(F.col("n") >= fitted.head)
-    parts = _rows_of_terms(tokens, Head(frequent.toPandas()))
-    # pairs with the unknown word: the frequent ones get their terms here, so no task gets all rows of one
-    beside = frequent.filter((F.col("a") == UNKNOWN) | (F.col("b") == UNKNOWN)).select("a", "b", "t", "u")
-    odd = unknown_pairs(unknown).join(F.broadcast(beside), ["a", "b"], "left")
-    got = F.col("t").isNotNull()
-    none = F.lit(NONE).cast("long")
-    odd = odd.select("row", F.when(got, F.col("row")).otherwise(F.col("a")).alias("a"), F.when(got, none).otherwise(F.col("b")).alias("b"), F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("u", F.lit(0.0)).alias("u"))
-    others = fitted.terms.filter(F.col("n") < fitted.head).select("a", "b", F.col("t").alias("t2"), F.col("u").alias("u2"))
-    joined = parts.unionByName(odd).join(others, ["a", "b"], "left").filter(F.col("t2").isNotNull() | F.col("b").isin(NONE, WORD, LAST))
-
-    def value(k: int, given: str, found: str) -> Column:
-        missing = F.when(F.col("b") == WORD, fitted.unknown[WORD][k]).when(F.col("b") == LAST, fitted.unknown[LAST][k]).otherwise(0.0)
-        return F.sum(F.col(given) + F.coalesce(F.col(found), missing))
-
-    sums = joined.groupBy("row").agg(value(0, "t", "t2").alias("t"), value(1, "u", "u2").alias("u"))
+        unknown = unknown_tokens(tokens, fitted.words, fitted.frequent)
+    messages, default = _messages(tokens, unknown, fitted), fitted.unknown
+    # sums of frequent terms need no cell and stay where they are dealt by row
+    cells = messages.withColumn("cell", F.when(F.col("cell") < 0, -1 - F.pmod(F.xxhash64("rows"), F.lit(1 << fitted.bits))).otherwise(F.col("cell")))
+    parts = _by_cell(cells, fitted.bits, "row").mapInArrow(lambda batches: _added(batches, default), "row long, t double, u double")
+    sums = parts.groupBy("row").agg(F.sum("t").alias("t"), F.sum("u").alias("u"))
     n = F.size("words").cast("long")
     whole = tokens.select("row", "key", n.alias("n_tokens")).join(sums, "row", "left")
     mean = [F.coalesce(F.col(x) / F.greatest("n_tokens", F.lit(1)), F.lit(0.0)) for x in ("t", "u")]
