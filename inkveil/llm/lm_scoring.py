@@ -16,11 +16,11 @@ document has P(w).
 Both models are Spark tables. The loss of a document is a sum of terms: one for each word, w's own
 -log P(w) and, where a word follows, -log of the back-off weight; and for each pair in the model what
 it takes off. Documents are turned into word hashes once; the ``HEAD`` / 2 most frequent words then go by
-small numbers. The ``HEAD`` most frequent terms are broadcast and added up where the documents lie; all other
+small numbers. Their terms and those of the ``HEAD`` most frequent pairs are broadcast and added up where the documents lie; all other
 words and pairs of the documents meet the terms in cells, ranges of a 64-bit hash of the term, which come to a
 task one after another. Pairs are counted in such cells as well. Their columns travel packed, and there
 is a cell for every ``CELL`` tokens, so a task's memory does not grow with the corpus. ``HEAD`` and ``CELL``
-bound memory and change no result. Words are told apart by 64-bit hashes, terms by hashes of 62 bits.
+bound memory and change no result. Terms are kept to seven digits, and added up in full. Words are told apart by 64-bit hashes, terms by hashes of 62 bits.
 
 Defined cases: null, empty and blank texts have no tokens and zero losses. Texts are read whole.
 Rows whose target flag is null belong to the background. Repeated rows count each time. If either
@@ -39,18 +39,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, scratch
+from .shared import discard, materialise, scratch
 
 LEAST = 2
 LAMBDA = 0.7
-#: Most terms that are broadcast.
+#: Most pairs whose terms are broadcast; of words, half as many.
 HEAD = 1 << 18
 #: Tokens for each cell.
 CELL = 1 << 21
 #: Fewest cells, so that small corpora are dealt to several tasks.
 CELLS = 32
 _SLICE = 1 << 21
-_TOKENS = 1 << 20
+_TOKENS = 1 << 19
 _ROWS = 1 << 18
 #: Codes that are no word's hash: no neighbour, the unknown word, and what stands behind a word in the key of its terms.
 NONE, UNKNOWN, WORD, LAST = range(4)
@@ -191,9 +191,36 @@ def _by_cell(rows: DataFrame, bits: int, *order: str) -> DataFrame:
     return rows.repartition(1 << bits, "cell").sortWithinPartitions("cell", *order)
 
 
-def _numbered(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
+class Lookup:
+    """Sorted evenly spread keys of 64 bits, found by a table of where each small range of them starts."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.starts: np.ndarray | None = None
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values stand among the keys, and whether they do."""
+        if not len(self.keys):
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        least, last = int(self.keys[0]), len(self.keys) - 1
+        if self.starts is None:
+            self.shift = np.uint64(max(0, (int(self.keys[-1]) - least).bit_length() - last.bit_length() - 2))
+            edges = (self.keys.view(np.uint64) - np.uint64(least % (1 << 64))) >> self.shift
+            self.starts = np.searchsorted(edges, np.arange(int(edges[-1]) + 1, dtype=np.uint64)).astype(np.int32)
+        # values below all keys wrap around to the last range
+        place = (values.view(np.uint64) - np.uint64(least % (1 << 64))) >> self.shift
+        at = self.starts[np.minimum(place, np.uint64(len(self.starts) - 1)).view(np.int64)].astype(np.int64)
+        behind = np.flatnonzero(self.keys[at] < values)
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < values[behind]]
+        return at, self.keys[at] == values
+
+
+def _numbered(frequent: Lookup, words: np.ndarray) -> np.ndarray:
     """Frequent words as numbers, other words as they are."""
-    at, known = _find(frequent, words)
+    at, known = frequent.find(words)
     return np.where(known, at + LAST + 1, words)
 
 
@@ -210,8 +237,12 @@ def numbered(words: DataFrame, shared: Broadcast) -> DataFrame:
 
 def _summed(a: np.ndarray, b: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Sorted codes of the distinct pairs, the pairs and their summed counts."""
-    codes, where, of = np.unique(_code(a, b), return_index=True, return_inverse=True)
-    return codes, a[where], b[where], [np.bincount(of, weights=c, minlength=len(codes)).astype(np.int64) for c in counts]
+    codes = _code(a, b)
+    order = np.argsort(codes)
+    codes = codes[order]
+    starts = np.flatnonzero(np.diff(codes, prepend=~codes[:1]))
+    first = order[starts]
+    return codes[starts], a[first], b[first], [np.add.reduceat(c[order], starts, dtype=np.int64) if len(starts) else c.astype(np.int64) for c in counts]
 
 
 def count_pairs(tokens: DataFrame, shared: Broadcast, bits: int, least: int) -> DataFrame:
@@ -269,14 +300,17 @@ def unknown_tokens(tokens: DataFrame, words: DataFrame, shared: Broadcast) -> Da
             yield from _batches({"row": rows[owner], "target": flags[owner], "place": place, "word": found[rare], "before": before, "after": after})
 
     rare = tokens.select("row", "target", "words").mapInArrow(run, "row long, target boolean, place long, word long, before long, after long")
-    missing = materialise(rare.join(words.select("word"), "word", "left_anti"), "unknown")
+    first = scratch(tokens.sparkSession, "unknown")
+    missing = materialise(rare.join(words.select("word"), "word", "left_anti"), path=first)
     # neighbours that are unknown themselves
     places = missing.select("row", "place", F.lit(True).alias("u"))
     for side, shift in (("before", 1), ("after", -1)):
         near = places.select("row", (F.col("place") + shift).alias("place"), F.col("u").alias(side + "_u"))
         missing = missing.join(near, ["row", "place"], "left")
         missing = missing.withColumn(side, F.when(F.col(side + "_u"), F.lit(UNKNOWN).cast("long")).otherwise(F.col(side)))
-    return materialise(missing.select("row", "target", "before", "after"), "unknown")
+    whole = materialise(missing.select("row", "target", "before", "after"), "unknown")
+    discard(tokens.sparkSession, first)
+    return whole
 
 
 def unknown_pairs(unknown: DataFrame) -> DataFrame:
@@ -287,14 +321,6 @@ def unknown_pairs(unknown: DataFrame) -> DataFrame:
     return behind.unionByName(ahead)
 
 
-def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the values stand among the sorted keys, and whether they do."""
-    if not len(keys):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return at, keys[at] == values
-
-
 def _looked_up(df: DataFrame, key: str, model: DataFrame, values: list[str], out: str) -> DataFrame:
     """Add the values of the word ``key`` as a struct; those of frequent words are broadcast, so no task gets all rows of one."""
     facts = model.select(F.col("word").alias(key), F.struct(*values).alias(out))
@@ -331,13 +357,14 @@ def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST,
     own = words.agg(F.count(F.lit(1)).alias("n"), F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
     rest = [total[0] - (own["t"] or 0), total[1] - (own["b"] or 0)]
     top = words.filter(F.col("n") >= _head(words, head // 2)).select("word").toPandas()["word"].to_numpy(np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(top))
+    frequent = spark.sparkContext.broadcast(Lookup(np.sort(top)))
     bits = _bits(sum(total))
     unknown = unknown_tokens(tokens, words, frequent)
     odd = unknown_pairs(unknown).select("a", "b", F.col("target").cast("long").alias("n_target"), (~F.col("target")).cast("long").alias("n_background"))
     # pairs with a word that occurs less than ``least`` times are rarer than that themselves, so none of them is in both
     kept = count_pairs(tokens, frequent, bits, least).unionByName(_counted(odd, "a", "b").filter(n >= least))
-    pairs = materialise(kept.withColumn("n", n), "pairs")
+    paths = [scratch(spark, "pairs"), scratch(spark, "model")]
+    pairs = materialise(kept.withColumn("n", n), path=paths[0])
 
     more = spark.createDataFrame([(UNKNOWN, *map(int, rest), 1 << 62)], "word long, n_target long, n_background long, n long")
     mass = pairs.groupBy(F.col("a").alias("word")).agg(F.sum("n_target").alias("m_target"), F.sum("n_background").alias("m_background"))
@@ -347,7 +374,7 @@ def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST,
         every = every.withColumn(f"c_{side}", count)
         every = every.withColumn(f"p_{side}", (F.col(f"n_{side}") + 1.0) / F.lit(float(total[k] + own["n"] + 1)))
         every = every.withColumn(f"o_{side}", F.greatest(1.0 - weight * F.coalesce(F.col(f"m_{side}"), F.lit(0)) / count, F.lit(1e-6)))
-    model = materialise(every.select("word", "n", *[f"{x}_{s}" for s in ("target", "background") for x in "cpo"]), "model")
+    model = materialise(every.select("word", "n", *[f"{x}_{s}" for s in ("target", "background") for x in "cpo"]), path=paths[1])
 
     first = _looked_up(pairs, "a", model, ["c_target", "o_target", "c_background", "o_background"], "x")
     both = _looked_up(first, "b", model, ["p_target", "p_background"], "v")
@@ -357,9 +384,10 @@ def fit(docs: DataFrame, target: Column, text: str = "text", least: int = LEAST,
     last = [F.log(f"o_{s}") for s in ("target", "background")]
     for code, parts in ((WORD, inner), (LAST, last)):
         terms = terms.unionByName(model.select(F.col("word").alias("a"), F.lit(code).cast("long").alias("b"), "n", parts[0].alias("t"), parts[1].alias("u")))
-    terms = materialise(terms, "terms")
+    terms = materialise(terms.withColumns({"t": F.col("t").cast("float"), "u": F.col("u").cast("float")}), "terms")
+    discard(spark, *paths)
     default = {r["b"]: (r["t"], r["u"]) for r in terms.filter((F.col("a") == UNKNOWN) & F.col("b").isin(WORD, LAST)).collect()}
-    return Fitted(terms, words, frequent, default, _head(terms, head), bits, docs, (key, text), tokens, unknown)
+    return Fitted(terms, words, frequent, default, _head(terms.filter(~F.col("b").isin(WORD, LAST)), head), bits, docs, (key, text), tokens, unknown)
 
 
 class Terms:
@@ -367,10 +395,10 @@ class Terms:
 
     def __init__(self, code: np.ndarray, t: np.ndarray, u: np.ndarray):
         order = np.argsort(code)
-        self.code, self.value = code[order], np.stack([t, u])[:, order]
+        self.own, self.value = Lookup(code[order]), np.stack([t, u])[:, order]
 
     def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _find(self.code, code)
+        return self.own.find(code)
 
 
 _SENT = {"cell": "long", "row": "long", "size": "long", "codes": "binary", "rows": "binary", "t": "binary", "u": "binary"}
@@ -383,23 +411,22 @@ def _message(columns: dict[str, list]) -> pa.RecordBatch:
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row once, with the sums of its values."""
-    own, of = np.unique(rows, return_inverse=True)
-    return own, np.stack([np.bincount(of, weights=v, minlength=len(own)) for v in values])
+    order = np.argsort(rows)
+    own = rows[order]
+    starts = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+    return own[starts], np.stack([np.add.reduceat(v[order], starts) if len(starts) else v for v in values])
 
 
-def _sent(rows: np.ndarray, codes: np.ndarray, head: Terms, bits: int) -> Iterator[pa.RecordBatch]:
-    """Messages of rows' terms: sums of the frequent ones (cell -1, no codes), others by cell."""
-    at, known = head.find(codes)
-    own, values = _sums(rows[known], head.value[:, at[known]])
+def _sent(rows: np.ndarray, codes: np.ndarray, bits: int, sums: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Messages: sums of rows that are known already (cell -1, no codes), and the rows of other terms by cell."""
     columns: dict[str, list] = {k: [] for k in _SENT}
 
     def add(*values) -> None:
         for column, value in zip(columns.values(), values, strict=True):
             column.append(value)
 
-    if len(own):
-        add(-1, -1, len(own), None, _pack(own), _pack(values[0]), _pack(values[1]))
-    rows, codes = rows[~known], codes[~known]
+    if sums is not None and len(sums[0]):
+        add(-1, -1, len(sums[0]), None, _pack(sums[0]), _pack(sums[1][0]), _pack(sums[1][1]))
     order = np.argsort(codes)
     rows, codes = rows[order], codes[order]
     for cell, s in _cells(codes, bits):
@@ -411,35 +438,59 @@ def _sent(rows: np.ndarray, codes: np.ndarray, head: Terms, bits: int) -> Iterat
 def _messages(tokens: DataFrame, unknown: DataFrame, fitted: Fitted) -> DataFrame:
     """What tells the terms of every row: those of its words and pairs, and of pairs with an unknown word."""
     spark, bits, frequent = tokens.sparkSession, fitted.bits, fitted.frequent
-    top = fitted.terms.filter(F.col("n") >= fitted.head).toPandas()
+    of_word = F.col("b").isin(WORD, LAST)
+    frequent_word = of_word & F.col("a").between(LAST + 1, _NUMBERS - 1)
+    frequent_pair = ~of_word & (F.col("n") >= fitted.head)
+    top = fitted.terms.filter(frequent_pair).select("a", "b", "t", "u").toPandas()
     codes = _code(top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64))
     head = spark.sparkContext.broadcast(Terms(codes, top["t"].to_numpy(np.float64), top["u"].to_numpy(np.float64)))
+    top = fitted.terms.filter(frequent_word).select("a", "b", "t", "u").toPandas()
+    terms = np.zeros((2, 2, len(frequent.value.keys)))
+    for k, column in enumerate(("t", "u")):
+        terms[(top["b"] == LAST).to_numpy(np.int64), k, top["a"].to_numpy(np.int64) - LAST - 1] = top[column].to_numpy(np.float64)
+    own = spark.sparkContext.broadcast(terms)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, counts, words in _slices(batches):
-            coded = _numbered(frequent.value, words)
-            owner = np.repeat(rows, counts)
-            at, ends = _neighbours(counts), np.cumsum(counts)[counts > 0] - 1
-            a, b = [coded, coded[ends], coded[at]], [np.full(len(coded), WORD), np.full(len(ends), LAST), coded[at + 1]]
-            yield from _sent(np.concatenate([owner, owner[ends], owner[at]]), _code(np.concatenate(a), np.concatenate(b)), head.value, bits)
+            number, known = frequent.value.find(words)
+            coded = np.where(known, number + LAST + 1, words)
+            owner = np.repeat(np.arange(len(rows)), counts)
+            ends = np.cumsum(counts)[counts > 0] - 1
+            sums, rest = np.zeros((2, len(rows))), []
+            for code, at in ((WORD, np.arange(len(words))), (LAST, ends)):
+                told = at[known[at]]
+                for k in (0, 1):
+                    sums[k] += np.bincount(owner[told], weights=own.value[code - WORD, k][number[told]], minlength=len(rows))
+                others = at[~known[at]]
+                rest.append((others, _code(coded[others], np.full(len(others), code))))
+            at = _neighbours(counts)
+            codes = _code(coded[at], coded[at + 1])
+            place, hit = head.value.find(codes)
+            for k in (0, 1):
+                sums[k] += np.bincount(owner[at[hit]], weights=head.value.value[k][place[hit]], minlength=len(rows))
+            rest.append((at[~hit], codes[~hit]))
+            who, what = map(np.concatenate, zip(*rest, strict=True))
+            yield from _sent(rows[owner[who]], what, bits, (rows, sums))
 
     def odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, a, b = (batch.column(k).to_numpy() for k in ("row", "a", "b"))
-            yield from _sent(row, _code(a, b), head.value, bits)
+            codes = _code(a, b)
+            place, hit = head.value.find(codes)
+            yield from _sent(row[~hit], codes[~hit], bits, _sums(row[hit], head.value.value[:, place[hit]]))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, t, u = (batch.column(k).to_numpy() for k in ("a", "b", "t", "u"))
             code = _code(a, b)
             order = np.argsort(code)
-            code, t, u = code[order], t[order], u[order]
+            code, t, u = code[order], t[order].astype(np.float64), u[order].astype(np.float64)
             rows = [(cell, -1, s.stop - s.start, _pack(code[s]), None, _pack(t[s]), _pack(u[s])) for cell, s in _cells(code, bits)]
             if rows:
                 yield _message(dict(zip(_SENT, map(list, zip(*rows, strict=True)), strict=True)))
 
     schema = ", ".join(f"{k} {v}" for k, v in _SENT.items())
-    rare = fitted.terms.filter(F.col("n") < fitted.head).select("a", "b", "t", "u").mapInArrow(kept, schema)
+    rare = fitted.terms.filter(~frequent_word & ~frequent_pair).select("a", "b", "t", "u").mapInArrow(kept, schema)
     said = tokens.select("row", "target", "words").mapInArrow(whole, schema)
     return rare.unionByName(said).unionByName(unknown_pairs(unknown).select("row", "a", "b").mapInArrow(odd, schema))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
+#: Spark's setting that drops the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,14 +31,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (``path`` in it) and read it back: cuts lineage, survives lost executors.
+
+    The shuffles of the write are of no use once it is done; Spark is told to drop their files then.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or scratch(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Put an empty table in the place of written tables that nothing reads any more."""
+    for path in paths:
+        spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs without ASCII white space; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
