@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_store, toxicity
+from . import (
+    decontamination, html_extraction, line_dedup, lm_scoring, mixing, quality_rules, sharding, simhash, source_divergence, suffix_dedup, token_store,
+    toxicity, vector_codes,
+)
 
 
 def queries() -> dict:
@@ -17,6 +20,9 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_toxicity": toxicity.query,
+        "op11_vector_codes": vector_codes.query,
+        "op12_sharding": sharding.query,
+        "op13_source_divergence": source_divergence.query,
     }
 
 
@@ -24,4 +30,6 @@ def oracle_sql() -> dict:
     return {
         "op5_quality_rules": quality_rules.SQL,
         "op7_decontamination": decontamination.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op13_source_divergence": source_divergence.SQL,
     }
