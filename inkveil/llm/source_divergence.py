@@ -206,7 +206,7 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     lists = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "z")).alias("postings")).filter(F.size("postings") > 1)
     met = lists.select("postings").mapInArrow(_overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     met = materialise(met, "overlaps")
-    turned = lambda df: df.withColumnsRenamed({"a": "b", "b": "a"})
+    turned = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in df.columns if c not in "ab"])
     back = turned(single).withColumnsRenamed({"away": "away_back", "own": "own_back"})
     joined = pairs.join(single, ["a", "b"]).join(back, ["a", "b"]).join(met.unionByName(turned(met)), ["a", "b"], "left")
     neither = (F.col("v") - F.col("own") - F.col("own_back")) * F.abs(F.col("za") - F.col("zb"))
