@@ -30,6 +30,8 @@ SLOTS = 4096
 SEED = 12
 #: Rows of a slot that are numbered in one cell, on average.
 CELL_ROWS = 4096
+#: Part of its share by which a shard may be above it without giving slots away.
+SLACK = 0.001
 #: What the shards hold to: near equal bytes.
 LAW = "bytes"
 
@@ -57,16 +59,30 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> Dat
     """The next version of a map for ``shards`` shards, edited as far as the bytes of its slots ask for it.
 
     ``current`` is one version, with a row for each slot; both tables have at most as many rows as slots.
-    Slots of shards that no longer exist all move.
+    Slots of shards that no longer exist all move. A slot above its shard's share moves to the least full shard, which a second
+    pass empties of all else.
     """
+    once = materialise(_edited(current, sizes, shards), "slot-map")
+    return _edited(once, sizes, shards).withColumn("version", F.col("version") - 1)
+
+
+def _edited(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     known = current.join(F.broadcast(sizes.select("vslot", "bytes")), "vslot", "left").select(
         "version", "vslot", "shard", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes")
     )
-    mean = F.sum("bytes").over(Window.partitionBy(F.lit(0))) / F.lit(float(shards))
-    filling = Window.partitionBy("shard").orderBy(F.col("bytes").desc(), "vslot").rowsBetween(Window.unboundedPreceding, 0)
-    # slots that do not fit are passed over, smaller ones behind them move too: what moves last is small
-    stays = (F.col("shard") < shards) & (F.sum("bytes").over(filling) <= F.col("mean"))
-    marked = known.withColumn("mean", mean).withColumn("stays", stays)
+    # the level that shards fill up to: the mean of what is left when slots above the mean have a shard of their own
+    whole = Window.partitionBy(F.lit(0))
+    falling = whole.orderBy(F.col("bytes").desc(), "vslot")
+    larger = F.coalesce(F.sum("bytes").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.lit(shards) - F.row_number().over(falling) + 1
+    mean = F.when(left > 0, (F.sum("bytes").over(whole) - larger) / left)
+    ranked = known.withColumn("mean", mean)
+    level = F.coalesce(F.min(F.when(F.col("bytes") <= F.col("mean"), F.col("mean"))).over(whole), F.lit(0.0))
+    order = Window.partitionBy("shard").orderBy(F.col("bytes").desc(), "vslot")
+    filled = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # a shard's largest slot stays, and all that fit with it; smaller ones behind those that do not fit move too, so what moves last is small
+    fits = (F.row_number().over(order) == 1) | (filled <= F.col("level") * (1 + SLACK))
+    marked = ranked.withColumn("level", level).withColumn("stays", (F.col("shard") < shards) & fits)
     one = marked.agg(
         F.collect_list(F.when(~F.col("stays"), F.struct((-F.col("bytes")).alias("less"), "vslot"))).alias("moving"),
         F.collect_list(F.when(F.col("stays"), F.struct("shard", "bytes", "vslot"))).alias("staying"),

@@ -38,6 +38,8 @@ ROUNDS = 2
 SCALE = 256
 #: Vectors compared at once; with 64 entries a table of bounds takes about 2 MB.
 BATCH = 4096
+#: Entries of a part whose distance is looked at on each level to lower the limit for the others.
+PROBES = 4
 #: Above this a component, squared and summed over a part, may not fit into 64 bits.
 NARROW = 1 << 26
 LIMB = 32
@@ -82,36 +84,46 @@ def _summary(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return means * np.sqrt(lengths), np.sqrt((rest * rest).sum(1))
 
 
+def survivors(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, entries) of the pairs that no bound excludes, in order; each row has at least its nearest entries."""
+    shift = max(0, max(int(np.abs(x).max()), int(np.abs(c).max())).bit_length() - 400)
+    fx, fc = _floats(x, shift), _floats(c, shift)
+    nx, nc = np.sqrt((fx * fx).sum(1)), np.sqrt((fc * fc).sum(1))
+    margin = x.shape[1] * 2.0**-46
+    n = np.arange(len(x))
+    rows, cols = np.repeat(n, len(c)), np.tile(np.arange(len(c)), len(x))
+    most = np.full(len(x), np.inf)
+    for starts in segment_levels(x.shape[1]):
+        (mx, rx), (mc, rc) = _summary(fx, starts), _summary(fc, starts)
+        bound = (rx[rows] - rc[cols]) ** 2
+        for i in range(len(starts)):
+            bound += (mx[rows, i] - mc[cols, i]) ** 2
+        # the entry with the least bound looks best: nothing beyond its distance is needed, which then is its own bound
+        first = np.searchsorted(rows, n)
+        for _ in range(PROBES):
+            hits = np.flatnonzero(bound == np.minimum.reduceat(bound, first)[rows])
+            probe = hits[np.searchsorted(rows[hits], n)]
+            best = cols[probe]
+            far, slack = ((fx - fc[best]) ** 2).sum(1), margin * (nx + nc[best]) ** 2
+            most = np.minimum(most, far + slack + 1e-290)
+            bound[probe] = np.maximum(bound[probe], far - slack)
+        stay = bound <= most[rows] + margin * (nx[rows] + nc[cols]) ** 2
+        rows, cols = rows[stay], cols[stay]
+    return rows, cols
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of ``x`` the index of the nearest row of ``c`` and their squared distance, exactly. Both hold integers."""
     n, width = x.shape
     if not n or not width:
         return np.zeros(n, np.int64), np.zeros(n, np.int64)
-    top = max(int(np.abs(x).max()), int(np.abs(c).max()))
-    shift = max(0, top.bit_length() - 400)
-    fx, fc = _floats(x, shift), _floats(c, shift)
-    nx, nc = np.sqrt((fx * fx).sum(1)), np.sqrt((fc * fc).sum(1))
-    margin = width * 2.0**-46
-    rows = cols = None
-    for level, starts in enumerate(segment_levels(width)):
-        (mx, rx), (mc, rc) = _summary(fx, starts), _summary(fc, starts)
-        if level == 0:
-            bound = (mx - mc.T) ** 2 + (rx[:, None] - rc) ** 2
-            best = bound.argmin(1)
-            most = ((fx - fc[best]) ** 2).sum(1) + margin * (nx + nc[best]) ** 2 + 1e-290
-            rows, cols = np.nonzero(bound <= most[:, None] + margin * (nx[:, None] + nc) ** 2)
-        else:
-            bound = ((mx[rows] - mc[cols]) ** 2).sum(1) + (rx[rows] - rc[cols]) ** 2
-            stay = bound <= most[rows] + margin * (nx[rows] + nc[cols]) ** 2
-            rows, cols = rows[stay], cols[stay]
-    # survivors, in order of row and entry; each row has at least the entry that looked best
+    rows, cols = survivors(x, c)
     if x.dtype != object and c.dtype != object:
         exact = ((x[rows] - c[cols]) ** 2).sum(1)
     else:
         exact = np.empty(len(rows), object)
         exact[:] = [sum((int(a) - int(b)) ** 2 for a, b in zip(x[i], c[j], strict=True)) for i, j in zip(rows.tolist(), cols.tolist(), strict=True)]
-    first = np.searchsorted(rows, np.arange(n))
-    least = np.minimum.reduceat(exact, first)
+    least = np.minimum.reduceat(exact, np.searchsorted(rows, np.arange(n)))
     hits = np.flatnonzero(exact == least[rows])
     return cols[hits[np.searchsorted(rows[hits], np.arange(n))]], least
 
