@@ -1,104 +1,143 @@
-"""Names of persons: rules that need only a pattern are expressions; runs of capitalised words are
-judged with a lexicon in Arrow batches, which mark the names for the engine's common steps."""
+"""Names of persons. Rules that start from a label, a title or an address are expressions; runs of capitalised words and
+single names are decided by the automaton of ``namegrammar`` in Arrow batches, which mark them for the engine's common steps.
+
+The lexicon travels with the tasks. A larger one stays a table: ``with_lexicon`` gives each document the entries that
+its words can make, and ``name_steps`` takes them from there.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .engine import CLOSE, OPEN, Candidate, Step, Verdict
-from .lexicon import Lexicon
+from .lexicon import Lexicon, with_classes
+from .namegrammar import Grammar
 from .options import Options
 
 LEXICON = Lexicon()
 _CAP = r"[A-ZÀ-Ý][a-zà-ÿ]+(?:['’-][A-ZÀ-Ý][a-zà-ÿ]+)*"
 _TOKEN = rf"(?:[DL]['’])?{_CAP}|[A-ZÀ-Ý]\."
 _NAME = rf"(?:{_TOKEN})(?:[ \t](?:(?:de|di|da|del|della|von|van|le|la)[ \t])?(?:{_TOKEN})){{0,3}}"
-_RUN = re.compile(rf"(?<![\w{{])(?:{_TOKEN})(?:[ \t](?:(?:de|di|da|del|della|von|van)[ \t])?(?:{_TOKEN}))+(?![\w}}])")
-_LOUD = re.compile(r"(?<![\w{])[A-ZÀ-Ý]{3,}(?:[ \t][A-ZÀ-Ý]{2,}){1,2}(?![\w}])")
-_ALONE = re.compile(rf"(?<![\w{{]){_CAP}(?![\w}}])")
 _STOP = "Sir|Madam|All|Team|Customer|Colleague|Colleagues|Friends|Mr|Mrs|Ms|Dr|Signore|Signora|Tutti|Cliente|Colleghi"
 
 
-def judge_run(run: str, prose: bool | None, lexicon: Lexicon) -> tuple[str, int, int]:
-    """(decision, from, to) for a run of capitalised words: the part that is a name."""
-    tokens = [(m.start(), m.end(), m.group().lower().strip(".")) for m in re.finditer(r"\S+", run)]
-    while tokens and tokens[0][2] in lexicon.common:
-        tokens = tokens[1:]
-    while tokens and tokens[-1][2] in lexicon.common:
-        tokens = tokens[:-1]
-    if not 2 <= len(tokens) <= 5 or any(t[2] in lexicon.entity for t in tokens):
-        return "leave", 0, 0
-    hits = sum(t[2] in lexicon.given or t[2] in lexicon.surnames for t in tokens)
-    if hits >= (1 if prose else 2):
-        return "replace", tokens[0][0], tokens[-1][1]
-    return ("suspect", tokens[0][0], tokens[-1][1]) if hits == 1 else ("leave", 0, 0)
-
-
-def _mark_names(text: str | None, prose: bool | None, alone: bool, lexicon: Lexicon) -> str | None:
+def mark_names(text: str | None, prose: bool | None, alone: bool, grammar: Grammar) -> str | None:
     """Names between marks; suspected ones carry a question mark after the opening mark."""
     if not text:
         return text
+    out, last = [], 0
+    for f in grammar.find(text, prose, alone):
+        out += [text[last : f.start], OPEN, "?" if f.decision == "suspect" else "", text[f.start : f.end], CLOSE]
+        last = f.end
+    return "".join([*out, text[last:]])
 
-    def mark(m: re.Match) -> str:
-        decision, a, b = judge_run(m.group(), prose, lexicon)
-        if decision == "leave":
-            return m.group()
-        sign = "?" if decision == "suspect" else ""
-        return f"{m.group()[:a]}{OPEN}{sign}{m.group()[a:b]}{CLOSE}{m.group()[b:]}"
 
-    def lone(m: re.Match) -> str:
-        word = m.group().lower()
-        if len(word) < 4 or word in lexicon.common or not (word in lexicon.given or word in lexicon.surnames):
-            return m.group()
-        sure = alone and word in lexicon.given and word not in lexicon.surnames
-        return f"{OPEN}{'' if sure else '?'}{m.group()}{CLOSE}"
+def marker(lexicon: Lexicon = LEXICON) -> Callable[[Column, Options], Column]:
+    """Marks the names of a lexicon that travels with the tasks."""
+    entries = lexicon.bits()
 
-    pieces = re.split(f"({OPEN}[^{CLOSE}]*{CLOSE})", _LOUD.sub(mark, _RUN.sub(mark, text)))
-    return "".join(p if p.startswith(OPEN) else _ALONE.sub(lone, p) for p in pieces)
-
-
-def marker(lexicon: Lexicon = LEXICON):
     def mark(text: Column, options: Options) -> Column:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            grammar = Grammar(entries)
             for batch in batches:
-                yield pd.Series([_mark_names(t, options.prose, options.names_alone, lexicon) for t in batch], dtype=object)
+                yield pd.Series([mark_names(t, options.prose, options.names_alone, grammar) for t in batch], dtype=object)
 
         return F.pandas_udf(run, "string")(text)
 
     return mark
 
 
+def marker_from(column: str) -> Callable[[Column, Options], Column]:
+    """Marks the names of the entries that each document carries in a map column."""
+
+    def mark(text: Column, options: Options) -> Column:
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for texts, maps in batches:
+                found = [mark_names(t, options.prose, options.names_alone, Grammar(dict(m or {}))) for t, m in zip(texts, maps, strict=True)]
+                yield pd.Series(found, dtype=object)
+
+        return F.pandas_udf(run, "string")(text, F.col(column))
+
+    return mark
+
+
 def _judged(c: Candidate, options: Options) -> Verdict:
     suspect = c.value.startswith("?")
     plain = F.regexp_replace(c.value, r"^\?", "")
     return Verdict(F.when(suspect, F.lit("suspect")).otherwise(F.lit("replace")), plain, why=F.lit("one word is a name"))
 
 
-def _person(c: Candidate, options: Options) -> Verdict:
-    """After a title, greeting or formula: what is no name at the end goes back."""
-    entity = F.lower(c.value).rlike(r"(?U)(?<!\w)(?:" + "|".join(sorted(LEXICON.entity)) + r")(?!\w)")
-    first = F.lower(F.regexp_extract(c.value, r"^\S+", 0)).isin(*sorted(LEXICON.common))
-    return Verdict(F.when(entity | first, F.lit("leave")).otherwise(F.lit("replace")), c.value)
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words)) + ")"
+
+
+_LISTED = _any(x for x in LEXICON.given | LEXICON.surnames if " " not in x)
+_COMMON = _any(LEXICON.common)
+_ENTITY = rf"(?<!\w){_any(LEXICON.entity)}(?!\w)"
+#: A name and a surname that is also a common word, or a compound surname, at the end.
+_SUPPORTED = rf"(?<!\w)(?:(?:{_any((LEXICON.given | LEXICON.surnames) - LEXICON.common)}) {_any(LEXICON.surnames & LEXICON.common)}|{_any(x for x in LEXICON.surnames if ' ' in x)})$"
+_GLUED = _any(sorted(f"{p} {x[len(p):]}" for x in LEXICON.surnames for p in LEXICON.particles if x.startswith(p) and len(x) - len(p) > 3))
+_COMPANY = r"^,?[ \t]?(?:S\.?[rR]\.?[lL]|S\.?[pP]\.?[aA]|S\.?[nN]\.?[cC]|S\.?[aA]\.?[sS]|Ltd|LLC|Inc|PLC|plc|GmbH|AG)(?!\w)"
+
+
+def _person(c: Candidate, options: Options, trim: str = "tail", listed: bool = False, company: bool = False) -> Verdict:
+    """The judge of the rules with a label. Common words at the end (``tail``) or the start (``head``) go back to the text.
+
+    A surname that is also a common word stays behind a name, as a compound surname does. ``listed``: one word alone must
+    be in the lexicon, and several of which none is must not hold a job. ``company``: a company's form behind it excludes it.
+    """
+    low = F.lower(c.value)
+    supported = low.rlike(f"(?U){_SUPPORTED}") | low.rlike(rf"(?U)(?<!\w){_GLUED}$")
+    if trim == "tail":
+        kept = F.when(supported, c.value).otherwise(F.regexp_replace(c.value, rf"(?iU)(?:(?:^|[ \t]+){_COMMON})+$", ""))
+        head, tail = None, F.substring(c.value, F.length(kept) + 1, F.length(c.value))
+    else:
+        starts = low.rlike(rf"(?U)^{_GLUED}(?!\w)")
+        kept = F.when(starts, c.value).otherwise(F.regexp_replace(c.value, rf"(?iU)^(?:{_COMMON}(?:[ \t]+|$))+", ""))
+        head, tail = F.left(c.value, F.length(c.value) - F.length(kept)), None
+    no = low.rlike(f"(?U){_ENTITY}") | (kept == "")
+    if listed:
+        known = low.rlike(rf"(?U)(?<!\w){_LISTED}(?!\w)")
+        no = no | (~known & (~kept.rlike(r"\s") | low.rlike(rf"(?U)(?<!\w){_any(LEXICON.jobs)}(?!\w)")))
+    if company:
+        no = no | c.after.rlike(_COMPANY) | F.regexp_extract(c.value, r"\S+$", 0).rlike(_COMPANY)
+    return Verdict(F.when(no, F.lit("leave")).otherwise(F.lit("replace")), F.when(no, c.value).otherwise(kept),
+                   head=None if head is None else F.when(no, F.lit("")).otherwise(head), tail=None if tail is None else F.when(no, F.lit("")).otherwise(tail))
+
+
+_beside_mail = partial(_person, trim="head", listed=True)
+_declared = partial(_person, company=True)
+
+
+def with_lexicon(docs: DataFrame, key: str, text: str, entries: DataFrame, into: str = "lexicon") -> DataFrame:
+    """``docs`` with the entries of a lexicon table that each text can hold; see ``lexicon.with_classes``."""
+    return with_classes(docs, key, text, entries, into)
+
+
+def name_steps(column: str | None = None, lexicon: Lexicon = LEXICON) -> list[Step]:
+    """The steps for names. The last one takes its lexicon from the map ``column`` of each document, or from ``lexicon``."""
+    mark = marker_from(column) if column else marker(lexicon)
+    return [s if s.name != "name_runs" else Step(s.name, s.kind, s.label, s.pack, s.switch, s.priority, judge=_judged, mark=mark) for s in NAME_STEPS]
 
 
-def _rule(name: str, pack: str, priority: int, before: str, value: str = _NAME) -> Step:
-    return Step(name, "names", "NAME", pack, "names", priority, rf"(?U)((?<![\w{{])(?:{before}))({value})(?![\w}}])", _person, True)
+def _rule(name: str, pack: str, priority: int, before: str, value: str = _NAME, judge=_person) -> Step:
+    return Step(name, "names", "NAME", pack, "names", priority, rf"(?U)((?<![\w{{])(?:{before}))({value})(?![\w}}])", judge, True)
 
 
 _HORIZONTAL = r"[ \t]"
 NAME_STEPS: list[Step] = [
     _rule("name_title", "IT", 90, rf"(?:[Ss]ig(?:\.ra|\.na|\.|nora|nor)|[Dd]ott(?:\.ssa|\.|oressa|ore|or)|[Aa]vv\.|[Ii]ng\.|[Gg]eom\.|[Rr]ag\.|[Pp]rof(?:\.ssa|\.)|[Oo]n\.){_HORIZONTAL}?"),
     _rule("name_role_colon", "IT", 90, rf"(?:[Ii]l|[Ll]a){_HORIZONTAL}[^,:\n]{{3,60}}:{_HORIZONTAL}?", r"[A-ZÀ-Ý]{3,}"),
-    Step("name_before_mail", "names", "NAME", "IT", "names", 90, rf"(?U)(?<![\w{{])(?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,2}}(?=[ \t]?[<(]?\{{\{{EMAIL)", _person),
-    Step("name_after_mail", "names", "NAME", "IT", "names", 90, rf"(?U)((?<!\w)\{{\{{EMAIL[^}}]*\}}\}}[>)]?[ \t]?[(-]?[ \t]?)((?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,2}})(?![\w}}])", _person, True),
+    Step("name_before_mail", "names", "NAME", "IT", "names", 90, rf"(?U)(?<![\w{{])(?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,2}}(?=[ \t]?[<(]?\{{\{{EMAIL)", _beside_mail),
+    Step("name_after_mail", "names", "NAME", "IT", "names", 90, rf"(?U)((?<!\w)\{{\{{EMAIL[^}}]*\}}\}}[>)]?[ \t]?[(-]?[ \t]?)((?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,2}})(?![\w}}])", _beside_mail, True),
     Step("name_before_code", "names", "NAME", "IT", "names", 90, rf"(?U)(?<![\w{{])(?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,3}}(?=,?[ \t]?(?i:C\.?F\.?|cod(?:ice|\.) fiscale)?[ \t:.]*\{{\{{CODICE_FISCALE)", _person),
-    _rule("name_declared_role", "IT", 90, rf"(?i:(?:il|la|the){_HORIZONTAL}(?:cliente|paziente|inquilin[oa]|testimone|conduttore|locatore|ricorrente|client|patient|tenant|witness|claimant)){_HORIZONTAL}", rf"(?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,2}}"),
-    _rule("name_field", "IT", 90, rf"(?i:nome|cognome|nome e cognome|cognome e nome|name|surname|first name|last name|full name){_HORIZONTAL}?[:=]{_HORIZONTAL}?"),
+    _rule("name_declared_role", "IT", 90, rf"(?i:(?:il|la|the){_HORIZONTAL}(?:cliente|paziente|inquilin[oa]|testimone|conduttore|locatore|ricorrente|client|patient|tenant|witness|claimant)){_HORIZONTAL}", rf"(?:{_TOKEN})(?:[ \t](?:{_TOKEN})){{1,2}}", _declared),
+    _rule("name_field", "IT", 90, rf"(?i:nome|cognome|nome e cognome|cognome e nome|name|surname|first name|last name|full name){_HORIZONTAL}?[:=]{_HORIZONTAL}?", judge=_declared),
     _rule("name_closing", "IT", 90, r"(?i:cordiali saluti|distinti saluti|un saluto|cordialmente|in fede),?\s{1,4}"),
     _rule("name_greeting", "IT", 90, rf"(?i:ciao|caro|cara|gentile|egregio|buongiorno|salve){_HORIZONTAL}", rf"(?:{'|'.join(sorted(x.capitalize() for x in LEXICON.given))})(?:[ \t]{_CAP})?"),
     _rule("name_title_en", "EN", 91, rf"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam)\.?{_HORIZONTAL}"),
