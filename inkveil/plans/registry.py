@@ -20,12 +20,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import names, relational, recognisers
+    from . import evaluation, names, relational, recognisers
 
-    return checks.queries() | recognisers.queries() | relational.queries() | names.queries()
+    return checks.queries() | recognisers.queries() | relational.queries() | names.queries() | evaluation.queries()
 
 
 def oracle_sql() -> dict:
-    from . import names, relational, recognisers
+    from . import evaluation, names, relational, recognisers
 
-    return checks.oracle_sql() | recognisers.oracle_sql() | relational.oracle_sql() | names.oracle_sql()
+    return checks.oracle_sql() | recognisers.oracle_sql() | relational.oracle_sql() | names.oracle_sql() | evaluation.oracle_sql()
