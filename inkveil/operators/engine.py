@@ -27,7 +27,10 @@ from .options import Options
 OPEN, CLOSE, REF = "\ue010", "\ue011", "\ue012"
 SHIELD_OPEN, SHIELD_CLOSE = "\ue013", "\ue014"
 _PRIVATE = f"[{OPEN}-{SHIELD_CLOSE}]"
-_NOTE = "array<struct<ref:string,kind:string,label:string,key:string,sample:string,decision:string,why:string>>"
+_NOTE = "array<struct<ref:string,kind:string,label:string,key:string,sample:string,decision:string,why:string,size:int,inner:array<string>>>"
+
+
+_ANY_REF = r"\{\{[A-Z_]+" + REF + r"([a-j.]+)\}\}"
 
 
 @dataclass(frozen=True)
@@ -176,6 +179,8 @@ def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Co
         lambda x: F.struct(
             x.ref.alias("ref"), x.v.kind.alias("kind"), x.v.label.alias("label"), normal_key(x.v.key).alias("key"),
             mask(x.v.value).alias("sample"), x.v.decision.alias("decision"), x.v.why.alias("why"),
+            # characters of the value, but for the placeholders inside it, and which those are
+            F.length(F.regexp_replace(x.v.value, _ANY_REF, "")).alias("size"), F.regexp_extract_all(x.v.value, F.lit(_ANY_REF), F.lit(1)).alias("inner"),
         ),
     )
     found = F.size("_judged") > 1
@@ -237,6 +242,31 @@ def _number(text: str, refs: list[str], keys: list[str]) -> str:
     return _PLACEHOLDER.sub(numbered, text)
 
 
+def _places(text: str, refs: list[str], sizes: list[int], inner: list[list[str]]) -> dict[str, tuple[int, int]]:
+    """Where in the original text the value of each placeholder lies: pieces between placeholders are copies, values have known sizes."""
+    own, within = dict(zip(refs, sizes, strict=True)), dict(zip(refs, inner, strict=True))
+
+    def size(ref: str) -> int:
+        return own.get(ref, 0) + sum(size(r) for r in within.get(ref, ()))
+
+    at, last, found = 0, 0, {}
+    for m in _PLACEHOLDER.finditer(text):
+        at += m.start() - last
+        n = size(m[2])
+        found[m[2]] = (at, at + n)
+        at, last = at + n, m.end()
+    return found
+
+
+def _spans(text: pd.Series, refs: pd.Series, sizes: pd.Series, inner: pd.Series) -> pd.Series:
+    """For each note its span in the original text; null for what is not replaced or lies inside another value."""
+    out = []
+    for t, r, s, i in zip(text, refs, sizes, inner, strict=True):
+        found = {} if t is None else _places(t, r, s, i)
+        out.append([None if ref not in found else {"start": found[ref][0], "end": found[ref][1]} for ref in r])
+    return pd.Series(out, dtype=object)
+
+
 def finish(df: DataFrame, options: Options) -> DataFrame:
     """Numbers for the placeholders: by first appearance, for each label. Linear in the findings of a text.
 
@@ -320,17 +350,27 @@ def _decided(df: DataFrame, text: str, options: Options, steps: list[Step] | Non
 
 
 def annotations(df: DataFrame, key: str, text: str = "text", options: Options | None = None, steps: list[Step] | None = None,
-                keep: tuple[str, ...] = ()) -> DataFrame:
-    """What ``redact`` decides, as rows: key, the columns ``keep``, ref, kind, label, value_key, sample, decision, why."""
+                keep: tuple[str, ...] = (), places: bool = False) -> DataFrame:
+    """What ``redact`` decides, as rows: key, the columns ``keep``, ref, kind, label, value_key, sample, decision, why.
+
+    With ``places`` also start and end: the characters of the original text that a placeholder stands for, counted from 0, the end
+    excluded. They are null for what stays in the text. Characters that the engine takes out of the input do not count.
+    """
     options = options or Options()
     given = [*dict.fromkeys([key, *keep])]
     if not options.any_switch():
         work = begin(df, text)
     else:
-        work = _decided(df, text, options, steps)
+        work = unshield(_decided(df, text, options, steps), options)
+    told = F.col("_notes")
+    if places:
+        some = F.when(F.exists("_notes", lambda n: n.decision == "replace"), F.col("_text"))
+        work = work.withColumn("_spans", F.pandas_udf(_spans, "array<struct<start:int,end:int>>")(some, *[F.col(f"_notes.{c}") for c in ("ref", "size", "inner")]))
+        told = F.zip_with("_notes", "_spans", lambda n, s: n.withField("start", s.start).withField("end", s.end))
     # an outer explode: the optimizer would copy the filter of a plain one through all steps, whose expressions then grow without end
-    return work.select(*given, F.explode_outer("_notes").alias("n")).filter("n IS NOT NULL").select(
-        *given, "n.ref", "n.kind", "n.label", F.col("n.key").alias("value_key"), "n.sample", "n.decision", "n.why"
+    found = work.select(*given, F.explode_outer(told).alias("n")).filter("n IS NOT NULL")
+    return found.select(
+        *given, "n.ref", "n.kind", "n.label", F.col("n.key").alias("value_key"), "n.sample", "n.decision", "n.why", *(["n.start", "n.end"] if places else [])
     )
 
 

@@ -19,6 +19,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def _words(text: str) -> frozenset[str]:
     return frozenset(text.split())
@@ -210,8 +212,7 @@ def with_classes(docs: DataFrame, key: str, text: str, entries: DataFrame, into:
     is a key like others, a text without entries (or null) has an empty map.
     """
     pairs = docs.select(F.col(key).alias("k"), F.explode(candidates(F.col(text), longest)).alias("entry"))
-    facts = pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).join(entry_bits(entries), "entry")
-    facts = facts.persist()
+    facts = written(pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).join(entry_bits(entries), "entry"), "entries")
     total = facts.agg(F.sum("n")).first()[0] or 0
     most = max(1000, total // HEAVY)
     heavy, light = facts.filter(F.col("n") > most).select("entry", "bits"), facts.filter(F.col("n") <= most).select("entry", "bits")

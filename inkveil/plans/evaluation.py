@@ -1,12 +1,12 @@
-"""Queries of the evaluation: values that survive with wrong characters, masks and the windows they stand for."""
+"""Queries of the evaluation: values that survive with wrong characters, masks and windows, spans, overlaps, nearest labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy
-from ..operators.engine import redact
+from ..operators import fuzzy, spans
+from ..operators.engine import annotations, redact
 from ..operators.options import only
 from ..operators.steps import STEPS, SUSPECT_STEPS
 
@@ -45,8 +45,59 @@ def mask_matches(spark, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "sample", F.size("windows").alias("n"), F.array_join("windows", "|").alias("windows"))
 
 
+_EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
+
+
+def email_spans(spark, sf_dir: str) -> DataFrame:
+    """Where the e-mail addresses of all documents lie, from the engine's own notes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = annotations(docs, "doc_id", "text", only("emails"), [s for s in STEPS if s.name == "email"], places=True)
+    return found.select("doc_id", "start", "end", "label")
+
+
+def recovered_spans(spark, sf_dir: str) -> DataFrame:
+    """The same from the two texts alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    steps = [s for s in STEPS if s.name == "email"]
+    return spans.recover_spans(redact(docs, "text", only("emails"), steps), "doc_id", options=only("emails"), steps=steps)
+
+
+_MARKED = "l_suppkey AS k, l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 20000 AS start, (l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 20000 + cast(l_quantity as int) AS \"end\""
+
+
+def _spark(sql: str) -> list[str]:
+    return [x.strip() for x in sql.replace('"end"', "`end`").split(", ")]
+
+
+def overlap_sweep(spark, sf_dir: str) -> DataFrame:
+    """Spans of each supplier that a sweep keeps."""
+    marked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*_spark(_MARKED))
+    return spans.resolve_overlaps(marked, "k").select("k", "start", "end")
+
+
+_LABELS = "p_partkey % 10 AS k, p_size * 400 AS start, p_size * 400 + 6 AS \"end\""
+
+
+def _labelled(spark, sf_dir: str) -> DataFrame:
+    marked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_returnflag", *_spark(_MARKED.replace("l_suppkey", "l_suppkey % 10")))
+    labels = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_brand", *_spark(_LABELS)).groupBy("k", "start", "end").agg(F.min("p_brand").alias("label"))
+    return spans.nearest_label(marked, labels, "k", 120)
+
+
+def nearest_labels(spark, sf_dir: str) -> DataFrame:
+    """The label nearest to each span of the same document, within 120 characters."""
+    return _labelled(spark, sf_dir).select("l_orderkey", "l_linenumber", "start", "label", "label_gap")
+
+
+def losses_by_label(spark, sf_dir: str) -> DataFrame:
+    """Spans and lost ones (here: returned) by the nearest label."""
+    lost = F.sum((F.col("l_returnflag") == "R").cast("int"))
+    return _labelled(spark, sf_dir).groupBy(F.coalesce("label", F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("spans"), lost.alias("lost"))
+
+
 def queries() -> dict:
-    return {"fuzzy_outcomes": fuzzy_outcomes, "mask_matches": mask_matches}
+    own = (fuzzy_outcomes, mask_matches, email_spans, recovered_spans, overlap_sweep, nearest_labels, losses_by_label)
+    return {f.__name__: f for f in own}
 
 
 def _plain(text: str) -> str:
@@ -79,4 +130,33 @@ def oracle_sql() -> dict:
         "list_transform(list_filter(range(1, len(text) - 6), lambda i: substr(text, i, 2) = left(sample, 2) AND substr(text, i + 6, 2) = right(sample, 2)), lambda i: substr(text, i, 8)) AS w "
         f"FROM (SELECT o_orderkey, {_IBAN} || ' ' || cast(o_orderkey * 7919 as string) AS text, {_SAMPLE} AS sample FROM orders))"
     )
-    return {"fuzzy_outcomes": outcomes, "mask_matches": windows}
+    emails = (
+        "SELECT doc_id, start::INT AS start, (start + len(m))::INT AS \"end\", 'EMAIL' AS label FROM (SELECT doc_id, ms[i] AS m, "
+        "list_sum(list_transform(ps[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: len(p))), 0) AS start "
+        f"FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS ms, string_split_regex(text, '{_EMAIL}') AS ps FROM documents), range(1, len(ms) + 1) AS r(i))"
+    )
+    sweep = (
+        f"WITH RECURSIVE marked AS (SELECT {_MARKED} FROM lineitem), "
+        'rows AS (SELECT k, start, "end", row_number() OVER (PARTITION BY k ORDER BY start, "end", l_orderkey, l_linenumber) AS rn FROM marked), '
+        'swept AS (SELECT k, rn, start, "end", "end" AS last, true AS kept FROM rows WHERE rn = 1 UNION ALL '
+        'SELECT r.k, r.rn, r.start, r."end", CASE WHEN r.start >= s.last THEN r."end" ELSE s.last END, r.start >= s.last FROM swept s JOIN rows r ON r.k = s.k AND r.rn = s.rn + 1) '
+        'SELECT k, start, "end" FROM swept WHERE kept'
+    )
+    near = (
+        f"WITH spans AS (SELECT l_returnflag, {_MARKED.replace('l_suppkey', 'l_suppkey % 10')} FROM lineitem), "
+        f'labels AS (SELECT k, start, "end", min(p_brand) AS label FROM (SELECT p_brand, {_LABELS} FROM part) GROUP BY k, start, "end"), '
+        'around AS (SELECT s.*, greatest(s.start - b."end", 0) AS gb, b.label AS lb, greatest(a.start - s."end", 0) AS ga, a.label AS la FROM spans s '
+        "ASOF LEFT JOIN labels b ON s.k = b.k AND s.start >= b.start ASOF LEFT JOIN labels a ON s.k = a.k AND s.start < a.start), "
+        "chosen AS (SELECT *, CASE WHEN lb IS NOT NULL AND (la IS NULL OR gb <= ga) THEN gb WHEN la IS NOT NULL THEN ga END AS gap, "
+        "CASE WHEN lb IS NOT NULL AND (la IS NULL OR gb <= ga) THEN lb ELSE la END AS name FROM around), "
+        "judged AS (SELECT *, CASE WHEN gap <= 120 THEN name END AS label, CASE WHEN gap <= 120 THEN gap END AS label_gap FROM chosen) "
+    )
+    return {
+        "fuzzy_outcomes": outcomes,
+        "mask_matches": windows,
+        "email_spans": emails,
+        "recovered_spans": emails,
+        "overlap_sweep": sweep,
+        "nearest_labels": near + "SELECT l_orderkey, l_linenumber, start, label, label_gap FROM judged",
+        "losses_by_label": near + "SELECT coalesce(label, 'none') AS label, count(*) AS spans, count(*) FILTER (l_returnflag = 'R') AS lost FROM judged GROUP BY 1",
+    }
