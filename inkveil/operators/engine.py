@@ -16,7 +16,8 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,23 @@ class Step:
     labelled: bool = False
     #: Marks candidates in another way than by the pattern.
     mark: Callable[[Column, Options], Column] | None = None
+    #: What a text must have for the step to find anything: one of each group. A word is looked for in small letters, ``=Word`` as it is
+    #: written, ``re:...`` as a pattern in small letters; ``{{LABEL`` is a placeholder of an earlier step. A text without it is passed over.
+    needs: tuple[tuple[str, ...], ...] = ()
+
+    def conditions(self) -> list[str]:
+        return [x for group in self.needs for x in group if not x.startswith("{{")]
+
+    def wanted(self, known: dict[str, int]) -> Column | None:
+        """Whether a text has what the step needs; ``known``: the bit of each condition in ``_has``."""
+        tests = []
+        for group in self.needs:
+            masks: dict[int, int] = {}
+            for place in (known[x] for x in group if x in known):
+                masks[place // MOST_CONDITIONS] = masks.get(place // MOST_CONDITIONS, 0) | 1 << place % MOST_CONDITIONS
+            words = [F.col(f"_has{i}").bitwiseAND(F.lit(m).cast("long")) != 0 for i, m in masks.items()]
+            tests.append(reduce(or_, [*words, *[F.contains("_text", F.lit(x)) for x in group if x.startswith("{{")]]))
+        return reduce(and_, tests) if tests else None
 
     def marked(self, text: Column, options: Options) -> Column:
         if self.mark is not None:
@@ -127,8 +145,36 @@ def begin(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_text", F.regexp_replace(F.col(text), _PRIVATE, "")).withColumn("_notes", F.array().cast(_NOTE))
 
 
+#: Letters that match another one when case is ignored, though small letters differ.
+_FOLDED = ("ſıİK", "siik")
+#: Bits of a long.
+MOST_CONDITIONS = 62
+
+
+def find_conditions(df: DataFrame, steps: list[Step]) -> tuple[DataFrame, tuple[tuple[str, int], ...]]:
+    """``df`` with ``_has`` (longs with a bit for each condition that the text meets) and the place of each condition.
+
+    Looking for a word is much cheaper than a pattern with its surroundings, and most texts have few of the words.
+    """
+    conditions = list(dict.fromkeys(x for s in steps for x in s.conditions()))
+
+    def met(x: str) -> Column:
+        if x.startswith("re:"):
+            return F.col("_low").rlike(x[3:])
+        return F.contains("_text", F.lit(x[1:])) if x.startswith("=") else F.contains("_low", F.lit(x))
+
+    low = df.withColumn("_low", F.lower(F.translate("_text", *_FOLDED)))
+    known, columns = [], []
+    for at in range(0, len(conditions), MOST_CONDITIONS):
+        own = conditions[at : at + MOST_CONDITIONS]
+        bits = [F.when(met(x), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, x in enumerate(own)]
+        columns.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
+        known += [(x, at + i) for i, x in enumerate(own)]
+    return low.withColumns({f"_has{i}": c for i, c in enumerate(columns)}).drop("_low"), tuple(known)
+
+
 @lru_cache(maxsize=512)
-def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Column, Column, Column]:
+def _step_columns(step: Step, number: int, options: Options, known: tuple[tuple[str, int], ...] = ()) -> tuple[Column, Column, Column, Column]:
     """The step's expressions: parts, judged parts, new text, what to note. Built once for equal options."""
 
     empty, null = F.lit(""), F.lit(None).cast("string")
@@ -184,17 +230,19 @@ def _step_columns(step: Step, number: int, options: Options) -> tuple[Column, Co
         ),
     )
     found = F.size("_judged") > 1
+    parts = F.split(step.marked(F.col("_text"), options), f"[{OPEN}{CLOSE}]")
+    wanted = step.wanted(dict(known)) if known else None
     return (
-        F.split(step.marked(F.col("_text"), options), f"[{OPEN}{CLOSE}]"),
+        parts if wanted is None else F.when(wanted, parts),
         F.transform("_parts", judged),
         F.when(found, rewritten).otherwise(F.col("_text")).alias("_text"),
         F.when(found, F.concat("_notes", told)).otherwise(F.col("_notes")).alias("_notes"),
     )
 
 
-def apply_step(df: DataFrame, step: Step, number: int, options: Options) -> DataFrame:
+def apply_step(df: DataFrame, step: Step, number: int, options: Options, known: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Run one step over ``_text`` and add what it decided to ``_notes``."""
-    parts, judged, text, notes = _step_columns(step, number, options)
+    parts, judged, text, notes = _step_columns(step, number, options, known)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("_text", "_notes")]
     return df.withColumn("_parts", parts).withColumn("_judged", judged).select(*kept, text, notes)
 
@@ -337,16 +385,16 @@ def _decided(df: DataFrame, text: str, options: Options, steps: list[Step] | Non
     """The working columns after the terms, the steps and (for the whole program) the suspects."""
     from .steps import SUSPECT_STEPS
 
+    chosen = program(options, steps)
+    chosen += [s for s in SUSPECT_STEPS if steps is None and s.pack in options.packs]
     work = shield(begin(df, text), options)
     if options.always:
         own = Step("terms", "terms", "TERM", "CORE", "names", 0, term_pattern(options.always), always)
         work = apply_step(work, own, 0, options)
-    for step in program(options, steps):
-        work = apply_step(work, step, step_number(step), options)
-    for step in SUSPECT_STEPS:
-        if steps is None and step.pack in options.packs:
-            work = apply_step(work, step, step_number(step), options)
-    return work
+    work, known = find_conditions(work, chosen)
+    for step in chosen:
+        work = apply_step(work, step, step_number(step), options, known)
+    return work.drop(*[c for c in work.columns if c.startswith("_has")])
 
 
 def annotations(df: DataFrame, key: str, text: str = "text", options: Options | None = None, steps: list[Step] | None = None,

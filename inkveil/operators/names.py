@@ -8,6 +8,7 @@ its words can make, and ``name_steps`` takes them from there.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import partial
 
 import pandas as pd
@@ -145,3 +146,20 @@ NAME_STEPS: list[Step] = [
     _rule("name_closing_en", "EN", 91, r"(?i:(?:kind |best |warm )?regards|yours (?:sincerely|faithfully|truly)|sincerely|best wishes|many thanks),?\s{1,4}", rf"{_CAP}(?:[ \t]{_CAP}){{0,2}}"),
     Step("name_runs", "names", "NAME", "IT", "names", 92, judge=_judged, mark=marker()),
 ]
+
+#: What a text must have for a step to find anything; see ``Step.needs``.
+_NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "name_title": (("sig", "dott", "avv.", "ing.", "geom.", "rag.", "prof", "on."),),
+    "name_role_colon": ((":",),),
+    "name_before_mail": (("{{EMAIL",),),
+    "name_after_mail": (("{{EMAIL",),),
+    "name_before_code": (("{{CODICE_FISCALE",),),
+    "name_declared_role": (("client", "paziente", "inquilin", "testimone", "conduttore", "locatore", "ricorrente", "patient", "tenant", "witness", "claimant"),),
+    "name_field": (("nome", "name"), (":", "=")),
+    "name_closing": (("cordial", "distinti", "un saluto", "in fede"),),
+    "name_greeting": (("ciao", "caro", "cara", "gentile", "egregio", "buongiorno", "salve"),),
+    "name_title_en": (("=Mr", "=Mrs", "=Ms", "=Miss", "=Dr", "=Prof", "=Sir", "=Madam"),),
+    "name_dear": (("=Dear", "=Attn", "=Attention", "=c/o", "=FAO"),),
+    "name_closing_en": (("regards", "yours ", "sincerely", "best wishes", "many thanks"),),
+}
+NAME_STEPS = [replace(s, needs=_NEEDS.get(s.name, ())) for s in NAME_STEPS]

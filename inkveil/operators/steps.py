@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -284,7 +286,53 @@ STEPS: list[Step] = [
     Step("postcode", "addresses", "POSTCODE", "EN", "addresses", 71, rf"{_B}[A-Z]{{1,2}}\d[A-Z0-9]? ?\d[A-Z]{{2}}{_E}", when(lambda c: _ctx(c, 40, "postcode|post code|deliver to|delivery|ship to|address|send to") & V.postcode_ok(c.value))),
 ]
 
-STEPS += NAME_STEPS
+_DIGIT = (r"re:\p{Nd}",)
+#: What a text must have for a step to find anything; see ``Step.needs``. Steps that are not listed look at every text.
+_NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "secret_shape": (("-----begin", "eyj", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "sk-", "bearer "),),
+    "recovery_phrase": (("seed", "recovery", "mnemonic", "frase di recupero"),),
+    "secret_labelled": (("passw", "passphrase", "pwd", "parola d'ordine", "key", "secret", "token", "connection", "otp", "chiave"), (":", "=")),
+    "secret_weak": (("chiave", "credenzial", "codice", "key", "credential", "code"), (":", "=")),
+    "short_code": (("pin", "puk", "cvv", "cvc", "otp", "codice di sicurezza", "security code", "unlock code"), _DIGIT),
+    "url": (("://", "www."),),
+    "email": (("@",),),
+    "email_newline": (("@",),),
+    "email_spaced": (("@",),),
+    "email_hidden": ((r"re:chiocciola|at\s?[\])}]|(?:dot|punto)\s?[\])}]",),),
+    "mrz": (("<<",),),
+    "codice_fiscale": (_DIGIT,),
+    "iban": (_DIGIT,),
+    "iban_grouped": (_DIGIT,),
+    "iban_glued": (_DIGIT,),
+    "card": (_DIGIT,),
+    "bban": (_DIGIT,),
+    "abi_cab": (("abi",), ("cab",), _DIGIT),
+    "account": (("conto", "c/c", "account"), _DIGIT),
+    "partita_iva": (_DIGIT,),
+    "ssn": (_DIGIT, ("-",)),
+    "nino": (_DIGIT,),
+    "nhs": (_DIGIT,),
+    "routing_sin": (_DIGIT,),
+    "abn_tfn": (_DIGIT,),
+    "birth_date": (_DIGIT,),
+    "document": (_DIGIT,),
+    "record": (_DIGIT,),
+    "land": (("foglio", "fg"), _DIGIT),
+    "plate": (_DIGIT,),
+    "age": (("anni", "età", "age", "years old"), _DIGIT),
+    "sex": (("sesso", "sex", "gender"),),
+    "phone": (_DIGIT,),
+    "phone_labelled": (("tel.", "cell.", "fax.", "mob.", "ph."), _DIGIT),
+    "amount": (_DIGIT,),
+    "address": (("via", "piazz", "corso", "largo", "vicolo", "strada", "contrada", "località"),),
+    "address_en": (_DIGIT,),
+    "postcode": (_DIGIT,),
+    "suspect_phone": (("tel", "phone", "cell", "mobile", "fax"), _DIGIT),
+    "suspect_cf": (_DIGIT,),
+    "suspect_iban": (_DIGIT,),
+    "suspect_digits": (_DIGIT,),
+}
+STEPS = [replace(s, needs=_NEEDS.get(s.name, ())) for s in STEPS] + NAME_STEPS
 
 _LABEL_PHONE = r"(?iU)((?<!\w)(?:tel|telefono|phone|cell|mobile|fax)\.?\s?:?\s?)([0-9A-Z][0-9A-Z ./-]{5,18}[0-9A-Z])(?!\w)"
 
@@ -307,3 +355,4 @@ SUSPECT_STEPS: list[Step] = [
     Step("suspect_iban", "iban", "IBAN", "CORE", "fiscal", 99, rf"(?i){_B}[A-Z]{{2}}[0-9A-Z]{{2}}[0-9A-Z]{{11,30}}{_E}", _suspect(lambda v: (_count(v, "A-Za-z") >= 3) & (_count(v, "0-9") >= 8) & (F.length(v) != 16), "almost an IBAN")),
     Step("suspect_digits", "cards", "CARD", "CORE", "fiscal", 99, rf"{_B}\d{{15,16}}{_E}", _suspect(lambda v: F.length(v).isin(15, 16), "as long as a card")),
 ]
+SUSPECT_STEPS = [replace(s, needs=_NEEDS.get(s.name, ())) for s in SUSPECT_STEPS]

@@ -99,3 +99,25 @@ def test_annotations_are_what_redact_decides(spark):
     assert Counter(r.i for r in rows if r.decision == "replace") == Counter({i: p.total for i, p in reports.items() if p.total})
     assert sorted((s.kind, s.sample) for s in reports[0].suspects) == sorted((r.kind, r.sample) for r in rows if r.decision == "suspect")
     assert {r.kind for r in rows if r.decision == "replace"} == {"terms", "emails"} and any(r.decision == "suspect" for r in rows)
+
+
+def test_conditions_of_steps_never_change_a_result(spark):
+    """The whole program with and without the necessary conditions, over documents and over every query's own texts."""
+    from dataclasses import replace
+
+    from inkveil.operators.steps import STEPS, SUSPECT_STEPS
+    from inkveil.plans.recognisers import CASES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey").limit(40)
+    made = [orders.select(F.expr(f"{c[2]} || {c[3].replace('{0}', '$1 $2 $3 $4 $5 $6')} || {c[4]}").alias("text")) for c in CASES]
+    odd = spark.createDataFrame([("PASſWORD: abc12345 end",), ("İl pin 12345",), ("PIN ١٢٣٤",), ("EiKey: abc123x9",), ("a.b at c dot] d",), ("x [AT ] mail. com",)], "text string")
+    for more in (*made, odd):
+        docs = docs.unionByName(more)
+    docs = docs.distinct().repartition(4).cache()
+    options = Options(dates=True, amounts=True, packs=("CORE", "IT", "EN", "ATTI"))
+    whole = [*STEPS, *SUSPECT_STEPS]
+    assert sum(bool(s.needs) for s in whole) > 50
+    with_needs = redact(docs, "text", options, steps=whole).select("text", "redacted", F.to_json("report").alias("report"))
+    without = redact(docs, "text", options, steps=[replace(s, needs=()) for s in whole]).select("text", "redacted", F.to_json("report").alias("report"))
+    assert Counter(map(tuple, with_needs.collect())) == Counter(map(tuple, without.collect()))
