@@ -134,11 +134,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     Nothing is shuffled, and rows stay apart whatever their keys: the slices of a large benchmark are
     scanned one after another over the same rows.
     """
+    return _found(docs.select(key, F.col(text).alias("_text")), benchmark, item, item_text, n, max_broadcast_bytes).drop("_text")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, n: int, max_broadcast_bytes: int) -> DataFrame:
+    """Rows of two columns, the second ``_text``, with n_words, spans and items over all slices."""
     spans, items = F.array().cast(ArrayType(IntegerType())), F.array().cast(ArrayType(StringType()))
-    found = docs.select(key, F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"), spans.alias("spans"), items.alias("items"))
+    found = docs.select("*", F.lit(0).cast("long").alias("n_words"), spans.alias("spans"), items.alias("items"))
     for part in _slices(benchmark, item, item_text, max_broadcast_bytes):
         found = _scan_slice(found, WindowSet(part, n))
-    return found.drop("_text")
+    return found
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -160,25 +165,38 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", how: str =
            item: str = "item_id", item_text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the contaminated documents, or without the hit spans of their text.
 
-    ``how="spans"`` cuts each hit from the first letter of its first word to the last letter of its last.
+    ``how="spans"`` cuts each hit from the first letter of its first word to the last letter of its last. Hits are judged on
+    the text as it was given, over all slices of the benchmark, and cut once.
     """
     if how not in ("documents", "spans"):
         raise ValueError("how is 'documents' or 'spans'")
+    if how == "spans":
+        # the row is one column, so that no name of its own meets those of the scan
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
+        found = _found(packed, benchmark, item, item_text, n, max_broadcast_bytes)
+        cut = F.pandas_udf(_cut, "string")("_text", "n_words", "spans")
+        return found.withColumn("_text", F.when(F.size("spans") > 0, cut).otherwise(F.col("_text"))).select(F.col("row").withField(text, F.col("_text")).alias("row")).select("row.*")
     for items in _slices(benchmark, item, item_text, max_broadcast_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
 
         def clean(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if how == "documents":
-                    yield batch[[not shared.value.hits(t)[1].any() for t in batch[text]]]
-                else:
-                    batch[text] = [cut_spans(t, shared.value.hits(t)[1]) for t in batch[text]]
-                    yield batch
+                yield batch[[not shared.value.hits(t)[1].any() for t in batch[text]]]
 
         docs = docs.mapInPandas(clean, docs.schema)
     return docs
 
 
+def _cut(text: pd.Series, n_words: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for t, n, own in zip(text, n_words, spans, strict=True):
+        hit = np.zeros(n, dtype=bool)
+        for start, end in zip(own[::2], own[1::2], strict=True):
+            hit[start:end] = True
+        out.append(None if t is None else cut_spans(t, hit))
+    return pd.Series(out, dtype=object)
+
+
 def cut_spans(text: str | None, hit: np.ndarray) -> str | None:
     """The text without the runs of words that are hit."""
     if not hit.any():

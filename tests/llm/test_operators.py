@@ -366,6 +366,24 @@ def test_decontamination(spark, docs, nothing, rows):
     assert decontamination.scan(nothing, items).count() == 0 and decontamination.scan(docs, items.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("how", ["spans", "documents"])
+def test_decontamination_removes_the_same_in_any_number_of_slices(spark, how):
+    words = "p q a b c d e f g h i j k l r s".split()
+    rows = [(1, " ".join(words), "x"), (1, " ".join(words), "x"), (None, None, None), (2, "", "y"), (3, "A, b. C d e f g h i j!", None), (4, "clean words only", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("spans", F.lit("kept"))
+    # windows of both items overlap in the text; the second is above the bound alone
+    items = [("1", "a b c d e f g h i j"), ("2", "c d e f g h i j k l"), ("3", "zz " * 300)] + [(f"n{i}", f"none{i} x{i}") for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    expected = {
+        "spans": [(1, "p q  r s"), (1, "p q  r s"), (2, ""), (3, "!"), (4, "clean words only"), (None, None)],
+        "documents": [(2, ""), (4, "clean words only"), (None, None)],
+    }[how]
+    for most in (decontamination.MAX_BROADCAST_BYTES, 600, 30):
+        got = decontamination.remove(docs, bench, how=how, max_broadcast_bytes=most)
+        assert got.columns == docs.columns and {r.spans for r in got.collect()} == {"kept"}
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == expected
+
+
 def test_decontamination_keeps_rows_apart_in_slices(spark):
     leak, clean = "one two three four five six seven eight nine ten", "nothing of that kind is in here at all"
     big = (1 << 60) + 1
