@@ -110,6 +110,14 @@ def _least(text: str, value: str, n: int, k: int) -> str:
     return f"(SELECT CASE WHEN m <= {k} THEN m::INT END FROM (SELECT list_min({windows}) AS m))"
 
 
+def email_sql() -> str:
+    """(doc_id, m, start) of all e-mail addresses: lengths of the pieces between them and of those before, added up."""
+    return (
+        "SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: len(p))), 0) AS start "
+        f"FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS ms, string_split_regex(text, '{_EMAIL}') AS ps FROM documents), range(1, len(ms) + 1) AS r(i)"
+    )
+
+
 def oracle_sql() -> dict:
     k = 22 // fuzzy.CHARS_PER_EDIT
     mask = "(substr(x, 1, 2) || repeat('•', len(x) - 4) || right(x, 2))"
@@ -130,11 +138,7 @@ def oracle_sql() -> dict:
         "list_transform(list_filter(range(1, len(text) - 6), lambda i: substr(text, i, 2) = left(sample, 2) AND substr(text, i + 6, 2) = right(sample, 2)), lambda i: substr(text, i, 8)) AS w "
         f"FROM (SELECT o_orderkey, {_IBAN} || ' ' || cast(o_orderkey * 7919 as string) AS text, {_SAMPLE} AS sample FROM orders))"
     )
-    emails = (
-        "SELECT doc_id, start::INT AS start, (start + len(m))::INT AS \"end\", 'EMAIL' AS label FROM (SELECT doc_id, ms[i] AS m, "
-        "list_sum(list_transform(ps[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: len(p))), 0) AS start "
-        f"FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS ms, string_split_regex(text, '{_EMAIL}') AS ps FROM documents), range(1, len(ms) + 1) AS r(i))"
-    )
+    emails = f"SELECT doc_id, start::INT AS start, (start + len(m))::INT AS \"end\", 'EMAIL' AS label FROM ({email_sql()})"
     sweep = (
         f"WITH RECURSIVE marked AS (SELECT {_MARKED} FROM lineitem), "
         'rows AS (SELECT k, start, "end", row_number() OVER (PARTITION BY k ORDER BY start, "end", l_orderkey, l_linenumber) AS rn FROM marked), '

@@ -20,12 +20,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import evaluation, names, relational, recognisers, variety
+    from . import evaluation, names, relational, recognisers, surface, variety
 
-    return checks.queries() | recognisers.queries() | relational.queries() | names.queries() | evaluation.queries() | variety.queries()
+    return checks.queries() | recognisers.queries() | relational.queries() | names.queries() | evaluation.queries() | variety.queries() | surface.queries()
 
 
 def oracle_sql() -> dict:
-    from . import evaluation, names, relational, recognisers, variety
+    from . import evaluation, names, relational, recognisers, surface, variety
 
-    return checks.oracle_sql() | recognisers.oracle_sql() | relational.oracle_sql() | names.oracle_sql() | evaluation.oracle_sql() | variety.oracle_sql()
+    return checks.oracle_sql() | recognisers.oracle_sql() | relational.oracle_sql() | names.oracle_sql() | evaluation.oracle_sql() | variety.oracle_sql() | surface.oracle_sql()
