@@ -26,16 +26,35 @@ _STRONG = (
     "auth[ _-]?token|bearer[ _-]?token|connection[ _-]?string|licen[cs]e[ _-]?key|private[ _-]?key|otp|chiave api|chiave di licenza|token di accesso"
 )
 _WEAK = "chiave|credenziali|codice di accesso|codice|key|credential[s]?|code"
-_SECRET_SHAPES = "|".join([
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
-    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    r"gh[pousr]_[A-Za-z0-9]{30,}",
-    r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    r"AIza[A-Za-z0-9_-]{35}",
-    r"sk-[A-Za-z0-9_-]{20,}",
-    r"Bearer [A-Za-z0-9._~+/=-]{20,}",
-])
+#: How issuers say that their tokens begin, which characters follow, and how many.
+_ISSUED: list[tuple[str, str, int, int]] = [
+    ("AIza", "A-Za-z0-9_-", 35, 35),
+    ("AKIA ASIA", "A-Z0-9", 16, 16),
+    ("ghp_ gho_ ghr_ ghs_ ghu_", "A-Za-z0-9", 36, 251),
+    ("github_pat_", "A-Za-z0-9_", 60, 244),
+    ("glpat-", "A-Za-z0-9_-", 20, 64),
+    ("npm_", "A-Za-z0-9", 36, 36),
+    ("rk_live_ rk_test_ sk_live_ sk_test_", "A-Za-z0-9", 16, 247),
+    ("sk-", "A-Za-z0-9_-", 20, 300),
+    ("xapp- xoxa- xoxb- xoxp- xoxr- xoxs-", "A-Za-z0-9-", 10, 250),
+]
+#: Secrets that a standard gives their form: a signed token in three parts (RFC 7519), the token of a header (RFC 6750), a key in text armour (RFC 7468).
+_B64URL = "[A-Za-z0-9_-]"
+_FORMED = [
+    rf"eyJ{_B64URL}{{8,}}\.{_B64URL}{{8,}}\.{_B64URL}{{4,}}",
+    r"Bearer [\w.~+/-]{20,}=*",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----",
+]
+
+
+def _token_shapes() -> str:
+    """One pattern for all issuers; a token ends where its alphabet does."""
+    issued = [rf"(?:{'|'.join(begins.split())})[{letters}]{{{least},{most}}}(?![{letters}])" for begins, letters, least, most in _ISSUED]
+    return "|".join([*issued, *_FORMED])
+
+
+_SECRET_SHAPES = _token_shapes()
+_SECRET_STARTS = (*(x.lower() for begins, *_ in _ISSUED for x in begins.split()), "eyj", "bearer ", "-----begin")
 
 
 def _ctx(c: Candidate, chars: int, words: str) -> Column:
@@ -236,6 +255,24 @@ def _glued_iban(c: Candidate, o: Options) -> Bound:
     return Bound(cut, lambda k: Verdict(F.when(k > 0, F.lit("replace")).otherwise(F.lit("leave")), F.substr(c.value, k + 1), head=F.left(c.value, k)))
 
 
+def _glued_grouped_iban(c: Candidate, o: Options) -> Bound:
+    """A label word glued to a number in groups: the first cut after which the rest, without its separators, checks; of a last group too many, the number alone."""
+    n = F.length(c.value)
+    start = F.length(F.regexp_extract(c.value, "^[A-Za-z]+", 0))
+    cuts = F.filter(
+        F.sequence(F.lit(1), F.greatest(start - 2, F.lit(1))),
+        lambda k: F.substr(c.value, k + 1).rlike("^[A-Za-z]{2}[0-9]{2}[ -]") & bound(F.substr(c.value, k + 1), V.iban_ok),
+    )
+    cut = F.coalesce(F.get(cuts, F.lit(0)), F.lit(0))
+    return Bound(cut, lambda k: Verdict(F.when(k > 0, F.lit("replace")).otherwise(F.lit("leave")), F.substr(c.value, k + 1, n), head=F.left(c.value, k)))
+
+
+def _number_alone(c: Candidate, o: Options) -> Bound:
+    """The number behind its short sign; the sign goes back to the text."""
+    number = F.regexp_extract(c.value, r"\d{1,8}/\d{2,4}$", 0)
+    return Bound(number, lambda v: Verdict(F.lit("replace"), v, head=F.left(c.value, F.length(c.value) - F.length(v))))
+
+
 _MONTHS = "gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre"
 _DOMAIN = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
 _LOCAL = r"[A-Za-z0-9._%+-]{1,64}"
@@ -274,6 +311,9 @@ STEPS: list[Step] = [
     Step("birth_date", "dates", "DATE", "IT", "dates", 50, rf"(?iU){_B}(?:\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}|\d{{1,2}}°? (?:{_MONTHS}) \d{{4}}){_E}", when(lambda c: c.context(40).rlike(r"(?iU)(?<!\w)(?:nato|nata|nascita|born|date of birth|dob)(?!\w)[^\n]{0,20}$"))),
     Step("document", "documents", "DOC_ID", "IT", "documents", 52, rf"{_B}(?:[A-Z]{{2}}\d{{5}}[A-Z]{{2}}|[A-Z]{{2}} ?\d{{7}}|[A-Z]{{2}}\d{{7}}[A-Z]|[A-Z]\d[A-Z0-9]\d{{6}}[A-Z]){_E}", _document),
     Step("record", "pratica", "PRATICA", "ATTI", "records", 54, r"(?iU)((?<!\w)(?:R\.?G\.?(?:\s?N\.?R\.?|\s?E\.?)?(?:\s?(?:n\.?|num\.?))?|prot(?:ocollo|\.)(?:\s?(?:n\.?|num\.?))?|rep(?:ertorio|\.)(?:\s?n\.?)?|racc(?:olta|\.)(?:\s?n\.?)?|cron(?:ologico|\.)(?:\s?n\.?)?)\s?:?\s?)(\d{1,8}/\d{2,4}|\d{2,8})(?![\d/])", always, True),
+    Step("record_first", "pratica", "PRATICA", "ATTI", "records", 54, r"(?iU)(?<![\w/])(?:n\.?|num\.?|nr\.?)\s?(\d{1,8}/\d{2,4})(?=\s?(?:R\.\s?G\.|RG(?!\w)|R\.G\.N\.R\.|RGNR|R\.G\.E\.|RGE(?!\w)|prot(?:ocollo)?(?!\w)|rep(?:ertorio)?(?!\w)|cron(?:ologico)?(?!\w)))", _number_alone),
+    Step("record_plain", "pratica", "PRATICA", "ATTI", "records", 54, r"(?U)((?<!\w)RG(?:NR|E)?\s?(?:n\.?\s?)?:?\s?)(\d{1,8}/\d{2,4})(?![\d/])", always, True),
+    Step("iban_glued_grouped", "iban", "IBAN", "CORE", "fiscal", 41, rf"(?i){_B}[A-Z]{{3,20}}\d{{2}}(?:[ -][A-Z0-9]{{4}}){{2,7}}(?:[ -][A-Z0-9]{{1,3}})?{_E}", _glued_grouped_iban),
     Step("land", "catasto", "CATASTO", "ATTI", "records", 55, r"(?iU)(?<!\w)(?:foglio|fg\.?)\s?(?:n\.?\s?)?\d{1,5}\s?[,;-]?\s?(?:particella|part\.?|mappale|mapp\.?|p\.lla)\s?(?:n\.?\s?)?\d{1,5}(?:\s?[,;-]?\s?(?:subalterno|sub\.?)\s?\d{1,4})?(?!\w)", always),
     Step("plate", "targhe", "TARGA", "ATTI", "records", 56, rf"{_B}(?:[A-Za-z]{{2}}[ -]?\d{{3}}[ -]?[A-Za-z]{{2}}|[A-Z]{{2}}[ -]?\d{{5,6}}){_E}", _historic_plate),
     Step("age", "age", "AGE", "IT", "quasi_ids", 58, r"(?iU)(?<!\w)(?:di anni \d{1,3}|\d{1,3} anni di età|età(?: di)?:? \d{1,3}|aged? \d{1,3}|\d{1,3} years old)(?!\w)", _detect("age")),
@@ -289,7 +329,7 @@ STEPS: list[Step] = [
 _DIGIT = (r"re:\p{Nd}",)
 #: What a text must have for a step to find anything; see ``Step.needs``. Steps that are not listed look at every text.
 _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
-    "secret_shape": (("-----begin", "eyj", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "sk-", "bearer "),),
+    "secret_shape": (_SECRET_STARTS,),
     "recovery_phrase": (("seed", "recovery", "mnemonic", "frase di recupero"),),
     "secret_labelled": (("passw", "passphrase", "pwd", "parola d'ordine", "key", "secret", "token", "connection", "otp", "chiave"), (":", "=")),
     "secret_weak": (("chiave", "credenzial", "codice", "key", "credential", "code"), (":", "=")),
@@ -304,6 +344,9 @@ _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
     "iban": (_DIGIT,),
     "iban_grouped": (_DIGIT,),
     "iban_glued": (_DIGIT,),
+    "iban_glued_grouped": (_DIGIT,),
+    "record_first": (("/",), _DIGIT),
+    "record_plain": (("=RG",), ("/",), _DIGIT),
     "card": (_DIGIT,),
     "bban": (_DIGIT,),
     "abi_cab": (("abi",), ("cab",), _DIGIT),

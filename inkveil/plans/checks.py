@@ -37,7 +37,7 @@ def mod97_sql(s: str) -> str:
     )
 
 
-def _cf_sql(s: str) -> str:
+def cf_sql(s: str) -> str:
     odd = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in V.CF_ODD.items()) + "}"
     parts = []
     for i in range(1, 16):
@@ -48,7 +48,7 @@ def _cf_sql(s: str) -> str:
 
 
 _LETTER = "chr(cast(65 + (o_orderkey * {a} + {b}) % 26 as int))"
-_CF = (
+TAX_CODE = (
     "'RSSMR' || " + _LETTER.format(a=5, b=1) + " || " + _n(2, 37, 5) + " || 'A' || " + _n(2, 11, 3) + " || 'H' || " + _n(3, 733, 9) + " || " + _LETTER.format(a=7, b=2)
 )
 _IBAN = (
@@ -65,7 +65,7 @@ _GROUP = "substr(s, 4, 2)::INT"
 CHECKS: list[tuple] = [
     ("val_luhn", "cast(400000 + o_orderkey % 9 as string) || " + _n(10, 7919, 31), V.luhn_ok, luhn_sql("s")),
     ("val_iban", _IBAN, V.iban_ok, f"(len(s) = CASE substr(s, 1, 2) WHEN 'DE' THEN 22 WHEN 'FR' THEN 27 ELSE 22 END AND {mod97_sql('s')} = 1)"),
-    ("val_cf", _CF, V.cf_ok, _cf_sql("s")),
+    ("val_cf", TAX_CODE, V.cf_ok, cf_sql("s")),
     ("val_piva", _n(11, 7919, 104729), V.piva_ok, luhn_sql("s")),
     ("val_nhs", _n(10, 7919, 104729), V.nhs_ok, f"((11 - {weighted_sql('s', range(10, 1, -1))} % 11) % 11 <> 10 AND (11 - {weighted_sql('s', range(10, 1, -1))} % 11) % 11 = {_d('s', 10)})"),
     ("val_nino", _NINO, V.nino_ok, "regexp_matches(s, '^[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$') AND substr(s, 1, 2) NOT IN ('BG', 'GB', 'KN', 'NK', 'NT', 'TN', 'ZZ')"),

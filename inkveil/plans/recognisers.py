@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.engine import Step, redact
-from ..operators.options import PACKS, only
-from ..operators.steps import STEPS
-from .checks import luhn_sql, weighted_sql
+from ..operators.options import PACKS, no_redaction, only
+from ..operators.steps import STEPS, SUSPECT_STEPS
+from .checks import TAX_CODE, cf_sql, luhn_sql, weighted_sql
 
 _O = "cast(o_orderkey as string)"
 _ALL = ("secrets", "urls", "emails", "fiscal", "phones", "addresses", "names", "documents", "records", "quasi_ids", "dates", "amounts")
@@ -36,6 +36,7 @@ _SSN = f"substr({_pad(9)}, 1, 3) || '-' || substr({_pad(9)}, 4, 2) || '-' || sub
 _ssn_ok = f"substr({_pad(9)}, 1, 3) NOT IN ('000', '666') AND substr({_pad(9)}, 1, 1) <> '9' AND substr({_pad(9)}, 4, 2) <> '00' AND substr({_pad(9)}, 6, 4) <> '0000'"
 _g = f"substr({_pad(9)}, 4, 2)::INT"
 _itin_ok = f"substr({_pad(9)}, 1, 1) = '9' AND ({_g} BETWEEN 50 AND 65 OR {_g} BETWEEN 70 AND 88 OR {_g} BETWEEN 90 AND 92 OR {_g} BETWEEN 94 AND 99)"
+_LETTERS = f"substr({TAX_CODE}, 1, 12) || translate(substr({TAX_CODE}, 13, 3), '0123456789', 'LMNPQRSTUV') || substr({TAX_CODE}, 16, 1)"
 _N10, _N9, _N11 = _pad(10), _pad(9), _pad(11)
 _nhs_sum = f"(11 - {weighted_sql(_N10, range(10, 1, -1))} % 11) % 11"
 _ODD = "o_orderkey % 2 = 1"
@@ -57,6 +58,7 @@ CASES: list[tuple] = [
     ("rec_iban", ["iban"], "'pay to '", _iban(), "' now'", "IBAN", "o_orderkey % 5 <> 0"),
     ("rec_iban_grouped", ["iban_grouped"], "'pay to '", f"regexp_replace({_iban()}, '^(....)(....)(....)(....)(....)(..)', '{{0}}')", "'. End'", "IBAN", "o_orderkey % 5 <> 0"),
     ("rec_iban_glued", ["iban_glued"], "'pay to '", f"'IBAN' || {_iban()}", "' now'", "IBAN", "o_orderkey % 5 <> 0", "'IBAN'"),
+    ("rec_iban_glued_grouped", ["iban_glued_grouped"], "'pay to '", f"'IBAN' || regexp_replace({_iban()}, '^(....)(....)(....)(....)(....)(..)', '{{0}}')", "' now'", "IBAN", "o_orderkey % 5 <> 0", "'IBAN'"),
     ("rec_secret_kv", ["secret_labelled"], "'the password: '", f"{_either(repr('x9-'), repr(chr(34) + 'x9-'))} || {_pad(8)} || {_either(repr(''), repr(chr(34)))}", "' is set'", "SECRET", _ODD),
     ("rec_secret_weak", ["secret_weak"], "'chiave: '", _either("'abc' || " + _pad(5), "'abcdefgh'"), "' fine'", "SECRET", _ODD),
     ("rec_secret_shape", ["secret_shape"], "'key '", f"{_either(repr('ghp_'), repr('ghx_'))} || lpad({_O}, 36, 'a')", "' end'", "SECRET", _ODD),
@@ -74,6 +76,12 @@ CASES: list[tuple] = [
     ("rec_birth_date", ["birth_date"], _either("'nato il '", "'emesso il '"), "lpad(cast(1 + o_orderkey % 28 as string), 2, '0') || '/05/1980'", "' a Roma'", "DATE", _ODD),
     ("rec_amount", ["amount"], _either("'totale '", "'codice '"), f"cast(1 + o_orderkey % 900 as string) || ',' || {_pad(2)}", "' fine'", "AMOUNT", _ODD),
     ("rec_docket", ["record"], _either("'R.G. n. '", "'pagina '"), f"cast(10 + o_orderkey % 9000 as string) || '/2020'", "' del giudice'", "PRATICA", _ODD),
+    ("rec_docket_first", ["record_first"], "'causa n. '", f"cast(10 + o_orderkey % 9000 as string) || '/2020'", _either("' R.G. del giudice'", "' del giudice'"), "PRATICA", _ODD),
+    ("rec_docket_plain", ["record_plain"], _either("'causa RG '", "'causa '"), f"cast(10 + o_orderkey % 9000 as string) || '/2020'", "' del giudice'", "PRATICA", _ODD),
+    ("rec_bban", ["bban"], _either("'coordinate '", "'lotto '"), f"'X ' || {_pad(5)} || ' ' || {_pad(5, 31, 7)} || ' 000' || {_pad(9)}", "' fine'", "BBAN", _ODD),
+    ("rec_codice_fiscale", ["codice_fiscale"], "'il codice '", TAX_CODE, "', grazie'", "CODICE_FISCALE", "true"),
+    ("rec_codice_fiscale_letters", ["codice_fiscale_letters"], "'il codice '", _LETTERS, "', grazie'", "CODICE_FISCALE", cf_sql(f"({_LETTERS})")),
+    ("rec_abn", ["abn_tfn"], _either("'ABN '", "'lot '"), _N11, "' end'", "ABN", f"{_ODD} AND substr({_N11}, 1, 1) <> '0' AND ({weighted_sql(_N11, (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19))} - 10) % 89 = 0"),
     ("rec_land_registry", ["land"], "'sito al '", _either("'foglio ' || cast(1 + o_orderkey % 99 as string) || ' particella ' || cast(1 + o_orderkey % 77 as string)", "'foglio ' || cast(1 + o_orderkey % 99 as string)"), "', in catasto'", "CATASTO", _ODD),
     ("rec_plate", ["plate"], "'veicolo '", f"{_either(repr('AB'), repr('IO'))} || {_pad(3)} || 'CD'", "' blu'", "TARGA", _ODD),
     ("rec_document", ["document"], _either("'passaporto '", "'lotto '"), f"'YA' || {_pad(7)}", "' valido'", "DOC_ID", _ODD),
@@ -91,6 +99,19 @@ CASES: list[tuple] = [
 _GROUPS = {"spark": "$1 $2 $3 $4 $5 $6", "duckdb": r"\1 \2 \3 \4 \5 \6"}
 
 
+#: Texts with something that stays, by key, and what is told of it.
+_KEPT = [
+    ("'di anni ' || cast(o_orderkey % 90 as string) || ', sesso: M'", "age,sex"),
+    ("cast(o_orderkey % 90 as string) || ' years old'", "age"),
+    ("'tel. 333 12A' || " + _pad(4), "phones"),
+    ("'codice RSSMRA8A' || " + _pad(2) + " || 'H501ZZ'", "codice_fiscale"),
+    ("'conto DE12ABCD' || " + _pad(10), "iban"),
+    ("'numero ' || " + _pad(15), "cards"),
+    ("'numero ' || " + _pad(14), ""),
+]
+KEPT = f"CASE o_orderkey % {len(_KEPT)} " + " ".join(f"WHEN {i} THEN {text}" for i, (text, _) in enumerate(_KEPT)) + " END"
+
+
 def queries() -> dict:
     def query(case: tuple):
         def run(spark, sf_dir: str):
@@ -113,13 +134,28 @@ def queries() -> dict:
         found = redact(rows, "text", only("emails", "urls", "fiscal"), steps=steps("email", "url", "card", "iban", "ssn"))
         return found.select("conv_id", "turn", "redacted", F.col("report.total").alias("total"))
 
+    def kept(spark, sf_dir: str):
+        """Ages, sexes and what only looks like a value: reported, never replaced."""
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        texts = orders.select("o_orderkey", F.expr(KEPT).alias("text"))
+        chosen = [*steps("age", "sex"), *SUSPECT_STEPS]
+        found = redact(texts, "text", only(*_ALL, packs=PACKS), steps=chosen)
+        told = F.concat_ws(",", F.transform("report.detected", lambda d: d.kind), F.transform("report.suspects", lambda d: d.kind))
+        return found.select("o_orderkey", F.col("redacted"), F.col("report.total").alias("total"), told.alias("told"))
+
+    def everything_off(spark, sf_dir: str):
+        """With every switch off no text may change and nothing may be told."""
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        found = redact(docs, "text", no_redaction())
+        return found.select("doc_id", "redacted", (F.col("report.total") + F.col("report.suspects_total") + F.col("report.detected_total")).alias("told"))
+
     def full(spark, sf_dir: str):
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         found = redact(docs, "text")
         return found.select("doc_id", "redacted", F.col("report.total").alias("total"), F.col("report.suspects_total").alias("suspects"))
 
-    own = {case[0]: query(case) for case in CASES if case[0] != "rec_mrz"}
-    return own | {"rec_email": documents, "negative_corpus": negative, "redact_full": full}
+    own = {case[0]: query(case) for case in CASES}
+    return own | {"rec_email": documents, "negative_corpus": negative, "redact_full": full, "kept_and_told": kept, "everything_off": everything_off}
 
 
 def oracle_sql() -> dict:
@@ -131,8 +167,6 @@ def oracle_sql() -> dict:
         placeholder = f"'{{{{{label}_1}}}}'"
         if name == "rec_ssn":
             placeholder = f"CASE WHEN {_itin_ok} THEN '{{{{ITIN_1}}}}' ELSE '{{{{SSN_1}}}}' END"
-        if name == "rec_mrz":
-            continue
         out[name] = (
             f"SELECT o_orderkey, CASE WHEN {condition} THEN {before} || {kept} || {placeholder} || {after} ELSE {before} || {candidate} || {after} END AS redacted, "
             f"CASE WHEN {condition} THEN 1 ELSE 0 END AS total FROM orders"
@@ -141,5 +175,8 @@ def oracle_sql() -> dict:
     out["rec_email"] = (
         f"SELECT doc_id, regexp_replace(text, '{pattern}', '{{{{EMAIL}}}}', 'g') AS redacted, len(regexp_extract_all(text, '{pattern}'))::INT AS total FROM documents"
     )
+    told = f"CASE o_orderkey % {len(_KEPT)} " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(_KEPT)) + " END"
+    out["kept_and_told"] = f"SELECT o_orderkey, {KEPT} AS redacted, 0 AS total, {told} AS told FROM orders"
+    out["everything_off"] = "SELECT doc_id, text AS redacted, 0 AS told FROM documents"
     out["negative_corpus"] = "SELECT conv_id, turn, text AS redacted, 0 AS total FROM conversations"
     return out
