@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,13 +47,23 @@ def strip_comments(text: Column) -> Column:
     return F.array_join(kept, "")
 
 
+def decode_references(text: Column) -> Column:
+    """With every named and numeric character reference decoded, once. Texts without an ampersand do not leave the JVM's columns."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unescape(t) for t in texts], dtype=object)
+
+    some = F.when(F.contains(text, F.lit("&")), text)
+    return F.coalesce(decode(some), text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Without script, style and head; line breaks for br and p; tags gone; common entities decoded."""
+    """Without script, style and head; line breaks for br and p; tags gone; character references decoded."""
     x = F.regexp_replace(html, r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>", "")
     x = F.regexp_replace(x, r"(?i)<br\s*/?>|</p\s*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
+    x = decode_references(F.replace(x, F.lit("&nbsp;"), F.lit(" ")))
     return F.regexp_replace(F.btrim(x, F.lit(" \n")), r"\n{3,}", "\n\n")
 
 
@@ -125,3 +138,13 @@ def still_present(text: Column, value: Column) -> Column:
     words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
     pattern = F.concat(F.lit(r"(?s).*(?<!\w)\Q"), F.array_join(words, r"\E\s+\Q"), F.lit(r"\E(?!\w).*"))
     return (F.length(F.regexp_replace(value, r"\s", "")) >= 3) & F.rlike(text, pattern)
+
+
+def finished(redacted: Column, empty: str = "(no text could be read)", caveat: Column | None = None, footer: Column | None = None) -> Column:
+    """A redacted document as it is handed out: a message in place of an empty text, then a caveat (for text read from an image) and a footer.
+
+    Added behind redaction, so that no step ever reads or changes them. Null stays null.
+    """
+    body = F.when(F.btrim(redacted, F.lit(" \t\r\n")) == "", F.lit(empty)).otherwise(redacted)
+    more = [F.concat(F.lit("\n\n> "), caveat) if caveat is not None else None, F.concat(F.lit("\n\n---\n\n"), footer) if footer is not None else None]
+    return F.when(redacted.isNull(), None).otherwise(F.concat(body, *[F.coalesce(m, F.lit("")) for m in more if m is not None]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import still_present
@@ -72,3 +72,18 @@ def insert_in_middle(text: Column, fragment: Column) -> Column:
     half = F.floor(F.length(text) / 2).cast("int")
     at = half + F.instr(F.substr(text, half + 1), " ")
     return F.concat(F.left(text, at), fragment, F.lit(" "), F.substr(text, at + 1))
+
+
+def first_examples(rows: DataFrame, by: list[str], example: str, k: int = 5) -> DataFrame:
+    """The first ``k`` distinct examples of each group, in their own order, with how many there are; null examples do not count.
+
+    The limit is applied before the shuffle, so a group with most of the rows costs ``k`` rows a task.
+    """
+    distinct = rows.filter(F.col(example).isNotNull()).select(*by, example).distinct()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(example))
+    first = distinct.withColumn("_place", place).filter(F.col("_place") <= k)
+    listed = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", example))).alias("_x")).withColumn("examples", F.col(f"_x.{example}")).drop("_x")
+    counts = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(b).alias(f"_{i}") for i, b in enumerate(by)], "n")
+    # a null group is a group
+    on = [F.col(b).eqNullSafe(F.col(f"_{i}")) for i, b in enumerate(by)]
+    return listed.join(counts, on).select(*by, "n", "examples")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, spans
+from ..functions.blocks import blocks
+from ..functions.text import finished
+from ..operators import evaluate, fuzzy, spans
 from ..operators.engine import annotations, redact
 from ..operators.options import only
 from ..operators.steps import STEPS, SUSPECT_STEPS
@@ -95,8 +97,41 @@ def losses_by_label(spark, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).groupBy(F.coalesce("label", F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("spans"), lost.alias("lost"))
 
 
+def first_examples(spark, sf_dir: str) -> DataFrame:
+    """Five parts of each brand that came back, and how many there are."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select("l_partkey")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name")
+    found = evaluate.first_examples(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), ["p_brand"], "p_partkey")
+    return found.select("p_brand", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+def handed_out(spark, sf_dir: str) -> DataFrame:
+    """Turns of conversations as they are handed out: every third is emptied, every second carries a caveat."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.when(F.col("turn") % 3 == 0, F.lit(" \n")).otherwise(F.col("text"))
+    caveat = F.when(F.col("turn") % 2 == 0, F.lit("read from an image"))
+    return turns.select("conv_id", "turn", finished(text, "(empty)", caveat, F.col("role")).alias("document"))
+
+
+#: A Markdown text by key: a heading, a list, numbers, a quote, a table, code and paragraphs, as SQL of both sides.
+_NL = "chr(10)"
+_PAGE = (
+    f"repeat('#', cast(o_orderkey % 6 + 1 as int)) || ' Order ' || cast(o_orderkey as string) || {_NL} || repeat('- item' || {_NL}, cast(o_orderkey % 4 as int)) || 'A paragraph' || {_NL} || 'of two lines' || {_NL} "
+    f"|| repeat('1. number' || {_NL}, cast(o_orderkey % 3 as int)) || '> said' || {_NL} || '|a|b|' || {_NL} || '|-|-|' || {_NL} || repeat('|1|2|' || {_NL}, cast(o_orderkey % 5 as int)) || '---' || {_NL} "
+    f"|| '```' || {_NL} || '# no heading' || {_NL} || '- no item' || {_NL} || CASE WHEN o_orderkey % 2 = 0 THEN '```' || {_NL} || 'end' ELSE '' END"
+)
+
+
+def blocks_by_kind(spark, sf_dir: str) -> DataFrame:
+    """Blocks of Markdown texts by kind, with their levels and table cells added up."""
+    pages = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr(_PAGE).alias("text"))
+    found = pages.select(F.inline(blocks(F.col("text"))))
+    cells = F.size(F.flatten("cells"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("level").alias("levels"), F.sum(cells).alias("cells"), F.sum(F.length("text")).alias("chars"))
+
+
 def queries() -> dict:
-    own = (fuzzy_outcomes, mask_matches, email_spans, recovered_spans, overlap_sweep, nearest_labels, losses_by_label)
+    own = (blocks_by_kind, first_examples, handed_out, fuzzy_outcomes, mask_matches, email_spans, recovered_spans, overlap_sweep, nearest_labels, losses_by_label)
     return {f.__name__: f for f in own}
 
 
@@ -155,7 +190,33 @@ def oracle_sql() -> dict:
         "CASE WHEN lb IS NOT NULL AND (la IS NULL OR gb <= ga) THEN lb ELSE la END AS name FROM around), "
         "judged AS (SELECT *, CASE WHEN gap <= 120 THEN name END AS label, CASE WHEN gap <= 120 THEN gap END AS label_gap FROM chosen) "
     )
+    examples = (
+        "WITH d AS (SELECT DISTINCT p_brand, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') "
+        "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_partkey))[1:5], ',') AS examples FROM d GROUP BY p_brand"
+    )
+    documents = (
+        "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '(empty)' ELSE text END || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || '> read from an image' ELSE '' END "
+        "|| chr(10) || chr(10) || '---' || chr(10) || chr(10) || role AS document FROM conversations"
+    )
+    k = "o_orderkey"
+    kinds = [
+        ("heading", "1", f"{k} % 6 + 1", "0", f"len('Order ' || {k}::VARCHAR)"),
+        ("bullet", f"{k} % 4", "0", "0", f"4 * ({k} % 4)"),
+        ("number", f"{k} % 3", "0", "0", f"6 * ({k} % 3)"),
+        ("paragraph", f"1 + ({k} + 1) % 2", "0", "0", f"24 + 3 * (({k} + 1) % 2)"),
+        ("quote", "1", "1", "0", "4"),
+        ("table", "1", "2", f"2 + 2 * ({k} % 5)", "0"),
+        ("rule", "1", "0", "0", "0"),
+        ("code", "1", "0", "0", f"22 + {k} % 2"),
+    ]
+    parts = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, sum({n})::BIGINT AS n, sum({level})::BIGINT AS levels, sum({cells})::BIGINT AS cells, sum({chars})::BIGINT AS chars FROM orders"
+        for kind, n, level, cells, chars in kinds
+    )
     return {
+        "blocks_by_kind": parts,
+        "first_examples": examples,
+        "handed_out": documents,
         "fuzzy_outcomes": outcomes,
         "mask_matches": windows,
         "email_spans": emails,

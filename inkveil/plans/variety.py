@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import generate
 from ..operators.engine import redact
 from ..operators.evaluate import outcome
-from ..operators.options import PACKS, Options
+from ..operators.options import PACKS, Options, only
+from ..operators.steps import STEPS
 from ..operators.tables import written
 from .checks import luhn_sql
 
@@ -77,8 +78,28 @@ def variety_recall(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: Digits and the letters a reader takes them for.
+_MISREAD = ("0125678", "OIZSGTB")
+
+
+def ocr_recall(spark, sf_dir: str) -> DataFrame:
+    """Tax codes and account numbers with one digit read as a letter: which were damaged, and which the repair steps remove."""
+    k = F.col("o_orderkey")
+    steps = [s for s in STEPS if s.name in ("codice_fiscale_ocr", "iban_ocr")]
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, generate.tax_code(k).alias("cf"), generate.iban(k, "DE").alias("iban"))
+    for name, place in (("cf", 7), ("iban", 3)):
+        read = F.translate(F.substring(name, place, 1), *_MISREAD)
+        rows = rows.withColumn(f"{name}_read", F.concat(F.left(name, F.lit(place - 1)), read, F.substr(name, F.lit(place + 1))))
+    texts = rows.withColumn("text", F.concat(F.lit("il codice "), "cf_read", F.lit(" e il conto "), "iban_read", F.lit(".")))
+    found = redact(written(texts, "texts"), "text", only("fiscal", numbered=False), steps)
+    gone = {name: ~F.contains("redacted", F.col(f"{name}_read")) for name in ("cf", "iban")}
+    return found.select(
+        "o_orderkey", *[(F.col(n) != F.col(f"{n}_read")).alias(f"{n}_damaged") for n in gone], *[x.alias(f"{n}_removed") for n, x in gone.items()]
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (generated_values, generated_numbers, variety_recall)}
+    return {f.__name__: f for f in (generated_values, generated_numbers, variety_recall, ocr_recall)}
 
 
 def _digits_sql(name: str, n: int) -> str:
@@ -102,4 +123,10 @@ def oracle_sql() -> dict:
         f"SELECT kind, count(*) AS tried, count(*) AS redacted, 0::BIGINT AS flagged, 0::BIGINT AS lost FROM orders, (VALUES {shapes}) AS s(shape, kind) "
         f"WHERE o_orderkey % {len(SHAPES)} = shape GROUP BY kind"
     )
-    return {"generated_values": values, "generated_numbers": numbers, "variety_recall": recall}
+    misread = ", ".join(f"'{d}'" for d in _MISREAD[0])
+    # a number that is not damaged is not theirs to remove
+    ocr = (
+        f"SELECT o_orderkey, cf AS cf_damaged, cf AS cf_removed, iban AS iban_damaged, iban AS iban_removed FROM (SELECT o_orderkey, left({_digits_sql('year', 2)}, 1) IN ({misread}) AS cf, "
+        f"left(lpad((98 - ({_digits_sql('ibanDE', 18)} || '131400')::HUGEINT % 97)::VARCHAR, 2, '0'), 1) IN ({misread}) AS iban FROM orders)"
+    )
+    return {"generated_values": values, "generated_numbers": numbers, "variety_recall": recall, "ocr_recall": ocr}

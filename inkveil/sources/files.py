@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.blocks import structured_markdown
 
 ATTACHMENT_LIMIT = 15 << 20
 _MAIL = "struct<subject:string,sender:string,recipients:string,date:string,body:string,is_html:boolean,attachments:array<struct<filename:string,size:bigint,mime:string,skipped:boolean,reason:string,content_base64:string>>,error:string>"
 
+#: Extensions whose files hold records.
+RECORDS = ("csv", "json", "xml")
 #: Extensions whose readers need a library that this package does not bring.
 NEEDS_READER = ("pdf", "docx", "doc", "xlsx", "xls", "pptx", "ppt", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 
@@ -89,9 +92,10 @@ def convert(files: DataFrame) -> DataFrame:
         F.when(ext == "eml", F.col("markdown"))
         .when(ext.isin("html", "htm"), T.html_to_text(plain))
         .when(ext.isin(*NEEDS_READER), None)
+        .when(ext.isin(*RECORDS), structured_markdown(F.when(ext.isin(*RECORDS), plain), ext))
         .otherwise(T.strip_comments(plain))
     )
-    engine = F.when(ext == "eml", "mail").when(ext.isin("html", "htm"), "html").when(ext.isin(*NEEDS_READER), None).otherwise("text")
+    engine = F.when(ext.isin(*RECORDS), "records").when(ext == "eml", "mail").when(ext.isin("html", "htm"), "html").when(ext.isin(*NEEDS_READER), None).otherwise("text")
     error = F.when(ext.isin(*NEEDS_READER), F.concat(F.lit("no reader for ."), ext)).otherwise(F.col("mail.error"))
     return own.select("path", "name", "extension", "content", markdown.alias("markdown"), engine.alias("engine"), T.prose(F.col("name")).alias("prose"), error.alias("error"))
 
