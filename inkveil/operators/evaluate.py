@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import still_present
+from . import bloom
 from .engine import mask
+from .tables import written
 
 
 def outcome(value: Column, redacted: Column, suspects: Column) -> Column:
@@ -87,3 +89,30 @@ def first_examples(rows: DataFrame, by: list[str], example: str, k: int = 5) ->
     # a null group is a group
     on = [F.col(b).eqNullSafe(F.col(f"_{i}")) for i, b in enumerate(by)]
     return listed.join(counts, on).select(*by, "n", "examples")
+
+
+def unknown_names(values: DataFrame, known: DataFrame, value: str = "value", entry: str = "entry", filtered: bool = True) -> DataFrame:
+    """The distinct values of two or three words none of which is known: column ``value``. Blanks between words become one.
+
+    A word counts if it has three letters or more, case ignored. A Bloom filter of the known words settles inside the scan's projection nearly
+    all values that are unknown; only the others meet the table of known words in a join. ``filtered=False`` leaves the filter out;
+    the rows are the same.
+    """
+    plain = F.btrim(F.regexp_replace(value, r"\s+", " "))
+    words = F.filter(F.split(F.lower(plain), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2)
+    rows = values.select(plain.alias("value"), words.alias("_words")).filter(F.size(F.split("value", " ")).between(2, 3)).distinct()
+    entries = written(known.select(F.lower(entry).alias("_word")).filter("_word IS NOT NULL").distinct(), "known")
+    if filtered:
+        bits = bloom.filter_bits(entries.count())
+        # written, as two branches read it
+        rows = written(_opened(rows, bloom.bloom_filter(entries, "_word", bits), bits), "names")
+        sure, rows = rows.filter("NOT _open").select("value"), rows.filter("_open")
+    met = rows.select("value", F.explode("_words").alias("_word")).join(entries, "_word").select("value")
+    rest = rows.select("value").join(met, "value", "left_anti")
+    return sure.unionByName(rest) if filtered else rest
+
+
+def _opened(rows: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with ``_open``: whether a word may be known."""
+    with_maps = rows.withColumn("_maps", maps.scalar())
+    return with_maps.withColumn("_open", F.exists("_words", lambda w: bloom.may_contain(F.col("_maps"), w, bits))).drop("_maps")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lexicon, names
+from ..operators import evaluate, lexicon, names
 from ..operators.engine import redact
 from ..operators.options import only
 
@@ -85,8 +85,16 @@ def name_shapes(spark, sf_dir: str) -> DataFrame:
     return redact(met, "text", only("names", numbered=False), steps=steps).select("o_orderkey", "text", "redacted", F.col("report.total").alias("total"))
 
 
+def unknown_pool(spark, sf_dir: str) -> DataFrame:
+    """Capitalised runs of two or three words none of which is a listed name."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr(f"{_SENTENCE} || text").alias("text"))
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("value"))
+    known = lexicon.table(spark).filter("class IN ('given', 'surname')").withColumnRenamed("token", "entry")
+    return evaluate.unknown_names(runs, known)
+
+
 def queries() -> dict:
-    return {"name_evidence": name_evidence, "name_shapes": name_shapes}
+    return {"name_evidence": name_evidence, "name_shapes": name_shapes, "unknown_pool": unknown_pool}
 
 
 def oracle_sql() -> dict:
@@ -101,4 +109,9 @@ def oracle_sql() -> dict:
     )
     redacted = _case(1)
     shapes = f"SELECT o_orderkey, {_case(0)} AS text, {_case(1)} AS redacted, (len({redacted}) - len(replace({redacted}, '{{{{NAME}}}}', '')))::INT // 8 AS total FROM orders"
-    return {"name_evidence": evidence, "name_shapes": shapes}
+    listed = ", ".join(f"'{t}'" for t in sorted(lexicon.GIVEN | lexicon.SURNAMES | lexicon.COMPOUNDS))
+    pool = (
+        f"WITH runs AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all({_SENTENCE} || text, '{_PATTERN}')), '[ 	]+', ' ', 'g') AS value FROM documents) "
+        f"SELECT value FROM runs WHERE len(string_split(value, ' ')) BETWEEN 2 AND 3 AND len(list_filter(string_split(lower(value), ' '), lambda w: len(w) > 2 AND w IN ({listed}))) = 0"
+    )
+    return {"name_evidence": evidence, "name_shapes": shapes, "unknown_pool": pool}

@@ -76,3 +76,29 @@ def test_outcomes(spark, monkeypatch):
         assert found == [(1, 0, None, "redacted"), (1, 0, None, "redacted"), (2, 2, 2, "lost"), (3, 1, 1, "flagged"), (4, None, None, "not read"), (6, 1, 1, "lost"), (7, 2, 2, "lost")]
         assert [(r.text_edits, r.outcome) for r in got if r.doc_id == 5] == [(None, "not read")]
         assert [(r.text_edits, r.outcome) for r in got if r.value == "--"] == [(None, "not read")] and len(got) == 59
+
+
+def test_bloom_filter_never_refuses_what_was_put_in(spark):
+    from pyspark.sql import functions as F
+
+    from inkveil.operators import bloom
+
+    inside, bits = spark.range(3000).select(F.concat(F.lit("w"), "id").alias("w")), bloom.filter_bits(3000)
+    assert bits == 65_536 and bloom.filter_bits(0) == 32_768 and bloom.filter_bits(10**12) == bloom.MOST_BITS
+    both = spark.range(9000).select("id", F.concat(F.lit("w"), "id").alias("w")).withColumn("maps", bloom.bloom_filter(inside, "w", bits).scalar())
+    got = both.withColumn("maybe", bloom.may_contain(F.col("maps"), F.col("w"), bits)).groupBy(F.col("id") < 3000).agg(F.sum(F.col("maybe").cast("int")), F.count("*")).collect()
+    counts = {r[0]: (r[1], r[2]) for r in got}
+    assert counts[True] == (3000, 3000) and counts[False][0] < 0.03 * 6000
+    nothing = spark.range(5).withColumn("maps", bloom.bloom_filter(inside.filter("false"), "w", 32_768).scalar())
+    assert not any(r[0] for r in nothing.select(bloom.may_contain(F.col("maps"), F.lit("w1"), 32_768)).collect())
+
+
+def test_unknown_names_with_and_without_the_filter(spark):
+    from inkveil.operators import evaluate
+
+    values = [("Adyam Qur",), ("Adyam  Qur",), ("Mario Qur",), ("Qur de Rossi",), ("Di Qur",), ("Qur",), ("a b c d",), (None,), ("X Y",), ("O'Mario Zed",)] + [(f"n{i} m{i}",) for i in range(300)]
+    df = spark.createDataFrame(values, "value string")
+    known = spark.createDataFrame([("MARIO",), ("rossi",), (None,), ("n7",), ("di",), ("m250",)], "entry string")
+    got = {f: sorted(r[0] for r in evaluate.unknown_names(df, known, filtered=f).collect()) for f in (True, False)}
+    # words of fewer than three letters never count, listed or not
+    assert got[True] == got[False] == sorted(["Adyam Qur", "Di Qur", "X Y", *[f"n{i} m{i}" for i in range(300) if i != 250]])
