@@ -24,11 +24,11 @@ NEEDS_READER = ("pdf", "docx", "doc", "xlsx", "xls", "pptx", "ppt", "png", "jpg"
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """Files of a folder in order of their paths: path, name, extension, content. Names of unknown extensions are left out."""
+    """Files of a folder: path, name, extension, content. Names of unknown extensions are left out. Sort by path where order matters, without the contents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
     named = files.select("path", name.alias("name"), T.extension(name).alias("extension"), "modificationTime", "length", "content")
-    return named.filter(T.allowed(F.col("name"))).orderBy("path")
+    return named.filter(T.allowed(F.col("name")))
 
 
 def parse_mail(content: bytes | None, limit: int = ATTACHMENT_LIMIT) -> dict:
@@ -61,7 +61,9 @@ def mails(files: DataFrame, limit: int = ATTACHMENT_LIMIT) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([parse_mail(c, limit) for c in batch])
 
-    return files.withColumn("mail", F.pandas_udf(run, _MAIL)(F.col("content")))
+    # other files do not go through the parser
+    content = F.when(F.col("extension") == "eml", F.col("content")) if "extension" in files.columns else F.col("content")
+    return files.withColumn("mail", F.pandas_udf(run, _MAIL)(content))
 
 
 def attachments(files: DataFrame, limit: int = ATTACHMENT_LIMIT) -> DataFrame:

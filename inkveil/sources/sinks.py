@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +54,23 @@ def scrub_paths(message: Column) -> Column:
     return F.regexp_replace(message, r"(?:[A-Za-z]:)?(?:[/\\][^\s/\\:'\"]+)+[/\\]([^\s/\\:'\"]+)", "…/$1")
 
 
-def write_markdown(df: DataFrame, folder: str, output: str = "output", markdown: str = "markdown") -> None:
-    """Markdown as text files, one folder for each document, by Spark's commit protocol."""
-    df.select(F.col(output).alias("document"), F.col(markdown).alias("value")).write.partitionBy("document").text(folder)
+def write_markdown(df: DataFrame, folder: str, output: str = "output", markdown: str = "markdown") -> int:
+    """One text file for each document in ``folder``, written by the tasks that hold the rows; the number of files.
+
+    A file is written under another name and then renamed, so a reader never sees half of it; a task that runs again writes the same
+    files. Rows with the same name must have the same text; names are those of ``output_names``. Null texts are written empty.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(*(batch.column(c).to_pylist() for c in ("name", "text")), strict=True):
+                path, part = f"{root}/{name}", f"{root}/.{name}-{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write((text or "").encode())
+                files.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(output).alias("name"), F.col(markdown).alias("text")).filter(F.col("name").isNotNull())
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

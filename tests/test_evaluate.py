@@ -102,3 +102,15 @@ def test_unknown_names_with_and_without_the_filter(spark):
     got = {f: sorted(r[0] for r in evaluate.unknown_names(df, known, filtered=f).collect()) for f in (True, False)}
     # words of fewer than three letters never count, listed or not
     assert got[True] == got[False] == sorted(["Adyam Qur", "Di Qur", "X Y", *[f"n{i} m{i}" for i in range(300) if i != 250]])
+
+
+def test_overlaps_equal_all_pairs(spark):
+    from inkveil.operators import evaluate
+
+    r = random.Random(5)
+    draw = lambda n, w: [(r.choice([1, 2, 3, None]), s, s + r.randint(0, w)) for s in (r.randint(0, 300) for _ in range(n))]
+    wide, removed = draw(150, 9) + [(9, 1, 5)], draw(40, 12)
+    schema = "doc_id int, start int, end int"
+    got = evaluate.overlaps(spark.createDataFrame(wide, schema), spark.createDataFrame(removed, schema)).collect()
+    expected = {(k, s, e): any(x == k and s < b and a < e for x, a, b in removed) for k, s, e in wide}
+    assert {tuple(x)[:3]: x.caught for x in got} == expected and len(got) == len(expected) and len(set(expected.values())) == 2

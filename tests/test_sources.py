@@ -72,3 +72,11 @@ def test_hot_folder(spark, tmp_path):
 def test_compare_takes_groups_of_two(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d"), (3, 2, "e"), (3, 3, "f")], "g int, o int, md string")
     assert [tuple(r) for r in sinks.compare(df, ["g"], "o", "md").collect()] == [(1, "# A\n\na\n\n# B\n\nb")]
+
+
+def test_one_file_for_each_document(spark, tmp_path):
+    df = spark.createDataFrame([("a b.md", "é\nx"), ("b.md", ""), ("c.md", None), (None, "lost")], "output string, markdown string").repartition(3)
+    for _ in range(2):
+        assert sinks.write_markdown(df, f"file://{tmp_path}/out") == 3
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a b.md": "é\nx", "b.md": "", "c.md": ""}
+    assert sinks.write_markdown(df.filter("false"), f"file://{tmp_path}/none") == 0
