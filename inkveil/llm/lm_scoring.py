@@ -49,6 +49,8 @@ HEAD = 1 << 18
 CELL = 1 << 21
 #: Fewest cells, so that small corpora are dealt to several tasks.
 CELLS = 32
+#: Sums of rows that a task holds back to add those of its next cells; about 6 MB.
+MOST_SUMS = 1 << 18
 _SLICE = 1 << 21
 _TOKENS = 1 << 19
 _ROWS = 1 << 18
@@ -496,11 +498,18 @@ def _messages(tokens: DataFrame, unknown: DataFrame, fitted: Fitted) -> DataFram
 
 
 def _added(batches: Iterator[pa.RecordBatch], unknown: dict[int, tuple[float, float]]) -> Iterator[pa.RecordBatch]:
-    """(row, t, u): sums of the terms of rows, cell by cell; the terms of a cell come before the rows."""
-    for cell, parts in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["cell"]):
+    """(row, t, u): sums of the terms of rows, cell by cell; the terms of a cell come before the rows.
+
+    What the cells of a task say of a row is added up before it is handed on, as far as ``MOST_SUMS`` rows go.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        return _sums(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found], axis=1))
+
+    for _, parts in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["cell"]):
         terms: list[tuple] = []
         known = None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for r in parts:
             n = r["size"]
             if r["codes"] is None:
@@ -522,9 +531,14 @@ def _added(batches: Iterator[pa.RecordBatch], unknown: dict[int, tuple[float, fl
                 values[:, hit] = known.value[:, at[hit]]
             told = hit | (kind != NONE)
             found.append(_sums(rows[told], values[:, told]))
-        if found:
-            rows, values = _sums(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found], axis=1))
-            yield from _batches({"row": rows, "t": values[0], "u": values[1]})
+            if sum(len(f[0]) for f in found) > 2 * MOST_SUMS:
+                found = [summed()]
+                if len(found[0][0]) > MOST_SUMS:
+                    yield from _batches({"row": found[0][0], "t": found[0][1][0], "u": found[0][1][1]})
+                    found = []
+    if found:
+        rows, values = summed()
+        yield from _batches({"row": rows, "t": values[0], "u": values[1]})
 
 
 def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -537,7 +551,10 @@ def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "tex
     messages, default = _messages(tokens, unknown, fitted), fitted.unknown
     # sums of frequent terms need no cell and stay where they are dealt by row
     cells = messages.withColumn("cell", F.when(F.col("cell") < 0, -1 - F.pmod(F.xxhash64("rows"), F.lit(1 << fitted.bits))).otherwise(F.col("cell")))
-    parts = _by_cell(cells, fitted.bits, "row").mapInArrow(lambda batches: _added(batches, default), "row long, t double, u double")
+    # a task has many cells, so that what they say of a row meets there; a row is shuffled once for each task at most
+    tasks = min(1 << fitted.bits, max(CELLS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "row")
+    parts = dealt.mapInArrow(lambda batches: _added(batches, default), "row long, t double, u double")
     sums = parts.groupBy("row").agg(F.sum("t").alias("t"), F.sum("u").alias("u"))
     n = F.size("words").cast("long")
     whole = tokens.select("row", "key", n.alias("n_tokens")).join(sums, "row", "left")
