@@ -164,7 +164,7 @@ def split_lines(docs: DataFrame, key: str, text: str, keep: Column | None = None
     given = [F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("mark")]
     rows = docs.select(*given, *([] if keep is None else [keep.alias("d")]), F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return materialise(rows.mapInArrow(run, f"{kinds}, numbers array<int>, names array<binary>, ids array<long>, own array<string>"), "lines")
+    return materialise(rows.mapInArrow(run, f"{kinds}, numbers array<int>, names array<binary>, ids array<long>, own array<string>"), "lines", dictionaries=False)
 
 
 def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +271,7 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
             yield from drain(held, large, True)[0]
 
     packed = lines.select("ids", "own").mapInArrow(sign, "cell long, keys array<long>, ids array<long>")
-    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, ids array<long>"), "met")
+    met = materialise(packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, ids array<long>"), "met", dictionaries=False)
     # a small bucket has no key of its own, but is its list of lines
     small = met.filter("key = 0").select("ids").distinct().select(F.xxhash64("ids").alias("key"), F.get("ids", F.lit(0)).alias("first"), F.explode("ids").alias("id"))
     small = materialise(small, "small")
@@ -483,13 +483,13 @@ def removed_lines(lines: DataFrame, max_part: int = MAX_PART) -> DataFrame:
     roots = connected_components(links(lines, max_part)).withColumnRenamed("node", "name")
     places = lines.select("row", "doc", "mark", F.explode(F.arrays_zip("numbers", "names")).alias("x"))
     places = places.select(F.col("x.names").alias("name"), F.struct("doc", "mark", "row", F.col("x.numbers").alias("number")).alias("place"))
-    first = materialise(places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), "first")
+    first = materialise(places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), "first", dictionaries=False)
     # classes of several lines keep the least of their first places
-    several = materialise(first.join(roots, "name"), "several")
+    several = materialise(first.join(roots, "name"), "several", dictionaries=False)
     least = materialise(several.groupBy("root").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("members")), "least")
     classes = join_counted(several.select("name", "root", "n"), least, "root", n="members").select("name", "n", "kept")
     alone = first.filter("n > 1").join(roots, "name", "left_anti").select("name", "n", F.col("first").alias("kept"))
-    doubled = materialise(classes.unionByName(alone), "doubled")
+    doubled = materialise(classes.unionByName(alone), "doubled", dictionaries=False)
     gone = join_counted(places, doubled, "name").filter("place != kept").select("place.row", "place.number")
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("number")).alias("removed"))
 

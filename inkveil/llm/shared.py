@@ -31,17 +31,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", path: str | None = None, dictionaries: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder (``path`` in it) and read it back: cuts lineage, survives lost executors.
 
-    The shuffles of the write are of no use once it is done; Spark is told to drop their files then.
+    The shuffles of the write are of no use once it is done; Spark is told to drop their files then. ``dictionaries=False``
+    saves the time of looking for repeated values in columns of hashes, which have none.
     """
     spark = df.sparkSession
     path = path or scratch(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionaries).lower()).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
