@@ -13,24 +13,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.tables import spread
 from . import validators as V
+from .validators import once
 
 #: Hex digits of a hash that make one number: below 2**52.
 _HEX = 13
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def number(key: Column, name: str, below: int) -> Column:
+def number(key: Column, name: str | Column, below: int) -> Column:
     """A whole number from 0 to below that, by key and name."""
     seen = F.md5(F.concat_ws(":", key.cast("string"), F.lit(name)))
     return F.conv(F.left(seen, F.lit(_HEX)), 16, 10).cast("long") % below
 
 
-def digits(key: Column, name: str, n: int) -> Column:
+def digits(key: Column, name: str | Column, n: int) -> Column:
     """n digits; above 12 they come from two numbers."""
     if n > 12:
         return F.concat(digits(key, name, 12), digits(key, name + "+", n - 12))
@@ -43,7 +40,10 @@ def one_of(key: Column, name: str, choices: str | tuple[str, ...]) -> Column:
 
 
 def letters(key: Column, name: str, n: int, alphabet: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> Column:
-    return F.concat(*[one_of(key, f"{name}{i}", alphabet) for i in range(n)])
+    """n letters of an alphabet, all from one number; at most ten."""
+    size, listed = len(alphabet), F.array(*[F.lit(c) for c in alphabet])
+    letter = lambda x, i: F.get(listed, (F.floor(x / size**i) % size).cast("int"))
+    return once(number(key, name, size**n), lambda x: F.concat(*[letter(x, i) for i in range(n)]))
 
 
 def _text(x: Column) -> Column:
@@ -54,18 +54,20 @@ def luhn_digit(payload: Column, n: int) -> Column:
     """The digit behind n digits that makes their Luhn sum whole."""
     total = F.lit(0)
     for i in range(n):
-        d = F.substring(payload, n - i, 1).cast("int") * (2 if i % 2 == 0 else 1)
-        total = total + F.when(d > 9, d - 9).otherwise(d)
+        d = F.ascii(F.substring(payload, n - i, 1)) - 48
+        # a doubled digit of two figures counts as their sum
+        total = total + (d * 2 - F.when(d > 4, 9).otherwise(0) if i % 2 == 0 else d)
     return _text((10 - total % 10) % 10)
 
 
 def _weighted(payload: Column, weights: tuple[int, ...]) -> Column:
-    return sum((F.substring(payload, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+    return sum(((F.ascii(F.substring(payload, i + 1, 1)) - 48) * w for i, w in enumerate(weights)), F.lit(0))
 
 
-def _first_that(key: Column, name: str, make: Callable[[str], Column], otherwise: str) -> Column:
-    """The first of eight tries that is not null; a modulus leaves some payloads without a check digit."""
-    return F.coalesce(*[make(f"{name}{i}") for i in range(8)], F.lit(otherwise))
+def _first_that(name: str, make: Callable[[Column], Column], otherwise: str) -> Column:
+    """The first of eight tries that is not null; a modulus leaves some payloads without a check digit. Later tries are not made."""
+    tried = F.aggregate(F.array(*[F.lit(f"{name}{i}") for i in range(8)]), F.lit(None).cast("string"), lambda found, x: F.coalesce(found, make(x)))
+    return F.coalesce(tried, F.lit(otherwise))
 
 
 def card(key: Column, prefix: str = "4", length: int = 16) -> Column:
@@ -78,10 +80,7 @@ def iban(key: Column, country: str = "DE", body: Column | None = None) -> Column
 
 
 def _iban_of(country: str, own: Column) -> Column:
-    turned = F.filter(F.split(F.concat(own, F.lit(country + "00")), ""), lambda x: x != "")
-    worth = lambda x: F.when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise(F.ascii(x) - 55)
-    rest = F.aggregate(turned, F.lit(0), lambda a, x: F.when(x.rlike("[0-9]"), (a * 10 + worth(x)) % 97).otherwise((a * 100 + worth(x)) % 97))
-    return F.concat(F.lit(country), F.lpad(_text(98 - rest), 2, "0"), own)
+    return F.concat(F.lit(country), F.lpad(_text(98 - V.mod97(F.concat(own, F.lit(country + "00")))), 2, "0"), own)
 
 
 def iban_it(key: Column) -> Column:
@@ -93,12 +92,7 @@ def iban_gb(key: Column) -> Column:
 
 
 def _cf_letter(body: Column) -> Column:
-    odd = F.create_map(*[F.lit(y) for x in V.CF_ODD.items() for y in x])
-    total = F.lit(0)
-    for i in range(1, 16):
-        x = F.substring(body, i, 1)
-        total = total + (F.element_at(odd, x) if i % 2 else F.when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise(F.ascii(x) - 65))
-    return F.char(65 + total % 26)
+    return F.char(65 + V.cf_total(body) % 26)
 
 
 def tax_code(key: Column, foreign: bool = False, letters_for_digits: int = 0) -> Column:
@@ -122,14 +116,14 @@ def vat_number(key: Column) -> Column:
 
 
 def nhs(key: Column) -> Column:
-    def make(name: str) -> Column:
+    def make(name: Column) -> Column:
         def checked(body: Column) -> Column:
             check = (11 - _weighted(body, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11
             return once(check, lambda c: F.when(c != 10, F.concat(body, _text(c))))
 
         return once(digits(key, name, 9), checked)
 
-    return _first_that(key, "nhs", make, "9434765919")
+    return _first_that("nhs", make, "9434765919")
 
 
 def abn(key: Column) -> Column:
@@ -144,14 +138,14 @@ def abn(key: Column) -> Column:
 def tfn(key: Column, length: int = 9) -> Column:
     weights, last = ((1, 4, 3, 7, 5, 8, 6, 9), 10) if length == 9 else ((10, 7, 8, 4, 6, 3, 5), 1)
 
-    def make(name: str) -> Column:
+    def make(name: Column) -> Column:
         def checked(body: Column) -> Column:
             check = (_weighted(body, weights) * (1 if last == 10 else 10)) % 11
             return once(check, lambda c: F.when(c != 10, F.concat(body, _text(c))))
 
         return once(digits(key, name, length - 1), checked)
 
-    return _first_that(key, f"tfn{length}", make, "123456782" if length == 9 else "81854402")
+    return _first_that(f"tfn{length}", make, "123456782" if length == 9 else "81854402")
 
 
 def sin(key: Column) -> Column:
@@ -189,7 +183,7 @@ def mrz_number(key: Column) -> Column:
         total = F.lit(0)
         for i in range(9):
             x = F.substring(body, i + 1, 1)
-            total = total + F.when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise(F.ascii(x) - 55) * (7, 3, 1)[i % 3]
+            total = total + F.when(F.ascii(x) < 58, F.ascii(x) - 48).otherwise(F.ascii(x) - 55) * (7, 3, 1)[i % 3]
         return F.concat(body, _text(total % 10))
 
     return once(F.concat(letters(key, "doc", 2), digits(key, "doc", 7)), checked)
@@ -247,15 +241,25 @@ KINDS: dict[str, Kind] = {
 }
 
 
+def value(key: Column, kind: Column) -> Column:
+    """The value of the kind that a column names; the others are not made."""
+    return F.coalesce(*[F.when(kind == n, own.make(key)) for n, own in KINDS.items()])
+
+
 def values(df, key: str, kinds: tuple[str, ...] = tuple(KINDS)):
     """(key, kind, value, valid, neighbour, neighbour_valid): a row for each kind and row of ``df``."""
     k = F.col(key)
     rows = [
         F.struct(F.lit(name).alias("kind"), kind.make(k).alias("value")) for name, kind in KINDS.items() if name in kinds
     ]
-    made = df.select(k.alias(key), F.inline(F.array(*rows)))
-    # each check is computed for its own kind only
-    pick = lambda use: F.coalesce(*[F.when(F.col("kind") == n, use(KINDS[n])) for n in kinds])
-    v = F.col("value")
-    made = made.withColumn("valid", pick(lambda x: x.check(v))).withColumn("neighbour", pick(lambda x: x.neighbour(v)))
-    return made.withColumn("neighbour_valid", pick(lambda x: x.check(F.col("neighbour"))))
+    made = spread(df.select(key)).select(key, F.inline(F.array(*rows)))
+    # each check is computed for its own kinds only, by one expression for a value and its neighbour
+    def pick(use: Callable[[Kind], Callable[[Column], Column]], v: Column) -> Column:
+        alike: dict = {}
+        for n in kinds:
+            alike.setdefault(use(KINDS[n]), []).append(n)
+        return F.coalesce(*[F.when(F.col("kind").isin(*own), f(v)) for f, own in alike.items()])
+
+    made = made.withColumn("neighbour", pick(lambda x: x.neighbour, F.col("value")))
+    checked = made.withColumn("_valid", F.transform(F.array("value", "neighbour"), lambda v: pick(lambda x: x.check, v)))
+    return checked.select(key, "kind", "value", F.get("_valid", F.lit(0)).alias("valid"), "neighbour", F.get("_valid", F.lit(1)).alias("neighbour_valid"))

@@ -5,6 +5,8 @@ Null stays null; anything of another shape is false.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ CF_ODD = dict(zip("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (
 ), strict=True))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -52,8 +59,7 @@ def _shaped(s: Column, pattern: str, rest: Column) -> Column:
 
 def luhn_ok(s: Column) -> Column:
     """Payment card: 13 to 19 digits that pass the Luhn check; separators are ignored."""
-    d = digits(s)
-    return _shaped(d, "^[0-9]{13,19}$", _luhn(d))
+    return once(digits(s), lambda d: _shaped(d, "^[0-9]{13,19}$", _luhn(d)))
 
 
 def _luhn(s: Column) -> Column:
@@ -61,7 +67,36 @@ def _luhn(s: Column) -> Column:
 
 
 def _letters_value(x: Column) -> Column:
-    return F.when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise(F.ascii(x) - 55)
+    return _code_value(F.ascii(x))
+
+
+def _code_value(code: Column) -> Column:
+    """What a digit or a capital letter is worth by its ASCII code: 0 to 9, then A is 10."""
+    return F.when(code < 58, code - 48).otherwise(code - 55)
+
+
+def letter_value(x: Column) -> Column:
+    """What a digit, or a capital letter counted from A as 0, is worth."""
+    return F.when(F.ascii(x) < 58, F.ascii(x) - 48).otherwise(F.ascii(x) - 65)
+
+
+def mod97(text: Column) -> Column:
+    """The remainder modulo 97 of digits and capital letters, each letter read as its two digits from 10 on."""
+    codes = F.transform(F.split(text, ""), lambda x: F.ascii(x))
+    return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97))
+
+
+_CF_WORTH = [CF_ODD.get(chr(c), 0) for c in range(48, 91)]
+
+
+def cf_total(text: Column) -> Column:
+    """The sum over the 15 digits and capital letters of a tax code that its check letter stands for."""
+    worth = F.array(*[F.lit(w) for w in _CF_WORTH])
+    total = F.lit(0)
+    for i in range(1, 16):
+        x = F.substring(text, i, 1)
+        total = total + (F.get(worth, F.ascii(x) - 48) if i % 2 else letter_value(x))
+    return total
 
 
 def iban_length(country: Column) -> Column:
@@ -70,25 +105,17 @@ def iban_length(country: Column) -> Column:
 
 def iban_ok(s: Column) -> Column:
     """Registered length and remainder 1 modulo 97."""
-    v = compact(s)
-    turned = F.concat(F.substr(v, F.lit(5)), F.left(v, F.lit(4)))
-    chars = F.filter(F.split(turned, ""), lambda x: x != "")
-    rest = F.aggregate(
-        chars, F.lit(0), lambda a, x: F.when(x.rlike("[0-9]"), (a * 10 + _letters_value(x)) % 97).otherwise((a * 100 + _letters_value(x)) % 97)
-    )
-    return _shaped(v, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", F.coalesce((F.length(v) == iban_length(F.left(v, F.lit(2)))) & (rest == 1), F.lit(False)))
+    def checked(v: Column) -> Column:
+        length = F.coalesce(F.length(v) == iban_length(F.left(v, F.lit(2))), F.lit(False))
+        return _shaped(v, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", length & (mod97(F.concat(F.substr(v, F.lit(5)), F.left(v, F.lit(4)))) == 1))
+
+    return once(compact(s), checked)
 
 
 def cf_ok(s: Column) -> Column:
     """Italian tax code of 16 characters (letters may stand for digits): check character."""
-    v = F.upper(s)
-    odd = F.create_map(*[F.lit(y) for x in CF_ODD.items() for y in x])
-    total = F.lit(0)
-    for i in range(1, 16):
-        x = F.substring(v, i, 1)
-        total = total + (F.element_at(odd, x) if i % 2 else F.when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise(F.ascii(x) - 65))
     shape = "^[A-Z]{6}[0-9LMNPQRSTUV]{2}[A-EHLMPR-T][0-9LMNPQRSTUV]{2}[A-Z][0-9LMNPQRSTUV]{3}[A-Z]$"
-    return _shaped(v, shape, total % 26 == F.ascii(F.substring(v, 16, 1)) - 65)
+    return once(F.upper(s), lambda v: _shaped(v, shape, cf_total(v) % 26 == F.ascii(F.substring(v, 16, 1)) - 65))
 
 
 def piva_ok(s: Column) -> Column:
@@ -98,9 +125,8 @@ def piva_ok(s: Column) -> Column:
 
 def nino_ok(s: Column) -> Column:
     """UK national insurance number: letters that are issued, and a suffix from A to D."""
-    v = compact(s)
-    pair = F.left(v, F.lit(2)).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
-    return _shaped(v, "^[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$", ~pair)
+    pair = lambda v: F.left(v, F.lit(2)).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+    return once(compact(s), lambda v: _shaped(v, "^[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$", ~pair(v)))
 
 
 def ssn_ok(s: Column) -> Column:
@@ -110,42 +136,42 @@ def ssn_ok(s: Column) -> Column:
 
 def itin_ok(s: Column) -> Column:
     """US taxpayer number: starts with 9, group in 50-65, 70-88, 90-92 or 94-99."""
-    group = F.substring(digits(s), 4, 2).try_cast("int")
-    inside = group.between(50, 65) | group.between(70, 88) | group.between(90, 92) | group.between(94, 99)
-    return _shaped(s, "^9[0-9]{2}-?[0-9]{2}-?[0-9]{4}$", inside)
+    inside = lambda group: group.between(50, 65) | group.between(70, 88) | group.between(90, 92) | group.between(94, 99)
+    return _shaped(s, "^9[0-9]{2}-?[0-9]{2}-?[0-9]{4}$", once(F.substring(digits(s), 4, 2).try_cast("int"), inside))
 
 
 def nhs_ok(s: Column) -> Column:
     """NHS number: 10 digits, modulo 11."""
-    d = digits(s)
-    check = (11 - weighted(d, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11
-    return _shaped(d, "^[0-9]{10}$", (check != 10) & (check == _digit(d, 10)))
+    def checked(d: Column) -> Column:
+        # a remainder of 10 equals no digit
+        return _shaped(d, "^[0-9]{10}$", (11 - weighted(d, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11 == _digit(d, 10))
+
+    return once(digits(s), checked)
 
 
 def aba_ok(s: Column) -> Column:
     """US routing number: prefix in use, weights 3-7-1 modulo 10."""
-    prefix = F.left(s, F.lit(2)).try_cast("int")
-    used = prefix.between(0, 12) | prefix.between(21, 32) | prefix.between(61, 72) | (prefix == 80)
-    return _shaped(s, "^[0-9]{9}$", used & (weighted(s, (3, 7, 1) * 3) % 10 == 0))
+    used = lambda prefix: prefix.between(0, 12) | prefix.between(21, 32) | prefix.between(61, 72) | (prefix == 80)
+    return once(s, lambda d: _shaped(d, "^[0-9]{9}$", once(F.left(d, F.lit(2)).try_cast("int"), used) & (weighted(d, (3, 7, 1) * 3) % 10 == 0)))
 
 
 def sin_ok(s: Column) -> Column:
     """Canadian SIN: 9 digits, Luhn, first digit neither 0 nor 8."""
-    d = digits(s)
-    return _shaped(d, "^[1-79][0-9]{8}$", _luhn(d))
+    return once(digits(s), lambda d: _shaped(d, "^[1-79][0-9]{8}$", _luhn(d)))
 
 
 def abn_ok(s: Column) -> Column:
     """Australian business number: 11 digits, modulo 89."""
-    d = digits(s)
-    return _shaped(d, "^[1-9][0-9]{10}$", (weighted(d, (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)) - 10) % 89 == 0)
+    return once(digits(s), lambda d: _shaped(d, "^[1-9][0-9]{10}$", (weighted(d, (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)) - 10) % 89 == 0))
 
 
 def tfn_ok(s: Column) -> Column:
     """Australian tax file number: 8 or 9 digits, modulo 11."""
-    d = digits(s)
-    nine, eight = weighted(d, (1, 4, 3, 7, 5, 8, 6, 9, 10)), weighted(d, (10, 7, 8, 4, 6, 3, 5, 1))
-    return _shaped(d, "^[0-9]{8,9}$", F.when(F.length(d) == 9, nine % 11 == 0).otherwise(eight % 11 == 0))
+    def checked(d: Column) -> Column:
+        nine, eight = weighted(d, (1, 4, 3, 7, 5, 8, 6, 9, 10)), weighted(d, (10, 7, 8, 4, 6, 3, 5, 1))
+        return _shaped(d, "^[0-9]{8,9}$", F.when(F.length(d) == 9, nine % 11 == 0).otherwise(eight % 11 == 0))
+
+    return once(digits(s), checked)
 
 
 def mrz_ok(field: Column, check: Column) -> Column:
@@ -166,8 +192,8 @@ def postcode_ok(s: Column) -> Column:
 
 def nanp_ok(s: Column) -> Column:
     """North American number: area and exchange from 200, not N11, not 555-01xx."""
-    d = F.regexp_replace(digits(s), "^1(?=[0-9]{10}$)", "")
-    return F.when(d.isNull(), None).otherwise(d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{2}[0-9]{4}$") & ~d.rlike("^[0-9]{3}55501[0-9]{2}$"))
+    shaped = lambda d: d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{2}[0-9]{4}$") & ~d.rlike("^[0-9]{3}55501[0-9]{2}$")
+    return once(F.regexp_replace(digits(s), "^1(?=[0-9]{10}$)", ""), shaped)
 
 
 def secret_plausible(s: Column) -> Column:

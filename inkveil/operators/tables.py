@@ -25,3 +25,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tasks for each core of the cluster that ``spread`` deals rows to.
+WAVES = 3
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in more parts, if their files make few: for much work on each of many small rows, of which one small file has any number."""
+    parts = WAVES * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows

@@ -46,3 +46,18 @@ def test_values_depend_on_the_key_alone(spark):
 def test_a_payload_without_a_check_digit_is_passed_over(spark, kind):
     rows = generate.values(spark.range(3000), "id", (kind,)).agg(F.min("valid"), F.max("neighbour_valid"), F.countDistinct("value")).first()
     assert rows[0] and not rows[1] and rows[2] > 2500
+
+
+def test_few_files_become_many_tasks(spark):
+    """Work on the values of a small file is dealt to all cores, in a plan that holds each check once."""
+    one = spark.range(600).coalesce(1)
+    made = generate.values(one, "id")
+    assert made.rdd.getNumPartitions() > 4 and made.count() == 600 * len(generate.KINDS)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[1-79][0-9]{8}") == 1
+
+
+def test_value_of_a_named_kind(spark):
+    made = generate.values(spark.range(40), "id", ("nhs", "iban_it", "tfn_old"))
+    assert made.filter(generate.value(F.col("id"), F.col("kind")) != F.col("value")).count() == 0 and made.filter("valid AND NOT neighbour_valid").count() == 120
+    assert spark.range(1).select(generate.value(F.col("id"), F.lit("none"))).first()[0] is None
