@@ -10,7 +10,7 @@ from ..operators.engine import redact
 from ..operators.evaluate import outcome
 from ..operators.options import PACKS, Options, only
 from ..operators.steps import STEPS
-from ..operators.tables import written
+from ..operators.tables import spread, written
 from .checks import luhn_sql
 
 #: A label and how the value is written behind it: as it is, or in groups of so many characters with a separator.
@@ -65,12 +65,13 @@ def _written(value, groups: tuple[int, ...], separator: str):
 
 def variety_recall(spark, sf_dir: str) -> DataFrame:
     """Where the values of each kind go in the whole default program with all packs, over all shapes."""
-    made = generate.values(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey").select("o_orderkey", "kind", "value")
-    shapes = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SHAPES)], "shape int, kind string")
-    rows = made.join(F.broadcast(shapes), "kind").filter(F.pmod(F.col("o_orderkey"), F.lit(len(SHAPES))) == F.col("shape"))
+    # one shape and one kind for each key, so that no other value is made
+    keys = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").filter("o_orderkey IS NOT NULL"))
+    place = F.pmod(F.col("o_orderkey"), F.lit(len(SHAPES))).cast("int")
+    of_shape = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in SHAPES]), F.col("shape") + 1)
+    rows = keys.withColumn("shape", place).withColumn("kind", of_shape(0)).withColumn("value", generate.value(F.col("o_orderkey"), F.col("kind")))
     shown = F.coalesce(*[F.when(F.col("shape") == i, _written(F.col("value"), s[2], s[3])) for i, s in enumerate(SHAPES)])
-    label = F.element_at(F.array(*[F.lit(s[1]) for s in SHAPES]), F.col("shape") + 1)
-    texts = rows.withColumn("shown", shown).withColumn("text", F.concat(F.lit("il "), label, "shown", F.lit(" fine, grazie")))
+    texts = rows.withColumn("shown", shown).withColumn("text", F.concat(F.lit("il "), of_shape(1), "shown", F.lit(" fine, grazie")))
     found = redact(written(texts.select("kind", "shown", "text"), "texts"), "text", Options(packs=PACKS))
     judged = found.withColumn("outcome", outcome(F.col("shown"), F.col("redacted"), F.col("report.suspects")))
     return judged.groupBy("kind").agg(
