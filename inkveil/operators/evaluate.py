@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import still_present
 from . import bloom
 from .engine import mask
-from .tables import written
+from .tables import dealt, written
 
 
 def outcome(value: Column, redacted: Column, suspects: Column) -> Column:
@@ -42,13 +42,15 @@ def overlaps(wide: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFr
     """The distinct candidates (key, start, end) and whether any removed span of the document overlaps them.
 
     A candidate is overlapped if, of all spans that begin before it ends, the one that reaches farthest goes beyond its start. So
-    both tables are put in one order for each document and the farthest end is carried along; no pairs are made. A null key is a key.
+    both tables are put in one order for each document and the farthest end is carried along; no pairs are made. A null key is a key. The rows
+    are counted first, for the number of tasks.
     """
     one = wide.select(F.col(key).alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("end").alias("at"), F.lit(None).cast("long").alias("reach"), F.lit(0).alias("what"))
     two = removed.select(F.col(key).alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("start").alias("at"), F.col("end").cast("long").alias("reach"), F.lit(1).alias("what"))
     # where a span begins just as a candidate ends, the candidate comes first
     before = Window.partitionBy("k").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, -1)
-    seen = one.unionByName(two).withColumn("far", F.max("reach").over(before)).filter("what = 0")
+    both = dealt(one.unionByName(two), wide.count() + removed.count(), "k")
+    seen = both.withColumn("far", F.max("reach").over(before)).filter("what = 0")
     caught = F.max(F.coalesce(F.col("far") > F.col("s"), F.lit(False))).alias("caught")
     return seen.groupBy(F.col("k").alias(key), F.col("s").alias("start"), F.col("e").alias("end")).agg(caught)
 

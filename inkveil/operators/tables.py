@@ -35,3 +35,13 @@ def spread(rows: DataFrame) -> DataFrame:
     """``rows`` in more parts, if their files make few: for much work on each of many small rows, of which one small file has any number."""
     parts = WAVES * rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows
+
+
+#: Rows that one task sorts: some 100 to 200 MB.
+SORTED_ROWS = 1 << 20
+
+
+def dealt(rows: DataFrame, number: int, *keys: str) -> DataFrame:
+    """``rows`` by key, in as many parts as their number asks for: what a task sorts does not grow with the input, but by its largest key."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // SORTED_ROWS))
+    return rows.repartition(parts, *keys)

@@ -114,3 +114,14 @@ def test_overlaps_equal_all_pairs(spark):
     got = evaluate.overlaps(spark.createDataFrame(wide, schema), spark.createDataFrame(removed, schema)).collect()
     expected = {(k, s, e): any(x == k and s < b and a < e for x, a, b in removed) for k, s, e in wide}
     assert {tuple(x)[:3]: x.caught for x in got} == expected and len(got) == len(expected) and len(set(expected.values())) == 2
+
+
+def test_overlaps_are_dealt_by_their_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from inkveil.operators import evaluate, tables
+
+    monkeypatch.setattr(tables, "SORTED_ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("start"), F.lit(2).alias("end"))
+    got = evaluate.overlaps(rows, rows)
+    assert got.groupBy(F.spark_partition_id()).count().count() > 15 and got.filter("caught").count() == 1000
