@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .engine import Step, flatten_numbers, redact
 from .options import Options
-from .tables import written
+from .tables import dealt, written
 
 _PLACEHOLDER = re.compile(r"\{\{([A-Z]+(?:_[A-Z]+)*)(?:_\d+)?\}\}")
 #: Places of the next literal piece that are tried for a value; starts of a value that are followed at once.
@@ -244,28 +244,50 @@ def resolve_overlaps(spans: DataFrame, key: str, start: str = "start", end: str
 
 # ---- nearest labels
 
+#: Characters of a document whose spans are put in one order by one task.
+BLOCK = 128
+
 
 def nearest_label(spans: DataFrame, labels: DataFrame, key: str, within: int, start: str = "start", end: str = "end", label: str = "label") -> DataFrame:
     """``spans`` with ``label`` and ``label_gap``: the label of the same document that is nearest to the span, at most ``within`` characters off.
 
     Labels have a start and an end too. The gap is counted between the ends that face each other, 0 where they overlap; of two
-    labels as near the one before the span wins, then the longer one, then the greater text. Both tables are put in one order for each
-    document, and the last label seen is carried along, forwards and backwards; no pairs of spans and labels are made.
+    labels as near the one before the span wins, then the longer one, then the greater text. Spans without a start have no label, labels
+    without a start or end are none.
+
+    Both tables are put in one order for each block of ``BLOCK`` characters of a document, and the last label seen is carried along, forwards and
+    backwards. What a block is told by those before and behind it is found from one row for each block, so a document may have any number
+    of spans; no pairs of spans and labels are made. Both tables are read twice, and counted for the number of tasks.
     """
-    one = spans.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(start).alias("at"), F.col(end).alias("to"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("what"))
-    two = labels.select(F.lit(None).cast(one.schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(start).alias("at"), F.col(end).alias("to"),
-                        F.col(label).cast("string").alias("name"), F.lit(0).alias("what"))
-    both = one.unionByName(two)
+    block = F.floor(F.col("at") / BLOCK).alias("block")
+    one = spans.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(start).cast("long").alias("at"), F.col(end).cast("long").alias("to"))
+    two = labels.select(F.col(key).alias("k"), F.col(start).cast("long").alias("at"), F.col(end).cast("long").alias("to"), F.col(label).cast("string").alias("name"))
+    two = two.filter("at IS NOT NULL AND to IS NOT NULL AND name IS NOT NULL")
     # before: of all labels that begin no later, the one that ends last; after: of those that begin later, the first to begin
-    behind = Window.partitionBy("k").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("k").orderBy(F.col("at").desc(), F.col("what").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    named = F.when(F.col("name").isNotNull(), F.struct(F.col("to").alias("edge"), (-F.col("at")).alias("reach"), F.col("name")))
-    later = F.when(F.col("name").isNotNull(), F.struct((-F.col("at")).alias("edge"), F.col("to").alias("reach"), F.col("name")))
-    seen = both.withColumn("b", F.max(named).over(behind)).withColumn("a", F.max(later).over(ahead)).filter("what = 1")
+    told = F.struct(F.col("to").alias("edge"), (-F.col("at")).alias("reach"), "name"), F.struct((-F.col("at")).alias("edge"), F.col("to").alias("reach"), "name")
+    kind = "struct<edge:bigint,reach:bigint,name:string>"
+    marks = two.select("k", block, "at", told[0].alias("mb"), told[1].alias("ma"))
+    # one row for each block, and what those before and behind it hold
+    blocks = marks.select("k", "block", "mb", "ma").unionByName(one.select("k", block).distinct(), allowMissingColumns=True)
+    blocks = blocks.groupBy("k", "block").agg(F.max("mb").alias("mb"), F.max("ma").alias("ma"))
+    past = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("k").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    told = blocks.select("k", "block", F.max("mb").over(past).alias("mb"), F.max("ma").over(rest).alias("ma"))
+    edges = told.select("k", "block", F.inline(F.array(
+        F.struct((F.col("block") * BLOCK - 1).alias("at"), F.col("mb"), F.lit(None).cast(kind).alias("ma")),
+        F.struct(((F.col("block") + 1) * BLOCK).alias("at"), F.lit(None).cast(kind).alias("mb"), F.col("ma")),
+    )))
+    given = marks.unionByName(edges).filter("mb IS NOT NULL OR ma IS NOT NULL").withColumn("what", F.lit(0))
+    both = one.select("row", "k", block, "at", "to", F.lit(1).alias("what")).unionByName(given, allowMissingColumns=True)
+    both = dealt(both, spans.count() + labels.count(), "k", "block")
+    behind = Window.partitionBy("k", "block").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("k", "block").orderBy(F.col("at").desc(), F.col("what").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("b", F.max("mb").over(behind)).withColumn("a", F.max("ma").over(ahead)).filter("what = 1")
     before = F.when(F.col("b").isNotNull(), F.greatest(F.col("at") - F.col("b.edge"), F.lit(0)))
     after = F.when(F.col("a").isNotNull(), F.greatest(-F.col("a.edge") - F.col("to"), F.lit(0)))
     first = F.col("b").isNotNull() & (F.col("a").isNull() | (before <= after))
     gap = F.when(first, before).otherwise(after)
     near = gap <= within
-    found = seen.select("row", F.when(near, F.when(first, F.col("b.name")).otherwise(F.col("a.name"))).alias("_label"), F.when(near, gap).alias("_gap"))
+    given = gap.cast(spans.schema[start].dataType)
+    found = seen.select("row", F.when(near, F.when(first, F.col("b.name")).otherwise(F.col("a.name"))).alias("_label"), F.when(near, given).alias("_gap"))
     return found.select("row.*", F.col("_label").alias("label"), F.col("_gap").alias("label_gap"))

@@ -139,6 +139,24 @@ def test_nearest_labels(spark):
     assert any(x.label is None for x in got) and spans.nearest_label(a.filter("false"), b, "k", 40).collect() == []
 
 
+def test_nearest_labels_over_blocks(spark, monkeypatch):
+    """Labels reach over many blocks, and the spans of one document are dealt to many tasks."""
+    r = random.Random(4)
+    own = [(k, s, s + r.randint(1, 90)) for k in (1, None) for s in (r.randint(-50, 3000) for _ in range(60))]
+    labels = [(k, s, s + r.choice([3, 3, 400]), r.choice("abc")) for k in (1, None) for s in (r.randint(-50, 3000) for _ in range(9))]
+    a = spark.createDataFrame(own, "k int, start int, end int")
+    b = spark.createDataFrame(labels + [(1, None, 3, "z"), (1, 3, None, "z")], "k int, start int, end int, label string")
+    for width, within in ((7, 30), (128, 700)):
+        monkeypatch.setattr(spans, "BLOCK", width)
+        got = spans.nearest_label(a, b, "k", within).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(str(nearest(x, labels, within)) for x in own)
+    alone = spark.createDataFrame([(1, None, 4)], "k int, start int, end int")
+    assert [tuple(x) for x in spans.nearest_label(alone, b, "k", 40).collect()] == [(1, None, 4, None, None)]
+    one = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
+    found = spans.nearest_label(one, b, "k", 40).groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) > 1
+
+
 def test_default_program_gives_offsets(spark):
     df = spark.createDataFrame([(1, "Marco Rossi, tel. 333 1234567, IBAN IT60X0542811101000000123456, Via Garibaldi 3, marco@rossi.it")], "i int, t string")
     got = annotations(df, "i", "t", Options(), keep=("t",), places=True).filter("decision = 'replace'").collect()
