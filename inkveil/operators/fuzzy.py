@@ -6,7 +6,8 @@ floor(n / 5) edits away (insert, delete, replace): a similarity of 0.8. The sear
 * filter: a substring within k edits of the value shares at least n - q + 1 - k * q of the value's q-grams (q is 3, for values under 10
   characters 2), and their places in text and value differ by amounts at most 2 * k apart. The text's q-grams are numbers that are looked up
   among those of all values at once; only stretches with enough hits go on.
-* verification: edit distance by bit vectors, a whole column of the table in a few operations on one number per character.
+* verification: edit distance by bit vectors, a whole column of the table in a few operations on one number per character. The
+  tables of many rows are filled together, and short texts are verified whole, without the filter.
 
 Values meet their text in a join on the document. A document with many values gets several rows of at most ``GROUP`` values, so
 neither a text nor a list of values without bound comes to one task through a hot document.
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: One edit is allowed for so many characters of a value.
 CHARS_PER_EDIT = 5
 #: Values of a document that share a row.
@@ -118,21 +121,105 @@ def _stretches(values: list[str], text: str) -> Iterator[tuple[int, int, int]]:
                 yield pending
 
 
+#: Bits of a number that a column of the table may take; longer values are verified one by one.
+WORD = 63
+#: Pairs whose columns are taken together: their table of characters has some 4 MB.
+TOGETHER = 4096
+#: Characters of the values times those of the text, up to which the whole text is verified: a filter would cost more.
+WHOLE = 1 << 12
+#: Pairs and their characters that wait for verification at most.
+MOST_PAIRS, MOST_CHARS = 1 << 15, 1 << 22
+
+
+def least_edits_of_pairs(values: list[str], texts: list[str]) -> np.ndarray:
+    """For many pairs at once the edits of ``least_edits``, whatever is allowed: a column of all tables in a few operations."""
+    best = np.empty(len(values), np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        own = order[at : at + TOGETHER]
+        best[own] = _columns([values[i] for i in own], [texts[i] for i in own], lengths[own])
+    return best
+
+
+def _columns(values: list[str], texts: list[str], lengths: np.ndarray) -> np.ndarray:
+    """``least_edits_of_pairs`` of texts that do not grow in length."""
+    n = np.array([len(v) for v in values], np.int64)
+    rows, one = np.arange(len(values)), np.uint64(1)
+    codes = lambda strings: np.frombuffer("".join(strings).encode(), np.uint8)
+    held, where = codes(values), np.zeros((len(values), 128), np.uint64)
+    first = np.cumsum(n) - n
+    for i in range(int(n.max(initial=0))):
+        own = rows[n > i]
+        where[own, held[first[own] + i]] |= one << np.uint64(i)
+    read, begin = codes(texts), np.cumsum(lengths) - lengths
+    full, last = (one << n.astype(np.uint64)) - one, one << (n - 1).astype(np.uint64)
+    up, down, edits, best = full.copy(), np.zeros(len(values), np.uint64), n.copy(), n.copy()
+    for j in range(int(lengths.max(initial=0))):
+        m = int(np.searchsorted(-lengths, -j, "left"))
+        u, d, all_, end = up[:m], down[:m], full[:m], last[:m]
+        match = where[rows[:m], read[begin[:m] + j]]
+        same = match | d
+        flat = (((match & u) + u) ^ u) | match
+        rise = d | ~(flat | u) & all_
+        fall = u & flat
+        edits[:m] += ((rise & end) != 0).astype(np.int64) - ((fall & end) != 0)
+        # a substring may begin anywhere: nothing is carried into the first row
+        rise, fall = (rise << one) & all_, (fall << one) & all_
+        up[:m], down[:m] = fall | ~(same | rise) & all_, rise & same
+        np.minimum(best[:m], edits[:m], out=best[:m])
+    return best
+
+
+def _candidates(values: list[str], text: str) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of what is to be verified: the whole of a short text, stretches of a long one."""
+    if len(text) * sum(map(len, values)) <= WHOLE:
+        yield from ((v, 0, len(text)) for v, x in enumerate(values) if len(x) > 1)
+    else:
+        yield from _stretches(values, text)
+
+
+def nearest_edits_of_rows(rows: Iterator[tuple[list[str], str]]) -> list[list[int | None]]:
+    """``nearest_edits`` of many rows."""
+    found: list[list[int | None]] = []
+    pending: list[tuple[list[int | None], int, str, str]] = []
+    waiting = 0
+
+    def note(edits: list[int | None], v: int, value: str, n: int | None) -> None:
+        if n is not None and n <= allowed(value) and (edits[v] is None or n < edits[v]):
+            edits[v] = n
+
+    def verify() -> None:
+        nonlocal waiting
+        for (edits, v, value, _), n in zip(pending, least_edits_of_pairs([p[2] for p in pending], [p[3] for p in pending]).tolist(), strict=True):
+            note(edits, v, value, n)
+        pending.clear()
+        waiting = 0
+
+    for values, text in rows:
+        edits: list[int | None] = [0 if x and x in text else None for x in values]
+        found.append(edits)
+        for v, begin, end in _candidates(values, text):
+            if edits[v] == 0:
+                continue
+            if len(values[v]) > WORD:
+                note(edits, v, values[v], least_edits(values[v], text[begin:end], allowed(values[v])))
+                continue
+            pending.append((edits, v, values[v], text[begin:end]))
+            waiting += end - begin
+            if len(pending) >= MOST_PAIRS or waiting >= MOST_CHARS:
+                verify()
+    verify()
+    return found
+
+
 def nearest_edits(values: list[str], text: str) -> list[int | None]:
     """For each value (letters and digits, as ``plain`` leaves them) the least edits to a substring of the text, None above what is allowed."""
-    found: list[int | None] = [None] * len(values)
-    for v, x in enumerate(values):
-        if len(x) < 2:
-            found[v] = 0 if x and x in text else None
-    for v, begin, end in _stretches(values, text):
-        edits = least_edits(values[v], text[begin:end], allowed(values[v]))
-        if edits is not None and (found[v] is None or edits < found[v]):
-            found[v] = edits
-    return found
+    return nearest_edits_of_rows(iter([(values, text)]))[0]
 
 
 def _near(texts: pd.Series, values: pd.Series) -> pd.Series:
-    return pd.Series([nearest_edits(list(v), t) for t, v in zip(texts, values, strict=True)], dtype=object)
+    return pd.Series(nearest_edits_of_rows((list(v), t) for t, v in zip(texts, values, strict=True)), dtype=object)
 
 
 def fuzzy_distances(gold: DataFrame, texts: DataFrame, key: str = "doc_id", value: str = "value", columns: tuple[str, ...] = ("before", "after")) -> DataFrame:
@@ -177,8 +264,11 @@ def fuzzy_outcomes(gold: DataFrame, results: DataFrame, key: str = "doc_id", val
     not read: nothing near the value is in the text that was read. redacted: nothing near it is left. flagged: it is left, and the mask
     of a suspect stands for it. lost: it is left and nobody says so.
     """
-    near = fuzzy_distances(gold, results, key, value, (before, after))
-    facts = results.select(F.col(key).alias("_k"), F.col(after).alias("_after"), F.transform(f"{report}.suspects", lambda s: s.sample).alias("_samples"))
+    samples = F.transform(f"{report}.suspects", lambda s: s.sample)
+    # written: distances and masks both read it, and redaction should run once
+    texts = written(results.select(F.col(key), F.col(before), F.col(after), samples.alias("_samples")), "fuzzy")
+    near = fuzzy_distances(gold, texts, key, value, (before, after))
+    facts = texts.select(F.col(key).alias("_k"), F.col(after).alias("_after"), "_samples")
     judged = gold.join(near, [key, value]).join(facts, F.col(key) == F.col("_k"))
     flagged = F.coalesce(covered(F.col(value), F.col("_after"), F.col("_samples")), F.lit(False))
     outcome = (

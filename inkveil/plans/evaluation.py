@@ -11,6 +11,7 @@ from ..operators import evaluate, fuzzy, spans
 from ..operators.engine import annotations, redact
 from ..operators.options import only
 from ..operators.steps import STEPS, SUSPECT_STEPS
+from ..operators.tables import spread
 
 _CHECK = "(98 - ((o_orderkey % 97) * (1000000 % 97) + 131400) % 97)"
 _IBAN = f"('DE' || lpad(cast({_CHECK} as string), 2, '0') || lpad(cast(o_orderkey as string), 18, '0'))"
@@ -27,7 +28,7 @@ _TEXT = f"'pay to ' || {_READ} || ' now, order ' || cast(o_orderkey as string)"
 
 def fuzzy_outcomes(spark, sf_dir: str) -> DataFrame:
     """Where each account number of a scan went: redacted, flagged, lost or never read."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     texts = orders.select("o_orderkey", F.expr(_TEXT).alias("text"))
     steps = [s for s in [*STEPS, *SUSPECT_STEPS] if s.name in ("iban", "suspect_iban")]
     results = redact(texts, "text", only("fiscal", numbered=False), steps=steps)

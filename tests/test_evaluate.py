@@ -78,6 +78,23 @@ def test_outcomes(spark, monkeypatch):
         assert [(r.text_edits, r.outcome) for r in got if r.value == "--"] == [(None, "not read")] and len(got) == 59
 
 
+def test_edits_of_many_rows_at_once_are_those_of_each_pair():
+    values = ["A", "AB", "ABC1ABC1A", "ABC1ABC1AB", "12345678901234567890AB", "A1" * 31 + "B", "B2" * 32, "C3" * 45, ""]
+    texts = ["", "A", "XXABCIABC1ABXX", "12345678901Z34567890AB", "A1" * 30 + "A1B", "x".upper() * 500 + "B2" * 31 + "2B" + "C3" * 44, "1234567890123456789"]
+
+    def each(v: str, t: str) -> int | None:
+        return fuzzy.least_edits(v, t, fuzzy.allowed(v)) if len(v) > 1 else (0 if v and v in t else None)
+
+    expected = [[each(v, t) for v in values] for t in texts]
+    assert fuzzy.nearest_edits_of_rows((values, t) for t in texts) == expected
+    one = fuzzy.nearest_edits_of_rows(([v], t) for t in texts for v in values)
+    assert [x[0] for x in one] == [x for row in expected for x in row]
+    assert any(x for row in expected for x in row)
+    pairs = [(v, t) for v in values[1:7] for t in texts] * 200
+    found = fuzzy.least_edits_of_pairs([v for v, _ in pairs], [t for _, t in pairs]).tolist()
+    assert found == [fuzzy.least_edits(v, t, len(v) - 1) if fuzzy.least_edits(v, t, len(v) - 1) is not None else len(v) for v, t in pairs]
+
+
 def test_bloom_filter_never_refuses_what_was_put_in(spark):
     from pyspark.sql import functions as F
 
