@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from operator import and_, or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -315,6 +316,18 @@ def _spans(text: pd.Series, refs: pd.Series, sizes: pd.Series, inner: pd.Series)
     return pd.Series(out, dtype=object)
 
 
+#: Rows whose texts an Arrow function holds as Python's own strings at once.
+PIECE = 128
+
+
+def by_pieces(use: Callable[..., str | None], batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """``use`` of each row, given out in pieces of a few rows: beside the batch that came in nothing of its size is held."""
+    for columns in batches:
+        for at in range(0, len(columns[0]), PIECE):
+            own = [c.slice(at, PIECE).to_pylist() for c in columns]
+            yield pa.array([use(*row) for row in zip(*own, strict=True)], pa.string())
+
+
 def finish(df: DataFrame, options: Options) -> DataFrame:
     """Numbers for the placeholders: by first appearance, for each label. Linear in the findings of a text.
 
@@ -324,9 +337,9 @@ def finish(df: DataFrame, options: Options) -> DataFrame:
     if not options.numbered:
         return df.withColumn("_text", F.regexp_replace("_text", REF + r"[a-j.]+\}\}", "}}"))
 
-    @F.pandas_udf("string")
-    def number(text: pd.Series, refs: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _number(t, r, k) for t, r, k in zip(text, refs, keys, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def number(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return by_pieces(lambda t, r, k: None if t is None else _number(t, r, k), batches)
 
     replaced = df.withColumn("_found", F.filter("_notes", lambda n: n.decision == "replace"))
     some = F.when(F.size("_found") > 0, F.col("_text"))

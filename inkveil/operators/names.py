@@ -12,10 +12,11 @@ from dataclasses import replace
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .engine import CLOSE, OPEN, Candidate, Step, Verdict
+from .engine import CLOSE, OPEN, Candidate, Step, Verdict, by_pieces
 from .lexicon import Lexicon, with_classes
 from .namegrammar import Grammar
 from .options import Options
@@ -43,12 +44,11 @@ def marker(lexicon: Lexicon = LEXICON) -> Callable[[Column, Options], Column]:
     entries = lexicon.bits()
 
     def mark(text: Column, options: Options) -> Column:
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             grammar = Grammar(entries)
-            for batch in batches:
-                yield pd.Series([mark_names(t, options.prose, options.names_alone, grammar) for t in batch], dtype=object)
+            return by_pieces(lambda t: mark_names(t, options.prose, options.names_alone, grammar), ((b,) for b in batches))
 
-        return F.pandas_udf(run, "string")(text)
+        return F.arrow_udf(run, "string")(text)
 
     return mark
 

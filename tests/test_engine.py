@@ -121,3 +121,25 @@ def test_conditions_of_steps_never_change_a_result(spark):
     with_needs = redact(docs, "text", options, steps=whole).select("text", "redacted", F.to_json("report").alias("report"))
     without = redact(docs, "text", options, steps=[replace(s, needs=()) for s in whole]).select("text", "redacted", F.to_json("report").alias("report"))
     assert Counter(map(tuple, with_needs.collect())) == Counter(map(tuple, without.collect()))
+
+
+def test_arrow_results_are_given_out_in_pieces():
+    import pyarrow as pa
+
+    from inkveil.operators.engine import PIECE, by_pieces
+
+    texts = [None if i % 7 == 0 else f"t{i}" for i in range(2 * PIECE + 3)]
+    batches = [(pa.array(texts), pa.array([[str(i)] for i in range(len(texts))])), (pa.array([], pa.string()), pa.array([], pa.list_(pa.string())))]
+    pieces = list(by_pieces(lambda t, r: None if t is None else t + r[0], batches))
+    assert [len(p) for p in pieces] == [PIECE, PIECE, 3]
+    assert [x for p in pieces for x in p.to_pylist()] == [None if t is None else f"{t}{i}" for i, t in enumerate(texts)]
+
+
+def test_rows_keep_their_order_over_pieces(spark):
+    from inkveil.operators.engine import PIECE
+    from inkveil.operators.steps import STEPS
+
+    n = 5 * PIECE + 7
+    rows = spark.range(0, n, 1, 1).withColumn("text", F.when(F.col("id") % 5 != 0, F.concat(F.lit("oggi Marco Rossi firma "), F.col("id").cast("string"))))
+    got = redact(rows, "text", steps=[s for s in STEPS if s.name == "name_runs"]).select("id", "redacted").collect()
+    assert {r.id: r.redacted for r in got} == {i: None if i % 5 == 0 else f"oggi {{{{NAME_1}}}} firma {i}" for i in range(n)}
