@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from .engine import Bound, Candidate, Step, Verdict, always, bound, when
+from .engine import DIGIT, LONG_WORD, Bound, Candidate, Step, Verdict, always, bound, when
 from .names import NAME_STEPS
 from .options import Options
 
@@ -326,21 +326,24 @@ STEPS: list[Step] = [
     Step("postcode", "addresses", "POSTCODE", "EN", "addresses", 71, rf"{_B}[A-Z]{{1,2}}\d[A-Z0-9]? ?\d[A-Z]{{2}}{_E}", when(lambda c: _ctx(c, 40, "postcode|post code|deliver to|delivery|ship to|address|send to") & V.postcode_ok(c.value))),
 ]
 
-_DIGIT = (r"re:\p{Nd}",)
+_DIGIT = (DIGIT,)
 #: What a text must have for a step to find anything; see ``Step.needs``. Steps that are not listed look at every text.
 _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
-    "secret_shape": (_SECRET_STARTS,),
-    "recovery_phrase": (("seed", "recovery", "mnemonic", "frase di recupero"),),
+    "secret_shape": (_SECRET_STARTS, ("_", "-", "=AIza", "=AKIA", "=ASIA", "=yJ", "=Bearer ")),
+    "recovery_phrase": (("seed", "recovery", "mnemonic", "frase di recupero"), (":", "=")),
     "secret_labelled": (("passw", "passphrase", "pwd", "parola d'ordine", "key", "secret", "token", "connection", "otp", "chiave"), (":", "=")),
     "secret_weak": (("chiave", "credenzial", "codice", "key", "credential", "code"), (":", "=")),
     "short_code": (("pin", "puk", "cvv", "cvc", "otp", "codice di sicurezza", "security code", "unlock code"), _DIGIT),
-    "url": (("://", "www."),),
+    "url": (("://", "www."), (":", "ww")),
     "email": (("@",),),
     "email_newline": (("@",),),
     "email_spaced": (("@",),),
-    "email_hidden": ((r"re:chiocciola|at\s?[\])}]|(?:dot|punto)\s?[\])}]",),),
+    "email_hidden": ((r"re:chiocciola|at\s?[\])}]|(?:dot|punto)\s?[\])}]",), ("cc", "]", ")", "}")),
     "mrz": (("<<",),),
     "codice_fiscale": (_DIGIT,),
+    "codice_fiscale_letters": ((LONG_WORD,),),
+    "codice_fiscale_ocr": ((LONG_WORD,),),
+    "iban_ocr": ((LONG_WORD,),),
     "iban": (_DIGIT,),
     "iban_grouped": (_DIGIT,),
     "iban_glued": (_DIGIT,),
@@ -363,7 +366,7 @@ _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
     "land": (("foglio", "fg"), _DIGIT),
     "plate": (_DIGIT,),
     "age": (("anni", "età", "age", "years old"), _DIGIT),
-    "sex": (("sesso", "sex", "gender"),),
+    "sex": (("sesso", "sex", "gender"), (":",)),
     "phone": (_DIGIT,),
     "phone_labelled": (("tel.", "cell.", "fax.", "mob.", "ph."), _DIGIT),
     "amount": (_DIGIT,),

@@ -143,3 +143,44 @@ def test_rows_keep_their_order_over_pieces(spark):
     rows = spark.range(0, n, 1, 1).withColumn("text", F.when(F.col("id") % 5 != 0, F.concat(F.lit("oggi Marco Rossi firma "), F.col("id").cast("string"))))
     got = redact(rows, "text", steps=[s for s in STEPS if s.name == "name_runs"]).select("id", "redacted").collect()
     assert {r.id: r.redacted for r in got} == {i: None if i % 5 == 0 else f"oggi {{{{NAME_1}}}} firma {i}" for i in range(n)}
+
+
+def test_words_are_looked_for_only_where_their_steps_ask(spark):
+    from inkveil.operators.engine import LONG_WORD, MOST_CONDITIONS, begin, find_conditions
+    from inkveil.operators.steps import STEPS, SUSPECT_STEPS
+
+    texts = ["the password is lost", "the password: lost", "foglio nove", "foglio 9", "dear client", "abcdefghijklmno", "abcdefghijklmn opq", None]
+    work, known = find_conditions(begin(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t"), [*STEPS, *SUSPECT_STEPS])
+    known, rows = dict(known), work.orderBy("i").collect()
+
+    def has(i: int, x: str) -> bool:
+        return bool(rows[i][f"_has{known[x] // MOST_CONDITIONS}"] >> known[x] % MOST_CONDITIONS & 1)
+
+    assert [has(i, "passw") for i in (0, 1)] == [False, True]
+    assert [has(i, "foglio") for i in (2, 3)] == [False, True]
+    assert has(4, "client")  # no step with this word has a quick condition
+    assert [has(i, LONG_WORD) for i in (5, 6, 7)] == [True, False, False]
+    assert not any(s.needs == () for s in [*STEPS, *SUSPECT_STEPS] if s.mark is None)
+
+
+def test_guards_of_words_never_change_a_result(spark):
+    from dataclasses import replace
+
+    from inkveil.operators.steps import STEPS, SUSPECT_STEPS
+
+    texts = [
+        "key AIza" + "b" * 35 + " x", "key AKIA" + "B" * 16, "ASIA" + "C" * 16, "ghp_" + "d" * 36, "glpat-" + "e" * 20, "xapp-" + "f" * 10, "npm_" + "g" * 36,
+        "eyJ" + "h" * 9 + "." + "i" * 9 + "." + "j" * 5, "Bearer " + "k" * 20, "bearer " + "k" * 20, "-----BEGIN PRIVATE KEY-----abc-----END PRIVATE KEY-----",
+        "seed phrase: " + "apple " * 12 + ".", "seed phrase= " + "apple " * 12 + ".", "Sesso : F", "sesso F", "see www.example.org now", "FTP://x.example/y",
+        "ann at mail [dot] com", "ann chiocciola mail punto it", "ann (at) mail.com", "parla l'On. Rossi", "l'Ing. Verdi e l'ing.Bianchi", "éon. Rossi", "station. Rossi", "Sig.ra Verdi",
+        "cf RSSMRA85MI0A562S x", "cf RSSMRA8LM1LA5LIS x", "cf R55MRA85M10A562S x", "iban GB82WEST1234S698765432", "iban DEB9370400440532013OOO", "iban NOOOOOOOOOOOOOO", "ITbO" + "X" * 23,
+        "abc@x.org", "ſecretKey: abc123x9", "İl pin 1234", "", None,
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2).cache()
+    options = Options(dates=True, amounts=True, packs=("CORE", "IT", "EN", "ATTI"))
+    whole = [*STEPS, *SUSPECT_STEPS]
+    got, wanted = (
+        Counter(map(tuple, redact(docs, "text", options, steps=own).select("text", "redacted", F.to_json("report").alias("report")).collect()))
+        for own in (whole, [replace(s, needs=()) for s in whole])
+    )
+    assert got == wanted and sum(text != redacted for text, redacted, _ in got) > 20
