@@ -30,7 +30,7 @@ _STOP = "Sir|Madam|All|Team|Customer|Colleague|Colleagues|Friends|Mr|Mrs|Ms|Dr|S
 
 def mark_names(text: str | None, prose: bool | None, alone: bool, grammar: Grammar) -> str | None:
     """Names between marks; suspected ones carry a question mark after the opening mark."""
-    if not text:
+    if not text or not grammar.may_hold(text):
         return text
     out, last = [], 0
     for f in grammar.find(text, prose, alone):
@@ -39,6 +39,12 @@ def mark_names(text: str | None, prose: bool | None, alone: bool, grammar: Gramm
     return "".join([*out, text[last:]])
 
 
+def _marked(text: str | None, options: Options, grammar: Grammar) -> str | None:
+    """The text with its names marked, or null if it has none: a text that stays as it is need not come back."""
+    marked = mark_names(text, options.prose, options.names_alone, grammar)
+    return None if marked == text else marked
+
+
 def marker(lexicon: Lexicon = LEXICON) -> Callable[[Column, Options], Column]:
     """Marks the names of a lexicon that travels with the tasks."""
     entries = lexicon.bits()
@@ -46,7 +52,7 @@ def marker(lexicon: Lexicon = LEXICON) -> Callable[[Column, Options], Column]:
     def mark(text: Column, options: Options) -> Column:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             grammar = Grammar(entries)
-            return by_pieces(lambda t: mark_names(t, options.prose, options.names_alone, grammar), ((b,) for b in batches))
+            return by_pieces(lambda t: _marked(t, options, grammar), ((b,) for b in batches))
 
         return F.arrow_udf(run, "string")(text)
 
@@ -59,7 +65,7 @@ def marker_from(column: str) -> Callable[[Column, Options], Column]:
     def mark(text: Column, options: Options) -> Column:
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for texts, maps in batches:
-                found = [mark_names(t, options.prose, options.names_alone, Grammar(dict(m or {}))) for t, m in zip(texts, maps, strict=True)]
+                found = [_marked(t, options, Grammar(dict(m or {}))) for t, m in zip(texts, maps, strict=True)]
                 yield pd.Series(found, dtype=object)
 
         return F.pandas_udf(run, "string")(text, F.col(column))
@@ -149,7 +155,7 @@ NAME_STEPS: list[Step] = [
 
 #: What a text must have for a step to find anything; see ``Step.needs``.
 _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
-    "name_title": (("sig", "dott", "avv.", "ing.", "geom.", "rag.", "prof", "on."),),
+    "name_title": (("sig", "dott", "avv.", r"re:ing\.(?<![a-z]ing\.)", "geom.", "rag.", "prof", r"re:on\.(?<![a-z]on\.)"),),
     "name_role_colon": ((":",),),
     "name_before_mail": (("{{EMAIL",),),
     "name_after_mail": (("{{EMAIL",),),
