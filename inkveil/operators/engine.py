@@ -182,7 +182,7 @@ def find_conditions(df: DataFrame, steps: list[Step]) -> tuple[DataFrame, tuple[
     def met(x: str) -> Column:
         if x.startswith("re:"):
             return F.col("_low").rlike(x[3:])
-        return F.contains("_text", F.lit(x[1:])) if x.startswith("=") else F.contains("_low", F.lit(x))
+        return F.contains("_text", F.lit(x[1:])) if x.startswith("=") and x != "=" else F.contains("_low", F.lit(x))
 
     def bits(own: list[str]) -> Column:
         return reduce(lambda a, b: a.bitwiseOR(b), [F.when(met(x), F.lit(1 << known[x] % MOST_CONDITIONS).cast("long")).otherwise(F.lit(0).cast("long")) for x in own])
