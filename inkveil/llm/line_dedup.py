@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -48,14 +47,14 @@ BANDS = {SHINGLE: (16, 4), SHORT_SHINGLE: (48, 8)}
 MAX_PART = 1000
 #: Lines that a task remembers; characters and keys that it handles at once; rows of a cell before it is drained.
 _MEMORY = 1 << 20
-_BLOCK = 1 << 16
+_BLOCK = 1 << 17
 _FLUSH = 1 << 20
 _CELL_ROWS = 1 << 22
 #: A group of more lines, with fewer characters in all, is compared by an index of its shingles.
 _MANY, _INDEXED = 24, 1 << 21
-#: Lines, each once for each bucket, whose buckets may be compared in one task; sets that it holds.
+#: Lines, each once for each bucket, whose buckets may be compared in one task; sets and counted shingles that it holds.
 _TOGETHER = 1 << 16
-_SETS = 4096
+_SETS, _NUMBERS = 4096, 1 << 20
 
 
 def normal(line: str) -> str:
@@ -72,18 +71,18 @@ def jaccard(a: set[str], b: set[str]) -> float:
 
 
 _ODD = (np.random.default_rng(6).integers(1 << 31, size=512, dtype=np.uint32) * 2 + 1).astype(np.uint32)
-_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B)
 
 
 def _shingle_hashes(codes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of lines of code points, one line after another, and how many each line has."""
+    """32-bit hashes of the shingles of lines of code points, one line after another, and how many each line has."""
     spans = np.maximum(lengths, size)
     if (lengths < size).any():  # such a line is one shingle, filled up with zeros
         padded = np.zeros(int(spans.sum()), dtype=np.uint32)
         padded[np.arange(len(codes)) + np.repeat(np.cumsum(spans - lengths) - (spans - lengths), lengths)] = codes
         codes = padded
-    part = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
-    part ^= part >> np.uint64(32)
+    part = (codes + np.uint32(1)) * np.uint32(0x9E3779B1)
+    part ^= part >> np.uint32(15)
     h, n, width = None, 0, 1  # the hash of a string from those of its two parts, whose lengths are powers of two
     while True:
         if size & width:
@@ -91,18 +90,18 @@ def _shingle_hashes(codes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[
                 h = part
             else:
                 own = h[: len(h) - width] * _STEP
-                own ^= own >> np.uint64(29)
+                own ^= own >> np.uint32(13)
                 own += part[n : n + len(own)]
                 h = own
             n += width
         if n == size:
             break
         wider = part[:-width] * _STEP
-        wider ^= wider >> np.uint64(29)
+        wider ^= wider >> np.uint32(13)
         wider += part[width:]
         part, width = wider, width * 2
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = h * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(16)
     inside = np.ones(len(h), dtype=bool)
     ends = np.cumsum(spans)[:-1]
     for k in range(1, size):  # strings that run over the end of a line
@@ -120,12 +119,12 @@ def band_keys(codes: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> np
         done = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + _BLOCK, side="right")))
         hashes, counts = _shingle_hashes(codes[done : int(ends[last - 1])], lengths[first:last], size)
-        base, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
-        mixed = np.empty_like(base)
+        starts = np.cumsum(counts) - counts
+        mixed = np.empty_like(hashes)
         for band in range(n_bands):
             key = np.full(last - first, band + 1 + 1000 * size, dtype=np.uint64)
             for k in range(band * n_rows, (band + 1) * n_rows):
-                np.multiply(base, _ODD[k], out=mixed)
+                np.multiply(hashes, _ODD[k], out=mixed)
                 key = (key ^ np.minimum.reduceat(mixed, starts)) * _MIX
                 key ^= key >> np.uint64(31)
             keys[first:last, band] = (key * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
@@ -286,44 +285,100 @@ def buckets(lines: DataFrame, max_part: int = MAX_PART) -> tuple[DataFrame, Data
 
 
 class Sets:
-    """The shingle sets of some lines, made when they are needed."""
+    """The shingle sets of some lines as sorted arrays of numbers, one for each shingle, made when they are needed.
+
+    A number holds a shingle's characters themselves, a byte each, or counts shingles where the lines have more characters than bytes
+    have values; so equal numbers are equal shingles.
+    """
 
     def __init__(self, lines: list[str]):
         self.lines = lines
-        self.made: dict[tuple[int, int], set[str]] = {}
-
-    def of(self, i: int, size: int) -> set[str]:
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+        self.numbers: dict[str, int] = {}
+        self.alphabet: np.ndarray | None = None
+        self.latin = all(map(str.isascii, lines)) or max(map(max, filter(None, lines)), default="") <= "\xff"
+        if not self.latin:
+            self.alphabet = np.unique(np.frombuffer("".join({c for line in lines for c in set(line)}).encode("utf-32-le"), dtype=np.uint32))
+
+    def _bytes(self, line: str) -> bytes:
+        if self.latin:
+            return line.encode("latin-1")
+        return np.searchsorted(self.alphabet, np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32)).astype(np.uint8).tobytes()
+
+    def _numbers(self, line: str, size: int) -> np.ndarray:
+        if len(line) < size or (not self.latin and len(self.alphabet) > 256):
+            # above all packed ones of SHORT_SHINGLE; those of SHINGLE use all bits, and a shorter line is never looked up beside them
+            return np.array([(1 << 32) + self.numbers.setdefault(x, len(self.numbers)) for x in shingles(line, size)], dtype=np.uint64)
+        n, width = len(line) - size + 1, 4 if size < 4 else 8
+        packed = np.ndarray((n,), dtype=f"<u{width}", buffer=self._bytes(line) + bytes(width - size), strides=(1,))
+        return packed & packed.dtype.type((1 << 8 * size) - 1)
+
+    def of(self, i: int, size: int) -> np.ndarray:
         found = self.made.get((i, size))
         if found is None:
-            if len(self.made) >= _SETS:
-                self.made.clear()
-            found = self.made[i, size] = shingles(self.lines[i], size)
+            found = self._numbers(self.lines[i], size)
+            found.sort()
+            found = found[_changes(found)]
+            self.made[i, size] = found
         return found
 
+    def make_room(self) -> None:
+        """Forget all sets if there are many; those made before are not to be met with those made after it."""
+        if len(self.made) > _SETS or len(self.numbers) > _NUMBERS:
+            self.made.clear()
+            self.numbers.clear()
+
     def similar(self, i: int, j: int) -> bool:
         size = SHORT_SHINGLE if len(self.lines[i]) < SHORT and len(self.lines[j]) < SHORT else SHINGLE
+        if len(self.lines[i]) < size or len(self.lines[j]) < size:  # such a line is one shingle, which only an equal line has
+            return self.lines[i] == self.lines[j]
+        self.make_room()
         a, b = self.of(i, size), self.of(j, size)
         if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
             return False
-        return jaccard(a, b) >= THRESHOLD
+        all_ = np.concatenate([a, b])
+        all_.sort()
+        both = int(np.count_nonzero(all_[1:] == all_[:-1]))
+        return both / (len(all_) - both) >= THRESHOLD
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Whether each value of an ordered, not empty array differs from the one before it."""
+    new = np.empty(len(ordered), dtype=bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
 
 
 class Index:
     """Which lines of some have a shingle: the similarity of one line with all others at once."""
 
     def __init__(self, sets: Sets, members: list[int], size: int):
-        number: dict[str, int] = {}
-        self.codes = [np.array([number.setdefault(x, len(number)) for x in sets.of(i, size)], dtype=np.int64) for i in members]
-        self.sizes = np.array([len(c) for c in self.codes])
-        flat = np.concatenate(self.codes)
-        self.ends = np.cumsum(np.bincount(flat, minlength=len(number)))
-        self.places = np.repeat(np.arange(len(members)), self.sizes)[np.argsort(flat, kind="stable")]
+        sets.make_room()
+        # a line shorter than a shingle has none that another line has
+        made = [sets.of(i, size).astype(np.uint64) if len(sets.lines[i]) >= size else np.zeros(0, np.uint64) for i in members]
+        self.sizes = np.array([len(m) for m in made])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate(made)
+        self.places = np.zeros(0, dtype=np.int64)
+        self.codes = self.ends = self.begins = self.places
+        if len(flat):
+            order = np.argsort(flat, kind="stable")
+            new = _changes(flat[order])
+            self.begins = np.flatnonzero(new)
+            self.ends = np.append(self.begins[1:], len(flat))
+            self.codes = np.empty(len(flat), dtype=np.int64)
+            self.codes[order] = np.cumsum(new) - 1
+            self.places = np.repeat(np.arange(len(members)), self.sizes)[order]
 
     def similar(self, k: int) -> np.ndarray:
-        """Places of the lines that are like the line at place ``k`` (itself included)."""
-        having = [self.places[self.ends[c - 1] if c else 0 : self.ends[c]] for c in self.codes[k].tolist()]
-        both = np.bincount(np.concatenate(having), minlength=len(self.sizes))
-        return np.flatnonzero(both / (self.sizes[k] + self.sizes - both) >= THRESHOLD)
+        """Places of the lines that are like the line at place ``k`` (itself included, if it has a whole shingle)."""
+        own = self.codes[self.starts[k] : self.starts[k] + self.sizes[k]]
+        begins = self.begins[own]
+        counts = self.ends[own] - begins
+        at = np.arange(int(counts.sum())) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+        both = np.bincount(self.places[at], minlength=len(self.sizes))
+        return np.flatnonzero(both / np.maximum(1, self.sizes[k] + self.sizes - both) >= THRESHOLD)
 
 
 def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None = None) -> list[tuple[bytes, bytes]]:
@@ -400,27 +455,42 @@ def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None
     return [(names[find(i)], names[i]) for i in range(len(lines)) if find(i) != i]
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _listed(column: pa.Array) -> list:
+    """A column as a list; the lists of numbers in it are made at once."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist() if pa.types.is_binary(column.type) or pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+    at, values = column.offsets.to_pylist(), column.values.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _by_group(rows: DataFrame, keys: list[str], solve, schema: str) -> DataFrame:
     """``solve`` for the rows of each group, which lie together in one task: from columns as lists to rows of ``schema``."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    fields = pa.schema([(name, _TYPES[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(batch: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
-            columns = {c: batch[c].tolist() for c in batch}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(batch: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+            columns = {c: _listed(batch.column(c)) for c in batch.schema.names}
             groups = ({c: v[a:b] for c, v in columns.items()} for a, b in zip(starts[:-1], starts[1:], strict=True))
-            return pd.DataFrame([x for g in groups for x in solve(g)], columns=names)
+            found = [x for g in groups for x in solve(g)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(fields)], schema=fields)
 
         rest = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            ids = batch[keys].to_numpy(np.int64)
-            starts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist()]
-            yield solved(batch, starts)
-            rest = batch.iloc[starts[-1] :]
-        if rest is not None and len(rest):
-            yield solved(rest, [0, len(rest)])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for ids in (batch.column(k).to_numpy(zero_copy_only=False) for k in keys):
+                new[1:] |= ids[1:] != ids[:-1]
+            last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if last:
+                yield solved(batch.slice(0, last), [0, *np.flatnonzero(new[:last]).tolist(), last])
+            rest = batch.slice(last)
+        if rest is not None and rest.num_rows:
+            yield solved(rest, [0, rest.num_rows])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _links(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
