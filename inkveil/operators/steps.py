@@ -378,7 +378,7 @@ _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
     "suspect_iban": (_DIGIT,),
     "suspect_digits": (_DIGIT,),
 }
-STEPS = [replace(s, needs=_NEEDS.get(s.name, ())) for s in STEPS] + NAME_STEPS
+STEPS = [replace(s, needs=_NEEDS.get(s.name, ()), replaces=s.name not in ("age", "sex")) for s in STEPS] + NAME_STEPS
 
 _LABEL_PHONE = r"(?iU)((?<!\w)(?:tel|telefono|phone|cell|mobile|fax)\.?\s?:?\s?)([0-9A-Z][0-9A-Z ./-]{5,18}[0-9A-Z])(?!\w)"
 
@@ -401,4 +401,4 @@ SUSPECT_STEPS: list[Step] = [
     Step("suspect_iban", "iban", "IBAN", "CORE", "fiscal", 99, rf"(?i){_B}[A-Z]{{2}}[0-9A-Z]{{2}}[0-9A-Z]{{11,30}}{_E}", _suspect(lambda v: (_count(v, "A-Za-z") >= 3) & (_count(v, "0-9") >= 8) & (F.length(v) != 16), "almost an IBAN")),
     Step("suspect_digits", "cards", "CARD", "CORE", "fiscal", 99, rf"{_B}\d{{15,16}}{_E}", _suspect(lambda v: F.length(v).isin(15, 16), "as long as a card")),
 ]
-SUSPECT_STEPS = [replace(s, needs=_NEEDS.get(s.name, ())) for s in SUSPECT_STEPS]
+SUSPECT_STEPS = [replace(s, needs=_NEEDS.get(s.name, ()), replaces=False) for s in SUSPECT_STEPS]
