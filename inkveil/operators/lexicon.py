@@ -206,17 +206,22 @@ def _joined(w, longest: int):
 def with_classes(docs: DataFrame, key: str, text: str, entries: DataFrame, into: str = "lexicon", longest: int = LONGEST) -> DataFrame:
     """``docs`` with the map ``into``: entry to class bits, of the entries of the lexicon table that the text can hold.
 
-    Both sides are shuffled by entry; the lexicon may hold millions of entries and is never sent to all tasks. An entry that
-    very many documents have would be a hot key: at most ``HEAVY`` entries can be in more than one of ``HEAVY`` parts of
+    A lexicon of at most ``HEAVY`` entries is broadcast, so that only pairs with an entry are ever shuffled. Of a larger one, which may hold
+    millions, both sides are shuffled by entry. An entry that
+    very many documents have would be a hot key there: at most ``HEAVY`` entries can be in more than one of ``HEAVY`` parts of
     all (document, entry) pairs, and they alone are broadcast. Rows that share a key share their entries, a null key
     is a key like others, a text without entries (or null) has an empty map.
     """
     pairs = docs.select(F.col(key).alias("k"), F.explode(candidates(F.col(text), longest)).alias("entry"))
-    facts = written(pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).join(entry_bits(entries), "entry"), "entries")
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    most = max(1000, total // HEAVY)
-    heavy, light = facts.filter(F.col("n") > most).select("entry", "bits"), facts.filter(F.col("n") <= most).select("entry", "bits")
-    met = pairs.join(F.broadcast(heavy), "entry").unionByName(pairs.join(F.broadcast(heavy.select("entry")), "entry", "left_anti").join(light, "entry"))
+    listed = written(entry_bits(entries), "bits")
+    if listed.limit(HEAVY + 1).count() <= HEAVY:
+        met = pairs.join(F.broadcast(listed), "entry")
+    else:
+        facts = written(pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).join(listed, "entry"), "entries")
+        total = facts.agg(F.sum("n")).first()[0] or 0
+        most = max(1000, total // HEAVY)
+        heavy, light = facts.filter(F.col("n") > most).select("entry", "bits"), facts.filter(F.col("n") <= most).select("entry", "bits")
+        met = pairs.join(F.broadcast(heavy), "entry").unionByName(pairs.join(F.broadcast(heavy.select("entry")), "entry", "left_anti").join(light, "entry"))
     # a document has no more entries than its text has words
     maps = met.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("entry", "bits"))).alias("_entries"))
     none = F.create_map().cast("map<string,int>")
