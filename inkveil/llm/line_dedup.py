@@ -29,6 +29,7 @@ are ignored by ``line_report`` and kept by ``remove``. An empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ _MEMORY = 1 << 20
 _BLOCK = 1 << 17
 _FLUSH = 1 << 20
 _CELL_ROWS = 1 << 22
-#: A group of more lines, with fewer characters in all, is compared by an index of its shingles.
+#: A group of more lines is compared by an index of its shingles, or by several of fewer characters.
 _MANY, _INDEXED = 24, 1 << 21
 #: Lines, each once for each bucket, whose buckets may be compared in one task; sets and counted shingles that it holds.
 _TOGETHER = 1 << 16
@@ -351,42 +352,61 @@ def _changes(ordered: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Which lines of some have a shingle: the similarity of one line with all others at once."""
+    """Which lines of some have a shingle: the similarity of one line with all others at once.
+
+    Shingles of many of the lines, as a family of near copies has them, are bits of a row for each line; for each of
+    the others the places of its lines are listed.
+    """
 
     def __init__(self, sets: Sets, members: list[int], size: int):
         sets.make_room()
         # a line shorter than a shingle has none that another line has
         made = [sets.of(i, size).astype(np.uint64) if len(sets.lines[i]) >= size else np.zeros(0, np.uint64) for i in members]
+        n = len(members)
         self.sizes = np.array([len(m) for m in made])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        place = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         flat = np.concatenate(made)
-        self.places = np.zeros(0, dtype=np.int64)
-        self.codes = self.ends = self.begins = self.places
-        if len(flat):
-            order = np.argsort(flat, kind="stable")
-            new = _changes(flat[order])
-            self.begins = np.flatnonzero(new)
-            self.ends = np.append(self.begins[1:], len(flat))
-            self.codes = np.empty(len(flat), dtype=np.int64)
-            self.codes[order] = np.cumsum(new) - 1
-            self.places = np.repeat(np.arange(len(members)), self.sizes)[order]
+        order = np.argsort(flat, kind="stable")
+        begins = np.flatnonzero(_changes(flat[order])) if len(flat) else order
+        counts = np.diff(np.append(begins, len(flat)))
+        codes = np.empty(len(flat), dtype=np.int32)
+        codes[order] = np.repeat(np.arange(len(begins), dtype=np.int32), counts)
+        #: How many of the lines have a shingle of this line, over all its shingles.
+        self.shared = np.bincount(place, counts[codes], n)
+        # a bit for each line costs less than the places of so many lines
+        often = counts > max(1, n // 16)
+        bits = np.zeros((n, -(-max(1, int(often.sum())) // 64) * 64), dtype=bool)
+        own = often[codes]
+        bits[place[own], (np.cumsum(often) - 1)[codes[own]]] = True
+        self.bits = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
+        # a shingle of one line is no line's but its own
+        some = (counts > 1) & ~often
+        listed = some[codes]
+        self.codes = codes[listed]
+        self.stops = np.cumsum(np.bincount(place[listed], minlength=n))
+        self.places, self.begins, self.counts = place[order], begins, counts
 
     def similar(self, k: int) -> np.ndarray:
-        """Places of the lines that are like the line at place ``k`` (itself included, if it has a whole shingle)."""
-        own = self.codes[self.starts[k] : self.starts[k] + self.sizes[k]]
-        begins = self.begins[own]
-        counts = self.ends[own] - begins
-        at = np.arange(int(counts.sum())) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
-        both = np.bincount(self.places[at], minlength=len(self.sizes))
+        """Places of the lines that are like the line at place ``k`` (perhaps itself too)."""
+        both = np.bitwise_count(self.bits & self.bits[:, k : k + 1]).sum(axis=0, dtype=np.int64)
+        own = self.codes[self.stops[k - 1] if k else 0 : self.stops[k]]
+        if len(own):
+            counts = self.counts[own]
+            at = np.arange(int(counts.sum())) + np.repeat(self.begins[own] - (np.cumsum(counts) - counts), counts)
+            both += np.bincount(self.places[at], minlength=len(self.sizes))
         return np.flatnonzero(both / np.maximum(1, self.sizes[k] + self.sizes - both) >= THRESHOLD)
 
+    def middle(self) -> int:
+        """The place of the line whose shingles the most lines have, on average."""
+        return int(np.argmax(self.shared / np.maximum(1, self.sizes)))
+
 
 def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None = None) -> list[tuple[bytes, bytes]]:
     """Links that tie each line to the least name of its component, by the links inside each of the groups of lines
     (without groups: among all lines).
 
     The parts of a group that are known to be of one component meet the others, line by line, until two are alike.
-    In a group of many lines, those that are not like the first are looked up in an index of all shingles instead.
+    In a group of many lines, those that are not tied to one in its middle are looked up in an index of all shingles instead.
     """
     sets, root = Sets(lines), list(range(len(lines)))
     tried: set[tuple[int, int]] = set()
@@ -419,18 +439,15 @@ def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None
         return parts
 
     def look_up(group: list[int]) -> None:
-        for i in group[1:]:
-            if find(i) != find(group[0]) and sets.similar(group[0], i):
-                tie(group[0], i)
         short = [i for i in group if len(lines[i]) < SHORT]
         for size, members in ((SHORT_SHINGLE, short), (SHINGLE, group if len(short) < len(group) else [])):
-            parts = parts_of(members)
-            if len(parts) < 2:
+            if len(parts_of(members)) < 2:
                 continue
-            index, largest = Index(sets, members, size), max(parts.values(), key=len)
-            inside = set(largest)
-            for k, i in enumerate(members):
-                if i in inside:  # two parts meet in a line outside the largest
+            index = Index(sets, members, size)
+            middle = index.middle()
+            for n, k in enumerate((middle, *range(len(members)))):
+                i = members[k]
+                if n and find(i) == find(members[middle]):  # two parts meet in a line that is not of this one
                     continue
                 for j in index.similar(k).tolist():
                     j = members[j]
@@ -438,11 +455,22 @@ def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None
                     if find(i) != find(j) and (size == SHORT_SHINGLE or len(lines[i]) >= SHORT or len(lines[j]) >= SHORT):
                         tie(i, j)
 
-    for group in groups if groups is not None else [list(range(len(lines)))]:
+    def compare(group: list[int]) -> None:
         parts = parts_of(group)
-        if len(parts) > 1 and len(group) > _MANY and sum(len(lines[i]) for i in group) < _INDEXED:
-            look_up(group)
-            continue
+        if len(parts) > 1 and len(group) > _MANY:
+            blocks, n = [[]], 0
+            for i in group:
+                if n and n + len(lines[i]) > _INDEXED // 2:
+                    blocks.append([])
+                    n = 0
+                blocks[-1].append(i)
+                n += len(lines[i])
+            if len(blocks) < 3:
+                look_up(group)
+            else:  # any two blocks make an index of bounded size
+                for x, y in combinations(blocks, 2):
+                    compare(x + y) if len(x) + len(y) <= _MANY else look_up(x + y)
+            return
         done: list[list[int]] = []
         for part in parts.values() if len(parts) > 1 else ():
             apart = []
@@ -452,6 +480,9 @@ def linked(names: list[bytes], lines: list[str], groups: list[list[int]] | None
                 else:
                     apart.append(other)
             done = [part, *apart]
+
+    for group in groups if groups is not None else [list(range(len(lines)))]:
+        compare(group)
     return [(names[find(i)], names[i]) for i in range(len(lines)) if find(i) != i]
 
 
