@@ -387,13 +387,14 @@ class Index:
         self.places, self.begins, self.counts = place[order], begins, counts
 
     def similar(self, k: int) -> np.ndarray:
-        """Places of the lines that are like the line at place ``k`` (perhaps itself too)."""
+        """Places of the lines that are like the line at place ``k`` (itself included, if it has a whole shingle)."""
         both = np.bitwise_count(self.bits & self.bits[:, k : k + 1]).sum(axis=0, dtype=np.int64)
         own = self.codes[self.stops[k - 1] if k else 0 : self.stops[k]]
         if len(own):
             counts = self.counts[own]
             at = np.arange(int(counts.sum())) + np.repeat(self.begins[own] - (np.cumsum(counts) - counts), counts)
             both += np.bincount(self.places[at], minlength=len(self.sizes))
+        both[k] = self.sizes[k]
         return np.flatnonzero(both / np.maximum(1, self.sizes[k] + self.sizes - both) >= THRESHOLD)
 
     def middle(self) -> int:

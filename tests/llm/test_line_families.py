@@ -69,5 +69,4 @@ def test_rare_and_frequent_shingles_count_together():
     index = Index(sets, list(range(len(lines))), 8)
     for k, line in enumerate(lines[:-1]):
         own = shingles(line)
-        alike = {j for j, other in enumerate(lines) if len(other) >= 8 and jaccard(own, shingles(other)) >= 0.8}
-        assert {*index.similar(k).tolist(), k} == alike
+        assert index.similar(k).tolist() == [j for j, other in enumerate(lines) if len(other) >= 8 and jaccard(own, shingles(other)) >= 0.8]
