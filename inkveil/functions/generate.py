@@ -7,15 +7,16 @@ a neighbour that must fail it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
+from math import prod
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import spread
 from . import validators as V
-from .validators import once
+from .validators import add_column, nested, stepwise
 
 #: Hex digits of a hash that make one number: below 2**52.
 _HEX = 13
@@ -34,165 +35,198 @@ def digits(key: Column, name: str | Column, n: int) -> Column:
     return F.lpad(number(key, name, 10**n).cast("string"), n, "0")
 
 
-def one_of(key: Column, name: str, choices: str | tuple[str, ...]) -> Column:
-    """A letter of a string, or an element of a tuple."""
-    return F.element_at(F.array(*[F.lit(c) for c in choices]), (number(key, name, len(choices)) + 1).cast("int"))
-
-
-def letters(key: Column, name: str, n: int, alphabet: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> Column:
+@stepwise
+def letters(key: Column, name: str, n: int, alphabet: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
     """n letters of an alphabet, all from one number; at most ten."""
     size, listed = len(alphabet), F.array(*[F.lit(c) for c in alphabet])
-    letter = lambda x, i: F.get(listed, (F.floor(x / size**i) % size).cast("int"))
-    return once(number(key, name, size**n), lambda x: F.concat(*[letter(x, i) for i in range(n)]))
+    x = yield number(key, name, size**n)
+    return F.concat(*[F.get(listed, (F.floor(x / size**i) % size).cast("int")) for i in range(n)])
 
 
 def _text(x: Column) -> Column:
     return x.cast("string")
 
 
+def parts(key: Column, name: str, *below: int) -> Generator[Column, Column, list[Column]]:
+    """Numbers below these, all from one hash."""
+    x = yield number(key, name, prod(below))
+    return [F.call_function("div", x, F.lit(prod(below[i + 1 :]))) % n for i, n in enumerate(below)]
+
+
+def _pick(choices: str | tuple[str, ...], i: Column) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in choices]), i.cast("int"))
+
+
+def _padded(x: Column, n: int) -> Column:
+    return F.lpad(_text(x), n, "0")
+
+
 def luhn_digit(payload: Column, n: int) -> Column:
-    """The digit behind n digits that makes their Luhn sum whole."""
+    """The digit behind a number of n digits that makes their Luhn sum whole."""
     total = F.lit(0)
     for i in range(n):
-        d = F.ascii(F.substring(payload, n - i, 1)) - 48
+        d = V.digit(payload, i)
         # a doubled digit of two figures counts as their sum
         total = total + (d * 2 - F.when(d > 4, 9).otherwise(0) if i % 2 == 0 else d)
     return _text((10 - total % 10) % 10)
 
 
-def _weighted(payload: Column, weights: tuple[int, ...]) -> Column:
-    return sum(((F.ascii(F.substring(payload, i + 1, 1)) - 48) * w for i, w in enumerate(weights)), F.lit(0))
-
-
-def _first_that(name: str, make: Callable[[Column], Column], otherwise: str) -> Column:
+def _first_that(name: str, make: Callable[[Column], Generator], otherwise: str) -> Generator[Column, Column, Column]:
     """The first of eight tries that is not null; a modulus leaves some payloads without a check digit. Later tries are not made."""
-    tried = F.aggregate(F.array(*[F.lit(f"{name}{i}") for i in range(8)]), F.lit(None).cast("string"), lambda found, x: F.coalesce(found, make(x)))
-    return F.coalesce(tried, F.lit(otherwise))
+    first = yield from make(F.lit(f"{name}0"))
+    names = F.array(*[F.lit(f"{name}{i}") for i in range(1, 8)])
+    later = F.aggregate(names, F.lit(None).cast("string"), lambda found, x: F.coalesce(found, nested(make(x))))
+    return F.coalesce(first, later, F.lit(otherwise))
 
 
-def card(key: Column, prefix: str = "4", length: int = 16) -> Column:
+@stepwise
+def card(key: Column, prefix: str = "4", length: int = 16):
     n = length - 1
-    return once(F.concat(F.lit(prefix), digits(key, f"card{prefix}", n - len(prefix))), lambda body: F.concat(body, luhn_digit(body, n)))
+    body = yield F.concat(F.lit(prefix), digits(key, f"card{prefix}", n - len(prefix)))
+    x = yield body.cast("long")
+    return F.concat(body, luhn_digit(x, n))
+
+
+@stepwise
+def iban(key: Column, country: str = "DE"):
+    own = yield digits(key, f"iban{country}", V.IBAN_LENGTHS[country] - 4)
+    return (yield from _iban_of(country, own, own))
 
 
-def iban(key: Column, country: str = "DE", body: Column | None = None) -> Column:
-    return once(body if body is not None else digits(key, f"iban{country}", V.IBAN_LENGTHS[country] - 4), lambda own: _iban_of(country, own))
+def _iban_of(country: str, own: Column, numbers: Column) -> Generator[Column, Column, Column]:
+    """With check digits; ``numbers`` is the account with its letters read as two digits each."""
+    rest = yield from V.mod97.steps(F.concat(numbers, F.lit("".join(str(int(c, 36)) for c in country) + "00")))
+    return F.concat(F.lit(country), _padded(98 - rest, 2), own)
 
 
-def _iban_of(country: str, own: Column) -> Column:
-    return F.concat(F.lit(country), F.lpad(_text(98 - V.mod97(F.concat(own, F.lit(country + "00")))), 2, "0"), own)
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def iban_it(key: Column) -> Column:
-    return iban(key, "IT", F.concat(one_of(key, "cin", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), digits(key, "ibanIT", 22)))
+@stepwise
+def iban_it(key: Column):
+    (cin,) = yield from parts(key, "cin", 26)
+    own = yield digits(key, "ibanIT", 22)
+    return (yield from _iban_of("IT", F.concat(_pick(_ALPHABET, cin), own), F.concat(_text(cin + 10), own)))
 
 
-def iban_gb(key: Column) -> Column:
-    return iban(key, "GB", F.concat(letters(key, "bank", 4), digits(key, "ibanGB", 14)))
+@stepwise
+def iban_gb(key: Column):
+    bank = yield from parts(key, "bank", 26, 26, 26, 26)
+    own = yield digits(key, "ibanGB", 14)
+    return (yield from _iban_of("GB", F.concat(*[_pick(_ALPHABET, x) for x in bank], own), F.concat(*[_text(x + 10) for x in bank], own)))
 
 
 def _cf_letter(body: Column) -> Column:
     return F.char(65 + V.cf_total(body) % 26)
 
 
-def tax_code(key: Column, foreign: bool = False, letters_for_digits: int = 0) -> Column:
+@stepwise
+def tax_code(key: Column, foreign: bool = False, letters_for_digits: int = 0):
     """Italian tax code; ``foreign``: born abroad; ``letters_for_digits``: so many digits from the end are letters, as for namesakes."""
     consonants = "BCDFGHLMNPRSTVZ"
-    day = F.lpad(_text(1 + number(key, "day", 28) + 40 * number(key, "sex", 2)), 2, "0")
-    place = F.concat(F.lit("Z"), F.lpad(_text(100 + number(key, "abroad", 600)), 3, "0")) if foreign else F.concat(one_of(key, "town", "ABCDEFGHL"), digits(key, "town", 3))
-    body = F.concat(letters(key, "cf", 6, consonants), digits(key, "year", 2), one_of(key, "month", "ABCDEHLMPRST"), day, place)
+    month, sex, day, town, number_of = yield from parts(key, "born", 12, 2, 28, 9, 600 if foreign else 1000)
+    place = F.concat(F.lit("Z"), _text(100 + number_of)) if foreign else F.concat(_pick("ABCDEFGHL", town), _padded(number_of, 3))
+    person = yield from letters.steps(key, "cf", 6, consonants)
+    body = F.concat(person, digits(key, "year", 2), _pick("ABCDEHLMPRST", month), _padded(1 + day + 40 * sex, 2), place)
     for at in (15, 14, 13, 11, 10, 8, 7)[:letters_for_digits]:
-        body = once(body, _letter_at(at))
-    return once(body, lambda b: F.concat(b, _cf_letter(b)))
+        b = yield body
+        letter = F.translate(F.substring(b, at, 1), "0123456789", "LMNPQRSTUV")
+        body = F.concat(F.left(b, F.lit(at - 1)), letter, F.substr(b, F.lit(at + 1)))
+    whole = yield body
+    return F.concat(whole, _cf_letter(whole))
 
 
-def _letter_at(at: int) -> Callable[[Column], Column]:
-    letter = lambda b: F.translate(F.substring(b, at, 1), "0123456789", "LMNPQRSTUV")
-    return lambda b: F.concat(F.left(b, F.lit(at - 1)), letter(b), F.substr(b, F.lit(at + 1)))
+@stepwise
+def vat_number(key: Column):
+    body = yield digits(key, "vat", 10)
+    x = yield body.cast("long")
+    return F.concat(body, luhn_digit(x, 10))
 
 
-def vat_number(key: Column) -> Column:
-    return once(digits(key, "vat", 10), lambda body: F.concat(body, luhn_digit(body, 10)))
+@stepwise
+def nhs(key: Column):
+    def make(name: Column):
+        x = yield number(key, name, 10**9)
+        check = yield (11 - V.weighted(x, 9, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11
+        return F.when(check != 10, F.concat(_padded(x, 9), _text(check)))
 
+    return (yield from _first_that("nhs", make, "9434765919"))
 
-def nhs(key: Column) -> Column:
-    def make(name: Column) -> Column:
-        def checked(body: Column) -> Column:
-            check = (11 - _weighted(body, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11
-            return once(check, lambda c: F.when(c != 10, F.concat(body, _text(c))))
 
-        return once(digits(key, name, 9), checked)
+@stepwise
+def abn(key: Column):
+    x = yield number(key, "abn", 10**9)
+    # the first two digits, the first less one, stand for what is missing to a multiple of 89
+    rest = yield (89 - V.weighted(x, 9, (3, 5, 7, 9, 11, 13, 15, 17, 19)) % 89) % 89
+    return F.concat(_text(rest + 10), _padded(x, 9))
 
-    return _first_that("nhs", make, "9434765919")
 
-
-def abn(key: Column) -> Column:
-    def checked(body: Column) -> Column:
-        # the first two digits, the first less one, stand for what is missing to a multiple of 89
-        rest = (89 - _weighted(body, (3, 5, 7, 9, 11, 13, 15, 17, 19)) % 89) % 89
-        return once(rest, lambda r: F.concat(_text((F.floor(r / 10) + 1).cast("int")), _text(r % 10), body))
-
-    return once(digits(key, "abn", 9), checked)
-
-
-def tfn(key: Column, length: int = 9) -> Column:
+@stepwise
+def tfn(key: Column, length: int = 9):
     weights, last = ((1, 4, 3, 7, 5, 8, 6, 9), 10) if length == 9 else ((10, 7, 8, 4, 6, 3, 5), 1)
 
-    def make(name: Column) -> Column:
-        def checked(body: Column) -> Column:
-            check = (_weighted(body, weights) * (1 if last == 10 else 10)) % 11
-            return once(check, lambda c: F.when(c != 10, F.concat(body, _text(c))))
-
-        return once(digits(key, name, length - 1), checked)
+    def make(name: Column):
+        x = yield number(key, name, 10 ** (length - 1))
+        check = yield (V.weighted(x, length - 1, weights) * (1 if last == 10 else 10)) % 11
+        return F.when(check != 10, F.concat(_padded(x, length - 1), _text(check)))
 
-    return _first_that(f"tfn{length}", make, "123456782" if length == 9 else "81854402")
+    return (yield from _first_that(f"tfn{length}", make, "123456782" if length == 9 else "81854402"))
 
 
-def sin(key: Column) -> Column:
-    return once(F.concat(one_of(key, "sin", "1234567"), digits(key, "sin", 7)), lambda body: F.concat(body, luhn_digit(body, 8)))
+@stepwise
+def sin(key: Column):
+    x = yield number(key, "sin", 7 * 10**7) + 10**7
+    return F.concat(_text(x), luhn_digit(x, 8))
 
 
-def routing(key: Column) -> Column:
-    prefix = F.lpad(_text(number(key, "aba", 12) + F.element_at(F.array(F.lit(1), F.lit(21), F.lit(61)), (number(key, "region", 3) + 1).cast("int"))), 2, "0")
-    return once(F.concat(prefix, digits(key, "aba", 6)), lambda body: F.concat(body, _text((10 - _weighted(body, (3, 7, 1, 3, 7, 1, 3, 7)) % 10) % 10)))
+@stepwise
+def routing(key: Column):
+    office, region, rest = yield from parts(key, "aba", 12, 3, 10**6)
+    x = yield (office + _pick((1, 21, 61), region)) * 10**6 + rest
+    return F.concat(_padded(x, 8), _text((10 - V.weighted(x, 8, (3, 7, 1, 3, 7, 1, 3, 7)) % 10) % 10))
 
 
-def ssn(key: Column) -> Column:
-    area = number(key, "area", 665) + 1
-    parts = (F.lpad(_text(area), 3, "0"), F.lpad(_text(number(key, "group", 99) + 1), 2, "0"), F.lpad(_text(number(key, "serial", 9999) + 1), 4, "0"))
-    return F.concat_ws("-", *parts)
+@stepwise
+def ssn(key: Column):
+    area, group, serial = yield from parts(key, "ssn", 665, 99, 9999)
+    return F.concat_ws("-", _padded(area + 1, 3), _padded(group + 1, 2), _padded(serial + 1, 4))
 
 
-def itin(key: Column) -> Column:
-    group = one_of(key, "itin", tuple(str(g) for g in (*range(50, 66), *range(70, 89), 90, 91, 92, *range(94, 100))))
-    return F.concat_ws("-", F.concat(F.lit("9"), digits(key, "itin", 2)), group, digits(key, "itin4", 4))
+@stepwise
+def itin(key: Column):
+    groups = tuple(str(g) for g in (*range(50, 66), *range(70, 89), 90, 91, 92, *range(94, 100)))
+    area, group, rest = yield from parts(key, "itin", 100, len(groups), 10**4)
+    return F.concat_ws("-", F.concat(F.lit("9"), _padded(area, 2)), _pick(groups, group), _padded(rest, 4))
 
 
-def nino(key: Column) -> Column:
-    return F.concat(one_of(key, "n1", "ACEHJLMOPRSWXY"), one_of(key, "n2", "ABCEGHJKLMNPRSTWXYZ"), digits(key, "nino", 6), one_of(key, "n3", "ABCD"))
+@stepwise
+def nino(key: Column):
+    first, second, rest, last = yield from parts(key, "nino", 14, 19, 10**6, 4)
+    return F.concat(_pick("ACEHJLMOPRSWXY", first), _pick("ABCEGHJKLMNPRSTWXYZ", second), _padded(rest, 6), _pick("ABCD", last))
 
 
-def postcode(key: Column) -> Column:
-    out = F.concat(one_of(key, "p1", "ABCDEFGHIJKLMNOPRSTUWYZ"), one_of(key, "p2", ("", *"ABCDEFGHKLMNOPQRSTUVWXY")), one_of(key, "p3", "123456789"))
-    return F.concat(out, F.lit(" "), one_of(key, "p4", "0123456789"), letters(key, "p5", 2, "ABDEFGHJLNPQRSTUWXYZ"))
+@stepwise
+def postcode(key: Column):
+    inner = "ABDEFGHJLNPQRSTUWXYZ"
+    area, more, district, sector, one, two = yield from parts(key, "postcode", 23, 24, 9, 10, 20, 20)
+    out = F.concat(_pick("ABCDEFGHIJKLMNOPRSTUWYZ", area), _pick(("", *"ABCDEFGHKLMNOPQRSTUVWXY"), more), _text(district + 1))
+    return F.concat(out, F.lit(" "), _text(sector), _pick(inner, one), _pick(inner, two))
 
 
-def mrz_number(key: Column) -> Column:
+@stepwise
+def mrz_number(key: Column):
     """Nine characters of a document number and their check digit."""
-    def checked(body: Column) -> Column:
-        total = F.lit(0)
-        for i in range(9):
-            x = F.substring(body, i + 1, 1)
-            total = total + F.when(F.ascii(x) < 58, F.ascii(x) - 48).otherwise(F.ascii(x) - 55) * (7, 3, 1)[i % 3]
-        return F.concat(body, _text(total % 10))
-
-    return once(F.concat(letters(key, "doc", 2), digits(key, "doc", 7)), checked)
+    one, two, x = yield from parts(key, "doc", 26, 26, 10**7)
+    x = yield x
+    total = (one + 10) * 7 + (two + 10) * 3 + V.weighted(x, 7, (1, 7, 3, 1, 7, 3, 1))
+    return F.concat(_pick(_ALPHABET, one), _pick(_ALPHABET, two), _padded(x, 7), _text(total % 10))
 
 
-def phone_us(key: Column) -> Column:
-    area = F.concat(one_of(key, "a1", "23456789"), one_of(key, "a2", "02345678"), one_of(key, "a3", "0123456789"))
-    office = F.concat(one_of(key, "o1", "23456789"), one_of(key, "o2", "0234678"), one_of(key, "o3", "0123456789"))
-    return F.concat(area, office, digits(key, "line", 4))
+@stepwise
+def phone_us(key: Column):
+    a, b, c, d, e, rest = yield from parts(key, "phone", 8, 8, 10, 8, 7, 10**5)
+    area = F.concat(_text(a + 2), _pick("02345678", b), _text(c))
+    return F.concat(area, _text(d + 2), _pick("0234678", e), _padded(rest, 5))
 
 
 def next_last(value: Column) -> Column:
@@ -214,22 +248,22 @@ class Kind:
 
 
 KINDS: dict[str, Kind] = {
-    "card_visa": Kind(lambda k: card(k, "4"), V.luhn_ok),
-    "card_mastercard": Kind(lambda k: card(k, "53"), V.luhn_ok),
-    "card_amex": Kind(lambda k: card(k, "37", 15), V.luhn_ok),
+    "card_visa": Kind(card.given(prefix="4"), V.luhn_ok),
+    "card_mastercard": Kind(card.given(prefix="53"), V.luhn_ok),
+    "card_amex": Kind(card.given(prefix="37", length=15), V.luhn_ok),
     "iban_it": Kind(iban_it, V.iban_ok),
-    "iban_de": Kind(lambda k: iban(k, "DE"), V.iban_ok),
-    "iban_fr": Kind(lambda k: iban(k, "FR"), V.iban_ok),
+    "iban_de": Kind(iban.given(country="DE"), V.iban_ok),
+    "iban_fr": Kind(iban.given(country="FR"), V.iban_ok),
     "iban_gb": Kind(iban_gb, V.iban_ok),
-    "iban_sd": Kind(lambda k: iban(k, "SD"), V.iban_ok),
+    "iban_sd": Kind(iban.given(country="SD"), V.iban_ok),
     "tax_code": Kind(tax_code, V.cf_ok),
-    "tax_code_foreign": Kind(lambda k: tax_code(k, foreign=True), V.cf_ok),
-    "tax_code_letters": Kind(lambda k: tax_code(k, letters_for_digits=3), V.cf_ok),
+    "tax_code_foreign": Kind(tax_code.given(foreign=True), V.cf_ok),
+    "tax_code_letters": Kind(tax_code.given(letters_for_digits=3), V.cf_ok),
     "vat_number": Kind(vat_number, V.piva_ok),
     "nhs": Kind(nhs, V.nhs_ok),
     "abn": Kind(abn, V.abn_ok),
     "tfn": Kind(tfn, V.tfn_ok),
-    "tfn_old": Kind(lambda k: tfn(k, 8), V.tfn_ok),
+    "tfn_old": Kind(tfn.given(length=8), V.tfn_ok),
     "sin": Kind(sin, V.sin_ok),
     "routing": Kind(routing, V.aba_ok),
     "ssn": Kind(ssn, V.ssn_ok, lambda v: _at(v, 5, "00")),
@@ -246,20 +280,36 @@ def value(key: Column, kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == n, own.make(key)) for n, own in KINDS.items()])
 
 
-def values(df, key: str, kinds: tuple[str, ...] = tuple(KINDS)):
+def _listed(kinds: tuple[str, ...]) -> list[Kind]:
+    return [kind for name, kind in KINDS.items() if name in kinds]
+
+
+def made(df: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[DataFrame]:
+    """(key, kind, value, neighbour) of each kind, in the order of ``KINDS``: a row for each row of ``df``, in columns that Spark compiles."""
+    rows = spread(df.select(key))
+    out = []
+    for name, kind in KINDS.items():
+        if name in kinds:
+            own = add_column(rows.withColumn("kind", F.lit(name)), "value", kind.make, F.col(key))
+            out.append(own.withColumn("neighbour", kind.neighbour(F.col("value"))))
+    return out
+
+
+def checked(df: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[DataFrame]:
+    """(key, kind, is_neighbour, value, valid) of each kind: two rows for each row of ``df``, of a value and of its neighbour."""
+    out = []
+    for kind, rows in zip(_listed(kinds), made(df, key, kinds), strict=True):
+        both = rows.select(key, "kind", F.posexplode(F.array("value", "neighbour")).alias("is_neighbour", "value"))
+        out.append(add_column(both, "valid", kind.check, F.col("value")).withColumn("is_neighbour", F.col("is_neighbour") == 1))
+    return out
+
+
+def values(df: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """(key, kind, value, valid, neighbour, neighbour_valid): a row for each kind and row of ``df``."""
-    k = F.col(key)
-    rows = [
-        F.struct(F.lit(name).alias("kind"), kind.make(k).alias("value")) for name, kind in KINDS.items() if name in kinds
-    ]
-    made = spread(df.select(key)).select(key, F.inline(F.array(*rows)))
-    # each check is computed for its own kinds only, by one expression for a value and its neighbour
-    def pick(use: Callable[[Kind], Callable[[Column], Column]], v: Column) -> Column:
-        alike: dict = {}
-        for n in kinds:
-            alike.setdefault(use(KINDS[n]), []).append(n)
-        return F.coalesce(*[F.when(F.col("kind").isin(*own), f(v)) for f, own in alike.items()])
-
-    made = made.withColumn("neighbour", pick(lambda x: x.neighbour, F.col("value")))
-    checked = made.withColumn("_valid", F.transform(F.array("value", "neighbour"), lambda v: pick(lambda x: x.check, v)))
-    return checked.select(key, "kind", "value", F.get("_valid", F.lit(0)).alias("valid"), "neighbour", F.get("_valid", F.lit(1)).alias("neighbour_valid"))
+    out = None
+    for kind, rows in zip(_listed(kinds), made(df, key, kinds), strict=True):
+        # one expression for a value and its neighbour
+        rows = rows.withColumn("_valid", F.transform(F.array("value", "neighbour"), lambda v: kind.check(v)))  # noqa: B023
+        rows = rows.select(key, "kind", "value", F.get("_valid", F.lit(0)).alias("valid"), "neighbour", F.get("_valid", F.lit(1)).alias("neighbour_valid"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -5,9 +5,10 @@ Null stays null; anything of another shape is false.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
+from functools import partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of the IBAN of each country in the public registry.
@@ -32,6 +33,48 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+class stepwise:
+    """A function of columns, written as a generator: it yields what it uses more than once and gets a reference to it.
+
+    Called, it makes one column (``once`` around each step, which Spark interprets). ``add_column`` makes each step a column of
+    its own instead, which Spark compiles: for many rows.
+    """
+
+    def __init__(self, steps: Callable[..., Generator[Column, Column, Column]], **given):
+        self.steps, self.__doc__ = partial(steps, **given), steps.__doc__
+
+    def given(self, **more) -> stepwise:
+        return stepwise(self.steps, **more)
+
+    def __call__(self, *args, **more) -> Column:
+        return nested(self.steps(*args, **more))
+
+
+def nested(steps: Generator[Column, Column, Column]) -> Column:
+    def go(found: Column | None) -> Column:
+        try:
+            value = steps.send(found)
+        except StopIteration as done:
+            return done.value
+        return once(value, go)
+
+    return go(None)
+
+
+def add_column(rows: DataFrame, name: str, use: Callable[..., Column], *args: Column) -> DataFrame:
+    """``rows`` with a column of ``use(*args)``; the steps of a ``stepwise`` function are columns on the way."""
+    if not isinstance(use, stepwise):
+        return rows.withColumn(name, use(*args))
+    steps, kept, found = use.steps(*args), rows.columns, None
+    while True:
+        try:
+            value = steps.send(found)
+        except StopIteration as done:
+            return rows.select(*kept, done.value.alias(name))
+        step = f"_{name}_{len(rows.columns)}"
+        rows, found = rows.withColumn(step, value), F.col(step)
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -41,25 +84,26 @@ def compact(s: Column) -> Column:
     return F.upper(F.regexp_replace(s, "[\\s-]", ""))
 
 
-def _digit(s: Column, place: int) -> Column:
-    return F.coalesce(F.substring(s, place, 1).try_cast("int"), F.lit(0))
+def digit(x: Column, i: int) -> Column:
+    """A decimal digit of a whole number, from 0 for the last one."""
+    return (F.call_function("div", x, F.lit(10**i)) if i else x) % 10
 
 
-def weighted(s: Column, weights: tuple[int, ...]) -> Column:
-    """Sum of the digits times the weights, from the first place on."""
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + _digit(s, i + 1) * w
-    return total
+def weighted(x: Column, n: int, weights: tuple[int, ...]) -> Column:
+    """Sum of the digits of a number times the weights, from the first of its n digits on."""
+    terms = [digit(x, n - 1 - i) * w for i, w in enumerate(weights)]
+    return sum(terms[1:], terms[0])
 
 
 def _shaped(s: Column, pattern: str, rest: Column) -> Column:
     return F.when(s.isNull(), None).when(s.rlike(pattern), rest).otherwise(F.lit(False))
 
 
-def luhn_ok(s: Column) -> Column:
+@stepwise
+def luhn_ok(s: Column):
     """Payment card: 13 to 19 digits that pass the Luhn check; separators are ignored."""
-    return once(digits(s), lambda d: _shaped(d, "^[0-9]{13,19}$", _luhn(d)))
+    d = yield digits(s)
+    return _shaped(d, "^[0-9]{13,19}$", _luhn(d))
 
 
 def _luhn(s: Column) -> Column:
@@ -80,10 +124,12 @@ def letter_value(x: Column) -> Column:
     return F.when(F.ascii(x) < 58, F.ascii(x) - 48).otherwise(F.ascii(x) - 65)
 
 
-def mod97(text: Column) -> Column:
-    """The remainder modulo 97 of digits and capital letters, each letter read as its two digits from 10 on."""
-    codes = F.transform(F.split(text, ""), lambda x: F.ascii(x))
-    return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97))
+@stepwise
+def mod97(number: Column):
+    """The remainder modulo 97 of up to 80 digits."""
+    whole = yield F.lpad(number, 80, "0")
+    parts = [F.substring(whole, 1 + 16 * i, 16).try_cast("long") % 97 * (10 ** (64 - 16 * i) % 97) for i in range(5)]
+    return (sum(parts[1:], parts[0]) % 97).cast("int")
 
 
 _CF_WORTH = [CF_ODD.get(chr(c), 0) for c in range(48, 91)]
@@ -103,19 +149,27 @@ def iban_length(country: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(y) for x in IBAN_LENGTHS.items() for y in x]), country)
 
 
-def iban_ok(s: Column) -> Column:
+@stepwise
+def iban_ok(s: Column):
     """Registered length and remainder 1 modulo 97."""
-    def checked(v: Column) -> Column:
-        length = F.coalesce(F.length(v) == iban_length(F.left(v, F.lit(2))), F.lit(False))
-        return _shaped(v, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", length & (mod97(F.concat(F.substr(v, F.lit(5)), F.left(v, F.lit(4)))) == 1))
-
-    return once(compact(s), checked)
-
-
-def cf_ok(s: Column) -> Column:
+    v = yield compact(s)
+    length = F.coalesce(F.length(v) == iban_length(F.left(v, F.lit(2))), F.lit(False))
+    account = yield F.substr(v, F.lit(5))
+    numbers = account
+    for i, letter in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 10):
+        numbers = F.replace(numbers, F.lit(letter), F.lit(str(i)))
+    numbers = F.when(account.rlike("[A-Z]"), numbers).otherwise(account)
+    country = [(F.ascii(F.substring(v, i, 1)) - 55).cast("string") for i in (1, 2)]
+    rest = yield from mod97.steps(F.concat(numbers, *country, F.substring(v, 3, 2)))
+    return _shaped(v, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", length & (rest == 1))
+
+
+@stepwise
+def cf_ok(s: Column):
     """Italian tax code of 16 characters (letters may stand for digits): check character."""
     shape = "^[A-Z]{6}[0-9LMNPQRSTUV]{2}[A-EHLMPR-T][0-9LMNPQRSTUV]{2}[A-Z][0-9LMNPQRSTUV]{3}[A-Z]$"
-    return once(F.upper(s), lambda v: _shaped(v, shape, cf_total(v) % 26 == F.ascii(F.substring(v, 16, 1)) - 65))
+    v = yield F.upper(s)
+    return _shaped(v, shape, cf_total(v) % 26 == F.ascii(F.substring(v, 16, 1)) - 65)
 
 
 def piva_ok(s: Column) -> Column:
@@ -123,10 +177,11 @@ def piva_ok(s: Column) -> Column:
     return _shaped(s, "^[0-9]{11}$", _luhn(s))
 
 
-def nino_ok(s: Column) -> Column:
+@stepwise
+def nino_ok(s: Column):
     """UK national insurance number: letters that are issued, and a suffix from A to D."""
-    pair = lambda v: F.left(v, F.lit(2)).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
-    return once(compact(s), lambda v: _shaped(v, "^[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$", ~pair(v)))
+    v = yield compact(s)
+    return _shaped(v, "^[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$", ~F.left(v, F.lit(2)).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ"))
 
 
 def ssn_ok(s: Column) -> Column:
@@ -134,44 +189,55 @@ def ssn_ok(s: Column) -> Column:
     return _shaped(s, "^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$", digits(s).rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"))
 
 
-def itin_ok(s: Column) -> Column:
+@stepwise
+def itin_ok(s: Column):
     """US taxpayer number: starts with 9, group in 50-65, 70-88, 90-92 or 94-99."""
-    inside = lambda group: group.between(50, 65) | group.between(70, 88) | group.between(90, 92) | group.between(94, 99)
-    return _shaped(s, "^9[0-9]{2}-?[0-9]{2}-?[0-9]{4}$", once(F.substring(digits(s), 4, 2).try_cast("int"), inside))
+    group = yield F.substring(digits(s), 4, 2).try_cast("int")
+    inside = group.between(50, 65) | group.between(70, 88) | group.between(90, 92) | group.between(94, 99)
+    return _shaped(s, "^9[0-9]{2}-?[0-9]{2}-?[0-9]{4}$", inside)
 
 
-def nhs_ok(s: Column) -> Column:
+@stepwise
+def nhs_ok(s: Column):
     """NHS number: 10 digits, modulo 11."""
-    def checked(d: Column) -> Column:
-        # a remainder of 10 equals no digit
-        return _shaped(d, "^[0-9]{10}$", (11 - weighted(d, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11 == _digit(d, 10))
+    d = yield digits(s)
+    x = yield d.try_cast("long")
+    # a remainder of 10 equals no digit
+    return _shaped(d, "^[0-9]{10}$", (11 - weighted(x, 10, (10, 9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11 == digit(x, 0))
 
-    return once(digits(s), checked)
 
-
-def aba_ok(s: Column) -> Column:
+@stepwise
+def aba_ok(s: Column):
     """US routing number: prefix in use, weights 3-7-1 modulo 10."""
-    used = lambda prefix: prefix.between(0, 12) | prefix.between(21, 32) | prefix.between(61, 72) | (prefix == 80)
-    return once(s, lambda d: _shaped(d, "^[0-9]{9}$", once(F.left(d, F.lit(2)).try_cast("int"), used) & (weighted(d, (3, 7, 1) * 3) % 10 == 0)))
+    d = yield s
+    x = yield d.try_cast("long")
+    prefix = yield F.call_function("div", x, F.lit(10**7))
+    used = prefix.between(0, 12) | prefix.between(21, 32) | prefix.between(61, 72) | (prefix == 80)
+    return _shaped(d, "^[0-9]{9}$", used & (weighted(x, 9, (3, 7, 1) * 3) % 10 == 0))
 
 
-def sin_ok(s: Column) -> Column:
+@stepwise
+def sin_ok(s: Column):
     """Canadian SIN: 9 digits, Luhn, first digit neither 0 nor 8."""
-    return once(digits(s), lambda d: _shaped(d, "^[1-79][0-9]{8}$", _luhn(d)))
+    d = yield digits(s)
+    return _shaped(d, "^[1-79][0-9]{8}$", _luhn(d))
 
 
-def abn_ok(s: Column) -> Column:
+@stepwise
+def abn_ok(s: Column):
     """Australian business number: 11 digits, modulo 89."""
-    return once(digits(s), lambda d: _shaped(d, "^[1-9][0-9]{10}$", (weighted(d, (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)) - 10) % 89 == 0))
+    d = yield digits(s)
+    x = yield d.try_cast("long")
+    return _shaped(d, "^[1-9][0-9]{10}$", (weighted(x, 11, (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)) - 10) % 89 == 0)
 
 
-def tfn_ok(s: Column) -> Column:
+@stepwise
+def tfn_ok(s: Column):
     """Australian tax file number: 8 or 9 digits, modulo 11."""
-    def checked(d: Column) -> Column:
-        nine, eight = weighted(d, (1, 4, 3, 7, 5, 8, 6, 9, 10)), weighted(d, (10, 7, 8, 4, 6, 3, 5, 1))
-        return _shaped(d, "^[0-9]{8,9}$", F.when(F.length(d) == 9, nine % 11 == 0).otherwise(eight % 11 == 0))
-
-    return once(digits(s), checked)
+    d = yield digits(s)
+    x = yield d.try_cast("long")
+    nine, eight = weighted(x, 9, (1, 4, 3, 7, 5, 8, 6, 9, 10)), weighted(x, 8, (10, 7, 8, 4, 6, 3, 5, 1))
+    return _shaped(d, "^[0-9]{8,9}$", F.when(F.length(d) == 9, nine % 11 == 0).otherwise(eight % 11 == 0))
 
 
 def mrz_ok(field: Column, check: Column) -> Column:
@@ -190,10 +256,11 @@ def postcode_ok(s: Column) -> Column:
     return F.upper(s).rlike(shape)
 
 
-def nanp_ok(s: Column) -> Column:
+@stepwise
+def nanp_ok(s: Column):
     """North American number: area and exchange from 200, not N11, not 555-01xx."""
-    shaped = lambda d: d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{2}[0-9]{4}$") & ~d.rlike("^[0-9]{3}55501[0-9]{2}$")
-    return once(F.regexp_replace(digits(s), "^1(?=[0-9]{10}$)", ""), shaped)
+    d = yield F.regexp_replace(digits(s), "^1(?=[0-9]{10}$)", "")
+    return d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{2}[0-9]{4}$") & ~d.rlike("^[0-9]{3}55501[0-9]{2}$")
 
 
 def secret_plausible(s: Column) -> Column:

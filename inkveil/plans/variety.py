@@ -43,9 +43,12 @@ SHAPES: list[tuple[str, str, tuple[int, ...], str]] = [
 
 def generated_values(spark, sf_dir: str) -> DataFrame:
     """By kind: how many values pass their check, and how many of their neighbours do."""
-    made = generate.values(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
-    yes = lambda c: F.sum(F.col(c).cast("int")).alias(c)
-    return made.groupBy("kind").agg(F.count(F.lit(1)).alias("tried"), yes("valid"), yes("neighbour_valid"))
+    out = None
+    for rows in generate.checked(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey"):
+        yes = lambda is_neighbour, name: F.sum((F.col("valid") & (F.col("is_neighbour") == is_neighbour)).cast("int")).alias(name)
+        own = rows.groupBy("kind").agg(F.count(F.when(~F.col("is_neighbour"), 1)).alias("tried"), yes(False, "valid"), yes(True, "neighbour_valid"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def generated_numbers(spark, sf_dir: str) -> DataFrame:
