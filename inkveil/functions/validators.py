@@ -6,7 +6,7 @@ Null stays null; anything of another shape is false.
 from __future__ import annotations
 
 from collections.abc import Callable, Generator
-from functools import partial
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,21 +33,20 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-class stepwise:
+def stepwise(steps: Callable[..., Generator[Column, Column, Column]], **given) -> Callable[..., Column]:
     """A function of columns, written as a generator: it yields what it uses more than once and gets a reference to it.
 
     Called, it makes one column (``once`` around each step, which Spark interprets). ``add_column`` makes each step a column of
     its own instead, which Spark compiles: for many rows.
     """
 
-    def __init__(self, steps: Callable[..., Generator[Column, Column, Column]], **given):
-        self.steps, self.__doc__ = partial(steps, **given), steps.__doc__
+    @wraps(steps)
+    def column(*args, **more) -> Column:
+        return nested(column.steps(*args, **more))
 
-    def given(self, **more) -> stepwise:
-        return stepwise(self.steps, **more)
-
-    def __call__(self, *args, **more) -> Column:
-        return nested(self.steps(*args, **more))
+    column.steps = partial(steps, **given)
+    column.given = lambda **more: stepwise(steps, **given, **more)
+    return column
 
 
 def nested(steps: Generator[Column, Column, Column]) -> Column:
@@ -63,7 +62,7 @@ def nested(steps: Generator[Column, Column, Column]) -> Column:
 
 def add_column(rows: DataFrame, name: str, use: Callable[..., Column], *args: Column) -> DataFrame:
     """``rows`` with a column of ``use(*args)``; the steps of a ``stepwise`` function are columns on the way."""
-    if not isinstance(use, stepwise):
+    if not hasattr(use, "steps"):
         return rows.withColumn(name, use(*args))
     steps, kept, found = use.steps(*args), rows.columns, None
     while True:
